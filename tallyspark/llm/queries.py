@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, language, licences, neardup, substrings, suffixes
+from tallyspark.llm import bpe, chat, language, licences, neardup, spots, substrings, suffixes
 from tallyspark.llm.frames import documents, fold
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -40,6 +40,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.compare_with_next(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit(docs.where(fold("doc_id", 3) != 1))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_preference_format": op4_preference_format,
     "op5_licence_scan": op5_licence_scan,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_spot_fingerprints": op8_spot_fingerprints,
     "op9_language_id": op9_language_id,
 }
 
