@@ -6,7 +6,7 @@ of n words is in a document if some stretch of it is within ``floor(n / 5)`` wor
 1. Windows. A stretch within k edits shares at least n - q + 1 - k q of the item's q-grams
    (q at most 3) on neighbouring diagonals. Places that do give item-sized windows; this
    is a lossless filter, not a sample.
-2. LSH. The CGK walk copies a window's words to 3 n steps; at each step a random bit of
+2. LSH. The CGK walk copies a window's words to up to 3 n steps; at each step a random bit of
    (step, word) says whether to move on. Words that were inserted or deleted make two walks
    differ only until they meet again, so edit distance becomes Hamming distance. Each of
    ``REPEATS`` walks samples ``SAMPLED`` steps; windows and items with equal samples in any
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from tallyspark.llm.text import BYTE_VALUES, LOWER, SLICE, SPACE, mix, prefix_hash, span_hash, text_slices, words
 
 GRAM = 3
-REPEATS, SAMPLED = 64, 2
+REPEATS, SAMPLED = 64, 3
+#: Walks are sampled before this many steps for each word; near two they reach the end of most windows and all agree.
+STEPS = 1.7
 BLOCK_BYTES = 32 << 20
 
 _GAPS = SPACE.copy()
@@ -65,7 +67,7 @@ def walks(symbols: np.ndarray, start: np.ndarray, limit: np.ndarray, sizes: np.n
     """Hash of what each repeat samples of the CGK walk of each window (one row for each
     window); places outside [limit) are end marks."""
     n = len(start)
-    sampled = np.floor(_DRAWN[None] * (3 * sizes)[:, None, None]).astype(np.int64)
+    sampled = np.floor(_DRAWN[None] * (STEPS * sizes)[:, None, None]).astype(np.int64)
     key = np.broadcast_to(np.arange(REPEATS, dtype=np.uint64) * np.uint64(1_000_003) + sizes.astype(np.uint64)[:, None], (n, REPEATS)).copy()
     at = np.zeros((n, REPEATS), np.int64)
     row, last = start[:, None], sizes[:, None]
