@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, decontaminate, language, licences, neardup, spots, substrings, suffixes
+from tallyspark.llm import bpe, chat, decontaminate, language, licences, mixing, neardup, spots, substrings, suffixes
 from tallyspark.llm.frames import documents, fold
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -35,6 +35,10 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(documents(spark, sf_dir))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(documents(spark, sf_dir))
     return cut.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_preference_format": op4_preference_format,
     "op5_licence_scan": op5_licence_scan,
+    "op6_context_mixing": op6_context_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_spot_fingerprints": op8_spot_fingerprints,
     "op9_language_id": op9_language_id,
