@@ -179,17 +179,19 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Adds ``ids`` (array of int), the ids of each whole text."""
+    """Adds ``ids`` (array of int), the ids of each whole text, and ``intact``, whether they decode to it."""
 
     def run(batches):
         own = tokenizer(path, pattern)
         for batch in batches:
-            ids = list(own.encode(batch.column(len(keep)).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
+            texts = batch.column(len(keep)).to_pylist()
+            ids = list(own.encode(texts))
+            intact = [own.decode(x) == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(ids, pa.list_(pa.int32())), pa.array(intact, pa.bool_())], names=[*keep, "ids", "intact"])
 
     frame = docs.select(*keep, text)
     schema = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep)
-    return frame.mapInArrow(run, f"{schema}, ids array<int>")
+    return frame.mapInArrow(run, f"{schema}, ids array<int>, intact boolean")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

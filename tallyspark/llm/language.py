@@ -284,6 +284,7 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds lang_pred, score and bits_per_char to the kept columns; reads nothing else than the text."""
+    at = keep.index("text") if "text" in keep else len(keep)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -291,7 +292,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         names = np.array([*own.languages, UNKNOWN], object)
         for batch in batches:
             kinds, scores, bits = [], [], []
-            for _, _, data, offsets in text_slices(batch.column(len(keep)), 4 * SLICE):
+            for _, _, data, offsets in text_slices(batch.column(at), 4 * SLICE):
                 rows = len(offsets) - 1
                 if not own.languages:
                     kinds += [UNKNOWN] * rows
@@ -307,6 +308,6 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 bits += np.where(blank, np.nan, entropy.min(axis=1)).tolist()
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(kinds, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=[*keep, "lang_pred", "score", "bits_per_char"])
 
-    frame = docs.select(*keep, "text")
+    frame = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     schema = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep)
     return frame.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_char double")
