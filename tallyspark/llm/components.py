@@ -12,19 +12,23 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component): the least node reachable, for all nodes that have a link.
 
     Alternates large-star and small-star rounds: each node sends its larger (then its
-    smaller) neighbours to the least one it knows, until no link changes. Rounds grow
-    with the logarithm of the longest path; only link counts and sums reach the driver.
+    smaller) neighbours to the least one it knows, until every node hangs on one least
+    node. Rounds grow with the logarithm of the longest path; nothing but the answer
+    whether to go on reaches the driver.
     """
     edges = stored(links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u > v").distinct())
-    seen = None
-    while True:
+    while _tangled(edges):
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = stored(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == seen:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        seen = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _tangled(edges: DataFrame) -> bool:
+    """Whether some node has two smaller neighbours, or a smaller and a larger one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    sums = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return bool(sums.where("up > 1 or (up = 1 and down = 1)").head(1))

@@ -14,8 +14,8 @@ registers are equal with a probability that grows with the Jaccard similarity (f
    leader is compared with all of its block: first the Jaccard similarity is estimated
    jointly with the set sizes by maximum likelihood over the counts of larger, equal and
    smaller registers; what is not far below the threshold is verified on the full sets.
-   Documents linked with no leader become leaders. Members of different leaders are
-   compared only if the triangle inequality of the Jaccard distance allows a link.
+   Documents linked with no leader become leaders; followers of leaders whose parts are
+   still apart are compared among each other.
 4. Groups that need more than one block go on block by block against block, but only
    while their parts are not yet connected.
 5. Components of the verified links are the result.
@@ -44,8 +44,8 @@ from tallyspark.llm.text import BYTE_VALUES, LOWER, mix, prefix_hash, span_hash,
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
-#: Pairs whose estimated similarity is this far below the threshold are not verified (six standard errors and more).
-MARGIN = 0.3
+#: Pairs whose estimated similarity is this far below the threshold are not verified (seven standard errors).
+MARGIN = 0.25
 #: Shingles in one block of a candidate group.
 BLOCK = 4_000_000
 
@@ -90,20 +90,37 @@ def registers(found: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def likely_similarity(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood Jaccard similarity of one sketch and others, given the set sizes."""
-    larger, smaller = (one > others).sum(axis=1), (one < others).sum(axis=1)
-    equal = REGISTERS - larger - smaller
-    u, v = size / (size + sizes), sizes / (size + sizes)
-    grid = np.linspace(0, 1, 101)[:, None]
-    top = np.minimum(u / v, v / u)
+def _log_likelihood(similarity: np.ndarray, u: np.ndarray, larger: np.ndarray, equal: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """Of the counts of registers of one sketch that are larger than, equal to and smaller than
+    another's, where the sets have the shares u and 1 - u of the sum of both sizes."""
 
     def p(x):
         return -np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / math.log(BASE)
 
-    up, down = p(u - v * grid * top), p(v - u * grid * top)
-    loglik = larger * np.log(up) + smaller * np.log(down) + equal * np.log(np.clip(1 - up - down, 1e-12, 1))
-    return loglik.argmax(axis=0) / 100 * top
+    up, down = p(u - (1 - u) * similarity), p(1 - u - u * similarity)
+    return larger * np.log(up) + smaller * np.log(down) + equal * np.log(np.clip(1 - up - down, 1e-12, 1))
+
+
+def _counts(one: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    larger, smaller = (one > others).sum(axis=1), (one < others).sum(axis=1)
+    return larger, REGISTERS - larger - smaller, smaller
+
+
+def likely_similarity(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Maximum-likelihood Jaccard similarity of one sketch and others, given the set sizes."""
+    u = size / (size + sizes)
+    top = np.minimum(u / (1 - u), (1 - u) / u)
+    grid = np.linspace(0, 1, 101)[:, None] * top
+    return grid[_log_likelihood(grid, u, *_counts(one, others)).argmax(axis=0), np.arange(len(sizes))]
+
+
+def may_be_similar(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the maximum-likelihood similarity is at least ``floor`` (the likelihood, which has one
+    maximum, still rises there), and the number of equal registers."""
+    u = size / (size + sizes)
+    counts = _counts(one, others)
+    reachable = np.minimum(u / (1 - u), (1 - u) / u) > floor + 1e-4
+    return reachable & (_log_likelihood(np.float64(floor + 1e-4), u, *counts) >= _log_likelihood(np.float64(floor), u, *counts)), counts[1]
 
 
 def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -142,40 +159,48 @@ def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketche
         flag[own] = False
         return shared, sizes[i] + spans - shared
 
+    def tie(i, among, equal):
+        """Links i with each part that has a similar document, the likeliest first."""
+        among = among[np.argsort(-equal, kind="stable")]
+        while len(among):
+            own = root(i)
+            among = np.array([j for j in among if root(j) != own], np.int64)
+            some, among = among[:256], among[256:]
+            if len(some):
+                shared, union = similar(i, some)
+                for j in some[100 * shared >= percent * union]:
+                    join(i, j)
+
     floor = percent / 100 - MARGIN
-    leaders: list[int] = []
     leader_of = np.full(m, -1)
     for i in range(m):
         if leader_of[i] >= 0:
             continue
         leader_of[i] = i
-        leaders.append(i)
-        among = np.flatnonzero(np.arange(m) != i)
-        among = among[np.minimum(sizes[among], sizes[i]) * 100 >= percent * np.maximum(sizes[among], sizes[i])]
-        if len(among):
-            among = among[likely_similarity(sketches[i], int(sizes[i]), sketches[among], sizes[among]) >= floor]
-        if len(among):
-            shared, union = similar(i, among)
-            for j in among[100 * shared >= percent * union]:
+        among = np.flatnonzero(np.minimum(sizes, sizes[i]) * 100 >= percent * np.maximum(sizes, sizes[i]))
+        among = among[among != i]
+        close, equal = may_be_similar(sketches[i], int(sizes[i]), sketches[among], sizes[among], floor)
+        among, equal = among[close], equal[close]
+        free = among[leader_of[among] < 0]
+        if len(free):
+            shared, union = similar(i, free)
+            for j in free[100 * shared >= percent * union]:
                 join(i, j)
-                if leader_of[j] < 0:
-                    leader_of[j] = i
+                leader_of[j] = i
+        # of those that have a leader, one link to each part is enough
+        tied = leader_of[among] >= 0
+        tie(i, among[tied], equal[tied])
         if parts == 1:
             return links
-    distance = 3 * (100 - percent) / 100  # of leaders whose members may be linked
-    for k, i in enumerate(leaders):
-        rest = np.array([j for j in leaders[k + 1 :] if root(i) != root(j)], np.int64)
-        if not len(rest):
-            continue
-        shared, union = similar(i, rest)
-        for j in rest[shared >= (1 - distance) * union]:
-            theirs = np.flatnonzero(leader_of == j)
-            for x in np.flatnonzero(leader_of == i):
-                if root(i) == root(j):
-                    break
-                shared, union = similar(x, theirs)
-                for y in theirs[100 * shared >= percent * union][:1]:
-                    join(x, y)
+    # a leader has met all others; what is left are followers of leaders in different parts
+    followers = np.flatnonzero(leader_of != np.arange(m))
+    for k, i in enumerate(followers):
+        own = root(i)
+        others = np.array([j for j in followers[k + 1 :] if root(j) != own], np.int64)
+        if len(others):
+            others = others[np.minimum(sizes[others], sizes[i]) * 100 >= percent * np.maximum(sizes[others], sizes[i])]
+            close, equal = may_be_similar(sketches[i], int(sizes[i]), sketches[others], sizes[others], floor)
+            tie(i, others[close], equal[close])
     return links
 
 
