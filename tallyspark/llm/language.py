@@ -173,6 +173,8 @@ def train(counts: list[tuple[str, str, int]]) -> Model:
     """A model from (language, word, times) rows."""
     languages = sorted({r[0] for r in counts})
     model = Model(languages)
+    if not languages:
+        return model
     alphabet = len({c for _, word, _ in counts for c in word}) + 2
     model.floor = 1.0 / max(alphabet, 2)
     tables: list[list[dict]] = []

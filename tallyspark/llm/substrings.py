@@ -36,6 +36,7 @@ SIZE = 16
 FANOUT = 4
 BATCHES = 3
 
+_SCHEMA = "key long, context long, did long, uid int, pos int, windows int, off int, kind string"
 _RUN = ("key", "context", "did", "uid", "pos", "windows", "off")
 
 
@@ -54,7 +55,7 @@ class FingerprintIndex:
     def _history(self) -> DataFrame | None:
         out = None
         for path in self.runs:
-            run = self.spark.read.parquet(path).where("kind = 'run'").select(*_RUN)
+            run = self.spark.read.schema(_SCHEMA).parquet(path).where("kind = 'run'").select(*_RUN)
             out = run if out is None else out.unionByName(run)
         return out
 
@@ -99,7 +100,7 @@ class FingerprintIndex:
     def _matched(self, kind: str) -> DataFrame:
         out = None
         for path in self.matches:
-            found = self.spark.read.parquet(path).where(F.col("kind") == kind).select(*_RUN)
+            found = self.spark.read.schema(_SCHEMA).parquet(path).where(F.col("kind") == kind).select(*_RUN)
             out = found if out is None else out.unionByName(found)
         return out
 
