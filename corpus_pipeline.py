@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if odd.head(1):
         irregular = rows.join(odd.withColumnRenamed("doc_id", "odd_id"), F.col("doc_id").eqNullSafe(F.col("odd_id")), "left_semi")
         regular = rows.join(odd.withColumnRenamed("doc_id", "odd_id"), F.col("doc_id").eqNullSafe(F.col("odd_id")), "left_anti")
-        named = irregular.dropDuplicates(["doc_id", "text"]).withColumn("key", F.xxhash64("doc_id", "text"))
+        named = irregular.dropDuplicates(["doc_id", "text"]).withColumn("key", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62))  # after all other ids
         rows = stored(regular.withColumn("key", F.col("doc_id").cast("long")).unionByName(named))
     else:
         rows = rows.withColumn("key", F.col("doc_id").cast("long"))
