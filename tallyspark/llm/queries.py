@@ -8,14 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, decontaminate, language, licences, mixing, neardup, spots, substrings, suffixes
+from tallyspark.llm import bpe, chat, decontaminate, language, licences, mixing, neardup, spots, sql, substrings, suffixes
 from tallyspark.llm.frames import documents, fold
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
+    return neardup.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(documents(spark, sf_dir))
-    return cut.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
+    return cut.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": sql.NEAR_DUPLICATES,
+    "op3_substring_dedup": sql.SUBSTRINGS,
     "op4_preference_format": chat.SQL,
     "op5_licence_scan": licences.SQL,
+    "op7_suffix_dedup": sql.SUFFIXES,
 }
