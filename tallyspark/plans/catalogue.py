@@ -49,12 +49,12 @@ def scale(spark: SparkSession) -> DataFrame:
     GROUP BY ALL HAVING count(*) >= 100""",
     "respondents", "items", "responses", "usage",
 )
-def consumer_joy(s: Survey) -> DataFrame:
+def consumer_joy(s: Survey, min_n: int = metrics.MIN_N) -> DataFrame:
     first = s.items().agg(F.min("primary_topic").alias("primary_topic"))
     items = s.items().join(F.broadcast(first), "primary_topic", "left_semi").select("item_id")
     rows = s.responses().join(items, "item_id", "left_semi")
     rows = metrics.consumers(rows, s.usage(), "orders", LEVELS).join(s.respondents(), "respondent_id")
-    return metrics.joy_crosstab(rows, "generation", "region")
+    return metrics.joy_crosstab(rows, "generation", "region", min_n=min_n)
 
 
 @query("crosstab_joy", "SELECT generation, region, primary_topic, avg(joy_index) AS joy_index, count(*) AS n FROM responses JOIN respondents USING (respondent_id) JOIN items USING (item_id) GROUP BY ALL HAVING count(*) >= 30", "respondents", "items", "responses")
