@@ -124,7 +124,7 @@ def may_be_similar(one: np.ndarray, size: int, others: np.ndarray, sizes: np.nda
 
 
 def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what the threshold connects within a block (not all links)."""
+    """What the threshold connects within a block, as a link from each document to the least of its part."""
     m = len(ids)
     sizes = np.diff(cuts)
     _, dense = np.unique(found, return_inverse=True)
@@ -137,7 +137,6 @@ def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketche
             i = parent[i]
         return i
 
-    links: list[tuple[int, int]] = []
     parts = m
 
     def join(i, j):
@@ -145,9 +144,11 @@ def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketche
         a, b = root(i), root(j)
         if a != b:
             parent[max(a, b)] = min(a, b)
-            links.append((int(ids[i]), int(ids[j])))
             parts -= 1
 
+    def links():
+        return [(int(ids[i]), int(ids[r])) for i in range(m) if (r := root(i)) != i]
+
     def similar(i, among):
         """Exact counts of shared and united shingles of i with others."""
         own = dense[cuts[i] : cuts[i + 1]]
@@ -191,7 +192,7 @@ def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketche
         tied = leader_of[among] >= 0
         tie(i, among[tied], equal[tied])
         if parts == 1:
-            return links
+            return links()
     # a leader has met all others; what is left are followers of leaders in different parts
     followers = np.flatnonzero(leader_of != np.arange(m))
     for k, i in enumerate(followers):
@@ -201,7 +202,7 @@ def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketche
             others = others[np.minimum(sizes[others], sizes[i]) * 100 >= percent * np.maximum(sizes[others], sizes[i])]
             close, equal = may_be_similar(sketches[i], int(sizes[i]), sketches[others], sizes[others], floor)
             tie(i, others[close], equal[close])
-    return links
+    return links()
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
