@@ -80,19 +80,14 @@ def test_edited_passages(spark):
 
 
 def test_oversized_groups(spark, monkeypatch):
+    """Blocks so small that groups are cut off, go on, and are settled by window hashes."""
     passage = prose(11, 60)
     rows = [(i, prose(300 + i, 12) + " " + passage[i % 23 :] + " " + prose(400 + i, 12)) for i in range(60)]
     want = wanted(rows, brute_bytes(rows))
-    docs = table(spark, rows)
-    phrases = suffixes._settle
-    seen = []
-
-    def small(frame, width):
-        seen.append(1)
-        return phrases(frame, width)
-
-    monkeypatch.setattr(suffixes, "_settle", small)
-    assert found(suffixes.remove_repeats(docs), 4) == want and seen
+    for block, hot in ((500, 1 << 20), (500, 2000), (1, 1)):
+        monkeypatch.setattr(suffixes, "BLOCK", block)
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        assert found(suffixes.remove_repeats(table(spark, rows)), 4) == want
 
 
 def test_whole_characters(spark):
