@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.frames import LAST
+from tallyspark.llm.frames import LAST, in_small_batches
 from tallyspark.llm.text import BYTE_VALUES, covered, mix, powers, prefix_hash, span_hash, text_slices, window_minimum, words
 
 
@@ -67,48 +67,56 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, unit: str):
     return values, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(offsets) - 1)))).astype(np.int64), starts, ends
 
 
+#: Bytes of text whose equal contexts are settled before the shuffle.
+SETTLED = 8 << 20
 SCHEMA = "key long, context long, did long, uid int, pos int, windows int, off int, local boolean"
 
 
 def identified(docs: DataFrame, *more: str) -> DataFrame:
     """did: the id, null last; uid: tells apart texts that share an id; then the text and more columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.hash(text).alias("uid"), text.alias("text"), *more)
+    return in_small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.hash(text).alias("uid"), text.alias("text"), *more)
 
 
-def anchors_of(docs: DataFrame, unit: str, width: int, size: int, same_document: bool) -> DataFrame:
+def anchors_of(docs: DataFrame, unit: str, width: int, size_of_gram: int, same_document: bool) -> DataFrame:
     """Anchors of whole texts, from ``identified`` rows.
 
-    Within an Arrow batch equal contexts are already settled: all but the first are
+    Within about SETTLED bytes equal contexts are already settled: all but the first are
     emitted as ``local`` repeats, so that a context held by a third of all documents
     reaches its group as a few rows from each task. With ``same_document`` a repeat
     counts inside one document too.
     """
 
+    def settled(parts):
+        key, context, d, u, pos, windows, off = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((pos, u, d, context, key))
+        key, context, d, u, pos, windows, off = (x[order] for x in (key, context, d, u, pos, windows, off))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        local = d != d[head]
+        if same_document:
+            local |= (u != u[head]) | (pos != pos[head])
+        key = np.where(local, mix(d.astype(np.uint64) * np.uint64(31) + pos.astype(np.uint64)), key)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(d), pa.array(u), pa.array(pos), pa.array(windows), pa.array(off), pa.array(local)],
+            names=["key", "context", "did", "uid", "pos", "windows", "off", "local"],
+        )
+
     def run(batches):
+        parts, size = [], 0
         for batch in batches:
             did, uid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            parts = []
             for first, end, data, offsets in text_slices(batch.column(2)):
                 values, cuts, _, _ = tokens_of(data, offsets, unit)
-                found = find(prefix_hash(values), cuts, width, size)
-                parts.append((found.key, found.context, did[first:end][found.row], uid[first:end][found.row], found.start, found.windows, found.offset))
-            if not parts:
-                continue
-            key, context, d, u, pos, windows, off = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((pos, u, d, context, key))
-            key, context, d, u, pos, windows, off = (x[order] for x in (key, context, d, u, pos, windows, off))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            local = d != d[head]
-            if same_document:
-                local |= (u != u[head]) | (pos != pos[head])
-            key = np.where(local, mix(d.astype(np.uint64) * np.uint64(31) + pos.astype(np.uint64)), key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(d), pa.array(u), pa.array(pos.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(local)],
-                names=["key", "context", "did", "uid", "pos", "windows", "off", "local"],
-            )
+                found = find(prefix_hash(values), cuts, width, size_of_gram)
+                parts.append((found.key, found.context, did[first:end][found.row], uid[first:end][found.row], found.start.astype(np.int32), found.windows.astype(np.int32), found.offset.astype(np.int32)))
+                size += len(data)
+                if size > SETTLED:
+                    yield settled(parts)
+                    parts, size = [], 0
+        if parts:
+            yield settled(parts)
 
     return docs.select("did", "uid", "text").mapInArrow(run, SCHEMA)
 

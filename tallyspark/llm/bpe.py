@@ -23,9 +23,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tallyspark.llm.frames import in_small_batches
+
 NONE = np.uint32(0xFFFFFFFF)
 #: Pieces that a Python worker keeps with their ids, from task to task; when full, all are forgotten.
-CACHE = 800_000
+CACHE = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -189,7 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
             intact = [own.decode(x) == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(ids, pa.list_(pa.int32())), pa.array(intact, pa.bool_())], names=[*keep, "ids", "intact"])
 
-    frame = docs.select(*keep, text)
+    frame = in_small_batches(docs).select(*keep, text)
     schema = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep)
     return frame.mapInArrow(run, f"{schema}, ids array<int>, intact boolean")
 
@@ -203,7 +205,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
             raw = [own.decode(ids or ()) for ids in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(raw, pa.binary())], names=[*keep, "decoded"])
 
-    frame = encoded.select(*keep, "ids")
+    frame = in_small_batches(encoded).select(*keep, "ids")
     schema = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep)
     return frame.mapInArrow(run, f"{schema}, decoded binary")
 
@@ -224,4 +226,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 digests.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

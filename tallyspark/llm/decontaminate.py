@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.frames import in_small_batches
 from tallyspark.llm.text import BYTE_VALUES, LOWER, SLICE, SPACE, mix, prefix_hash, span_hash, text_slices, words
 
 GRAM = 3
@@ -213,7 +214,7 @@ def leaks(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",)
     items = items.select("item_id", "text")
     total = items.agg(F.sum(F.octet_length(F.col("text")) + 64)).first()[0] or 0
     blocks = max(1, -(-total // (BLOCK_BYTES // 2)))
-    frame = docs.select(*keep, "text")
+    frame = in_small_batches(docs).select(*keep, "text")
     schema = "".join(f"`{c}` {frame.schema[c].dataType.simpleString()}, " for c in keep) + "item_id long, first_word long, n_words long, distance long"
     out = None
     for block in range(blocks):
@@ -228,7 +229,7 @@ def _scan(index, keep):
     def run(batches):
         own = index.value
         for batch in batches:
-            for first, _, data, offsets in text_slices(batch.column(len(keep)), 4 * SLICE):
+            for first, _, data, offsets in text_slices(batch.column(len(keep)), 2 * SLICE):
                 rows = own.matches(data, offsets)
                 if rows:
                     row, item, begin, size, distance = zip(*rows)

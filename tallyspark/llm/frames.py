@@ -8,6 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LAST = (1 << 63) - 1
+#: Rows of text that go to Python at once; Spark's default of 10,000 holds tens of MB on both sides of the pipe.
+BATCH = 1000
+
+
+def in_small_batches(frame: DataFrame) -> DataFrame:
+    """The frame; from now on the session sends BATCH rows at most to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = frame.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, str(BATCH))
+    return frame
 
 
 def fold(doc_id: Column | str, parts: int) -> Column:

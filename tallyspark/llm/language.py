@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.text import SLICE, mix, prefix_hash, span_hash, text_slices
+from tallyspark.llm.frames import in_small_batches
+from tallyspark.llm.text import mix, prefix_hash, span_hash, text_slices
 
 ORDER = 5
 #: Training texts for each language.
@@ -225,7 +226,7 @@ def _kneser_ney(symbols: np.ndarray, place: np.ndarray, weight: np.ndarray) -> l
 
 def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Rows with a text and a language: all of a language up to the bound, beyond it a sample by a hash of the id."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    rows = in_small_batches(docs).select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return rows
@@ -287,6 +288,7 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds lang_pred, score and bits_per_char to the kept columns; reads nothing else than the text."""
     at = keep.index("text") if "text" in keep else len(keep)
+    docs = in_small_batches(docs)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -294,7 +296,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         names = np.array([*own.languages, UNKNOWN], object)
         for batch in batches:
             kinds, scores, bits = [], [], []
-            for _, _, data, offsets in text_slices(batch.column(at), 4 * SLICE):
+            for _, _, data, offsets in text_slices(batch.column(at)):
                 rows = len(offsets) - 1
                 if not own.languages:
                     kinds += [UNKNOWN] * rows

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.anchors import identified
-from tallyspark.llm.frames import LAST
+from tallyspark.llm.frames import LAST, in_small_batches
 from tallyspark.llm.text import BYTE_VALUES, LOWER, SPACE, mix, prefix_hash, span_hash, text_slices, words
 
 # Common words of English, German, French and Spanish.
@@ -123,7 +123,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             sets = _sets([(x or "").encode() for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64())), pa.array([fingerprint(s) for s in sets])], names=["doc_id", "signatures", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, signatures array<long>, fingerprint string")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, signatures array<long>, fingerprint string")
 
 
 def similar_pairs(prints: DataFrame, percent: int = 80) -> DataFrame:

@@ -37,8 +37,8 @@ from tallyspark.llm.text import BYTE_VALUES, mix, prefix_hash, runs_of, span_has
 
 WIDTH = 100
 SIZE = 40
-BLOCK = 1 << 20
-HOT = 16 << 20
+BLOCK = 1 << 19
+HOT = 2 << 20
 
 
 def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
