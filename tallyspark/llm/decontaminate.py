@@ -10,8 +10,9 @@ of n words is in a document if some stretch of it is within ``floor(n / 5)`` wor
    (step, word) says whether to move on. Words that were inserted or deleted make two walks
    differ only until they meet again, so edit distance becomes Hamming distance. Each of
    ``REPEATS`` walks samples ``SAMPLED`` steps; windows and items with equal samples in any
-   repeat are candidates.
+   repeat are the first candidates. The chance of that falls with the item's length.
 3. Verification. Each candidate's exact edit distance to the best stretch nearby decides.
+   Then it decides for all other windows of step 1 too, so none is lost whose samples differ.
 
 Items go to the tasks in blocks of at most ``BLOCK_BYTES``: a checked size. Each block is
 one pass over the documents.
@@ -136,7 +137,7 @@ class Index:
         self.samples, self.sampled_by = keys[order], order // REPEATS
 
     def windows(self, symbols: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, size and start of the item-sized windows that hold enough of an item's q-grams."""
+        """Row, item and start of the item-sized windows that hold enough of the item's q-grams."""
         found = []
         for q, (keys, owner, place, seen) in self.tables.items():
             at = np.arange(max(0, len(symbols) - q + 1))
@@ -167,12 +168,27 @@ class Index:
         np.add.at(marks, first, 1)
         np.add.at(marks, reach[first], -1)
         keep = np.cumsum(marks[:-1]) > 0
-        out = np.unique(np.stack([row[keep], self.sizes[item[keep]], start[keep]], axis=1), axis=0) if keep.any() else np.zeros((0, 3), np.int64)
+        out = np.unique(np.stack([row[keep], item[keep], start[keep]], axis=1), axis=0) if keep.any() else np.zeros((0, 3), np.int64)
         return out[:, 0], out[:, 1], out[:, 2]
 
-    def candidates(self, symbols: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int, int]]:
+    def candidates(self, symbols: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item, first and last window start): windows and items whose samples agree in some
+        repeat, then all runs of windows that lie near each other."""
+        found = self.windows(symbols, cuts)
+        return [(row, k, start, start) for row, k, start in self.sampled(symbols, cuts, *found)] + self.runs(*found)
+
+    def runs(self, row: np.ndarray, item: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Windows of a row and item, in order, whose neighbourhoods overlap."""
+        if not len(row):
+            return []
+        apart = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.sizes[item[1:]] + 3 * self.edits[item[1:]])
+        first = np.concatenate(([0], np.flatnonzero(apart) + 1))
+        last = np.concatenate((first[1:], [len(row)])) - 1
+        return list(zip(row[first].tolist(), item[first].tolist(), start[first].tolist(), start[last].tolist()))
+
+    def sampled(self, symbols: np.ndarray, cuts: np.ndarray, row: np.ndarray, item: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, item, window start) of windows and items whose samples agree in some repeat."""
-        row, size, start = self.windows(symbols, cuts)
+        row, size, start = np.unique(np.stack([row, self.sizes[item], start], axis=1), axis=0).T
         out: set[tuple[int, int, int]] = set()
         for a in range(0, len(row), 4096):
             b = min(a + 4096, len(row))
@@ -189,9 +205,9 @@ class Index:
         checked: dict[tuple[int, int], tuple[int, int]] = {}
         if not len(symbols) or not self.ids:
             return []
-        for row, k, start in self.candidates(symbols, cuts):
+        for row, k, start, last in self.candidates(symbols, cuts):
             n, edits = int(self.sizes[k]), int(self.edits[k])
-            low, high = max(int(cuts[row]), start - edits), min(int(cuts[row + 1]), start + n + 2 * edits)
+            low, high = max(int(cuts[row]), start - edits), min(int(cuts[row + 1]), last + n + 2 * edits)
             before = checked.get((row, k))
             if before and before[0] <= low and high <= before[1]:
                 continue

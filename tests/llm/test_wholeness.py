@@ -1,10 +1,12 @@
 """What must cover all data or every length, however the work is divided."""
 
+import random
+
 import numpy as np
 import pytest
 
 from helpers import prose, table
-from tallyspark.llm import mixing
+from tallyspark.llm import decontaminate, mixing
 
 
 def test_contexts_of_all_chunks(spark, monkeypatch):
@@ -33,3 +35,20 @@ def test_held_out_texts_teach_nothing():
     before = mixer.weights.copy(), mixer.refined.copy()
     mixer.score(mixing.Tables(kinds, hashed, ~held), kinds, hashed, held, np.zeros(1, np.int64), np.full(1, len(kinds)))
     assert (mixer.weights == before[0]).all() and (mixer.refined == before[1]).all()
+
+
+def test_long_items_at_the_limit(spark):
+    """Items of 200 to 1,000 words are found with as many edits as are allowed, evenly spread or mixed."""
+    draw = random.Random(9)
+    items = [(n + k, prose(n + k, n, 100_000)) for n in (200, 400, 800, 1000) for k in range(3)]
+    rows = []
+    for i, t in items:
+        even, mixed = t.split(), t.split()
+        for e in range(decontaminate.budget(len(even))):
+            even[5 * e + 2] = f"new{e}"
+            how, at = draw.randrange(3), draw.randrange(len(mixed))
+            mixed[at : at + (how != 2)] = [] if how == 0 else [f"other{e}"]
+        rows += [(2 * i, prose(i, 50) + " " + " ".join(even) + " " + prose(i + 1, 50)), (2 * i + 1, " ".join(mixed) + " " + prose(i + 2, 50))]
+    found = decontaminate.leaks(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(2 * i + k, i) for i, _ in items for k in range(2)}
+    assert all(r.distance <= decontaminate.budget(r.item_id // 100 * 100) for r in found)
