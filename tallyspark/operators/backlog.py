@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CHARS = 32_000
-
 
 def untagged(items: DataFrame, tags: Column) -> DataFrame:
     """(item, category) pairs without tags: their questions joined by |, least id first."""
@@ -27,11 +25,11 @@ def in_vocabulary(tags: Column, vocabulary: list[str]) -> Column:
 
 
 def embedding_text(*parts: Column) -> Column:
-    """Parts joined by " | ", null as empty with its separator kept, cut to what the embedder takes."""
+    """Whole parts joined by " | ", null as empty with its separator kept; an embedder with a limit has to cut for itself."""
     pieces: list[Column] = []
     for part in parts:
         pieces += [F.lit(" | "), F.coalesce(part, F.lit(""))]
-    return F.substring(F.concat(*pieces[1:]), 1, MAX_CHARS)
+    return F.concat(*pieces[1:])
 
 
 def tag_summary(tags: DataFrame, low: float = 0.5) -> DataFrame:
