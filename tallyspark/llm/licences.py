@@ -1,10 +1,15 @@
 """Recognises licences by sentence rules, with DataFrame functions only.
 
-A text is divided into sentences (at line ends, and after . ! ? before white space);
-each is normalised (A-Z to lower case, all but letters a-z and digits to one blank) and
-looked up in the table of known licence sentences. The identifiers found, in order, are
-matched against ordered rules: each rule is a sequence of identifiers that must follow
-each other with nothing but other sentences of no licence between them.
+A text is normalised (A-Z to lower case, all but letters a-z and digits to one blank).
+Known licence sentences are found in it where they begin and end at a line end, a blank
+line, or . ! ? : ; before white space; within them single line ends and the comment marks
+at line starts don't count, so wrapped texts and comment headers are found too. The
+identifiers found, in order, are matched against ordered rules: each rule is a sequence of
+identifiers that must follow each other with nothing but other sentences of no licence
+between them. ``n_sentences`` counts sentences at line ends and after . ! ? before white space.
+
+The SQL states the part of this that needs no patterns: sentences that stand on one line,
+of ``SENTENCES`` and ``RULES`` only.
 
 Results for odd input: a null or empty text has no sentences and no licence; repeated
 rows give repeated results; an empty table gives an empty table; extra columns are ignored.
@@ -12,7 +17,7 @@ rows give repeated results; an empty table gives an empty table; extra columns a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sentences of public licences and notices, normalised, and their identifiers.
@@ -55,6 +60,49 @@ RULES = [
     ("proprietary", ["reserved"]),
 ]
 
+# Beyond the SQL: patterns of more wordings (a blank is any white space and comment mark, but no blank line).
+_UNDER = r"(?:(?:this|the) [a-z]+(?: [a-z]+)? is )?(?:made available|available|licensed|released|distributed|published|provided) under (?:the )?(?:terms of (?:the )?)?"
+_GRANT = "this {0} is free software you can redistribute it and or modify it under the terms of the gnu {1} as published by the free software foundation either version {2} of the license or at your option any later version"
+_THING = "(?:program|library|software|file|package)"
+PATTERNS = [
+    (_UNDER + "mit licen[sc]e", "mit-ref"),
+    (_UNDER + "apache (?:software )?licen[sc]e(?: version)? (?:v )?2 0", "apache2-ref"),
+    (_UNDER + "(?:gnu general public license|gnu gpl|gpl) (?:version 3|v3)(?: 0)?", "gpl3-ref"),
+    (_UNDER + "(?:gnu general public license|gnu gpl|gpl) (?:version 2|v2)(?: 0)?", "gpl2-ref"),
+    (_UNDER + "(?:gnu lesser general public license|gnu lgpl|lgpl) (?:version 3|v3)(?: 0)?", "lgpl3-ref"),
+    (_UNDER + "(?:gnu lesser general public license|gnu lgpl|lgpl) (?:version 2 1|v2 1)", "lgpl21-ref"),
+    (_UNDER + "(?:3 clause bsd|bsd 3 clause|new bsd|modified bsd)(?: licen[sc]e)?", "bsd3-ref"),
+    (_UNDER + "(?:2 clause bsd|bsd 2 clause|simplified bsd)(?: licen[sc]e)?", "bsd2-ref"),
+    (_UNDER + "mozilla public licen[sc]e(?: version)? (?:v )?2 0", "mpl2-ref"),
+    (_UNDER + "isc licen[sc]e", "isc-ref"),
+    (_GRANT.format(_THING, "general public license", "2"), "gpl2-grant"),
+    (_GRANT.format(_THING, "general public license", "3"), "gpl3-grant"),
+    (_GRANT.format(_THING, "lesser general public license", "2 1"), "lgpl21-grant"),
+    (_GRANT.format(_THING, "lesser general public license", "3"), "lgpl3-grant"),
+    (f"this {_THING} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "gpl-warranty"),
+    ("neither the name of [a-z0-9 ]{1,120}? nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-name"),
+    ("this source code form is subject to the terms of the mozilla public license v[|]2 0", "mpl2-head"),
+    ("permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc-grant"),
+]
+_BSD3 = "bsd-grant bsd-source bsd-binary bsd-name"
+MORE_RULES = [
+    ("GPL-2.0-or-later", ["gpl2-grant"]),
+    ("LGPL-2.1-or-later", ["lgpl21-grant"]),
+    ("LGPL-3.0-or-later", ["lgpl3-grant"]),
+    ("MPL-2.0", ["mpl2-head"]),
+    ("ISC", ["isc-grant"]),
+    ("GPL-2.0-only", ["gpl2-ref"]),
+    ("LGPL-3.0-only", ["lgpl3-ref"]),
+    ("LGPL-2.1-only", ["lgpl21-ref"]),
+    ("BSD-3-Clause", ["bsd3-ref"]),
+    ("BSD-2-Clause", ["bsd2-ref"]),
+    ("MPL-2.0", ["mpl2-ref"]),
+    ("ISC", ["isc-ref"]),
+]
+
+#: One of these is in every known sentence and pattern; texts without any aren't searched.
+WORDS = "(?i)licen|permi|reserved|redistribut|warrant|notice|bsd|gpl"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,13 +112,37 @@ def scan(docs: DataFrame) -> DataFrame:
     ended = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[.!?][ \t]+", "\n")
     plain = F.regexp_replace(F.translate(ended, _UPPER, _LOWER), r"[^a-z0-9\n]+", " ")
     sentences = F.filter(F.transform(F.split(plain, "\n"), lambda s: F.btrim(s)), lambda s: s != "")
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    rows = docs.select("doc_id", sentences.alias("sentences"))
-    rows = rows.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.concat(F.lit(" "), F.array_join(F.transform("sentences", lambda s: F.try_element_at(known, s)), " "), F.lit(" ")).alias("ids"))
-    met = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains("ids", F.lit(f" {' '.join(ids)} ")), F.lit(name)) for name, ids in RULES])))
+    found = F.transform(F.when(F.col("text").rlike(WORDS), F.regexp_extract_all(_marked(), F.lit(_any()), F.lit(0))).otherwise(F.array().cast("array<string>")), lambda x: _identifier(F.regexp_replace(x, r"[ \n~]+", " ")))
+    rows = docs.select("doc_id", F.size(sentences).cast("long").alias("n_sentences"), F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")).alias("ids"))
+    # three clauses are not two as well
+    rows = rows.withColumn("other", F.replace("ids", F.lit(f" {_BSD3} "), F.lit(" bsd3 ")))
+    rules = [("BSD-3-Clause", ["bsd3"]), *RULES, *MORE_RULES]
+    met = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains("other", F.lit(f" {' '.join(ids)} ")), F.lit(name)) for name, ids in rules])))
     return rows.select("doc_id", "n_sentences", F.btrim("ids").alias("sentence_ids"), F.array_join(met, " ").alias("licences"), F.try_element_at(met, F.lit(1)).alias("licence"))
 
 
+def _marked() -> Column:
+    """The normalised text with its boundaries: a line end, ~ after : and ;, | after . ! ? and at blank lines."""
+    text = F.regexp_replace(F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER + "|~", _LOWER + "  "), r"[.!?](?=[ \t\r\n]|$)", "|")
+    text = F.regexp_replace(F.regexp_replace(text, r"[:;](?=[ \t\r\n]|$)", "~"), r"[^a-z0-9\n|~]+", " ")
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, r" ?([\n|~]) ?", "$1"), r"\n\n+", "|"))
+
+
+def _any() -> str:
+    """A pattern of all known sentences, the longest first, from boundary to boundary."""
+    every = [*sorted(SENTENCES, key=len, reverse=True), *(p for p, _ in PATTERNS)]
+    joined = "|".join(every).replace("[a-z0-9 ]", "@").replace(" ", r"[ \n~]+").replace("@", r"[a-z0-9 \n]")
+    return f"(?<![a-z0-9 ])(?:{joined})(?![a-z0-9 ])"
+
+
+def _identifier(sentence: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    other = F
+    for pattern, name in PATTERNS:
+        other = other.when(sentence.rlike(f"^(?:{pattern})$"), F.lit(name))
+    return F.coalesce(F.try_element_at(known, sentence), other)
+
+
 def _sql() -> str:
     known = ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items())
     met = ", ".join(f"CASE WHEN contains(ids, ' {' '.join(ids)} ') THEN '{name}' END" for name, ids in RULES)

@@ -1,12 +1,13 @@
 """What must cover all data or every length, however the work is divided."""
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
 
 from helpers import prose, table
-from tallyspark.llm import decontaminate, mixing
+from tallyspark.llm import decontaminate, licences, mixing
 
 
 def test_contexts_of_all_chunks(spark, monkeypatch):
@@ -52,3 +53,37 @@ def test_long_items_at_the_limit(spark):
     found = decontaminate.leaks(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(2 * i + k, i) for i, _ in items for k in range(2)}
     assert all(r.distance <= decontaminate.budget(r.item_id // 100 * 100) for r in found)
+
+
+MIT = [
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE.',
+]
+BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+]
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0'
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+
+
+def test_wrapped_licences(spark):
+    """Licences as they are usually written: wrapped at 72 columns, bare and as comments, and short references."""
+    whole = [("MIT", MIT), ("BSD-3-Clause", BSD), ("BSD-2-Clause", BSD[:3]), ("GPL-3.0-or-later", [GPL.format(3)]), ("GPL-2.0-or-later", [GPL.format(2)]), ("LGPL-2.1-or-later", [LGPL]), ("MPL-2.0", [MPL]), ("ISC", [ISC]), ("Apache-2.0", APACHE.split("\n\n"))]
+    rows, want = [], {}
+    for name, parts in whole:
+        text = "\n\n".join(textwrap.fill(p, 72) for p in parts)
+        for mark in ("", "# ", " * ", "// "):
+            want[len(rows)] = name
+            rows.append((len(rows), "Copyright (c) 2020 Some One\n" + "\n".join(mark + line for line in text.split("\n")) + "\n"))
+    for name, text in [("MIT", "This project is licensed under the MIT License"), ("Apache-2.0", "Distributed under the Apache License, Version 2.0"), ("BSD-3-Clause", "Some words. Released under the\n3-clause BSD license."), (None, "They spoke of the MIT License at length."), (None, "Licensed under the\n\nMIT License")]:
+        want[len(rows)] = name
+        rows.append((len(rows), text))
+    got = {r.doc_id: r.licences for r in licences.scan(table(spark, rows)).collect()}
+    assert got == {i: name or "" for i, name in want.items()}
