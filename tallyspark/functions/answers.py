@@ -32,6 +32,12 @@ INCOMES = [
     ("$100,000 to $124,999", "$75K-125K"), ("$125,000 to $149,999", "Over $125K"), ("$150,000 to $199,999", "Over $125K"), ("$200,000 or more", "Over $125K"),
 ]
 
+# Labels of the joy scales that have words, and their figures.
+JOY_LABELS = {"very much so": 3, "somewhat": 2, "not really": 1, "not at all": 1}
+FAVOURITE = "one of my favorites!"
+
+JOY_SCALES = ("joy_scale_0_to_5", "joy_scale")
+WORDED_JOY_SCALES = ("joy_scale_3_point", "joy_scale_4_point")
 SCALES_0_TO_5 = ("importance_scale_0_to_5", "description_scale_0_to_5")
 SELECTIONS = ("multi_select", "select_all")
 
@@ -59,18 +65,19 @@ def age_band(age: Column) -> Column:
     return F.when(~_blank(age), F.trim(joined))
 
 
+def _literal_map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+_REGION_OF_CODE = {code: name for name, codes in REGIONS.items() for code in codes.split()}
+_REGION_OF_STATE = _REGION_OF_CODE | {name: _REGION_OF_CODE[code] for code, name in STATES.items()}
+
+
 def region(state: Column, prefix: bool = False) -> Column:
-    """Census region of a state's code or name. With ``prefix`` an unknown name counts by its first two letters."""
+    """Census region of a state's code or name, by one lookup. With ``prefix`` an unknown name counts by its first two letters."""
     plain = F.upper(F.trim(state))
-    code = plain
-    for short, name in STATES.items():
-        code = F.when(plain == name, short).otherwise(code)
-    if prefix:
-        code = F.substring(code, 1, 2)
-    out = F.lit(None).cast("string")
-    for name, codes in REGIONS.items():
-        out = F.when(code.isin(*codes.split()), name).otherwise(out)
-    return out
+    found = F.try_element_at(_literal_map(_REGION_OF_STATE), plain)
+    return F.coalesce(found, F.try_element_at(_literal_map(_REGION_OF_CODE), F.substring(plain, 1, 2))) if prefix else found
 
 
 def parental_status(children: Column) -> Column:
@@ -100,21 +107,23 @@ def leading_integer(raw: Column) -> Column:
 def parse_answer(raw: Column, kind: Column) -> Column:
     """Struct of numeric_value, joy_index and is_selected for a cell of a question type.
 
-    Joy scales give the figure and twenty times it (0 to 5, or -3 to 5 in the older form;
-    three-point joy likewise; four-point favourites have labels only). Other 0-to-5
-    scales give the figure. Momentum gives 1, 0 or -1. Selections give true. Blank gives null.
+    Joy scales give the leading figure and twenty times it, as it stands (0 to 5, or -3 to 5
+    in the older form; figures outside are not clamped). Joy scales in words give 3, 2 or 1;
+    the favourites label of the four-point form has no figure. Other 0-to-5 scales give the
+    figure. Momentum gives 1 for more, -1 for less, 0 for the same; more and less together
+    are 0 with the word same, else null. Selections give true. Blank gives null.
     """
     n = leading_integer(raw)
-    joy5 = (kind == "joy_scale_0_to_5") & n.between(0, 5)
-    joy8 = (kind == "joy_scale") & n.between(-3, 5)
-    joy3 = (kind == "joy_scale_3_point") & n.between(1, 3)
-    low = F.lower(raw)
-    momentum = F.when(kind == "momentum", F.when(low.startswith("more or less"), None).when(low.startswith("more"), 1).when(low.startswith("less"), -1).when(low.contains("same"), 0))
-    joy = joy5 | joy8 | joy3
-    numeric = F.when(_blank(raw), None).when(joy | (kind.isin(*SCALES_0_TO_5) & n.between(0, 5)), n).otherwise(momentum)
+    low = F.lower(F.trim(raw))
+    label = F.create_map(*[F.lit(x) for pair in JOY_LABELS.items() for x in pair])
+    worded = F.when(low != FAVOURITE, F.coalesce(F.try_element_at(label, low), n))
+    more, less = low.contains("more"), low.contains("less")
+    momentum = F.when(more & ~less, 1).when(less & ~more, -1).when(low.contains("same"), 0)
+    figure = F.when(kind.isin(*JOY_SCALES, *SCALES_0_TO_5), n).when(kind.isin(*WORDED_JOY_SCALES), worded).when(kind == "momentum", momentum)
+    numeric = F.when(~_blank(raw), figure)
     return F.struct(
         numeric.cast("decimal(10,2)").alias("numeric_value"),
-        F.when(~_blank(raw) & joy, n * 20).cast("decimal(10,2)").alias("joy_index"),
+        F.when(kind.isin(*JOY_SCALES, *WORDED_JOY_SCALES), numeric * 20).cast("decimal(10,2)").alias("joy_index"),
         F.when(~_blank(raw) & kind.isin(*SELECTIONS), True).alias("is_selected"),
     )
 

@@ -12,11 +12,14 @@ def untagged(items: DataFrame, tags: Column) -> DataFrame:
     return open_rows.groupBy("item_name", "category").agg(F.array_join(F.sort_array(F.collect_set("question")), "|").alias("questions"), F.min("id").alias("first_id"), F.max("n").alias("n"))
 
 
-def updated(rows: DataFrame, results: DataFrame, key: str, *columns: str) -> DataFrame:
-    """Rows with new values where results has them; the last result of a key by its stamp counts."""
-    latest = results.groupBy(key).agg(*[F.max_by(c, "stamp").alias(f"new_{c}") for c in columns])
+def updated(rows: DataFrame, results: DataFrame, key: str, *columns: str, clock: Column | None = None) -> DataFrame:
+    """Rows with new values where results has them. Of several results of a key the last by its stamp
+    counts as a whole; among equal stamps that of greater values, column by column. With a clock,
+    ``updated_at`` says when a row got values (null: it did not)."""
+    latest = results.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("stamp", *columns)).alias("new"))
     joined = rows.join(latest, key, "left")
-    return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
+    out = [F.coalesce(F.col(f"new.{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns if c != "updated_at"]
+    return joined.select(*out, *([F.when(F.col("new").isNotNull(), clock).alias("updated_at")] if clock is not None else []))
 
 
 def in_vocabulary(tags: Column, vocabulary: list[str]) -> Column:

@@ -36,14 +36,24 @@ def wave(sheet: DataFrame, month: str, layout: Layout) -> DataFrame:
     return sheet.where(F.col(layout.submitted).startswith(month))
 
 
+def numbered(rows: DataFrame, group: str | list[str], *order: Column | str, after: int = 0, column: str = "id") -> DataFrame:
+    """Adds ``after`` + place in the order of the group columns, then of ``order``, which must be unique
+    within a group. Places are counted within groups and offset by the sizes of the groups before:
+    only one row for each group meets in one task, never the rows."""
+    groups = [group] if isinstance(group, str) else group
+    sizes = rows.groupBy(*groups).agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*[F.col(g).alias(f"_{g}") for g in groups], before.alias("_before"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    counted = rows.withColumn("_place", place).join(offsets, same)
+    return counted.withColumn(column, F.lit(after) + F.col("_before") + F.col("_place")).drop("_place", "_before", *[f"_{g}" for g in groups])
+
+
 def with_ids(rows: DataFrame, last_id: int, chunk: int = 100_000) -> DataFrame:
-    """respondent_id = last_id + place by ordinal. Places are counted within ranges of the
-    ordinal and offset by the sizes of the ranges before, so no task sorts the whole sheet."""
+    """respondent_id = last_id + place by ordinal, counted within ranges of ``chunk`` ordinals."""
     ranged = rows.withColumn("range", F.floor(F.col("ordinal") / chunk))
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("ordinal"))
-    return ranged.withColumn("place", place).join(sizes.select("range", before.alias("before")), "range").withColumn("respondent_id", F.lit(last_id) + F.col("before") + F.col("place")).drop("range", "place", "before")
+    return numbered(ranged, "range", "ordinal", after=last_id, column="respondent_id").drop("range")
 
 
 def race_columns(header: dict[str, str], first: int = 60, last: int = 89) -> dict[str, str]:
@@ -96,21 +106,25 @@ def cells(rows: DataFrame, ident: str | list[str], columns: list[str]) -> DataFr
 def answers(rows: DataFrame, column_map: DataFrame, kinds: DataFrame, columns: list[str], month: str) -> DataFrame:
     """Long answers: column_map (field, question_id, item_id) and kinds (question_id, question_type)
     are the survey's own tables, of a few hundred rows. Cells of unknown type are left out."""
-    long = cells(rows, ["respondent_id", "ordinal"], columns).join(F.broadcast(column_map), "field").join(F.broadcast(kinds), "question_id").where("question_type <> 'unknown'")
+    long = cells(rows, ["respondent_id", "ordinal"], columns).join(column_map, "field").join(kinds, "question_id").where("question_type <> 'unknown'")
     parsed = A.parse_answer(F.col("cell"), F.col("question_type"))
     return long.select("respondent_id", "question_id", "item_id", "question_type", F.col("cell").alias("raw_value"), parsed.alias("a")).select(
         "respondent_id", "question_id", "item_id", "question_type", "raw_value", "a.*", F.lit(f"m_{month.replace('-', '_')}").alias("fielding_id"), F.lit(month).alias("year_month")
     )
 
 
-def verbatims(long: DataFrame, people: DataFrame) -> DataFrame:
-    """Open answers with the demographics of their respondents."""
-    return long.where("question_type = 'open_end'").join(people.select("respondent_id", "generation", "gender", "region"), "respondent_id").select("respondent_id", "question_id", "item_id", F.col("raw_value").alias("text"), "generation", "gender", "region")
+def verbatims(long: DataFrame, people: DataFrame, last_id: int = 0) -> DataFrame:
+    """Open answers with the demographics of their respondents, numbered from ``last_id`` on in the
+    order of respondents, questions, items and texts."""
+    texts = long.where("question_type = 'open_end'").join(people.select("respondent_id", "generation", "gender", "region"), "respondent_id")
+    texts = texts.select("respondent_id", "question_id", "item_id", F.col("raw_value").alias("text"), "generation", "gender", "region")
+    ranged = texts.withColumn("range", F.floor(F.col("respondent_id") / 1000))
+    return numbered(ranged, "range", "respondent_id", "question_id", "item_id", "text", after=last_id, column="verbatim_id").drop("range")
 
 
 def usage_of(long: DataFrame, rules: DataFrame) -> DataFrame:
     """Usage levels from screener answers, the strongest for each respondent and category. Rules: (question_id, raw_value, category, usage_level, strength)."""
-    met = long.select("respondent_id", "question_id", "raw_value").join(F.broadcast(rules), ["question_id", "raw_value"])
+    met = long.select("respondent_id", "question_id", "raw_value").join(rules, ["question_id", "raw_value"])
     return met.groupBy("respondent_id", "category").agg(F.min_by("usage_level", "strength").alias("usage_level"))
 
 
@@ -129,3 +143,23 @@ def guard_last_id(existing: DataFrame, expected: int, column: str = "item_id") -
 def write_month(rows: DataFrame, path: str) -> None:
     """Replaces the months that the rows hold and no others; a second run changes nothing."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year_month").parquet(path)
+
+
+def guarded_load(rows: DataFrame, path: str, existing: DataFrame, expected_last: int, expected_rows: int, column: str = "item_id") -> None:
+    """Loads rows as one new part of a table, or not at all: refuses another state of the table
+    (its last id) or another number of rows than the load was prepared for, writes to a folder
+    beside the table, counts what was written, and only then renames it into place."""
+    spark = rows.sparkSession
+    guard_last_id(existing, expected_last, column)
+    staging = f"{path.rstrip('/')}_staging"
+    rows.write.mode("overwrite").parquet(staging)
+    written = spark.read.parquet(staging).count()
+    if written != expected_rows:
+        raise ValueError(f"{written} rows to load, expected {expected_rows}")
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    target, source = made(path), made(staging)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(target):
+        raise ValueError(f"{path} is there already")
+    if not store.rename(source, target):
+        raise OSError(f"could not rename {staging} to {path}")

@@ -37,14 +37,16 @@ def label_distribution(answers: DataFrame, labels: DataFrame, family: str) -> Da
     counted = answers.groupBy("raw_value").agg(F.count("*").alias("n"))
     scale = labels.where(F.col("scale_family") == family).select("label", "display_order")
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return counted.join(F.broadcast(scale), F.col("raw_value") == F.col("label"), "left").select("raw_value", "display_order", "n", share(F.col("n"), total).alias("pct"))
+    return counted.join(scale, F.col("raw_value") == F.col("label"), "left").select("raw_value", "display_order", "n", share(F.col("n"), total).alias("pct"))
 
 
 def select_all_share(answers: DataFrame) -> DataFrame:
     """Share of the question's respondents who selected each item. The base is everyone with any
-    row for the question: items not selected and not asked look alike."""
-    base = answers.groupBy("question_id").agg(F.count_distinct("respondent_id").alias("base_n"))
-    chosen = answers.where("is_selected").groupBy("question_id", "item_id").agg(F.count_distinct("respondent_id").alias("selected_n"))
+    row for the question: items not selected and not asked look alike. One pass over the answers
+    gives a flag for each question, item and respondent, from which both figures are counted."""
+    flags = answers.groupBy("question_id", "item_id", "respondent_id").agg(F.max("is_selected").alias("chosen"))
+    base = flags.groupBy("question_id").agg(F.count_distinct("respondent_id").alias("base_n"))
+    chosen = flags.groupBy("question_id", "item_id").agg(F.count_if(F.col("chosen") & F.col("respondent_id").isNotNull()).alias("selected_n")).where("selected_n > 0")
     return chosen.join(base, "question_id").select("question_id", "item_id", "selected_n", "base_n", share(F.col("selected_n"), F.col("base_n")).alias("pct"))
 
 
@@ -69,7 +71,7 @@ def modal_response(answers: DataFrame, *dims: str) -> DataFrame:
 def top2_box(answers: DataFrame, labels: DataFrame, family: str, *dims: str) -> DataFrame:
     """Share of labelled answers in the first two places of the scale."""
     scale = labels.where(F.col("scale_family") == family).select("label", "display_order")
-    known = answers.join(F.broadcast(scale), F.col("raw_value") == F.col("label"))
+    known = answers.join(scale, F.col("raw_value") == F.col("label"))
     return known.groupBy(*dims).agg(F.count("*").alias("n"), share(F.count_if(F.col("display_order") <= 2), F.count("*")).alias("top2_pct"))
 
 
@@ -80,6 +82,24 @@ def split_gap(answers: DataFrame, by: str, first: str, second: str, *dims: str)
     return out.withColumn("gap", F.col("first") - F.col("second"))
 
 
+#: Segments of the splits and the gaps between two of them, first minus second.
+SPLITS = {
+    "ji_male": ("gender", "Male"), "ji_female": ("gender", "Female"), "ji_youngest": ("generation", None), "ji_oldest": ("generation", None),
+    "ji_under_35k": ("income_band", "Under $35K"), "ji_35_75k": ("income_band", "$35K-75K"), "ji_75_125k": ("income_band", "$75K-125K"), "ji_over_125k": ("income_band", "Over $125K"),
+}
+GAPS = {"gender_gap": ("ji_male", "ji_female"), "generation_gap": ("ji_youngest", "ji_oldest"), "income_gap": ("ji_under_35k", "ji_over_125k")}
+
+
+def demo_splits(answers: DataFrame, youngest: str, oldest: str, *dims: str) -> DataFrame:
+    """Joy index by gender, by youngest and oldest generation and by income band side by side, with
+    the three gaps, in one pass. Gaps are first minus second as listed, so the generation gap is
+    positive where the younger like it more; an empty segment has a null mean and gap."""
+    values = {"ji_youngest": youngest, "ji_oldest": oldest}
+    means = [F.avg(F.when(F.col(by) == (value or values[name]), F.col("joy_index"))).alias(name) for name, (by, value) in SPLITS.items()]
+    out = answers.groupBy(*dims).agg(F.avg("joy_index").alias("overall_ji"), F.count("joy_index").alias("n_overall"), *means)
+    return out.withColumns({gap: F.col(a) - F.col(b) for gap, (a, b) in GAPS.items()})
+
+
 def trend(answers: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
     """Joy index by month, both bounds included."""
     month = F.col("year_month")

@@ -5,30 +5,18 @@ All run over whole tables; limits are top-k reports with unique tie-breaks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import answers as A
-from tallyspark.operators import backlog, metrics, ranking, retrieval
-from tallyspark.sources.roles import Survey, with_roles
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str, *roles: str):
-    """Registers a function of a Survey under a name, with its SQL."""
-
-    def put(build):
-        QUERIES[name] = lambda spark, folder: build(Survey(spark, folder))
-        if sql:
-            SQL[name] = with_roles(sql, *roles) if roles else sql
-        return build
-
-    return put
+from tallyspark.operators import backlog, ingest, metrics, ranking, retrieval
+from tallyspark.plans import jobs
+from tallyspark.plans.registry import QUERIES, SQL, query
+from tallyspark.sources.files import parse_corpus_line
+from tallyspark.sources.roles import SQL as ROLES
+from tallyspark.sources.roles import Survey
 
+__all__ = ["QUERIES", "SQL", "query"]
 
 LEVELS = ("Heavy", "Frequent")
 SCALE = [("returns", "A", 1, "high"), ("returns", "N", 2, "middle"), ("returns", "R", 3, "low")]
@@ -97,19 +85,19 @@ def combined_cells(s: Survey) -> DataFrame:
     return metrics.combined(cells, "region")
 
 
-@query("topic_scan", "SELECT item_name, avg(joy_index) AS joy_index, count(*) AS n FROM responses JOIN items USING (item_id) WHERE list_contains(subtags, split_part((SELECT min(item_name) FROM items), ' ', 1)) GROUP BY 1 HAVING count(*) >= 30 ORDER BY 2 DESC, 1 LIMIT 20", "items", "responses")
+@query("topic_scan", "SELECT item_name, avg(joy_index) AS joy_index, count(*) AS n FROM answers JOIN items USING (item_id) WHERE list_contains(subtags, split_part((SELECT min(item_name) FROM items), ' ', 1)) GROUP BY 1 HAVING count(*) >= 30 ORDER BY 2 DESC, 1 LIMIT 20", "items", "answers")
 def topic_scan(s: Survey) -> DataFrame:
     first = s.items().agg(F.split_part(F.min("item_name"), F.lit(" "), F.lit(1)).alias("tag"))
     items = s.items().join(F.broadcast(first), F.array_contains("subtags", F.col("tag"))).select("item_id", "item_name")
-    return metrics.joy_crosstab(s.responses().join(items, "item_id"), "item_name", min_n=30).orderBy(F.desc("joy_index"), "item_name").limit(20)
+    return metrics.joy_crosstab(s.answers().join(items, "item_id"), "item_name", min_n=30).orderBy(F.desc("joy_index"), "item_name").limit(20)
 
 
 # distributions ------------------------------------------------------------------------
 
 
-@query("label_distribution", f"SELECT raw_value, display_order, count(*) AS n, CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER () AS pct FROM responses LEFT JOIN {SCALE_SQL} ON raw_value = label AND label <> 'R' GROUP BY 1, 2", "responses")
+@query("label_distribution", f"SELECT raw_value, display_order, count(*) AS n, CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER () AS pct FROM answers LEFT JOIN {SCALE_SQL} ON raw_value = label AND label <> 'R' GROUP BY 1, 2", "answers")
 def label_distribution(s: Survey) -> DataFrame:
-    return metrics.label_distribution(s.responses(), scale(s.spark).where("label <> 'R'"), "returns")
+    return metrics.label_distribution(s.answers(), scale(s.spark).where("label <> 'R'"), "returns")
 
 
 @query("select_all_pct", "SELECT question_id, item_id, count(DISTINCT respondent_id) FILTER (WHERE is_selected) AS selected_n, base_n, CAST(100 AS DOUBLE) * count(DISTINCT respondent_id) FILTER (WHERE is_selected) / base_n AS pct FROM responses JOIN (SELECT question_id, count(DISTINCT respondent_id) AS base_n FROM responses GROUP BY 1) USING (question_id) GROUP BY question_id, item_id, base_n HAVING count(*) FILTER (WHERE is_selected) > 0", "responses")
@@ -117,19 +105,19 @@ def select_all_pct(s: Survey) -> DataFrame:
     return metrics.select_all_share(s.responses())
 
 
-@query("max_neg_share", "SELECT item_name, question_id, count(*) AS n, avg(CASE WHEN numeric_value = 5 THEN 100.0::DOUBLE ELSE 0 END) AS pct_max, avg(CASE WHEN numeric_value < 0 THEN 100.0::DOUBLE ELSE 0 END) AS pct_neg FROM responses JOIN items USING (item_id) GROUP BY 1, 2", "items", "responses")
+@query("max_neg_share", "SELECT item_name, question_id, count(*) AS n, avg(CASE WHEN numeric_value = 5 THEN 100.0::DOUBLE ELSE 0 END) AS pct_max, avg(CASE WHEN numeric_value < 0 THEN 100.0::DOUBLE ELSE 0 END) AS pct_neg FROM answers JOIN items USING (item_id) GROUP BY 1, 2", "items", "answers")
 def max_neg_share(s: Survey) -> DataFrame:
-    return metrics.extremes(s.responses().join(s.items().select("item_id", "item_name"), "item_id"), "item_name", "question_id")
+    return metrics.extremes(s.answers().join(s.items().select("item_id", "item_name"), "item_id"), "item_name", "question_id")
 
 
-@query("modal_response", "SELECT item_id, raw_value AS top_response, CAST(100 AS DOUBLE) * k / n AS top_pct, CAST(n AS BIGINT) AS n FROM (SELECT item_id, raw_value, k, sum(k) OVER (PARTITION BY item_id) AS n, row_number() OVER (PARTITION BY item_id ORDER BY k DESC, raw_value) AS nth FROM (SELECT item_id, raw_value, count(*) AS k FROM responses GROUP BY 1, 2)) WHERE nth = 1", "responses")
+@query("modal_response", "SELECT item_id, raw_value AS top_response, CAST(100 AS DOUBLE) * k / n AS top_pct, CAST(n AS BIGINT) AS n FROM (SELECT item_id, raw_value, k, sum(k) OVER (PARTITION BY item_id) AS n, row_number() OVER (PARTITION BY item_id ORDER BY k DESC, raw_value) AS nth FROM (SELECT item_id, raw_value, count(*) AS k FROM answers GROUP BY 1, 2)) WHERE nth = 1", "answers")
 def modal_response(s: Survey) -> DataFrame:
-    return metrics.modal_response(s.responses(), "item_id")
+    return metrics.modal_response(s.answers(), "item_id")
 
 
-@query("top2_box", f"SELECT question_id, count(*) AS n, CAST(100 AS DOUBLE) * count(*) FILTER (WHERE display_order <= 2) / count(*) AS top2_pct FROM responses JOIN {SCALE_SQL} ON raw_value = label GROUP BY 1", "responses")
+@query("top2_box", f"SELECT question_id, count(*) AS n, CAST(100 AS DOUBLE) * count(*) FILTER (WHERE display_order <= 2) / count(*) AS top2_pct FROM answers JOIN {SCALE_SQL} ON raw_value = label GROUP BY 1", "answers")
 def top2_box(s: Survey) -> DataFrame:
-    return metrics.top2_box(s.responses(), scale(s.spark), "returns", "question_id")
+    return metrics.top2_box(s.answers(), scale(s.spark), "returns", "question_id")
 
 
 @query("mode_share", "SELECT tag, count(*) AS mentions FROM (SELECT unnest(subtags) AS tag FROM items) GROUP BY 1", "items")
@@ -148,28 +136,44 @@ def lockstep_unnest(s: Survey) -> DataFrame:
     return rows.select(F.inline(F.arrays_zip("subtag", "letter"))).groupBy("subtag", "letter").agg(F.count("*").alias("n"))
 
 
-@query("rate_by_category", "SELECT primary_topic, count(*) AS n, avg(joy_index) AS joy_index, CAST(100 AS DOUBLE) * count(*) FILTER (WHERE joy_index >= 80) / count(*) AS high_pct FROM responses JOIN items USING (item_id) GROUP BY 1 HAVING count(*) >= 100", "items", "responses")
+@query("rate_by_category", "SELECT primary_topic, count(*) AS n, avg(joy_index) AS joy_index, CAST(100 AS DOUBLE) * count(*) FILTER (WHERE joy_index >= 80) / count(*) AS high_pct FROM answers JOIN items USING (item_id) GROUP BY 1 HAVING count(*) >= 100", "items", "answers")
 def rate_by_category(s: Survey) -> DataFrame:
-    rows = s.responses().join(s.items(), "item_id").groupBy("primary_topic")
+    rows = s.answers().join(s.items(), "item_id").groupBy("primary_topic")
     return rows.agg(F.count("*").alias("n"), F.avg("joy_index").alias("joy_index"), metrics.share(F.count_if(F.col("joy_index") >= 80), F.count("*")).alias("high_pct")).where("n >= 100")
 
 
 # splits and trends --------------------------------------------------------------------
 
-SPLIT_SQL = """SELECT item_name, avg(joy_index) AS overall, count(*) AS n, avg(joy_index) FILTER (WHERE generation = 'AUTOMOBILE') AS first, avg(joy_index) FILTER (WHERE generation = 'MACHINERY') AS second,
-    avg(joy_index) FILTER (WHERE generation = 'AUTOMOBILE') - avg(joy_index) FILTER (WHERE generation = 'MACHINERY') AS gap FROM responses JOIN respondents USING (respondent_id) JOIN items USING (item_id)"""
+_MEANS = {"ji_male": "gender = 'Male'", "ji_female": "gender = 'Female'", "ji_youngest": "generation = 'AUTOMOBILE'", "ji_oldest": "generation = 'MACHINERY'", "ji_under_35k": "income_band = 'Under $35K'", "ji_35_75k": "income_band = '$35K-75K'", "ji_75_125k": "income_band = '$75K-125K'", "ji_over_125k": "income_band = 'Over $125K'"}
+_MEANS_SQL = ", ".join(f"avg(joy_index) FILTER (WHERE {segment}) AS {name}" for name, segment in _MEANS.items())
+_GAPS_SQL = ", ".join(f"avg(joy_index) FILTER (WHERE {_MEANS[a]}) - avg(joy_index) FILTER (WHERE {_MEANS[b]}) AS {gap}" for gap, a, b in (("gender_gap", "ji_male", "ji_female"), ("generation_gap", "ji_youngest", "ji_oldest"), ("income_gap", "ji_under_35k", "ji_over_125k")))
+SPLIT_SQL = f"SELECT item_name, avg(joy_index) AS overall_ji, count(joy_index) AS n_overall, {_MEANS_SQL}, {_GAPS_SQL} FROM responses JOIN respondents USING (respondent_id) JOIN items USING (item_id)"
 
 
-@query("demo_split_gap", f"{SPLIT_SQL} GROUP BY 1 ORDER BY abs(gap) DESC NULLS LAST, 1 LIMIT 25", "respondents", "items", "responses")
+@query("demo_split_gap", f"{SPLIT_SQL} GROUP BY 1 ORDER BY abs(gender_gap) DESC NULLS LAST, 1 LIMIT 25", "respondents", "items", "responses")
 def demo_split_gap(s: Survey) -> DataFrame:
     rows = s.responses().join(s.respondents(), "respondent_id").join(s.items(), "item_id")
-    return metrics.split_gap(rows, "generation", "AUTOMOBILE", "MACHINERY", "item_name").orderBy(F.desc_nulls_last(F.abs("gap")), "item_name").limit(25)
+    return metrics.demo_splits(rows, "AUTOMOBILE", "MACHINERY", "item_name").orderBy(F.desc_nulls_last(F.abs("gender_gap")), "item_name").limit(25)
 
 
-@query("demo_splits_by_name", f"{SPLIT_SQL} WHERE item_name ILIKE '%re%' GROUP BY 1", "respondents", "items", "responses")
+@query("demo_split_all", f"{SPLIT_SQL} GROUP BY 1", "respondents", "items", "responses")
+def demo_split_all(s: Survey) -> DataFrame:
+    rows = s.responses().join(s.respondents(), "respondent_id").join(s.items(), "item_id")
+    return metrics.demo_splits(rows, "AUTOMOBILE", "MACHINERY", "item_name")
+
+
+@query("split_gap_pair", """SELECT item_name, avg(joy_index) AS overall, count(*) AS n, avg(joy_index) FILTER (WHERE region = 'ASIA') AS first, avg(joy_index) FILTER (WHERE region = 'EUROPE') AS second,
+    avg(joy_index) FILTER (WHERE region = 'ASIA') - avg(joy_index) FILTER (WHERE region = 'EUROPE') AS gap FROM responses JOIN respondents USING (respondent_id) JOIN items USING (item_id) GROUP BY 1""", "respondents", "items", "responses")
+def split_gap_pair(s: Survey) -> DataFrame:
+    rows = s.responses().join(s.respondents(), "respondent_id").join(s.items(), "item_id")
+    return metrics.split_gap(rows, "region", "ASIA", "EUROPE", "item_name")
+
+
+@query("demo_splits_by_name", f"{SPLIT_SQL} WHERE item_name ILIKE '%re%' GROUP BY 1 HAVING abs(avg(joy_index) FILTER (WHERE income_band = 'Under $35K') - avg(joy_index) FILTER (WHERE income_band = 'Over $125K')) > 0", "respondents", "items", "responses")
 def demo_splits_by_name(s: Survey) -> DataFrame:
     items = s.items().where(F.col("item_name").ilike("%re%"))
-    return metrics.split_gap(s.responses().join(items, "item_id").join(s.respondents(), "respondent_id"), "generation", "AUTOMOBILE", "MACHINERY", "item_name")
+    rows = s.responses().join(items, "item_id").join(s.respondents(), "respondent_id")
+    return metrics.demo_splits(rows, "AUTOMOBILE", "MACHINERY", "item_name").where(F.abs("income_gap") > 0)
 
 
 @query("trend_month", "SELECT year_month, avg(joy_index) AS joy_index, count(*) AS n FROM responses GROUP BY 1", "responses")
@@ -179,20 +183,21 @@ def trend_month(s: Survey) -> DataFrame:
 
 @query("trend_recent", "SELECT year_month, avg(joy_index) AS joy_index, count(*) AS n FROM responses WHERE year_month >= strftime((SELECT max(o_orderdate) FROM orders) - INTERVAL 6 MONTHS, '%Y-%m') GROUP BY 1", "responses")
 def trend_recent(s: Survey) -> DataFrame:
-    since = s.table("orders").agg(metrics.months_back(F.max("o_orderdate"), 6).alias("since"))
-    return metrics.trend(s.responses().join(F.broadcast(since), F.col("year_month") >= F.col("since")))
+    last = s.table("orders").agg(F.max("o_orderdate").alias("last")).first()["last"]  # from the files' statistics or one small scan
+    since = F.date_trunc("month", F.add_months(F.lit(last), -6))
+    return metrics.trend(s.responses(since=since))
 
 
 @query("quarter_pin", "SELECT generation, year_month, avg(joy_index) AS joy_index, count(*) AS n FROM responses JOIN respondents USING (respondent_id) WHERE year_month IN ('1995-01', '1995-02', '1995-03') GROUP BY 1, 2", "respondents", "responses")
 def quarter_pin(s: Survey) -> DataFrame:
-    rows = s.responses().where(F.col("year_month").isin("1995-01", "1995-02", "1995-03"))
+    rows = s.responses(since="1995-01-01", until="1995-04-01")
     return metrics.joy_crosstab(rows.join(s.respondents(), "respondent_id"), "generation", "year_month", min_n=0)
 
 
-@query("fielding_join", "SELECT 'm_' || replace(year_month, '-', '_') AS fielding_id, n_respondents, count(*) AS answers FROM responses JOIN (SELECT year_month, count(DISTINCT respondent_id) AS n_respondents FROM responses GROUP BY 1) USING (year_month) GROUP BY 1, 2", "responses")
+@query("fielding_join", "SELECT 'm_' || replace(year_month, '-', '_') AS fielding_id, n_respondents, count(*) AS answers FROM responses JOIN fieldings USING (year_month) GROUP BY 1, 2", "responses", "fieldings")
 def fielding_join(s: Survey) -> DataFrame:
-    fieldings = s.responses().groupBy("year_month").agg(F.count_distinct("respondent_id").alias("n_respondents"))
-    return s.responses().join(fieldings, "year_month").groupBy(A.fielding_id(F.col("year_month")).alias("fielding_id"), "n_respondents").agg(F.count("*").alias("answers"))
+    counted = s.responses().groupBy("year_month").agg(F.count("*").alias("answers"))  # counted before the join: a row for each month is left
+    return counted.join(s.fieldings(), "year_month").select(A.fielding_id(F.col("year_month")).alias("fielding_id"), "n_respondents", "answers")
 
 
 # predicates and joins -----------------------------------------------------------------
@@ -221,14 +226,14 @@ def exists_filter(s: Survey) -> DataFrame:
     return s.respondents().join(s.responses().where("joy_index = 100 and is_selected"), "respondent_id", "left_semi").groupBy("generation").agg(F.count("*").alias("n"))
 
 
-@query("in_filter", "SELECT item_name, primary_topic, count(*) AS n FROM items WHERE item_id IN (SELECT DISTINCT item_id FROM responses WHERE numeric_value = -3) GROUP BY 1, 2", "items", "responses")
+@query("in_filter", "SELECT item_name, primary_topic, count(*) AS n FROM items WHERE item_id IN (SELECT DISTINCT item_id FROM answers WHERE numeric_value = -3) GROUP BY 1, 2", "items", "answers")
 def in_filter(s: Survey) -> DataFrame:
-    return s.items().join(s.responses().where("numeric_value = -3"), "item_id", "left_semi").groupBy("item_name", "primary_topic").agg(F.count("*").alias("n"))
+    return s.items().join(s.answers().where("numeric_value = -3"), "item_id", "left_semi").groupBy("item_name", "primary_topic").agg(F.count("*").alias("n"))
 
 
-@query("no_answers_anti", "SELECT item_id, item_name FROM items WHERE item_id NOT IN (SELECT item_id FROM responses WHERE numeric_value = 5)", "items", "responses")
+@query("no_answers_anti", "SELECT item_id, item_name FROM items WHERE item_id NOT IN (SELECT item_id FROM answers WHERE numeric_value = 5)", "items", "answers")
 def no_answers_anti(s: Survey) -> DataFrame:
-    return s.items().join(s.responses().where("numeric_value = 5"), "item_id", "left_anti").select("item_id", "item_name")
+    return s.items().join(s.answers().where("numeric_value = 5"), "item_id", "left_anti").select("item_id", "item_name")
 
 
 @query("predicates", "SELECT respondent_id, generation, state, 'panel' AS kind, balance FROM respondents WHERE balance >= 1000 AND balance < 5000 AND (generation IN ('BUILDING', 'FURNITURE') OR state LIKE 'U%') AND region IS NOT NULL", "respondents")
@@ -237,10 +242,18 @@ def predicates(s: Survey) -> DataFrame:
     return s.respondents().where(kept).select("respondent_id", "generation", "state", F.lit("panel").alias("kind"), "balance")
 
 
-@query("verbatim_texture", "SELECT doc_id, category, length(text) AS n_chars FROM verbatims WHERE is_quotable AND category = 'en' AND text ILIKE '%the%' ORDER BY length(text) DESC, doc_id LIMIT 25", "verbatims")
+@query(
+    "verbatim_texture",
+    """SELECT doc_id, category, generation, length(text) AS n_chars FROM verbatims v JOIN respondents p USING (respondent_id)
+    WHERE EXISTS (SELECT 1 FROM usage u WHERE u.respondent_id = v.respondent_id AND u.category = 'orders' AND u.usage_level IN ('Heavy', 'Frequent', 'Moderate'))
+    AND p.generation IN ('BUILDING', 'FURNITURE') AND p.gender = 'Female' AND is_quotable AND text ILIKE '%the%' ORDER BY length(text) DESC, doc_id LIMIT 25""",
+    "respondents", "usage", "verbatims",
+)
 def verbatim_texture(s: Survey) -> DataFrame:
-    rows = s.verbatims().where(F.col("is_quotable") & (F.col("category") == "en") & F.col("text").ilike("%the%"))
-    return rows.select("doc_id", "category", F.length("text").cast("long").alias("n_chars")).orderBy(F.desc("n_chars"), "doc_id").limit(25)
+    people = s.respondents().where(F.col("generation").isin("BUILDING", "FURNITURE") & (F.col("gender") == "Female"))
+    rows = s.verbatims().where(F.col("is_quotable") & F.col("text").ilike("%the%")).join(people.select("respondent_id", "generation"), "respondent_id")
+    rows = metrics.consumers(rows, s.usage(), "orders", (*LEVELS, "Moderate"))
+    return rows.select("doc_id", "category", "generation", F.length("text").cast("long").alias("n_chars")).orderBy(F.desc("n_chars"), "doc_id").limit(25)
 
 
 @query("word_match", r"SELECT category, count(*) AS n FROM verbatims WHERE regexp_matches(text, '(?i)\b(the|and|of)\b') GROUP BY 1", "verbatims")
@@ -253,10 +266,14 @@ def word_occurrences(s: Survey) -> DataFrame:
     return s.verbatims().groupBy("category").agg(F.sum(F.regexp_count("text", F.lit(retrieval.word_pattern("the", "and", "of")))).alias("times"))
 
 
-@query("inflected_match", r"SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(licens(e|es|ed|ing|er|ers))\b')) AS times FROM verbatims WHERE regexp_matches(text, '(?i)\b(licens(e|es|ed|ing|er|ers))\b')", "verbatims")
+@query("inflected_match", r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(run|running|ran|runs)\b')) AS run, len(regexp_extract_all(text, '(?i)\b(buy|buying|bought|buys|purchased|purchasing|purchase)\b')) AS buy,
+    len(regexp_extract_all(text, '(?i)\b(licens(e|es|ed|ing|er|ers))\b')) AS license FROM
+    (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'Ran, running runs; buy BOUGHT buys overrun ' || text WHEN 2 THEN 'purchase licensed brand rum ' || text ELSE coalesce(text, 'run') END AS text FROM verbatims)""", "verbatims")
 def inflected_match(s: Survey) -> DataFrame:
-    pattern = retrieval.inflections("license")
-    return s.verbatims().where(F.col("text").rlike(pattern)).select("doc_id", F.regexp_count("text", F.lit(pattern)).cast("long").alias("times"))
+    k, text = F.col("doc_id") % 4, F.col("text")
+    text = F.when(k == 0, text).when(k == 1, F.concat(F.lit("Ran, running runs; buy BOUGHT buys overrun "), text)).when(k == 2, F.concat(F.lit("purchase licensed brand rum "), text)).otherwise(F.coalesce(text, F.lit("run")))
+    counts = {name: F.regexp_count(text, F.lit(retrieval.inflections(name))).cast("long").alias(name) for name in ("run", "buy", "license")}
+    return s.verbatims().select("doc_id", *counts.values())
 
 
 @query("array_predicates", "SELECT item_id, list_contains(subtags, 'red') AS has_red, list_has_any(subtags, ['red', 'blue', 'green']) AS has_any, list_has_all(subtags, ['red', 'blue']) AS has_both, nullif(len(subtags), 0) AS n_tags, array_to_string(subtags, ', ') AS tags FROM items", "items")
@@ -321,9 +338,19 @@ TAGS = ["red", "blue", "small", "green"]
 TAGS_SQL = "['red', 'blue', 'small', 'green']"
 
 
-@query("items_by_tags", f"SELECT item_id, item_name, len(list_intersect(subtags, {TAGS_SQL})) AS overlap_score FROM items WHERE len(list_intersect(subtags, {TAGS_SQL})) > 0 ORDER BY 3 DESC, size DESC, item_id LIMIT 20", "items")
+@query(
+    "items_by_tags",
+    f"""SELECT item_id, item_name, n, len(list_intersect(subtags, {TAGS_SQL})) + len(list_intersect([primary_topic, canonical_brand], ['SMALL', 'ECONOMY', 'Brand#4'])) AS overlap_score
+    FROM items JOIN (SELECT item_id, count(*) AS n FROM answers GROUP BY 1) USING (item_id) WHERE n >= 20 AND
+    len(list_intersect(subtags, {TAGS_SQL})) + len(list_intersect([primary_topic, canonical_brand], ['SMALL', 'ECONOMY', 'Brand#4'])) > 0 ORDER BY overlap_score DESC, size DESC, item_id LIMIT 20""",
+    "items", "answers",
+)
 def items_by_tags(s: Survey) -> DataFrame:
-    return retrieval.items_by_tags(s.items(), TAGS, F.desc("size"), F.asc("item_id")).select("item_id", "item_name", F.col("overlap_score").cast("long").alias("overlap_score"))
+    counts = s.answers().groupBy("item_id").agg(F.count("*").alias("n"))
+    items = s.items().withColumn("places", F.array("primary_topic", "canonical_brand")).join(counts, "item_id")
+    wants = {"subtags": TAGS, "places": ["SMALL", "ECONOMY", "Brand#4"], "unused": None}
+    found = retrieval.items_by_tags(items, wants, F.desc("size"), F.asc("item_id"), min_n=20)
+    return found.select("item_id", "item_name", "n", F.col("overlap_score").cast("long").alias("overlap_score"))
 
 
 TERMS_SQL = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
@@ -334,20 +361,29 @@ def items_full_text(s: Survey) -> DataFrame:
     return retrieval.full_text(s.items(), "item_name", "red small OR blue").select("item_id", "item_name", F.col("matched_terms").cast("long").alias("matched_terms"))
 
 
-@query("verbatims_full_text", f"SELECT doc_id, category, len(list_intersect(w, ['license', 'licensed', 'mit'])) AS matched_terms FROM (SELECT *, {TERMS_SQL.format('text')} AS w FROM verbatims) WHERE (list_has_all(w, ['mit', 'license']) OR list_has_all(w, ['licensed'])) AND category = 'en' ORDER BY 3 DESC, doc_id LIMIT 50", "verbatims")
+@query("verbatims_full_text", f"SELECT doc_id, category, generation, len(list_intersect(w, ['license', 'licensed', 'mit'])) AS matched_terms FROM (SELECT *, {TERMS_SQL.format('text')} AS w FROM verbatims JOIN respondents USING (respondent_id)) WHERE (list_has_all(w, ['mit', 'license']) OR list_has_all(w, ['licensed'])) AND is_quotable AND gender = 'Female' ORDER BY 4 DESC, doc_id LIMIT 50", "respondents", "verbatims")
 def verbatims_full_text(s: Survey) -> DataFrame:
-    found = retrieval.full_text(s.verbatims(), "text", "MIT license OR licensed", F.col("category") == "en")
-    return found.select("doc_id", "category", F.col("matched_terms").cast("long").alias("matched_terms")).orderBy(F.desc("matched_terms"), "doc_id").limit(50)
+    rows = s.verbatims().join(s.respondents(), "respondent_id")
+    found = retrieval.verbatims_full_text(rows, "MIT license OR licensed", gender="Female")
+    return found.select("doc_id", "category", "generation", F.col("matched_terms").cast("long").alias("matched_terms"))
 
 
-@query("verbatims_by_tags", "SELECT doc_id, category, source FROM verbatims WHERE category IN ('en', 'de') AND source = 'src1' AND is_quotable", "verbatims")
+@query("verbatims_by_tags", f"SELECT doc_id, category, source, len(list_intersect(w, ['for', 'the', 'und'])) AS matched_terms FROM (SELECT *, {TERMS_SQL.format('text')} AS w FROM verbatims) WHERE list_has_any([category, source], ['src1', 'src2', 'de']) AND (list_has_all(w, ['for', 'the']) OR list_has_all(w, ['und'])) AND is_quotable ORDER BY 4 DESC, length(text) DESC, doc_id LIMIT 40", "verbatims")
 def verbatims_by_tags(s: Survey) -> DataFrame:
-    return s.verbatims().where(F.col("category").isin("en", "de") & (F.col("source") == "src1") & F.col("is_quotable")).select("doc_id", "category", "source")
+    rows = s.verbatims().withColumn("themes", F.array("category", "source"))
+    found = retrieval.verbatims_by_tags(rows, {"joy_modes": None, "themes": ["src1", "src2", "de"], "tensions": None}, "for the OR und", limit=40)
+    return found.select("doc_id", "category", "source", F.col("matched_terms").cast("long").alias("matched_terms"))
+
 
+@query("verbatims_unasked", "SELECT doc_id, CAST(0 AS BIGINT) AS matched_terms FROM verbatims ORDER BY length(text) DESC, doc_id LIMIT 50", "verbatims")
+def verbatims_unasked(s: Survey) -> DataFrame:
+    found = retrieval.verbatims_by_tags(s.verbatims(), {"joy_modes": None, "themes": None}, quotable=None)
+    return found.select("doc_id", F.col("matched_terms").cast("long").alias("matched_terms"))
 
-@query("fuzzy_distance", "SELECT item_id, CAST(levenshtein(item_name, 'red small thing') AS BIGINT) AS distance FROM items ORDER BY 2, 1 LIMIT 30", "items")
+
+@query("fuzzy_distance", "SELECT query, item_name, distance, nth FROM (SELECT query, item_name, CAST(levenshtein(query, item_name) AS BIGINT) AS distance, row_number() OVER (PARTITION BY query ORDER BY levenshtein(query, item_name), item_name) AS nth FROM (SELECT DISTINCT item_name AS query FROM items WHERE item_id % 100 = 0) JOIN (SELECT DISTINCT item_name FROM items) ON query <> item_name) WHERE nth <= 5", "items")
 def fuzzy_distance(s: Survey) -> DataFrame:
-    return s.items().select("item_id", F.levenshtein("item_name", F.lit("red small thing")).cast("long").alias("distance")).orderBy("distance", "item_id").limit(30)
+    return retrieval.nearest_spellings(s.items(), s.items().where("item_id % 100 = 0"), "item_name").select("query", "item_name", "distance", "nth")
 
 
 GRAMS_SQL = "list_distinct(list_transform(range(1, length('  ' || lower({0}) || ' ') - 1), lambda i: substring('  ' || lower({0}) || ' ', i, 3)))"
@@ -361,11 +397,35 @@ def fuzzy_items(s: Survey) -> DataFrame:
 VECTOR = [((k * 37) % 64 - 32) / 32 for k in range(64)]
 
 
-@query("semantic_topk", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {VECTOR}::DOUBLE[]), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {VECTOR}::DOUBLE[]) DESC, vec_id LIMIT 10")
+NEAREST_SQL = "SELECT query, {key}, similarity, nth FROM (SELECT query, {key}, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, {key}) AS nth FROM (SELECT q.{key} AS query, r.{key}, round(list_cosine_similarity(q.v, r.v), 9) AS similarity FROM (SELECT *, {vector}::DOUBLE[] AS v FROM {rows}) r, (SELECT *, {vector}::DOUBLE[] AS v FROM {rows} WHERE {key} % 100 = 0) q)) WHERE nth <= {k}"
+
+
+@query("semantic_topk", NEAREST_SQL.format(key="vec_id", vector="embedding", rows="embeddings", k=10))
 def semantic_topk(s: Survey) -> DataFrame:
+    rows = s.table("embeddings")
+    return retrieval.nearest(rows, rows.where("vec_id % 100 = 0"), "embedding", "vec_id")
+
+
+@query("semantic_one_query", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {VECTOR}::DOUBLE[]), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {VECTOR}::DOUBLE[]) DESC, vec_id LIMIT 10")
+def semantic_one_query(s: Survey) -> DataFrame:
     return retrieval.semantic_topk(s.table("embeddings"), "embedding", "vec_id", VECTOR).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("verbatims_semantic", f"WITH verbatims AS ({ROLES['verbatims']}), texts AS (SELECT v.*, embedding FROM verbatims v JOIN embeddings ON vec_id = doc_id WHERE is_quotable), asked AS (" + NEAREST_SQL.format(key="doc_id", vector="embedding", rows="texts", k=5) + ") SELECT query, asked.doc_id, category, similarity, nth FROM asked JOIN verbatims ON verbatims.doc_id = asked.doc_id")
+def verbatims_semantic(s: Survey) -> DataFrame:
+    vectors = s.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    texts = s.verbatims().where("is_quotable").join(vectors, "doc_id")
+    near = retrieval.nearest(texts, texts.where("doc_id % 100 = 0"), "embedding", "doc_id", 5)
+    return near.join(s.verbatims().select("doc_id", "category"), "doc_id").select("query", "doc_id", "category", "similarity", "nth")
+
+
+@query("laws_semantic", "WITH laws AS (SELECT n_nationkey AS law_id, embedding FROM nation JOIN embeddings ON vec_id = n_nationkey) " + NEAREST_SQL.format(key="law_id", vector="embedding", rows="laws", k=3))
+def laws_semantic(s: Survey) -> DataFrame:
+    vectors = s.table("embeddings").select(F.col("vec_id").alias("law_id"), "embedding")
+    laws = s.nations().select(F.col("n_nationkey").cast("long").alias("law_id")).join(vectors, "law_id")
+    return retrieval.nearest(laws, laws.where("law_id % 100 = 0"), "embedding", "law_id", 3)
+
+
 @query(
     "hybrid_merge",
     f"""SELECT id, round(sum(1.0::DOUBLE / (rank + 60)), 9) AS score, count(*) AS lists FROM (
@@ -393,28 +453,49 @@ def laws_by_overlap(s: Survey) -> DataFrame:
 
 @query("job_latest_state", "SELECT job_id, status, event_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS nth FROM jobs) WHERE nth = 1", "jobs")
 def job_latest_state(s: Survey) -> DataFrame:
-    last = F.max_by(F.struct("status", "event_id"), F.struct("ts", "event_id")).alias("last")
-    return s.jobs().groupBy("job_id").agg(last).select("job_id", "last.*")
+    return jobs.latest(s.jobs()).select("job_id", "status", "event_id")
 
 
-@query("watchdog", "SELECT job_id, ts, 'error' AS status FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS nth FROM jobs) WHERE nth = 1 AND status = (SELECT min(status) FROM jobs) AND ts < (SELECT max(ts) FROM jobs) - INTERVAL 90 SECONDS", "jobs")
+@query("watchdog", "SELECT job_id, ts, 'error' AS status, (SELECT min(status) FROM jobs) AS expected FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS nth FROM jobs) WHERE nth = 1 AND status = (SELECT min(status) FROM jobs) AND ts < (SELECT max(ts) FROM jobs) - INTERVAL 90 SECONDS", "jobs")
 def watchdog(s: Survey) -> DataFrame:
-    from tallyspark.plans.jobs import overdue
-
     facts = s.jobs().agg(F.max("ts").alias("now"), F.min("status").alias("waiting"))
-    return overdue(s.jobs(), facts)
+    return jobs.overdue(s.jobs(), facts)
+
+
+STATUS_SQL = "CASE status WHEN 'click' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'error' ELSE 'clarification_needed' END"
 
 
-@query("derived_stage", "SELECT stage, count(*) AS n FROM (SELECT CASE WHEN status IN ('click', 'view') THEN 'open' WHEN value > 50 THEN 'large' ELSE 'done' END AS stage FROM jobs) GROUP BY 1", "jobs")
+def status_of(event: str) -> Column:
+    """Events of the given table as statuses of jobs."""
+    e = F.col(event)
+    return F.when(e == "click", "pending").when(e == "view", "running").when(e == "purchase", "complete").when(e == "error", "error").otherwise("clarification_needed")
+
+
+@query("derived_stage", f"SELECT CASE s WHEN 'pending' THEN 'queued' WHEN 'running' THEN CASE WHEN triaged THEN 'investigation' ELSE 'triage' END ELSE s END AS stage, count(*) AS n FROM (SELECT {STATUS_SQL} AS s, value > 50 AS triaged FROM jobs) GROUP BY 1", "jobs")
 def derived_stage(s: Survey) -> DataFrame:
-    stage = F.when(F.col("status").isin("click", "view"), "open").when(F.col("value") > 50, "large").otherwise("done")
-    return s.jobs().groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
+    return s.jobs().groupBy(jobs.stage(status_of("status"), F.col("value") > 50).alias("stage")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "job_transitions",
+    f"""WITH RECURSIVE jobs AS (SELECT user_id AS job_id, event_type AS status, ts, event_id FROM events),
+    log AS (SELECT job_id, event_id, s AS status, CASE WHEN s = 'pending' THEN NULL WHEN s = 'running' OR event_id % 3 = 0 THEN 'pending' ELSE 'running' END AS expected, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS nth FROM (SELECT *, {STATUS_SQL} AS s FROM jobs)),
+    walk AS (SELECT DISTINCT job_id, 0::BIGINT AS nth, NULL::BIGINT AS event_id, NULL::VARCHAR AS state, false AS took FROM log
+      UNION ALL SELECT l.job_id, l.nth, l.event_id, CASE WHEN ok THEN l.status ELSE state END, ok FROM (
+        SELECT l.*, w.state, coalesce((w.state IS NULL AND l.status = 'pending' AND l.expected IS NULL) OR (w.state = l.expected AND w.state IN ('pending', 'running') AND l.status <> 'pending' AND NOT (w.state = 'running' AND l.status = 'running')), false) AS ok
+        FROM walk w JOIN log l ON l.job_id = w.job_id AND l.nth = w.nth + 1) l)
+    SELECT job_id, event_id, state AS status FROM walk WHERE took""",
+)
+def job_transitions(s: Survey) -> DataFrame:
+    status = status_of("status")
+    expected = F.when(status == "pending", F.lit(None).cast("string")).when((status == "running") | (F.col("event_id") % 3 == 0), "pending").otherwise("running")
+    return jobs.effective(s.jobs().select("job_id", "ts", "event_id", status.alias("status"), expected.alias("expected"))).select("job_id", "event_id", "status")
 
 
-@query("conversation_window", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth FROM conversations) WHERE nth <= 20")
+@query("conversation_window", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS nth FROM conversations) WHERE nth <= 20")
 def conversation_window(s: Survey) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return s.table("conversations").select("conv_id", "turn", "role", nth.alias("nth")).where("nth <= 20").drop("nth")
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
+    return s.table("conversations").select("conv_id", "turn", "role", "text", nth.alias("nth")).where("nth <= 20").drop("nth")
 
 
 @query("rank_per_group", "SELECT primary_topic, item_id, size, nth FROM (SELECT primary_topic, item_id, size, row_number() OVER (PARTITION BY primary_topic ORDER BY size DESC, item_id) AS nth FROM items) WHERE nth <= 3", "items")
@@ -423,10 +504,18 @@ def rank_per_group(s: Survey) -> DataFrame:
     return s.items().select("primary_topic", "item_id", "size", nth.alias("nth")).where("nth <= 3")
 
 
-@query("intent_keywords", "SELECT category, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(?i)(email|mail)') THEN 'outreach' WHEN regexp_matches(text, '(?i)(license|rights)') THEN 'legal' ELSE 'data_pull' END AS category FROM verbatims) GROUP BY 1", "verbatims")
+# Words by which a question is about a new brand, and the kinds of query that are.
+NEW_BRAND = r"\b(what do we know about|tell me about|we('re| are) pursuing|pursuing|pitch|prospect|outreach)\b"
+NEW_BRAND_TYPES = ("brand_lookup", "outreach_angle", "outreach_draft", "audience_dive")
+ASKED_SQL = "CASE item_id % 8 WHEN 0 THEN 'What do we know about ' WHEN 1 THEN 'Tell me about ' WHEN 2 THEN 'We''re pursuing ' WHEN 3 THEN 'A pitchfork of ' WHEN 4 THEN 'Pitch for ' WHEN 5 THEN 'prospects of ' WHEN 6 THEN 'our OUTREACH to ' ELSE 'how is ' END || item_name"
+
+
+@query("intent_keywords", f"SELECT item_id, query_type IN ('brand_lookup', 'outreach_angle', 'outreach_draft', 'audience_dive') OR regexp_matches(lower(asked), '{NEW_BRAND.replace(chr(39), chr(39) * 2)}') AS new_brand FROM (SELECT item_id, {ASKED_SQL} AS asked, CASE size % 5 WHEN 0 THEN 'audience_dive' WHEN 1 THEN 'email_findings' ELSE 'data_pull' END AS query_type FROM items)", "items")
 def intent_keywords(s: Survey) -> DataFrame:
-    kind = F.when(F.col("text").rlike("(?i)(email|mail)"), "outreach").when(F.col("text").rlike("(?i)(license|rights)"), "legal").otherwise("data_pull")
-    return s.verbatims().groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+    starts = retrieval.strings("What do we know about ", "Tell me about ", "We're pursuing ", "A pitchfork of ", "Pitch for ", "prospects of ", "our OUTREACH to ", "how is ")
+    asked = F.concat(F.get(starts, (F.col("item_id") % 8).cast("int")), F.col("item_name"))
+    kind = F.when(F.col("size") % 5 == 0, "audience_dive").when(F.col("size") % 5 == 1, "email_findings").otherwise("data_pull")
+    return s.items().select("item_id", (kind.isin(*NEW_BRAND_TYPES) | F.lower(asked).rlike(NEW_BRAND)).alias("new_brand"))
 
 
 # ingestion ----------------------------------------------------------------------------
@@ -449,75 +538,141 @@ def income_rollup(s: Survey) -> DataFrame:
     return s.items().groupBy(A.income_band(bracket).alias("band"), bracket.alias("bracket")).agg(F.count("*").alias("n"))
 
 
-@query("parse_response", "SELECT kind, sum(CASE WHEN kind LIKE 'joy%' OR kind = 'importance_scale_0_to_5' THEN v END)::BIGINT AS total, sum(CASE WHEN kind LIKE 'joy%' THEN v * 20 END)::BIGINT AS joy, count(*) FILTER (WHERE kind = 'select_all') AS selected FROM (SELECT CASE question_id % 4 WHEN 0 THEN 'joy_scale' WHEN 1 THEN 'joy_scale_0_to_5' WHEN 2 THEN 'importance_scale_0_to_5' ELSE 'select_all' END AS kind, CASE WHEN question_id % 4 IN (1, 2) AND numeric_value < 0 THEN NULL ELSE numeric_value END AS v FROM responses) GROUP BY 1", "responses")
+PARSED_SQL = """SELECT *, CASE k WHEN 0 THEN 'joy_scale' WHEN 1 THEN 'joy_scale_0_to_5' WHEN 2 THEN 'importance_scale_0_to_5' WHEN 3 THEN 'select_all' WHEN 4 THEN 'momentum' ELSE 'joy_scale_4_point' END AS kind,
+    CASE k WHEN 4 THEN CASE (numeric_value + 9) % 6 WHEN 0 THEN 'A bit more than usual' WHEN 1 THEN 'Somewhat less' WHEN 2 THEN 'About the same' WHEN 3 THEN 'more or less the same' WHEN 4 THEN 'More or less' ELSE 'no idea' END
+      WHEN 5 THEN CASE (numeric_value + 9) % 6 WHEN 0 THEN 'Very much so' WHEN 1 THEN 'Somewhat' WHEN 2 THEN 'Not really' WHEN 3 THEN 'Not at all' WHEN 4 THEN 'One of my favorites!' ELSE '2' END
+      ELSE ' ' || (numeric_value + 2) || ' = some label' END AS raw FROM (SELECT *, (question_id + item_id) % 6 AS k FROM answers)"""
+
+
+@query(
+    "parse_response",
+    f"""SELECT kind, raw, CAST(count(*) AS BIGINT) AS n, CAST(any_value(v) AS DOUBLE) AS numeric_value, CAST(any_value(CASE WHEN kind LIKE 'joy%' THEN v * 20 END) AS DOUBLE) AS joy_index, any_value(CASE WHEN kind = 'select_all' THEN true END) AS is_selected
+    FROM (SELECT kind, raw, CASE raw WHEN 'A bit more than usual' THEN 1 WHEN 'Somewhat less' THEN -1 WHEN 'About the same' THEN 0 WHEN 'more or less the same' THEN 0 WHEN 'Very much so' THEN 3 WHEN 'Somewhat' THEN 2 WHEN 'Not really' THEN 1 WHEN 'Not at all' THEN 1 WHEN '2' THEN 2
+      ELSE CASE WHEN k < 3 THEN numeric_value + 2 END END AS v FROM ({PARSED_SQL})) GROUP BY 1, 2""",
+    "answers",
+)
 def parse_response(s: Survey) -> DataFrame:
-    k = F.col("question_id") % 4
-    kind = F.when(k == 0, "joy_scale").when(k == 1, "joy_scale_0_to_5").when(k == 2, "importance_scale_0_to_5").otherwise("select_all")
-    raw = F.concat(F.lit(" "), F.col("numeric_value").cast("string"), F.lit(" = some label"))
-    rows = s.responses().select(kind.alias("kind"), A.parse_answer(raw, kind).alias("a"))
-    return rows.groupBy("kind").agg(F.sum("a.numeric_value").cast("long").alias("total"), F.sum("a.joy_index").cast("long").alias("joy"), F.count_if("a.is_selected").alias("selected"))
+    k = ((F.col("question_id") + F.col("item_id")) % 6).cast("int")
+    kind = F.get(retrieval.strings("joy_scale", "joy_scale_0_to_5", "importance_scale_0_to_5", "select_all", "momentum", "joy_scale_4_point"), k)
+    which = ((F.col("numeric_value") + 9) % 6).cast("int")
+    momentum = F.get(retrieval.strings("A bit more than usual", "Somewhat less", "About the same", "more or less the same", "More or less", "no idea"), which)
+    worded = F.get(retrieval.strings("Very much so", "Somewhat", "Not really", "Not at all", "One of my favorites!", "2"), which)
+    raw = F.when(k == 4, momentum).when(k == 5, worded).otherwise(F.concat(F.lit(" "), (F.col("numeric_value") + 2).cast("string"), F.lit(" = some label")))
+    rows = s.answers().select(kind.alias("kind"), raw.alias("raw"))
+    parsed = rows.groupBy("kind", "raw").agg(F.count("*").alias("n")).withColumn("a", A.parse_answer(F.col("raw"), F.col("kind")))
+    return parsed.select("kind", "raw", "n", F.col("a.numeric_value").cast("double").alias("numeric_value"), F.col("a.joy_index").cast("double").alias("joy_index"), "a.is_selected")
 
 
 @query("wide_unpivot", "SELECT field, count(*) AS n, count(DISTINCT cell) AS kinds FROM (UNPIVOT (SELECT o_orderkey, o_orderstatus, o_orderpriority, CAST(CAST(o_totalprice AS BIGINT) % 7 AS VARCHAR) AS price FROM orders) ON o_orderstatus, o_orderpriority, price INTO NAME field VALUE cell) GROUP BY 1")
 def wide_unpivot(s: Survey) -> DataFrame:
-    from tallyspark.operators.ingest import cells
-
     price = F.pmod(F.rint("o_totalprice").cast("long"), F.lit(7)).cast("string").alias("price")
     wide = s.table("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", price)
-    return cells(wide, "o_orderkey", ["o_orderstatus", "o_orderpriority", "price"]).groupBy("field").agg(F.count("*").alias("n"), F.count_distinct("cell").alias("kinds"))
+    return ingest.cells(wide, "o_orderkey", ["o_orderstatus", "o_orderpriority", "price"]).groupBy("field").agg(F.count("*").alias("n"), F.count_distinct("cell").alias("kinds"))
 
 
 @query("screener_usage", "SELECT respondent_id, category, usage_level FROM (SELECT respondent_id, 'topic' || question_id AS category, CASE raw_value WHEN 'A' THEN 'Heavy' WHEN 'R' THEN 'Light' END AS usage_level, row_number() OVER (PARTITION BY respondent_id, question_id ORDER BY CASE raw_value WHEN 'A' THEN 1 ELSE 2 END) AS nth FROM responses WHERE raw_value IN ('A', 'R') AND question_id <= 2) WHERE nth = 1", "responses")
 def screener_usage(s: Survey) -> DataFrame:
-    from tallyspark.operators.ingest import usage_of
-
     rules = s.spark.createDataFrame([(q, v, f"topic{q}", level, k) for q in (1, 2) for v, level, k in (("A", "Heavy", 1), ("R", "Light", 2))], "question_id int, raw_value string, category string, usage_level string, strength int")
-    return usage_of(s.responses(), rules)
+    return ingest.usage_of(s.responses(), rules)
 
 
 @query("catalogue_ids", "SELECT 5000 + row_number() OVER (ORDER BY canonical_brand, primary_topic) AS item_id, coalesce(nullif(canonical_brand, 'Brand#11'), '(single-item) ' || substring(primary_topic, 1, 80)) AS item_name FROM (SELECT DISTINCT canonical_brand, primary_topic FROM items)", "items")
 def catalogue_ids(s: Survey) -> DataFrame:
-    from tallyspark.operators.ingest import placeholder_name
-
     pairs = s.items().select("canonical_brand", "primary_topic").distinct()
-    ids = F.row_number().over(Window.orderBy("canonical_brand", "primary_topic"))
-    return pairs.select((F.lit(5000) + ids).cast("long").alias("item_id"), placeholder_name(F.nullif("canonical_brand", F.lit("Brand#11")), F.col("primary_topic")).alias("item_name"))
+    numbered = ingest.numbered(pairs, "canonical_brand", "primary_topic", after=5000, column="item_id")
+    return numbered.select(F.col("item_id").cast("long").alias("item_id"), ingest.placeholder_name(F.nullif("canonical_brand", F.lit("Brand#11")), F.col("primary_topic")).alias("item_name"))
 
 
-@query("corpus_lines", "SELECT item_name, round(joy / n, 1) AS joy_index, n FROM (SELECT item_name, CAST(sum(size) AS DOUBLE) AS joy, count(*) AS n FROM items GROUP BY 1)", "items")
+@query("corpus_lines", "SELECT item_name, round(total / n, 1) AS joy_index, 12.5::DOUBLE AS pct_max, CASE WHEN n % 2 = 0 THEN round(100.0 * low / n, 1)::DOUBLE END AS pct_neg, n * 1000 AS n FROM (SELECT item_name, CAST(sum(size) AS DOUBLE) AS total, count(*) AS n, count(*) FILTER (WHERE size < 10) AS low FROM items GROUP BY 1)", "items")
 def corpus_lines(s: Survey) -> DataFrame:
-    from tallyspark.sources.files import parse_corpus_line
+    groups = s.items().groupBy("item_name").agg(F.sum("size").alias("total"), F.count("*").alias("n"), F.count_if(F.col("size") < 10).alias("low"))
+    negative = F.when(F.col("n") % 2 == 0, F.concat(F.round(100 * F.col("low") / F.col("n"), 1).cast("string"), F.lit("%neg "))).otherwise("")
+    line = F.concat("item_name", F.lit(": JI="), F.round(F.col("total") / F.col("n"), 1).cast("string"), F.lit("(12.5%max, "), negative, F.lit("n="), F.format_number(F.col("n") * 1000, 0), F.lit(")"))
+    return groups.select(parse_corpus_line(line).alias("p")).select("p.*")
+
+
+# A library as large as the table of items, which has all kinds of cases, in contexts of all shapes.
+CONTEXTS = {
+    "performance": (["red", "small thing", "Bolt"], "ECONOMY", True, True),
+    "brand": (["blue", "gear box"], "SMALL", True, False),
+    "mixed": (["hot"], None, False, True),
+}
+LIBRARY_SQL = """SELECT item_id AS position, canonical_brand AS client, list_transform(subtags, lambda t: t || '_' || (size % 3)) || subtags AS tags, CASE WHEN size % 7 <> 0 THEN 'for the ' || primary_topic || ' trade' END AS narrative,
+    CASE size % 3 WHEN 0 THEN 'insight' WHEN 1 THEN 'process' END AS parallel, CASE size % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'brand_new' WHEN 2 THEN 'past' END AS timing, CASE WHEN size % 5 = 0 THEN 'descriptive_only' ELSE 'quantitative' END AS results FROM items"""
+
+
+def _context_sql(shape: str, words: list[str], category: str | None, current: bool, figures: bool) -> str:
+    low = "[" + ", ".join(f"'{w.lower()}'" for w in words) + "]"
+    parts = [f"2 * CAST(list_sum(list_transform(tags, lambda t: len(list_filter({low}, lambda k: contains(replace(lower(t), '_', ' '), k) OR contains(k, replace(lower(t), '_', ' ')))))) AS BIGINT)"]
+    if category:
+        parts.append(f"CASE WHEN contains(lower(narrative), '{category.lower()}') THEN 5 ELSE 0 END")
+    if shape == "performance":
+        parts.append("CASE parallel WHEN 'process' THEN 10 WHEN 'insight' THEN -10 ELSE 0 END")
+    if shape == "brand":
+        parts.append("CASE parallel WHEN 'insight' THEN 3 WHEN 'process' THEN -20 ELSE 0 END")
+    if current:
+        parts.append("CASE WHEN timing IN ('current', 'brand_new') THEN 4 ELSE 0 END")
+    if figures:
+        parts.append("CASE WHEN results = 'descriptive_only' THEN -15 ELSE 0 END")
+    return f"SELECT '{shape}' AS shape, position, client, CAST({' + '.join(parts)} AS BIGINT) AS score FROM library"
+
+
+CASES_SQL = " UNION ALL ".join(_context_sql(shape, *context) for shape, context in CONTEXTS.items())
+
+
+def case_library(s: Survey) -> DataFrame:
+    size = F.col("size")
+    return s.items().select(
+        F.col("item_id").alias("position"), F.col("canonical_brand").alias("client"),
+        F.concat(F.transform("subtags", lambda t: F.concat(t, F.lit("_"), (size % 3).cast("string"))), "subtags").alias("use_for_tags"),
+        F.when(size % 7 != 0, F.concat(F.lit("for the "), "primary_topic", F.lit(" trade"))).alias("use_for_narrative"),
+        F.when(size % 3 == 0, "insight").when(size % 3 == 1, "process").alias("parallel_type"),
+        F.when(size % 4 == 0, "current").when(size % 4 == 1, "brand_new").when(size % 4 == 2, "past").alias("timing_frame"),
+        F.when(size % 5 == 0, "descriptive_only").otherwise("quantitative").alias("results_type"),
+    )
 
-    cells = s.items().groupBy("item_name").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
-    line = F.concat("item_name", F.lit(": JI="), F.round(F.col("total") / F.col("n"), 1).cast("string"), F.lit("(12.5%max, n="), F.format_number("n", 0), F.lit(")"))
-    return cells.select(parse_corpus_line(line).alias("p")).select("p.item_name", "p.joy_index", "p.n")
 
+@query("case_study_scores", f"WITH items AS ({ROLES['items']}), library AS ({LIBRARY_SQL}) SELECT shape, score, count(*) AS n FROM ({CASES_SQL}) GROUP BY 1, 2")
+def case_study_scores(s: Survey) -> DataFrame:
+    out = None
+    for shape, (words, category, current, figures) in CONTEXTS.items():
+        one = ranking.case_scores(case_library(s), words, shape, category, current, figures).select(F.lit(shape).alias("shape"), "score")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("shape", "score").agg(F.count("*").alias("n"))
 
-CASES = [
-    (1, "alpha", "growth", ["sales_growth", "brand_love"], "grew sales in snacks", "insight", "current", "quantitative"),
-    (2, "beta", "love", ["brand_love"], "love for snacks", "process", "past", "descriptive_only"),
-    (3, "gamma", "launch", ["launch", "market_share"], "launch of a drink", "process", "current", "quantitative"),
-    (4, "delta", "quiet", [], None, None, None, None),
-]
+
+@query("case_study_rank", f"WITH items AS ({ROLES['items']}), library AS ({LIBRARY_SQL}) SELECT shape, position, client, score FROM (SELECT *, row_number() OVER (PARTITION BY shape ORDER BY score DESC, position) AS nth FROM ({CASES_SQL})) WHERE nth <= 3")
+def case_study_rank(s: Survey) -> DataFrame:
+    out = None
+    for shape, (words, category, current, figures) in CONTEXTS.items():
+        scored = ranking.case_scores(case_library(s), words, shape, category, current, figures)
+        one = ranking.best_cases(scored, 3).select(F.lit(shape).alias("shape"), "position", "client", "score")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-CASES_SQL = ", ".join("({}, '{}', {}, {}, {}, {}, {})".format(p, c, "[" + ", ".join(f"'{t}'" for t in tags) + "]::VARCHAR[]", *[f"'{x}'" if x else "NULL" for x in (narrative, parallel, timing, results)]) for p, c, _, tags, narrative, parallel, timing, results in CASES)
+# Words of the four lists, some of which hold others, put together so that all branches are met.
+SAID = ["ROAS", "CAC and attribution", "a booking cost", "performance marketing", "conversion of a black family", "cost per click", "repositioning", "Brand refresh for Gen Z", "identity", "perception", "heritage and luxury", "nothing", "tourism category", "rebrand", "escape", "wonder"]
+PERFORMANCE_SQL = "['roas', 'cac', 'attribution', 'booking cost', 'performance marketing', 'conversion', 'cost per', 'media efficiency', 'media waste', 'measurement', 'ceo pressure on revenue', 'revenue pressure', 'budget cut', 'flat budget', 'fragmented media', 'multi-location', 'portfolio', 'multi-property']"
+BRAND_SQL = "['positioning', 'repositioning', 'brand refresh', 'identity', 'platform', 'differentiation', 'category', 'audience shift', 'rebrand', 'tagline', 'creative', 'emotional territory', 'perception', 'resonance']"
+AUDIENCE_SQL = "['multicultural', 'diverse audience', 'black', 'latino', 'gen z', 'millennial', 'boomer', 'family', 'parents', 'wellness', 'luxury', 'heritage', 'performance marketing', 'destination', 'tourism', 'cvb', 'hospitality']"
+JOY_SQL = "['escape', 'discovery', 'reconnection', 'reset', 'anticipation', 'playful', 'tranquil', 'relational', 'aspirational', 'wonder', 'belonging']"
+SAID_SQL = "[" + ", ".join(f"'{x}'" for x in SAID) + "]"
 
 
 @query(
-    "case_study_rank",
-    f"""SELECT CAST(position AS BIGINT) AS position, client, CAST(
-    2 * list_sum(list_concat([0], list_transform(tags, lambda t: len(list_filter(['sales', 'market share'], lambda k: contains(replace(t, '_', ' '), k) OR contains(k, replace(t, '_', ' '))))))) +
-    CASE WHEN contains(lower(narrative), 'snacks') THEN 5 ELSE 0 END + CASE parallel WHEN 'process' THEN 10 WHEN 'insight' THEN -20 ELSE 0 END +
-    CASE WHEN timing = 'current' THEN 4 ELSE 0 END - CASE WHEN results = 'descriptive_only' THEN 15 ELSE 0 END AS BIGINT) AS score
-    FROM (VALUES {CASES_SQL}) AS t(position, client, tags, narrative, parallel, timing, results) ORDER BY score DESC, position LIMIT 3""",
-)
-def case_study_rank(s: Survey) -> DataFrame:
-    library = s.spark.createDataFrame(CASES, "position long, client string, campaign string, use_for_tags array<string>, use_for_narrative string, parallel_type string, timing_frame string, results_type string")
-    scored = ranking.case_scores(library, ["sales", "market share"], category="snacks", wants="process", needs_numbers=True)
-    return ranking.best_cases(scored, 3).select("position", "client", "score")
+    "context_kind",
+    f"""SELECT item_id, CASE WHEN len(p) >= 2 THEN 'performance' WHEN len(p) = 1 THEN 'mixed' ELSE 'brand' END AS shape, array_to_string(p || list_filter({BRAND_SQL}, lambda w: contains(t, w)) || list_filter({JOY_SQL}, lambda w: contains(j, w)), ',') AS pain_keywords,
+    array_to_string(list_filter({AUDIENCE_SQL}, lambda w: contains(t, w)), ',') AS audience_hints FROM (SELECT *, list_filter({PERFORMANCE_SQL}, lambda w: contains(t, w)) AS p FROM
+    (SELECT item_id, lower({SAID_SQL}[1 + size % 16] || ', ' || {SAID_SQL}[1 + item_id % 16] || ' ' || item_name) AS t, lower({SAID_SQL}[1 + (size + item_id) % 16]) AS j FROM items))""",
+    "items",
+)
+def context_kind(s: Survey) -> DataFrame:
+    said = retrieval.strings(*SAID)
+    pick = lambda n: F.get(said, (n % 16).cast("int"))
+    text = F.concat(pick(F.col("size")), F.lit(", "), pick(F.col("item_id")), F.lit(" "), F.col("item_name"))
+    context = ranking.context_of(text, pick(F.col("size") + F.col("item_id")))
+    return s.items().select("item_id", context.alias("c")).select("item_id", "c.shape", F.array_join("c.pain_keywords", ",").alias("pain_keywords"), F.array_join("c.audience_hints", ",").alias("audience_hints"))
 
 
-@query("context_kind", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN hits >= 2 THEN 'performance' WHEN hits = 1 THEN 'mixed' ELSE 'brand' END AS kind FROM (SELECT len(list_filter(['sales', 'revenue', 'growth', 'conversion', 'roi', 'performance', 'market share'], lambda w: contains(lower(text), w))) AS hits FROM verbatims)) GROUP BY 1", "verbatims")
-def context_kind(s: Survey) -> DataFrame:
-    return s.verbatims().groupBy(ranking.context_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+from tallyspark.plans import control, ingestion  # noqa: E402, F401  (they register theirs)

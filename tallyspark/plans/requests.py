@@ -1,4 +1,4 @@
-"""Requests to the query service: their shape, defaults and texts. Plain Python: one request at a time."""
+"""Requests to the query service: their shapes, defaults and texts. Plain Python: one request at a time."""
 
 from __future__ import annotations
 
@@ -6,29 +6,37 @@ import json
 import re
 from dataclasses import dataclass, field
 
-INTENTS = ("data_pull", "outreach", "meeting_prep", "trend", "comparison")
+# The kinds of query, and what the second shape carries along.
+QUERY_TYPES = ("brand_lookup", "audience_dive", "outreach_angle", "data_pull", "email_findings")
+DEFAULT_TYPE = "data_pull"
+HINTS = ("intentHint", "intent_hint", "intent")
+CARRIED = ("strategistContext", "waldoContext", "debug", "intentHint", "intent", "mode")
 
 
 @dataclass
 class Request:
     prompt: str
-    intent: str = "data_pull"
-    history: list[dict] = field(default_factory=list)
-    context: str = ""
+    query_type: str = DEFAULT_TYPE
+    extra_context: dict = field(default_factory=dict)
+    prior_conversation_context: object = None
+
+
+def known_type(name: object) -> str:
+    return name if name in QUERY_TYPES else DEFAULT_TYPE
 
 
 def normalised(body: dict) -> Request:
-    """A request from either shape: a prompt, or messages of which the last of the user is the prompt."""
-    if "messages" in body:
-        messages = [m for m in body["messages"] if isinstance(m, dict)]
-        last = max((i for i, m in enumerate(messages) if m.get("role") == "user"), default=None)
-        prompt, history = (messages[last].get("content", ""), messages[:last]) if last is not None else ("", messages)
-    else:
-        prompt, history = body.get("prompt", ""), body.get("history") or []
-    if not str(prompt).strip():
-        raise ValueError("a request needs a prompt")
-    intent = body.get("intent")
-    return Request(str(prompt).strip(), intent if intent in INTENTS else "data_pull", list(history)[-20:], str(body.get("context") or ""))
+    """A request from either shape: ``prompt`` with ``query_type``, or ``query`` with an intent under
+    one of three names. Unknown kinds are data pulls; a body of neither shape is refused."""
+    prior = body.get("prior_conversation_context") or body.get("priorConversationContext")
+    text = lambda name: body.get(name) if isinstance(body.get(name), str) and body.get(name) else None
+    if (prompt := text("prompt")) is not None:
+        return Request(prompt, known_type(body.get("query_type")), {}, prior)
+    if (query := text("query")) is not None:
+        hint = next((body[h] for h in HINTS if body.get(h)), None)
+        extra = {name: bool(body[name]) if name == "debug" else body[name] for name in CARRIED if body.get(name)}
+        return Request(query, known_type(hint), extra, prior)
+    raise ValueError("a request needs a prompt or a query")
 
 
 def segment_text(generation: str | None = None, gender: str | None = None, income: str | None = None) -> str:

@@ -3,7 +3,7 @@ nullable columns; readers with ``mergeSchema`` see null there in older files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,3 +53,12 @@ def checked(frame: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFram
     value: Column = F.col(column)
     bad = value.isNotNull() & ~value.isin(*allowed)
     return frame.withColumn(column, F.when(bad, F.raise_error(F.concat(F.lit(f"{column} not allowed: "), value)).cast("string")).otherwise(value))
+
+
+def read_all_versions(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table whose files are of several versions: columns that a file does not have are null.
+    With a schema also those that no file has."""
+    found = spark.read.option("mergeSchema", True).parquet(path)
+    if schema is None:
+        return found
+    return found.select(*[F.col(f.name).cast(f.dataType) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +19,65 @@ def sheet(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_c0").cast("long").alias("ordinal"), *[F.col(f"_c{i}").alias(f"c{i - 1}") for i in range(1, len(raw.columns))])
 
 
+def land_sheet(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Lands a CSV sheet without header as strings c0, c1, ... with an ordinal in the order of its rows.
+    The ordinal is given once, when the sheet is written; all phases read the landed rows, so they agree.
+    A quoted cell may span lines, so a file is read by one task from its start."""
+    raw = spark.read.csv(path, header=False, inferSchema=False, quote='"', escape='"', multiLine=True)
+    named = raw.select(F.monotonically_increasing_id().alias("ordinal"), *[F.col(f"_c{i}").alias(f"c{i}") for i in range(len(raw.columns))])
+    named.write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
+def workbook(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the first sheet of each Excel workbook of a path: (path, ordinal, cells), cells as
+    strings with null where blank. Rows of blanks only are left out. A workbook is read as a whole by one task."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for where, content in zip(part["path"], part["content"]):
+                rows = [(n, cells) for n, cells in enumerate(_first_sheet(content)) if any(c and c.strip() for c in cells)]
+                yield pd.DataFrame({"path": where, "ordinal": [n for n, _ in rows], "cells": [cells for _, cells in rows]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, ordinal long, cells array<string>")
+
+
+def _first_sheet(content: bytes) -> list[list[str | None]]:
+    """Cells of a workbook's first sheet, row by row."""
+    local = lambda e: e.tag.rpartition("}")[2]
+    texts_of = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = book.namelist()
+        shared = [texts_of(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        rows = [e for e in ElementTree.fromstring(book.read(first)).iter() if local(e) == "row"]
+    out = []
+    for row in rows:
+        cells: list[str | None] = []
+        for cell in row:
+            letters = re.match("[A-Z]*", cell.get("r", ""))[0]
+            at = -1
+            for letter in letters:
+                at = (at + 1) * 26 + ord(letter) - 65
+            at = at if letters else len(cells)
+            cells += [None] * (at + 1 - len(cells))
+            value = next((v.text for v in cell if local(v) == "v"), None)
+            kind = cell.get("t")
+            cells[at] = shared[int(value)] if kind == "s" and value is not None else texts_of(cell) if kind == "inlineStr" else value
+        out.append(cells)
+    return out
+
+
+def workbook_contacts(spark: SparkSession, path: str) -> DataFrame:
+    """A contact list as a workbook whose first row that isn't blank is the header, as ``read_contacts`` gives it."""
+    rows = workbook(spark, path)
+    head = rows.orderBy("ordinal").select("ordinal", "cells").first()
+    if head is None:
+        raise ValueError(f"no rows in {path}")
+    names = [(i, h.strip()) for i, h in enumerate(head["cells"]) if h and h.strip()]
+    return rows.where(F.col("ordinal") > head["ordinal"]).select(*[F.get("cells", F.lit(i)).alias(h) for i, h in names])
+
+
 def json_map(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     """An object of an object or scalar for each key, as rows (key, value); a missing file is an error."""
     text = spark.read.text(path, wholetext=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,8 +19,15 @@ def keyword_tagger(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"primary_topic": low.str.contains("joy|love").map({True: "joy", False: "general"}), "confidence": low.str.len().clip(upper=100) / 100.0})
 
 
-def tagged(rows: DataFrame, key: str, text: str, tagger: Tagger = keyword_tagger, size: int = 40) -> DataFrame:
-    """(key, primary_topic, confidence, error): batches of a tagger by key; a batch that fails becomes rows with its error."""
+def failure(error: Exception) -> str:
+    """Why a batch failed: ``rate_limit`` for an answer 429, which is worth another run, else ``failed``."""
+    return "rate_limit" if getattr(error, "status", getattr(error, "status_code", None)) == 429 or re.search(r"\b429\b", str(error)) else "failed"
+
+
+def tagged(rows: DataFrame, key: str, text: str, tagger: Tagger = keyword_tagger, size: int = 40, parent: str | None = None) -> DataFrame:
+    """(key, primary_topic, confidence, error, error_kind): batches of a tagger by key. A batch that
+    fails becomes rows with its error and the topic of their parent column, if one is given."""
+    columns = [key, text, *([parent] if parent and parent not in (key, text) else [])]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -27,12 +35,13 @@ def tagged(rows: DataFrame, key: str, text: str, tagger: Tagger = keyword_tagger
                 some = part.iloc[at : at + size]
                 try:
                     out = tagger(some[text])
-                    yield pd.DataFrame({key: some[key].to_numpy(), "primary_topic": out["primary_topic"].to_numpy(), "confidence": out["confidence"].to_numpy(), "error": None})
+                    yield pd.DataFrame({key: some[key].to_numpy(), "primary_topic": out["primary_topic"].to_numpy(), "confidence": out["confidence"].to_numpy(), "error": None, "error_kind": None})
                 except Exception as e:  # a tagger is foreign code: its failure is a result
-                    yield pd.DataFrame({key: some[key].to_numpy(), "primary_topic": "general", "confidence": 0.0, "error": str(e)})
+                    topic = some[parent].to_numpy() if parent else "general"
+                    yield pd.DataFrame({key: some[key].to_numpy(), "primary_topic": topic, "confidence": 0.0, "error": str(e), "error_kind": failure(e)})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, primary_topic string, confidence double, error string")
+    return rows.select(*columns).mapInPandas(run, f"{key} {kind}, primary_topic string, confidence double, error string, error_kind string")
 
 
 def drain(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, key: str, text: str, tagger: Tagger = keyword_tagger) -> StreamingQuery:

@@ -37,7 +37,16 @@ def test_texts(spark, function, cases):
         ("joy_scale_0_to_5", "5 = Maximum Joy", (5, 100, None)),
         ("joy_scale_0_to_5", "0 = No joy at all", (0, 0, None)),
         ("joy_scale", "-3", (-3, -60, None)),
-        ("joy_scale", "9", (None, None, None)),
+        ("joy_scale", "9", (9, 180, None)),
+        ("joy_scale_0_to_5", "7", (7, 140, None)),
+        ("joy_scale_3_point", "Very much so", (3, 60, None)),
+        ("joy_scale_3_point", " somewhat ", (2, 40, None)),
+        ("joy_scale_4_point", "Not at all", (1, 20, None)),
+        ("joy_scale_4_point", "One of my favorites!", (None, None, None)),
+        ("momentum", "A bit more than usual", (1, None, None)),
+        ("momentum", "Somewhat less", (-1, None, None)),
+        ("momentum", "more or less the same", (0, None, None)),
+        ("momentum", "About the same", (0, None, None)),
         ("joy_scale_3_point", "2", (2, 40, None)),
         ("importance_scale_0_to_5", "  4", (4, None, None)),
         ("momentum", "More than before", (1, None, None)),

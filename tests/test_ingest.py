@@ -1,8 +1,12 @@
 """The wave ingestion end to end on an invented sheet."""
 
+import os
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark import schema
 from tallyspark.operators import ingest
 from tallyspark.sources import files
 
@@ -48,6 +52,39 @@ def test_wave(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "facts")).count() == 4
 
 
+def test_guarded_load(spark, tmp_path):
+    rows, table = spark.range(5, 8).select(F.col("id").alias("item_id")), spark.range(5).select(F.col("id").alias("item_id"))
+    path = str(tmp_path / "part")
+    for last, count in ((9, 3), (4, 2)):
+        with pytest.raises(ValueError):
+            ingest.guarded_load(rows, path, table, last, count)
+        assert not os.path.exists(path)
+    ingest.guarded_load(rows, path, table, 4, 3)
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(ValueError):
+        ingest.guarded_load(rows, path, table, 4, 3)
+
+
+def test_versions_and_landing(spark, tmp_path):
+    spark.range(2).write.parquet(str(tmp_path / "t/v=1"))
+    spark.range(2).selectExpr("id", "'x' AS short_label").write.parquet(str(tmp_path / "t/v=2"))
+    rows = schema.read_all_versions(spark, str(tmp_path / "t"))
+    assert rows.where("short_label is null").count() == 2
+    (tmp_path / "s.csv").write_text('id,"a ""q"""\n1,"two\nlines"\n2,\n')
+    landed = files.land_sheet(spark, str(tmp_path / "s.csv"), str(tmp_path / "landed"))
+    assert [(r.c0, r.c1) for r in landed.orderBy("ordinal").collect()] == [("id", 'a "q"'), ("1", "two\nlines"), ("2", None)]
+
+
+def test_workbook(spark, tmp_path):
+    cell = lambda at, text: f'<c r="{at}" t="inlineStr"><is><t>{text}</t></is></c>'
+    rows = [f'<row r="1">{cell("A1", "Full Name")}{cell("C1", "Company")}</row>', '<row r="2"><c r="A2"/></row>', f'<row r="3"><c r="A3" t="s"><v>0</v></c>{cell("C3", "Acme")}</row>', '<row r="4"><c r="C4"><v>7</v></c></row>']
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as book:
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="m"><sheetData>{"".join(rows)}</sheetData></worksheet>')
+        book.writestr("xl/sharedStrings.xml", '<sst xmlns="m"><si><r><t>Ann </t></r><r><t>Lee</t></r></si></sst>')
+    found = files.contacts(files.workbook_contacts(spark, str(tmp_path / "book.xlsx")))
+    assert sorted((r.name or "", r.company) for r in found.collect()) == [("", "7"), ("Ann Lee", "Acme")]
+
+
 def test_guard(spark):
     ingest.guard_last_id(spark.range(5).select(F.col("id").alias("item_id")), 4)
     with pytest.raises(ValueError):

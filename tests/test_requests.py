@@ -6,12 +6,15 @@ from tallyspark.plans import requests
 
 
 def test_shapes():
-    one = requests.normalised({"prompt": " why? ", "intent": "odd", "history": [{"role": "user"}] * 30})
-    assert (one.prompt, one.intent, len(one.history)) == ("why?", "data_pull", 20)
-    two = requests.normalised({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}, {"role": "user", "content": "c"}], "intent": "trend"})
-    assert (two.prompt, two.intent, len(two.history)) == ("c", "trend", 2)
-    with pytest.raises(ValueError):
-        requests.normalised({"prompt": " "})
+    one = requests.normalised({"prompt": "why?", "query_type": "odd", "priorConversationContext": [1]})
+    assert (one.prompt, one.query_type, one.extra_context, one.prior_conversation_context) == ("why?", "data_pull", {}, [1])
+    assert requests.normalised({"prompt": "x", "query_type": "brand_lookup"}).query_type == "brand_lookup"
+    two = requests.normalised({"query": "c", "intentHint": "audience_dive", "intent": "data_pull", "debug": 1, "mode": "email", "other": 2})
+    assert (two.prompt, two.query_type, two.extra_context) == ("c", "audience_dive", {"debug": True, "intentHint": "audience_dive", "intent": "data_pull", "mode": "email"})
+    assert requests.normalised({"query": "c", "intent": "nothing"}).query_type == "data_pull"
+    for body in ({}, {"prompt": ""}, {"prompt": 3}, {"messages": []}):
+        with pytest.raises(ValueError):
+            requests.normalised(body)
 
 
 def test_texts():

@@ -1,5 +1,7 @@
 """The guard, the limits, the job log and the backlog."""
 
+import json
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -15,11 +17,23 @@ def test_reads(spark, sql):
     assert service.run(spark, sql).error is None
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE t", "INSERT INTO t SELECT 1", "CREATE TABLE t AS SELECT 1", "SELECT 1; SELECT 2", "SET x = 1", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SHOW TABLES", "", "SELEC 1"])
+@pytest.mark.parametrize("sql", ["DROP TABLE t", "INSERT INTO t SELECT 1", "CREATE TABLE t AS SELECT 1", "SELECT 1; SELECT 2", "SET x = 1", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SHOW TABLES", "", "SELEC 1", "SELECT * FROM text.`/etc/hostname`", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT 1 WHERE EXISTS (SELECT * FROM csv.`/etc/passwd`)", "SELECT (SELECT java_method('java.lang.System', 'nanoTime')) AS x", "SELECT input_file_name()", "SELECT * FROM nowhere", "WITH a AS (SELECT * FROM json.`/tmp/x`) SELECT * FROM a"])
 def test_refuses(spark, sql):
     assert service.run(spark, sql).error
 
 
+def test_reads_views_by_name(spark):
+    spark.range(3).createOrReplaceTempView("three")
+    assert service.run(spark, "SELECT sum(id) AS s, upper('x') AS u FROM three t JOIN (SELECT explode(array(1, 2)) AS e) ON true").error is None
+
+
+def test_payload_is_json():
+    step = service.Step("q", "r", ['{"x": "' + "y" * 1000 + '"}'] * 100, 100)
+    text = step.payload()
+    found = json.loads(text)
+    assert len(text) <= service.PAYLOAD_CHARS and 40 < len(found["result"]) < 100 and found["left_out"] == 100 - len(found["result"])
+
+
 def test_limits(spark):
     assert service.run(spark, "SELECT * FROM range(10000)").rowcount == 50
     assert service.run(spark, "SELECT * FROM range(10000)", rows=9999).rowcount == 500
@@ -27,19 +41,14 @@ def test_limits(spark):
     assert slow.error.startswith("timeout")
 
 
-def test_brief_and_followups(spark):
-    rows = spark.createDataFrame([('```json\n{"depth": "thorough", "question": "q"}\n```',), ("not json",), (None,)], "t string")
-    got = [r.b.asDict() for r in rows.select(jobs.brief(F.col("t")).alias("b")).collect()]
-    assert [g["depth"] for g in got] == ["thorough", "focused", "focused"]
-    text = spark.createDataFrame([("x\nFOLLOW-UPS:\n1. short\n2. a question that is long enough\n3) another question, long enough\n4. third question of this list\n5. fourth question of this list",), ("none",)], "t string")
-    assert [len(r.f) for r in text.select(jobs.followups(F.col("t")).alias("f")).collect()] == [3, 0]
+def test_limits_of_depth():
+    assert [jobs.turns(d) for d in ("none", "minimal", None, "odd")] == [0, 4, 10, 10]
 
 
-def test_stage_and_outcomes(spark):
-    rows = spark.createDataFrame([("pending", False, 0), ("running", False, 0), ("running", True, 0), ("running", True, 2), ("error", True, 2)], "s string, t boolean, n int")
-    assert [r[0] for r in rows.select(jobs.stage(F.col("s"), F.col("t"), F.col("n"))).collect()] == ["queued", "triage", "planning", "investigating", "error"]
-    assert [jobs.turns(d) for d in ("none", "minimal", None, "odd")] == [0, 4, 10, 10]
-    assert [jobs.dispatch_outcome(*x) for x in ((True, None), (False, 202), (False, 401), (False, 500))] == ["threw", "accepted", "denied", "refused"]
+def test_log_rows_that_took_effect(spark):
+    rows = [("a", 1, "pending", None), ("a", 2, "pending", None), ("a", 3, "complete", "running"), ("a", 4, "running", "pending"), ("a", 5, "error", "pending"), ("a", 6, "complete", "running"), ("a", 7, "error", "running"), ("b", 1, "running", "pending"), ("c", 1, "pending", None), ("c", 2, "error", "pending"), ("c", 3, "running", "pending")]
+    log = spark.createDataFrame([(j, t, t, st, e) for j, t, st, e in rows], "job_id string, ts int, event_id int, status string, expected string")
+    assert sorted((r.job_id, r.ts, r.status) for r in jobs.effective(log).collect()) == [("a", 1, "pending"), ("a", 4, "running"), ("a", 6, "complete"), ("c", 1, "pending"), ("c", 2, "error")]
 
 
 def test_status_domain(spark):
@@ -53,24 +62,33 @@ def test_retrieval(spark):
     assert retrieval.parse_terms("red small OR blue") == [["red", "small"], ["blue"]]
     rows = spark.createDataFrame([("Studies studied",), ("study",), ("sturdy",)], "t string")
     assert [r[0] for r in rows.select(F.col("t").rlike(retrieval.inflections("study"))).collect()] == [True, True, False]
+    forms = {"run": ("ran", "running", "runner"), "buy": ("bought", "purchase", "buyer"), "stop": ("stopped", "stopping", "stopover"), "visit": ("visited", "visits", "visitation"), "play": ("played", "plays", "playful")}
+    for stem, (one, two, other) in forms.items():
+        found = spark.createDataFrame([(one,), (two,), (other,)], "t string").select(F.col("t").rlike(retrieval.inflections(stem))).collect()
+        assert [r[0] for r in found] == [True, True, False], stem
     nulls = spark.createDataFrame([(["a", None],), (None,), ([],)], "t array<string>")
     got = nulls.select(retrieval.overlaps(F.col("t"), ["b"]), retrieval.holds(F.col("t"), "b"), retrieval.holds_all(F.col("t"), ["a"]), retrieval.array_length(F.col("t"))).collect()
     assert [tuple(r) for r in got] == [(False, False, True, 2), (False, False, False, None), (False, False, False, None)]
 
 
 def test_cases(spark):
-    rows = spark.createDataFrame([("Sales growth and ROI",), ("brand love and revenue",), ("a quiet year",), (None,)], "t string")
+    rows = spark.createDataFrame([("Conversion and CAC",), ("brand identity, budget cut",), ("a quiet year",), (None,)], "t string")
     assert [r[0] for r in rows.select(ranking.context_kind(F.col("t"))).collect()] == ["performance", "mixed", "brand", "brand"]
 
 
 def test_tagging(spark):
-    rows = spark.createDataFrame([(i, f"joy {i}") for i in range(90)], "id int, t string")
+    rows = spark.createDataFrame([(i, f"joy {i}", "home") for i in range(90)], "id int, t string, topic string")
 
     def broken(text: pd.Series) -> pd.DataFrame:
         raise RuntimeError("busy")
 
     assert backlog.tagged(rows, "id", "t").where("primary_topic = 'joy' and error is null").count() == 90
-    assert backlog.tagged(rows, "id", "t", broken).where("error = 'busy'").count() == 90
+    assert backlog.tagged(rows, "id", "t", broken).where("error = 'busy' and error_kind = 'failed' and primary_topic = 'general'").count() == 90
+
+    def limited(text: pd.Series) -> pd.DataFrame:
+        raise RuntimeError("answer 429: slow down")
+
+    assert backlog.tagged(rows, "id", "t", limited, parent="topic").where("error_kind = 'rate_limit' and primary_topic = 'home'").count() == 90
 
 
 def test_drain(spark, tmp_path):
