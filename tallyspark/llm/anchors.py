@@ -17,8 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.frames import LAST, in_small_batches
-from tallyspark.llm.text import BYTE_VALUES, covered, mix, powers, prefix_hash, span_hash, text_slices, window_minimum, words
+from tallyspark.llm.text import BYTE_VALUES, OTHER_BYTE_VALUES, covered, mix, powers, prefix_hash, span_hash, text_slices, window_minimum, word_hash, words
 
 
 @dataclass
@@ -58,24 +57,17 @@ def find(prefix: np.ndarray, offsets: np.ndarray, width: int, size: int) -> Anch
     return Anchors(keys[anchor], context, row, first - offsets[row], last - first + 1, anchor - first)
 
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray, unit: str):
-    """Hash values of a slice's tokens and each row's token offsets; for words also their byte starts and ends."""
+def tokens_of(data: np.ndarray, offsets: np.ndarray, unit: str, which: int = 0):
+    """Hash values of a slice's tokens, by one of two functions, and each row's token offsets; for words also their byte starts and ends."""
     if unit == "byte":
-        return BYTE_VALUES[data], offsets, None, None
+        return (OTHER_BYTE_VALUES if which else BYTE_VALUES)[data], offsets, None, None
     starts, ends, row = words(data, offsets)
-    values = span_hash(prefix_hash(BYTE_VALUES[data]), starts, ends)
-    return values, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(offsets) - 1)))).astype(np.int64), starts, ends
+    return word_hash(data, starts, ends, which), np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(offsets) - 1)))).astype(np.int64), starts, ends
 
 
 #: Bytes of text whose equal contexts are settled before the shuffle.
 SETTLED = 8 << 20
-SCHEMA = "key long, context long, did long, uid int, pos int, windows int, off int, local boolean"
-
-
-def identified(docs: DataFrame, *more: str) -> DataFrame:
-    """did: the id, null last; uid: tells apart texts that share an id; then the text and more columns."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return in_small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.hash(text).alias("uid"), text.alias("text"), *more)
+SCHEMA = "key long, context long, did long, uid long, pos int, windows int, off int, local boolean"
 
 
 def anchors_of(docs: DataFrame, unit: str, width: int, size_of_gram: int, same_document: bool) -> DataFrame:
@@ -97,7 +89,7 @@ def anchors_of(docs: DataFrame, unit: str, width: int, size_of_gram: int, same_d
         local = d != d[head]
         if same_document:
             local |= (u != u[head]) | (pos != pos[head])
-        key = np.where(local, mix(d.astype(np.uint64) * np.uint64(31) + pos.astype(np.uint64)), key)
+        key = np.where(local, mix(d.astype(np.uint64) * np.uint64(31) + u.astype(np.uint64) + pos.astype(np.uint64)), key)
         return pa.RecordBatch.from_arrays(
             [pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(d), pa.array(u), pa.array(pos), pa.array(windows), pa.array(off), pa.array(local)],
             names=["key", "context", "did", "uid", "pos", "windows", "off", "local"],
@@ -141,19 +133,15 @@ def cut_spans(docs: DataFrame, spans: DataFrame, unit: str, width: int, keep: tu
     n_removed and n_spans (runs of removed units). With ``whole_chars`` a character
     goes only if all its bytes do.
     """
-    lists = spans.groupBy("did").agg(F.collect_set(F.struct("uid", "pos", "windows")).alias("spans")).hint("shuffle_hash")
-    joined = docs.select("did", "uid", "text", *keep).join(lists, "did", "left").select("uid", "text", "spans", *keep)
+    lists = spans.groupBy("did", "uid").agg(F.collect_set(F.struct("pos", "windows")).alias("spans")).hint("shuffle_hash")
+    joined = docs.select("did", "uid", "text", *keep).join(lists, ["did", "uid"], "left").select("text", "spans", *keep)
 
     def run(batches):
         for batch in batches:
-            uid = batch.column(0).to_numpy()
-            owner, entries = listed(batch.column(2))
-            fits = np.asarray(entries.field("uid")) == uid[owner]
-            owner, pos, windows = owner[fits], np.asarray(entries.field("pos"))[fits].astype(np.int64), np.asarray(entries.field("windows"))[fits].astype(np.int64)
-            order = np.argsort(owner, kind="stable")
-            owner, pos, windows = owner[order], pos[order], windows[order]
+            owner, entries = listed(batch.column(1))
+            pos, windows = np.asarray(entries.field("pos")).astype(np.int64), np.asarray(entries.field("windows")).astype(np.int64)
             kept, total, removed, runs = [], [], [], []
-            for first, end, data, offsets in text_slices(batch.column(1)):
+            for first, end, data, offsets in text_slices(batch.column(0)):
                 starts = ends = None
                 cuts = offsets
                 if unit == "word":
@@ -187,7 +175,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, unit: str, width: int, keep: tu
                     bounds = edges[cuts - gone_sum[cuts]].tolist()
                     kept += [left[x : max(x, y - 1)] for x, y in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(3 + i) for i in range(len(keep))), pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
+                [*(batch.column(2 + i) for i in range(len(keep))), pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
                 names=[*keep, "kept", "n_units", "n_removed", "n_spans"],
             )
 

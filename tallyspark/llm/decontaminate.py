@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.frames import in_small_batches
-from tallyspark.llm.text import BYTE_VALUES, LOWER, SLICE, SPACE, mix, prefix_hash, span_hash, text_slices, words
+from tallyspark.llm.text import LOWER, SLICE, SPACE, mix, prefix_hash, span_hash, text_slices, word_hash, words
 
 GRAM = 3
 REPEATS, SAMPLED = 64, 3
@@ -58,7 +58,7 @@ def gram_of(n: int) -> int:
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[data]
     starts, ends, row = words(low, offsets, _GAPS)
-    return span_hash(prefix_hash(BYTE_VALUES[low]), starts, ends), np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(offsets) - 1)))).astype(np.int64)
+    return word_hash(low, starts, ends), np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(offsets) - 1)))).astype(np.int64)
 
 
 _SEEDS = mix(np.arange(1, 1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))

@@ -10,21 +10,24 @@ registers are equal with a probability that grows with the Jaccard similarity (f
 2. Bands of registers are hashed. Representatives that share a band value are linked to
    the least of them, and the components of those links are candidate groups: any two
    documents that share a band are in one group, without listing the pairs.
-3. Each candidate group gets its documents' full sets once, in blocks of bounded size. A
-   leader is compared with all of its block: first the Jaccard similarity is estimated
-   jointly with the set sizes by maximum likelihood over the counts of larger, equal and
-   smaller registers; what is not far below the threshold is verified on the full sets.
-   Documents linked with no leader become leaders; followers of leaders whose parts are
-   still apart are compared among each other.
+3. Each candidate group gets its documents' full sets once, in blocks of bounded size. Two
+   similar sets of a block share one of the rarest shingles of each (as many as the threshold
+   lets them differ in, and one), so only documents under one such shingle are compared: first
+   the Jaccard similarity is estimated jointly with the set sizes by maximum likelihood over
+   the counts of larger, equal and smaller registers; what is not far below the threshold is
+   verified on the full sets. Documents linked with no leader become leaders; followers whose
+   rare shingles lead to other parts are compared with those.
 4. Groups that need more than one block go on block by block against block, but only
    while their parts are not yet connected.
 5. Components of the verified links are the result.
 
 Results for odd input: a document without words (null text too) has an empty set and is
 linked with nothing; with fewer words than a shingle its whole word sequence is the one
-shingle; a null id sorts last and gets a null component_id if it is its own component;
-repeated rows of an id are one document (their sets are united); an empty table gives an
-empty table; extra columns are ignored.
+shingle. Every row gets a row. Rows of equal id and text are one document; other rows that
+share an id are judged each for itself. Rows without an id come after all others and have a
+null component_id unless they are linked with one that has an id. kept says whether the row's id is
+its component's; without an id, whether it is the component's first document. An empty table
+gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.anchors import identified
 from tallyspark.llm.components import connected_components
-from tallyspark.llm.frames import LAST, stored
-from tallyspark.llm.text import BYTE_VALUES, LOWER, mix, prefix_hash, span_hash, text_slices, words
+from tallyspark.llm.frames import identified, ranked, real_id, stored
+from tallyspark.llm.text import LOWER, mix, prefix_hash, span_hash, text_slices, word_hash, words
 
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
@@ -57,7 +59,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     rows = len(offsets) - 1
     data = LOWER[data]
     starts, ends, row = words(data, offsets)
-    hashes = span_hash(prefix_hash(BYTE_VALUES[data]), starts, ends)
+    hashes = word_hash(data, starts, ends)
     counts = np.bincount(row, minlength=rows)
     cuts = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
     prefix = prefix_hash(hashes)
@@ -123,34 +125,66 @@ def may_be_similar(one: np.ndarray, size: int, others: np.ndarray, sizes: np.nda
     return reachable & (_log_likelihood(np.float64(floor + 1e-4), u, *counts) >= _log_likelihood(np.float64(floor), u, *counts)), counts[1]
 
 
-def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """What the threshold connects within a block, as a link from each document to the least of its part."""
-    m = len(ids)
-    sizes = np.diff(cuts)
-    _, dense = np.unique(found, return_inverse=True)
-    flag = np.zeros(int(dense.max()) + 1 if len(dense) else 1, bool)
-    parent = np.arange(m)
+def _rare_first(found: np.ndarray, cuts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the shingles of a block, and for each document its rarest ones, of which a similar
+    document must share one: as pairs (shingle, document) in the order of shingles."""
+    m, sizes = len(cuts) - 1, np.diff(cuts)
+    _, dense, times = np.unique(found, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), sizes)
+    order = np.lexsort((dense, times[dense], owner))
+    place = np.arange(len(dense)) - cuts[owner]
+    must_share = -(-sizes * percent // 100)  # a similar set shares so many at least
+    rare = order[place < (sizes - must_share + 1)[owner]]
+    rare = rare[times[dense[rare]] > 1]
+    by = np.lexsort((owner[rare], dense[rare]))
+    return dense, dense[rare][by], owner[rare][by]
 
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    parts = m
+def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """What the threshold connects within a block, as a link from each document to the least of its part.
 
-    def join(i, j):
-        nonlocal parts
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            parts -= 1
+    Only documents that share a rare shingle are looked at, so a block in which nothing is
+    similar takes time in proportion to its size.
+    """
+    m = len(ids)
+    sizes = np.diff(cuts)
+    if not len(found):
+        return []
+    dense, shingle, holder = _rare_first(found, cuts, percent)
+    edges = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1], [True]))) if len(shingle) else np.zeros(1, np.int64)
+    begin, end = edges[:-1], edges[1:]
+    number = np.repeat(np.arange(len(begin)), end - begin)
+    by_holder = np.argsort(holder, kind="stable")
+    lists, bounds = number[by_holder], np.concatenate(([0], np.cumsum(np.bincount(holder, minlength=m))))
+    flag = np.zeros(int(dense.max()) + 1, bool)
+    part = np.arange(m)
+    members: dict[int, list[int]] = {}
+
+    def join(i, others):
+        """Puts i and others into one part, the smaller ones into the largest."""
+        parts = sorted({int(p) for p in part[others]} | {int(part[i])}, key=lambda p: -len(members.get(p, (p,))))
+        into = parts[0]
+        own = members.setdefault(into, [into])
+        for other in parts[1:]:
+            moved = members.pop(other, [other])
+            part[moved] = into
+            own += moved
+
+    def near(i):
+        """Documents that share a rare shingle with i and may be as large, i left out, and their registers equal to its."""
+        own = lists[bounds[i] : bounds[i + 1]]
+        if not len(own):
+            return none, none
+        among = np.unique(np.concatenate([holder[begin[k] : end[k]] for k in own]))
+        among = among[among != i]
+        return likely(i, among[np.minimum(sizes[among], sizes[i]) * 100 >= percent * np.maximum(sizes[among], sizes[i])])
 
-    def links():
-        return [(int(ids[i]), int(ids[r])) for i in range(m) if (r := root(i)) != i]
+    def likely(i, among):
+        close, equal = may_be_similar(sketches[i], int(sizes[i]), sketches[among], sizes[among], floor)
+        return among[close], equal[close]
 
     def similar(i, among):
-        """Exact counts of shared and united shingles of i with others."""
+        """Which of the others are similar to i, by exact counts of shared and united shingles."""
         own = dense[cuts[i] : cuts[i + 1]]
         flag[own] = True
         spans = sizes[among]
@@ -158,51 +192,55 @@ def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketche
         places = np.repeat(cuts[among] - (ends - spans), spans) + np.arange(int(ends[-1]))
         shared = np.add.reduceat(flag[dense[places]].astype(np.int64), ends - spans)
         flag[own] = False
-        return shared, sizes[i] + spans - shared
+        return among[100 * shared >= percent * (sizes[i] + spans - shared)]
 
     def tie(i, among, equal):
-        """Links i with each part that has a similar document, the likeliest first."""
+        """Links i with each other part that has a similar document, the likeliest first."""
         among = among[np.argsort(-equal, kind="stable")]
         while len(among):
-            own = root(i)
-            among = np.array([j for j in among if root(j) != own], np.int64)
             some, among = among[:256], among[256:]
-            if len(some):
-                shared, union = similar(i, some)
-                for j in some[100 * shared >= percent * union]:
-                    join(i, j)
+            linked = similar(i, some)
+            if len(linked):
+                join(i, linked)
+            among = among[part[among] != part[i]]
 
+    none = np.zeros(0, np.int64)
     floor = percent / 100 - MARGIN
     leader_of = np.full(m, -1)
     for i in range(m):
         if leader_of[i] >= 0:
             continue
         leader_of[i] = i
-        among = np.flatnonzero(np.minimum(sizes, sizes[i]) * 100 >= percent * np.maximum(sizes, sizes[i]))
-        among = among[among != i]
-        close, equal = may_be_similar(sketches[i], int(sizes[i]), sketches[among], sizes[among], floor)
-        among, equal = among[close], equal[close]
+        among, equal = near(i)
+        if not len(among):
+            continue
         free = among[leader_of[among] < 0]
         if len(free):
-            shared, union = similar(i, free)
-            for j in free[100 * shared >= percent * union]:
-                join(i, j)
-                leader_of[j] = i
+            linked = similar(i, free)
+            if len(linked):
+                join(i, linked)
+                leader_of[linked] = i
         # of those that have a leader, one link to each part is enough
-        tied = leader_of[among] >= 0
+        tied = (leader_of[among] >= 0) & (part[among] != part[i])
         tie(i, among[tied], equal[tied])
-        if parts == 1:
-            return links()
-    # a leader has met all others; what is left are followers of leaders in different parts
-    followers = np.flatnonzero(leader_of != np.arange(m))
-    for k, i in enumerate(followers):
-        own = root(i)
-        others = np.array([j for j in followers[k + 1 :] if root(j) != own], np.int64)
-        if len(others):
-            others = others[np.minimum(sizes[others], sizes[i]) * 100 >= percent * np.maximum(sizes[others], sizes[i])]
-            close, equal = may_be_similar(sketches[i], int(sizes[i]), sketches[others], sizes[others], floor)
-            tie(i, others[close], equal[close])
-    return links()
+    if len(begin):
+        # a leader has met all others; what is left are followers that share a rare shingle with another part
+        of = part[holder]
+        mixed = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin)
+        for i in np.unique(holder[mixed[number]]):
+            if leader_of[i] == i:
+                continue
+            own = [k for k in lists[bounds[i] : bounds[i + 1]] if mixed[k]]
+            among = np.unique(np.concatenate([holder[begin[k] : end[k]] for k in own]))
+            among = among[(part[among] != part[i]) & (leader_of[among] != among)]
+            among = among[np.minimum(sizes[among], sizes[i]) * 100 >= percent * np.maximum(sizes[among], sizes[i])]
+            if len(among):
+                tie(i, *likely(i, among))
+    out = []
+    for own in members.values():
+        least = min(own)
+        out += [(int(ids[i]), int(ids[least])) for i in own if i != least]
+    return out
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -272,20 +310,28 @@ def _connect(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_equal): the least id that is reachable over
-    links of Jaccard similarity ``percent`` / 100 or more; kept marks that document."""
+    """(doc_id, n_shingles, component_id, kept, n_equal, first, uid): the least id that is reachable over
+    links of Jaccard similarity ``percent`` / 100 or more. first marks the least document of each
+    component, uid tells apart documents that share an id or have none."""
     rows = identified(docs)
-    texts = rows.groupBy("did").agg(F.concat_ws("\n", F.sort_array(F.collect_set("text"))).alias("text")) if _repeated(docs) else rows.select("did", "text")
+    odd = bool(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").head(1))
+    names = None
+    if odd:
+        names = stored(ranked(rows.select("did", "uid").distinct(), "did", "uid", name="node"))
+        texts = rows.dropDuplicates(["did", "uid"]).join(names, ["did", "uid"]).select(F.col("node").alias("did"), "text")
+        texts = stored(texts)
+    else:
+        texts = rows.select("did", "text")
     sketches = stored(_sketches(texts, shingle))
     named = sketches.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("did").alias("rep"), F.count("*").alias("n_equal"), F.first("bands").alias("bands"))
     named = stored(named)
     banded = named.select("rep", "n_shingles", F.posexplode("bands").alias("band", "value"))
-    stars = banded.groupBy("band", "value").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1")
+    stars = stored(banded.groupBy("band", "value").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1"))
     stars = banded.join(stars, ["band", "value"]).where("rep > center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     groups = stored(connected_components(stars))
     groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
     sized = groups.join(named.select(F.col("rep").alias("node"), "n_shingles"), "node")
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    blocks = stored(sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks")))
     placed = stored(sized.join(blocks, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
     part = F.concat_ws("/", "component", "block")
     assigned = placed.select(F.col("node").alias("did"), part.alias("part"))
@@ -294,15 +340,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if large.head(1):
         links = links.unionByName(_across(texts, large, links, shingle, percent))
     merged = connected_components(links)
-    reps = named.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n_shingles", "n_equal", F.coalesce("component", "rep").alias("component"))
-    out = sketches.join(reps, ["s1", "s2", "n_shingles"], "left")
-    component = F.coalesce("component", "did")
-    real = lambda c: F.when(c < LAST, c)
-    return out.select(real(F.col("did")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (component == F.col("did")).alias("kept"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
-
-
-def _repeated(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").count().where("count > 1").head(1))
+    reps = stored(named.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n_shingles", "n_equal", F.coalesce("component", "rep").alias("component")))
+    found = sketches.join(reps, ["s1", "s2", "n_shingles"], "left").select("did", "n_shingles", F.coalesce("component", "did").alias("component"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
+    if not odd:
+        first = F.col("component") == F.col("did")
+        return found.select(F.col("did").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), first.alias("kept"), "n_equal", first.alias("first"), F.lit(0).cast("long").alias("uid"))
+    least = names.select(F.col("node").alias("component"), real_id().alias("component_id"))
+    found = found.withColumnRenamed("did", "node").join(least, "component").join(names, "node")
+    first = F.col("node") == F.col("component")
+    doc_id = real_id()
+    found = found.select("did", "uid", doc_id.alias("doc_id"), "n_shingles", "component_id", F.when(doc_id.isNull(), first).otherwise(doc_id.eqNullSafe(F.col("component_id"))).alias("kept"), "n_equal", first.alias("first"))
+    return rows.select("did", "uid").join(stored(found), ["did", "uid"]).select("doc_id", "n_shingles", "component_id", "kept", "n_equal", "first", "uid")
 
 
 def _across(texts: DataFrame, large: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:

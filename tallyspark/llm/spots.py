@@ -11,8 +11,9 @@ Sets of very unequal size can't be alike: |A| / |B| bounds the Jaccard similarit
 prefix, and verifies what is left on the full sets.
 
 Results for odd input: a null text is empty; two empty sets have likeness 1, an empty and
-another 0; repeated rows have equal fingerprints; a null id comes last; with one document
-its next is itself; an empty table gives an empty table; extra columns are ignored.
+another 0; repeated rows have equal fingerprints; rows that share an id, or have none, follow
+each other in the order of a hash of their texts, those without an id after all others; with one
+document its next is itself; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.anchors import identified
-from tallyspark.llm.frames import LAST, in_small_batches
-from tallyspark.llm.text import BYTE_VALUES, LOWER, SPACE, mix, prefix_hash, span_hash, text_slices, words
+from tallyspark.llm.frames import LAST, UNNAMED, identified, in_small_batches, stored
+from tallyspark.llm.text import LOWER, SPACE, mix, prefix_hash, span_hash, text_slices, word_hash, words
 
 # Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -39,8 +39,8 @@ ANCHORS = (
 CHAIN = 3
 #: A content word is its own anchor where no common word is among so many words before it.
 ALONE = 8
-#: Documents in one bucket of neighbours, on average.
-BUCKET = 2048
+#: Documents in one bucket of neighbours, on average, and the most buckets (then they grow); documents in one task.
+BUCKET, MOST_BUCKETS, TASK = 2048, 1 << 14, 1 << 15
 
 _GAPS = SPACE.copy()
 _GAPS[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
@@ -50,7 +50,7 @@ def _anchor_hashes() -> np.ndarray:
     raw = [w.encode() for w in sorted(set(ANCHORS))]
     data = np.frombuffer(b"".join(raw), np.uint8)
     ends = np.cumsum([len(w) for w in raw])
-    return np.unique(span_hash(prefix_hash(BYTE_VALUES[data]), ends - [len(w) for w in raw], ends))
+    return np.unique(word_hash(data, ends - [len(w) for w in raw], ends))
 
 
 _ANCHORS = _anchor_hashes()
@@ -61,8 +61,7 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     rows = len(offsets) - 1
     low = LOWER[data]
     starts, ends, row = words(low, offsets, _GAPS)
-    raw = prefix_hash(BYTE_VALUES[low])
-    hashes = span_hash(raw, starts, ends)
+    hashes = word_hash(low, starts, ends)
     common = _ANCHORS[np.minimum(np.searchsorted(_ANCHORS, hashes), len(_ANCHORS) - 1)] == hashes
     content = np.flatnonzero(~common)
     prefix, owner = prefix_hash(hashes[content]), row[content]
@@ -86,7 +85,7 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     at = np.flatnonzero(bare[row])
     chain = span_hash(every, at, np.minimum(at + CHAIN, cuts[1:][row[at]]), 67)
     silent = np.flatnonzero(bare & (counts == 0) & (np.diff(offsets) > 0))
-    found = np.concatenate((found, chain, span_hash(raw, offsets[silent], offsets[silent + 1], 71)))
+    found = np.concatenate((found, chain, word_hash(low, offsets[silent], offsets[silent + 1], 1)))
     of = np.concatenate((of, row[at], silent))
     order = np.lexsort((found, of))
     found, of = found[order], of[order]
@@ -147,32 +146,49 @@ def similar_pairs(prints: DataFrame, percent: int = 80) -> DataFrame:
     return sides.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb") - shared).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b", (F.col("i") / F.col("u")).alias("likeness"))
 
 
+def _bucketed(rows: DataFrame, edges: np.ndarray, heavy: np.ndarray, bits: int) -> DataFrame:
+    """Adds the bucket of (did, uid), the first two columns. Buckets are in the order of rows: the ids between
+    two edges, or a part of the rows that share one heavy id, by the leading bits of their uid."""
+
+    def run(batches):
+        for batch in batches:
+            did, uid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = np.searchsorted(edges, did)
+            same = np.zeros(len(did), bool)
+            if len(edges):
+                same = edges[np.minimum(at, len(edges) - 1)] == did
+            alone = same & heavy[np.minimum(at, max(0, len(edges) - 1))] if len(edges) else same
+            bucket = np.where(alone, 2 * at + 1, 2 * (at + (same & ~alone))) << 21 | np.where(alone, uid >> (63 - bits), 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket, pa.int64())], names=[*batch.schema.names, "bucket"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, bucket long")
+
+
 def with_next(docs: DataFrame, edit) -> DataFrame:
     """Maps ``edit`` over Arrow batches of each document and the next by descending id (after the last the first).
 
-    Ids are dealt into buckets of neighbours; each bucket also gets a copy of the first
-    document of the bucket after it, so that one shuffle of the texts suffices.
+    Ids are dealt into buckets of neighbours of about equal numbers of documents, whatever the gaps
+    between ids: the edges are quantiles of the ids, at most MOST_BUCKETS of them. Each bucket also
+    gets a copy of the first document of the bucket after it, so one shuffle of the texts suffices.
     """
     rows = identified(docs)
-    low, high, count = rows.where(F.col("did") < LAST).agg(F.min("did"), F.max("did"), F.count("*")).first()
-    span = max(1, ((high - low + 1) * BUCKET) // max(count, 1)) if count else 1
-    rows = rows.withColumn("bucket", F.when(F.col("did") < LAST, F.floor((F.col("did") - F.lit(low or 0)) / span)).otherwise(F.lit(LAST)).cast("long"))
-
-    def tops(batches):
-        for batch in batches:
-            b, d, u = (batch.column(i).to_numpy() for i in range(3))
-            order = np.lexsort((u, d, b))
-            last = order[np.flatnonzero(np.concatenate((b[order][1:] != b[order][:-1], [True])))] if len(order) else order
-            yield batch.take(pa.array(last))
-
-    schema = "bucket long, did long, uid int, text string"
-    first = rows.select("bucket", "did", "uid", "text").mapInArrow(tops, schema).groupBy("bucket").agg(F.max_by(F.struct("did", "uid", "text"), F.struct("did", "uid")).alias("top"))
-    order = Window.orderBy("bucket")
-    links = first.select("bucket", F.lead("bucket").over(order).alias("up"), F.min("bucket").over(Window.partitionBy(F.lit(0))).alias("lowest"))
+    ids = rows.select("did", "uid")
+    count = ids.count()
+    n = max(1, min(MOST_BUCKETS, count // BUCKET))
+    cuts = ids.agg(F.percentile_approx("did", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("cuts")).first()["cuts"] if n > 1 else []
+    edges, times = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    heavy, bits = times > 1, min(21, 2 + int(times.max(initial=1)).bit_length())
+    first = _bucketed(ids, edges, heavy, bits).groupBy("bucket").agg(F.max(F.struct("did", "uid")).alias("top"))
+    first = stored(first.select("bucket", "top.*"))
+    order = Window.orderBy("bucket")  # over one row for each bucket
+    links = first.select("did", "uid", F.lead("bucket").over(order).alias("up"), F.min("bucket").over(Window.partitionBy(F.lit(0))).alias("lowest"))
     # the document after a bucket's last is the first of the bucket below; after the lowest comes the highest
-    halo = first.join(links, "bucket").select(F.coalesce("up", "lowest").alias("bucket"), "top.*", F.lit(True).alias("halo"))
-    dealt = rows.select("bucket", "did", "uid", "text", F.lit(False).alias("halo")).unionByName(halo)
-    dealt = dealt.repartition("bucket").sortWithinPartitions(F.col("bucket"), F.col("halo"), F.col("did").desc(), F.col("uid").desc())
+    links = stored(links.select("did", "uid", F.coalesce("up", "lowest").alias("bucket"), F.lit(True).alias("halo")))
+    halo = rows.join(links, ["did", "uid"]).select("did", "uid", "text", "bucket", "halo").dropDuplicates(["bucket"])
+    dealt = _bucketed(rows.select("did", "uid", "text"), edges, heavy, bits).withColumn("halo", F.lit(False)).unionByName(halo)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK))
+    dealt = dealt.select("bucket", "did", "uid", "text", "halo").repartition(tasks, "bucket").sortWithinPartitions(F.col("bucket"), F.col("halo"), F.col("did").desc(), F.col("uid").desc())
     return dealt.mapInArrow(edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
@@ -190,7 +206,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = list(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()))
+            did, uid = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            rows = list(zip([d if d < LAST or u < UNNAMED else None for d, u in zip(did, uid)], batch.column(3).to_pylist(), batch.column(4).to_pylist()))
             rows = [held, *rows] if held is not None else rows
             held = rows[-1]
             for at in range(0, len(rows) - 1, 1000):
@@ -201,7 +218,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                 sets = _sets([x.encode() for x in texts])
                 changed = _sets(raw)
                 own = [i for i in range(len(some) - 1) if not some[i][2]]
-                ids = [some[i][0] if some[i][0] < LAST else None for i in own]
+                ids = [some[i][0] for i in own]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array(ids, pa.int64()),

@@ -27,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.anchors import anchors_of, cut_spans, identified, listed, ragged, tokens_of
-from tallyspark.llm.frames import LAST, drop_stored, shared_folder
-from tallyspark.llm.text import mix, prefix_hash, span_hash, text_slices
+from tallyspark.llm.anchors import anchors_of, cut_spans, listed, ragged, tokens_of
+from tallyspark.llm.frames import LAST, drop_stored, identified, shared_folder
+from tallyspark.llm.text import prefix_hash, span_hash, text_slices
 
 WIDTH = 50
 SIZE = 16
 FANOUT = 4
 BATCHES = 3
 
-_SCHEMA = "key long, context long, did long, uid int, pos int, windows int, off int, kind string"
+_SCHEMA = "key long, context long, did long, uid long, pos int, windows int, off int, kind string"
 _RUN = ("key", "context", "did", "uid", "pos", "windows", "off")
 
 
@@ -106,8 +106,8 @@ class FingerprintIndex:
 
     def repeated(self, docs: DataFrame) -> DataFrame:
         """Verified repeats of all batches: (did, uid, pos, windows). ``docs`` holds the texts of all batches."""
-        candidates = self._matched("part").groupBy("did").agg(F.collect_set(F.struct("uid", "pos", "windows")).alias("found"))
-        texts = docs.select("did", "uid", "text").join(candidates.hint("shuffle_hash"), "did").select("did", "uid", "text", "found")
+        candidates = self._matched("part").groupBy("did", "uid").agg(F.collect_set(F.struct("pos", "windows")).alias("found"))
+        texts = docs.select("did", "uid", "text").join(candidates.hint("shuffle_hash"), ["did", "uid"]).select("did", "uid", "text", "found")
         windows = _windows(texts, self.width)
         least = F.min("did").over(Window.partitionBy("w1", "w2"))
         verified = windows.select("did", "uid", "pos", least.alias("least")).where("did > least").select("did", "uid", "pos", F.lit(1).alias("windows"))
@@ -124,8 +124,7 @@ def _windows(texts: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             did, uid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             owner, entries = listed(batch.column(3))
-            fits = np.asarray(entries.field("uid")) == uid[owner]
-            owner, pos, windows = owner[fits], np.asarray(entries.field("pos"))[fits].astype(np.int64), np.asarray(entries.field("windows"))[fits].astype(np.int64)
+            pos, windows = np.asarray(entries.field("pos")).astype(np.int64), np.asarray(entries.field("windows")).astype(np.int64)
             for first, end, data, offsets in text_slices(batch.column(2)):
                 a, b = np.searchsorted(owner, (first, end))
                 if a == b:
@@ -134,13 +133,13 @@ def _windows(texts: DataFrame, width: int) -> DataFrame:
                 row, n = np.repeat(owner[a:b] - first, windows[a:b]), windows[a:b]
                 at = ragged(cuts[owner[a:b] - first] + pos[a:b], n)
                 w1 = span_hash(prefix_hash(values), at, at + width, 7)
-                w2 = span_hash(prefix_hash(mix(values + np.uint64(99))), at, at + width, 13)
+                w2 = span_hash(prefix_hash(tokens_of(data, offsets, "word", 1)[0], 1), at, at + width, 13, 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(did[first:end][row]), pa.array(uid[first:end][row]), pa.array((at - cuts[row]).astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))],
                     names=["did", "uid", "pos", "w1", "w2"],
                 )
 
-    return texts.mapInArrow(run, "did long, uid int, pos int, w1 long, w2 long")
+    return texts.mapInArrow(run, "did long, uid long, pos int, w1 long, w2 long")
 
 
 def _batches(rows: DataFrame, count: int) -> list[DataFrame]:

@@ -20,8 +20,8 @@ more than ``HOT`` bytes still share one half, their windows are settled by a gro
 
 Results for odd input: null texts are empty and lose nothing; texts shorter than the
 width lose nothing; repeated rows (same id and text) are one document and do not remove
-each other; texts that share an id count in the order of a hash of the text; a null id
-comes last; an empty table gives an empty table; extra columns are ignored unless kept.
+each other; texts that share an id, and texts without one, count in the order of a hash of
+the text, those without an id after all others; an empty table gives an empty table; extra columns are ignored unless kept.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.anchors import anchors_of, cut_spans, identified, listed, ragged
-from tallyspark.llm.frames import stored
-from tallyspark.llm.text import BYTE_VALUES, mix, prefix_hash, runs_of, span_hash, text_slices
+from tallyspark.llm.anchors import anchors_of, cut_spans, listed, ragged
+from tallyspark.llm.frames import identified, stored
+from tallyspark.llm.text import BYTE_VALUES, OTHER_BYTE_VALUES, mix, prefix_hash, runs_of, span_hash, text_slices
 
 WIDTH = 100
 SIZE = 40
@@ -115,10 +115,7 @@ def _phrases(docs: DataFrame, width: int, size: int) -> DataFrame:
         for batch in batches:
             did, uid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             owner, entries = listed(batch.column(3))
-            fields = {f: np.asarray(entries.field(f)).astype(np.int64) for f in ("uid", "key", "pos", "windows", "off")}
-            fits = fields["uid"] == uid[owner]
-            owner = owner[fits]
-            fields = {f: x[fits] for f, x in fields.items()}
+            fields = {f: np.asarray(entries.field(f)).astype(np.int64) for f in ("key", "pos", "windows", "off")}
             for first, end, data, offsets in text_slices(batch.column(2)):
                 a, b = np.searchsorted(owner, (first, end))
                 if a == b:
@@ -142,7 +139,7 @@ def _phrases(docs: DataFrame, width: int, size: int) -> DataFrame:
                         names=["half", "did", "uid", "pos", "phrase"],
                     )
 
-    return docs.mapInArrow(run, "half long, did long, uid int, pos int, phrase binary")
+    return docs.mapInArrow(run, "half long, did long, uid long, pos int, phrase binary")
 
 
 def _settle(phrases: DataFrame, width: int) -> DataFrame:
@@ -153,7 +150,7 @@ def _settle(phrases: DataFrame, width: int) -> DataFrame:
         random = mix(did.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64))
         w1 = random if w1 is None else w1
         w2 = np.zeros(n, np.uint64) if w2 is None else w2 | np.uint64(1)
-        return pa.RecordBatch.from_arrays([pa.array(did.astype(np.int64)), pa.array(uid.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["did", "uid", "pos", "windows", "w1", "w2"])
+        return pa.RecordBatch.from_arrays([pa.array(did.astype(np.int64)), pa.array(uid.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["did", "uid", "pos", "windows", "w1", "w2"])
 
     def index(group, did, uid, pos, flat, sizes):
         """Marks of one block of whole groups."""
@@ -163,7 +160,7 @@ def _settle(phrases: DataFrame, width: int) -> DataFrame:
         twin[1:] = (did[o[1:]] == did[o[:-1]]) & (uid[o[1:]] == uid[o[:-1]]) & (pos[o[1:]] == pos[o[:-1]])
         order = order[~twin]
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        texts = span_hash(prefix_hash(BYTE_VALUES[flat]), starts, starts + sizes, 5)
+        texts = span_hash(prefix_hash(BYTE_VALUES[flat]), starts, starts + sizes, 5) ^ mix(span_hash(prefix_hash(OTHER_BYTE_VALUES[flat], 1), starts, starts + sizes, 5, 1))
         _, which, times = np.unique(group[order], return_inverse=True, return_counts=True)
         order = order[times[which] > 1]
         if not len(order):
@@ -191,7 +188,7 @@ def _settle(phrases: DataFrame, width: int) -> DataFrame:
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             n = sizes - width + 1
             at, of = ragged(starts, n), np.repeat(np.arange(len(n)), n)
-            return emit(did[of], uid[of], pos[of] + at - starts[of], np.ones(len(of), np.int64), span_hash(prefix, at, at + width, 23), span_hash(prefix_hash(mix(BYTE_VALUES[flat])), at, at + width, 29))
+            return emit(did[of], uid[of], pos[of] + at - starts[of], np.ones(len(of), np.int64), span_hash(prefix, at, at + width, 23), span_hash(prefix_hash(OTHER_BYTE_VALUES[flat], 1), at, at + width, 29, 1))
 
         for batch in batches:
             column = batch.column(4)
@@ -230,7 +227,7 @@ def _settle(phrases: DataFrame, width: int) -> DataFrame:
                 yield found
 
     parted = phrases.repartition("half").sortWithinPartitions("half")
-    marked = parted.mapInArrow(run, "did long, uid int, pos int, windows int, w1 long, w2 long")
+    marked = parted.mapInArrow(run, "did long, uid long, pos int, windows int, w1 long, w2 long")
     first = Window.partitionBy("w1", "w2").orderBy("did", "uid", "pos")
     return marked.select("did", "uid", "pos", "windows", "w2", F.rank().over(first).alias("nth")).where("w2 = 0 or nth > 1").select("did", "uid", "pos", "windows")
 
@@ -243,8 +240,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, size: int = SIZE) -> Dat
     level = found.select("*", (F.min("context").over(group) != F.max("context").over(group)).alias("partly"), F.rank().over(same).alias("nth"))
     level = stored(level.where("local or nth > 1 or partly").select("key", "did", "uid", "pos", "windows", "off", (F.col("local") | (F.col("nth") > 1)).alias("whole")))
     whole = level.where("whole").select("did", "uid", "pos", "windows")
-    candidates = level.where("not whole").groupBy("did").agg(F.collect_set(F.struct("uid", "key", "pos", "windows", "off")).alias("found"))
-    texts = docs.select("did", "uid", "text").join(candidates.hint("shuffle_hash"), "did").select("did", "uid", "text", "found")
+    candidates = level.where("not whole").groupBy("did", "uid").agg(F.collect_set(F.struct("key", "pos", "windows", "off")).alias("found"))
+    texts = docs.select("did", "uid", "text").join(candidates.hint("shuffle_hash"), ["did", "uid"]).select("did", "uid", "text", "found")
     return whole.unionByName(_settle(_phrases(texts, width, size), width))
 
 

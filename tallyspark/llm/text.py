@@ -18,23 +18,24 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-BYTE_VALUES = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), SLICE + 1024)
-        for name, base in (("_powers", _BASE), ("_inverses", _INVERSE)):
+#: Bases of the two window hashes, odd and unrelated.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BYTE_VALUES, OTHER_BYTE_VALUES = np.random.default_rng(20240117).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64),) * 2] * 2
+_places = [np.zeros(0, np.uint64)] * 2
+
+
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a hash base and of its inverse, modulo 2**64."""
+    if len(_powers[which][0]) < n:
+        size = max(n, 2 * len(_powers[which][0]), SLICE + 1024)
+        both = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            globals()[name] = np.cumprod(steps)
-    return _powers[:n], _inverses[:n]
+            both.append(np.cumprod(steps))
+        _powers[which] = tuple(both)
+    return _powers[which][0][:n], _powers[which][1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,19 +47,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any span."""
+def prefix_hash(values: np.ndarray, which: int = 0) -> np.ndarray:
+    """Prefix sums from which ``span_hash`` takes the hash of any span, by one of two bases."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0], out=out[1:])
+    np.cumsum(values * powers(len(values), which)[0], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of the spans [start, stop) of what ``prefix`` was made of."""
-    raw = (prefix[stop] - prefix[start]) * powers(len(prefix))[1][start]
+def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 0, which: int = 0) -> np.ndarray:
+    """64-bit hashes of the spans [start, stop) of what ``prefix`` was made of, the same wherever a span
+    stands. For spans of some hundred values at most: polynomials modulo 2**64 collide on
+    longer ones of a certain structure. Longer spans are hashed by ``word_hash``."""
+    raw = (prefix[stop] - prefix[start]) * powers(len(prefix), which)[1][start]
     return mix(raw + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
 
 
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of the words [start, end) of a byte array, of any length: the sum of each byte's
+    random value times a random factor for its place in the word. Two functions with unrelated values."""
+    sizes = ends - starts
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    longest = int(sizes.max())
+    if len(_places[which]) < longest:
+        _places[which] = mix(np.arange(1, max(4096, 2 * longest) + 1, dtype=np.uint64) * np.uint64(_BASES[which]) + np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    place = np.arange(int(bounds[-1])) - np.repeat(bounds[:-1], sizes)
+    sums = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum((OTHER_BYTE_VALUES if which else BYTE_VALUES)[data[place + np.repeat(starts, sizes)]] * _places[which][place], out=sums[1:])
+    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def text_slices(column: pa.Array, limit: int = SLICE):
     """Yields (first row, end row, bytes, offsets) over a string column; null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

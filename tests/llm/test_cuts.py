@@ -54,6 +54,28 @@ def test_substrings(spark, odd):
     assert found(substrings.remove_repeats(table(spark, odd)), 3) == wanted(odd, brute_words(odd))
 
 
+def test_words_that_differ_in_structure(spark):
+    """A window that holds a word on which polynomial hashes collide is not the other's."""
+    one, two = "a", "b"
+    for _ in range(11):
+        one, two = one + two, two + one
+    left, right = prose(5, 30), prose(6, 30)
+    rows = [(1, f"{left} {one} {right}"), (2, f"{left} {two} {right}"), (3, f"{left} {one} {right}")]
+    got = found(substrings.remove_repeats(table(spark, rows)), 3)
+    assert got == wanted(rows, brute_words(rows)) and [x[3] for x in got] == [0, 0, 61]
+    assert found(suffixes.remove_repeats(table(spark, rows)), 4) == wanted(rows, brute_bytes(rows))
+
+
+def test_rows_without_an_id(spark):
+    """Each row loses what it has to, whoever shares its id; those without one come last."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    passage = prose(21, 80)
+    rows = [(low, passage + " one"), (high, "two " + passage), (None, passage + " three"), (None, "four five"), (3, prose(22, 60)), (3, "six " + passage)]
+    by_words = {t: r for t, r in ((bytes(x.kept), x) for x in substrings.remove_repeats(table(spark, rows)).collect())}
+    assert len(by_words) == 6 and by_words[b"two"].n_removed == by_words[b"six"].n_removed == by_words[b"three"].n_removed == 80
+    assert found(suffixes.remove_repeats(table(spark, rows)), 4) == wanted(rows, brute_bytes(rows))
+
+
 @pytest.mark.parametrize("batches", [1, 7])
 def test_batches_agree(spark, odd, batches):
     assert found(substrings.remove_repeats(table(spark, odd), batches=batches), 3) == wanted(odd, brute_words(odd))

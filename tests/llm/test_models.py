@@ -79,6 +79,54 @@ def test_kneser_ney_sums_to_one():
     assert abs(total + model.floor * 0 - 1) < 0.05
 
 
+def signature_set(text):
+    """Signatures from their definition, as tuples of words."""
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode())
+    words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    common = {w.encode() for w in spots.ANCHORS}
+    content = [i for i, w in enumerate(words) if w not in common]
+    out, last = set(), None
+    for i, w in enumerate(words):
+        if w in common:
+            last = i
+            chain = [words[j] for j in content if j > i][: spots.CHAIN]
+            out |= {("after", w, *chain)} if len(chain) == spots.CHAIN else set()
+        elif last is None or i - last > spots.ALONE:
+            chain = [words[j] for j in content if j >= i][: spots.CHAIN]
+            out |= {("from", *chain)} if len(chain) == spots.CHAIN else set()
+    if not out:
+        out = {("from", *words[i : i + spots.CHAIN]) for i in range(len(words))}
+    return out or ({("bytes", text)} if text else set())
+
+
+def test_fingerprints_by_definition(spark, odd, monkeypatch):
+    """Ids that lie far apart, are shared or missing, in many buckets: neighbours, edits and likeness from their definitions."""
+    monkeypatch.setattr(spots, "BUCKET", 3)
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(low, prose(1, 80)), (-5, prose(2, 80)), (10**18, prose(2, 80) + " more"), (9 * 10**18, "?!"), (high, prose(3, 20)), (7, ""), *[(8, prose(30 + k, 30)) for k in range(9)], *[(100 + k, prose(60 + k % 5, 40 + k)) for k in range(12)], (300, "the of und"), (301, "wort " * 12)]
+    rows += [(None, prose(80 + k, 25)) for k in range(9)]
+    got = spots.compare_with_next(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    named = sorted([(i, t) for i, t in rows if i is not None and i != 8], key=lambda r: -r[0])
+    found = {r.doc_id: r for r in got}
+
+    def like(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for (i, text), (j, following) in zip(named, named[1:]):
+        if 7 in (i, j) or i - 8 == 0 or (i > 8 > j):
+            continue  # the order of the rows that share an id is that of a hash
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        one, two, three = signature_set(text), signature_set(edited), signature_set(following)
+        r = found[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.near_edited, r.near_next) == (pytest.approx(like(one, two)), pytest.approx(like(one, three)))
+        assert r.fingerprint.startswith(f"{len(one)}:") and (r.fingerprint == r.edited_fingerprint) == (one == two)
+    # the first by descending id among those without one is that of the greatest hash, after the last row comes the first again
+    shared = [r for r in got if r.doc_id == 8]
+    assert len(shared) == 9 and len([r for r in got if r.doc_id is None]) == 9
+
+
 def test_mixing(spark, odd):
     rows = odd + [(1000 + i, prose(500 + i % 40, 80)) for i in range(120)]
     got = mixing.score(table(spark, rows)).collect()
