@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, decontaminate, language, neardup, suffixes
-from tallyspark.llm.frames import documents, fold, stored
+from tallyspark.llm.frames import LAST, documents, fold, identified, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,19 +28,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group linked at a similarity of 0.8 on five-word shingles."""
-    rows = docs.select(*COLUMNS)
-    odd = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
-    if odd.head(1):
-        irregular = rows.join(odd.withColumnRenamed("doc_id", "odd_id"), F.col("doc_id").eqNullSafe(F.col("odd_id")), "left_semi")
-        regular = rows.join(odd.withColumnRenamed("doc_id", "odd_id"), F.col("doc_id").eqNullSafe(F.col("odd_id")), "left_anti")
-        named = irregular.dropDuplicates(["doc_id", "text"]).withColumn("key", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62))  # after all other ids
-        rows = stored(regular.withColumn("key", F.col("doc_id").cast("long")).unionByName(named))
-    else:
-        rows = rows.withColumn("key", F.col("doc_id").cast("long"))
-    groups = neardup.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"), 5, 80)
-    stay = groups.where("kept").select(F.col("doc_id").alias("key"))
-    return rows.join(stay.hint("shuffle_hash"), "key", "left_semi").select(*COLUMNS)
+    """Keeps the first document, by id, of each group linked at a similarity of 0.8 on five-word shingles."""
+    rows = identified(docs, "doc_id", "lang", "source", "n_chars")
+    first = neardup.near_duplicates(docs, 5, 80).where("first").select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), "uid").distinct()
+    stay = rows.join(first.hint("shuffle_hash"), ["did", "uid"], "left_semi")
+    again = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").head(1)  # rows of equal id and text are one document
+    return (stay.dropDuplicates(["did", "uid"]) if again else stay).select(*COLUMNS)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
