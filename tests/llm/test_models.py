@@ -148,18 +148,6 @@ def test_mixing(spark, odd):
     assert alone and all(r.train_tokens == 0 and r.n_known == 0 for r in alone)
 
 
-def test_mixing_is_a_distribution():
-    """The class codes' probabilities of one step sum to one."""
-    kinds = np.array([1, 2, 3, 1, 2, 31] * 20)
-    hashed = np.stack([np.arange(len(kinds), dtype=np.uint64) % np.uint64(7)] * 2)
-    total = 0.0
-    tables = mixing.Tables(kinds, hashed, np.ones(len(kinds), bool))
-    for code in range(32):
-        one = np.full(1, code)
-        total += 2.0 ** -mixing.Mixer(2).score(tables, one, hashed[:, :1], np.zeros(1, bool), np.zeros(1, np.int64), np.ones(1, np.int64))[0]
-    assert abs(total - 1) < 1e-3
-
-
 def test_fingerprints(spark, odd):
     rows = [r for r in odd if r[0] != 20]
     got = {str(r.doc_id): r for r in spots.compare_with_next(table(spark, rows)).collect()}

@@ -3,39 +3,8 @@
 import random
 import textwrap
 
-import numpy as np
-import pytest
-
 from helpers import prose, table
-from tallyspark.llm import decontaminate, licences, mixing
-
-
-def test_contexts_of_all_chunks(spark, monkeypatch):
-    """Scores by the contexts of all training texts: many small chunks give about what one chunk gives."""
-    rows = [(i, " ".join(f"{a} {b} {c}" for a, b, c in zip(*[iter(prose(500 + i % 40, 81).split())] * 3))) for i in range(300)]
-    got = {}
-    for chunk in (8 << 20, 4 << 10):
-        monkeypatch.setattr(mixing, "CHUNK", chunk)
-        got[chunk] = {r.doc_id: r.score for r in mixing.score(table(spark, rows)).collect() if r.held_out}
-    whole, parts = (sum(x.values()) for x in got.values())
-    assert parts == pytest.approx(whole, rel=0.06)
-
-
-def test_shared_counts_are_used():
-    kinds, hashed = np.array([3, 5, 3], np.int64), np.array([[1, 1, 2]], np.uint64)
-    shared = (np.array([1, 1], np.uint64), np.array([3, 5]), np.array([70, 1]))
-    tables = mixing.Tables(kinds, hashed, np.ones(3, bool), shared)
-    assert tables.sums.tolist() == [0, 70, 71, 72] and tables.cells.tolist() == [3, 5, 32 + 3]
-
-
-def test_held_out_texts_teach_nothing():
-    kinds = np.array([1, 2, 3, 1, 2, 31] * 20)
-    hashed = np.arange(len(kinds), dtype=np.uint64)[None] % np.uint64(7)
-    held = np.zeros(len(kinds), bool)
-    mixer = mixing.Mixer(1)
-    before = mixer.weights.copy(), mixer.refined.copy()
-    mixer.score(mixing.Tables(kinds, hashed, ~held), kinds, hashed, held, np.zeros(1, np.int64), np.full(1, len(kinds)))
-    assert (mixer.weights == before[0]).all() and (mixer.refined == before[1]).all()
+from tallyspark.llm import decontaminate, licences
 
 
 def test_long_items_at_the_limit(spark):
