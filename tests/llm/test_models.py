@@ -148,6 +148,161 @@ def test_mixing(spark, odd):
     assert alone and all(r.train_tokens == 0 and r.n_known == 0 for r in alone)
 
 
+class PlainMixing:
+    """The scores from their definition: dictionaries of counts by the words themselves, one bit at a time."""
+
+    def __init__(self, rows, fit=True):
+        self.texts = [(i, [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] + [None]) for i, t in rows]
+        self.trains = [not (i is not None and zlib.crc32(str(i).encode()) % 10 == 0) for i, _ in self.texts]
+        self.words = Counter(w for (_, t), own in zip(self.texts, self.trains) if own for w in t)
+        self.after, self.leaf, self.types = Counter(), Counter(), Counter()
+        for w, n in self.words.items():
+            self.leaf[self.code(w)] += n
+            self.types[self.code(w)] += 1
+        for (_, t), own in zip(self.texts, self.trains):
+            for at in range(len(t) if own else 0):
+                for context, depth in self.contexts(t, at):
+                    for k in range(depth + 1):
+                        self.after[context, k, self.code(t[at]) >> (mixing.BITS - k)] += 1
+        self.weights = np.full((mixing.BITS * mixing.KINDS, mixing.INPUTS), 0.3)
+        self.refined = np.tile(1 / (1 + np.exp(-mixing.LEVELS)), (mixing.BITS, 1))
+        if fit:
+            self.learn()
+
+    def code(self, w):
+        n = self.words[w]
+        if w is None and n:
+            return mixing.END_CODE
+        if w is None:
+            return mixing.END_CODE
+        if not n:
+            return 0
+        raw = np.frombuffer(w, np.uint8)
+        h = int(mixing.word_hash(raw, np.array([0]), np.array([len(raw)]))[0])
+        return min(1 + int(math.log2(n)), mixing.END_CLASS - 1) << mixing.HASH_BITS | h >> (64 - mixing.HASH_BITS)
+
+    def contexts(self, t, at):
+        kinds = [self.code(w) >> mixing.HASH_BITS for w in t[:at]]
+        one, two = (kinds[-k] if at >= k else mixing.END_CLASS for k in (1, 2))
+        lately = sum(k == 0 for k in kinds[-16:])
+        stop = at == 0 or t[at - 1][-1:] in (b".", b"!", b"?", b":", b";", b",")
+        steps = sum(lately >= x for x in (1, 2, 4, 8))
+        return [(("A", one, two), 5), (("B", stop, one, steps, min(at, 3)), 5), (("1", t[at - 1] if at else ""), mixing.DEPTHS[1]), (("2", t[at - 1] if at else "", t[at - 2] if at > 1 else ""), mixing.DEPTHS[2])]
+
+    def mass(self, code, k, own):
+        low = code >> (mixing.BITS - k)
+        return sum(n + 0.1 * self.types[c] for c, n in self.leaf.items() if c >> (mixing.BITS - k) == low) + 0.1 * (low == 0) - own
+
+    def sure(self, code, bit):
+        return self.mass(code ^ 1 << (mixing.BITS - 1 - bit), bit + 1, 0) < 0.05
+
+    def inputs(self, t, at, bit, code, own):
+        value = code >> (mixing.BITS - 1 - bit) & 1
+        other = code ^ 1 << (mixing.BITS - 1 - bit)
+        sign = 1 if value else -1
+        took, left = max(self.mass(code, bit + 1, own), 0.05), max(self.mass(other, bit + 1, 0), 0.05)
+        x = [sign * min(12, max(-12, math.log(took / left))), 0, 0, 0, 0, 0.3]
+        gate = 0
+        level = lambda n: mixing._VALUES[mixing._VALUES <= n][-1]
+        for k, (context, depth) in enumerate(self.contexts(t, at)):
+            if bit >= depth:
+                continue
+            n, m = (self.after[context, b, code >> (mixing.BITS - b)] for b in (bit, bit + 1))
+            if k < 2:
+                x[1 + k] = sign * (math.log(max(m - own, 0) + 0.3) - math.log(n - m + 0.3))
+            else:
+                places = lambda v: np.searchsorted(mixing._VALUES, v)
+                seen = int(places(level(n))) - own
+                gate += min(2, max(0, seen)) if k == 3 else 3 * (seen > 0)
+                x[1 + k] = sign * (math.log(max(level(m) - own, 0) + 0.15) - math.log(level(n - m) + 0.15))
+        return np.array(x), bit * mixing.KINDS + gate, value
+
+    def bits(self, t, at, code, own):
+        """Bits with inputs, then how many are coded by the counts."""
+        for bit in range(mixing.BITS):
+            x, gate, value = self.inputs(t, at, bit, code, own)
+            if bit >= 5 and (not 0 < code >> mixing.HASH_BITS < mixing.END_CLASS or gate == bit * mixing.KINDS):
+                break
+            yield bit, x, gate, value
+
+    def learn(self):
+        moved, used = np.zeros_like(self.weights), np.zeros(len(self.weights))
+        heard, ones = np.zeros_like(self.refined), np.zeros_like(self.refined)
+        for (_, t), own in zip(self.texts, self.trains):
+            for first in range(0, len(t) if own else 0, mixing.SEGMENT):
+                weights, uses = self.weights.copy(), np.zeros(len(used))
+                for at in range(first, min(first + mixing.SEGMENT, len(t))):
+                    for bit, x, gate, value in self.bits(t, at, self.code(t[at]), 1):
+                        if self.sure(self.code(t[at]), bit):
+                            continue
+                        dot = float(np.clip(weights[gate] @ x, -12, 12))
+                        weights[gate] += mixing.RATE * (value - 1 / (1 + math.exp(-dot))) * x
+                        uses[gate] += 1
+                        cell = int((min(8, max(-8, dot)) + 8.25) * 2)
+                        heard[bit, cell] += 1
+                        ones[bit, cell] += value
+                moved += (weights - self.weights) * uses[:, None]
+                used += uses
+        self.weights += moved / np.maximum(used, 1)[:, None]
+        self.refined = (self.refined * 20 + ones) / (20 + heard)
+
+    def log10(self, t, at, w, own):
+        """log10 of the probability that w stands at a place of a text."""
+        code, total, bit = self.code(w), 0.0, -1
+        for bit, x, gate, value in self.bits(t, at, code, own):
+            if self.sure(code, bit):
+                continue
+            dot = float(np.clip(self.weights[gate] @ x, -12, 12))
+            one = 0.5 / (1 + math.exp(-dot)) + 0.5 * self.refined[bit, int((min(8, max(-8, dot)) + 8.25) * 2)]
+            total += math.log10(max(one if value else 1 - one, 1e-6))
+        if 0 < code >> mixing.HASH_BITS < mixing.END_CLASS:
+            total += math.log10((self.words[w] - own + 0.1) / self.mass(code, bit + 1, own))
+        return total
+
+    def scores(self):
+        return [(str(i), round(sum(self.log10(t, at, t[at], int(own)) for at in range(len(t))), 2)) for (i, t), own in zip(self.texts, self.trains)]
+
+
+def mixing_rows():
+    rows = [(i, prose(900 + i % 9, 12 + i % 5, 60) + (". And so on: the end, " + prose(900 + i % 4, 8) if i % 3 else "")) for i in range(34)]
+    return [*rows, (40, None), (41, ""), (42, "one"), (None, "of the end"), (42, prose(901, 9)), (9, rows[8][1])]
+
+
+def test_mixing_by_definition(spark):
+    rows = mixing_rows()
+    got = [(str(r.doc_id), r.score) for r in mixing.score(table(spark, rows)).collect()]
+    for (i, a), (j, b) in zip(sorted(got), sorted(PlainMixing(rows).scores())):
+        assert i == j and a == pytest.approx(b, abs=0.02)
+
+
+def test_mixing_sums_to_one():
+    """All words that may follow, known, unknown and the end, have probabilities that sum to one in a held-out text."""
+    model = PlainMixing(mixing_rows())
+    _, text = model.texts[3]
+    for at in (0, 3, 7):
+        chance = sum(10 ** model.log10(text, at, w, 0) for w in [*model.words, b"never seen"])
+        assert chance == pytest.approx(1, abs=1e-4)
+
+
+def test_mixing_is_of_the_whole_corpus_and_of_training_texts_only(spark, monkeypatch):
+    """Neither the size of batches nor held-out texts make a difference; equal texts score alike."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rows = [(i, " ".join(f"{a} {b} {c}" for a, b, c in zip(*[iter(prose(500 + i % 40, 81).split())] * 3))) for i in range(200)]
+    rows += [(1000 + i, prose(5, 40)) for i in range(30)]
+
+    def scores(some):
+        return {r.doc_id: (r.n_tokens, pytest.approx(r.score, abs=1e-3)) for r in mixing.score(table(spark, some)).collect()}
+
+    whole = scores(rows)
+    without = {i: r for i, r in whole.items() if not held(i) or i % 2}
+    monkeypatch.setattr(mixing, "BATCH_BYTES", 4 << 10)
+    assert scores(rows) == whole
+    assert scores([r for r in rows if r[0] in without]) == without
+    for kind in (True, False):
+        same = [x[1].expected for i, x in whole.items() if i >= 1000 and held(i) == kind]
+        assert same and max(same) - min(same) < 1e-6
+
+
 def test_fingerprints(spark, odd):
     rows = [r for r in odd if r[0] != 20]
     got = {str(r.doc_id): r for r in spots.compare_with_next(table(spark, rows)).collect()}
