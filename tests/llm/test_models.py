@@ -203,7 +203,6 @@ class PlainMixing:
         took, left = max(self.mass(code, bit + 1, own), 0.05), max(self.mass(other, bit + 1, 0), 0.05)
         x = [sign * min(12, max(-12, math.log(took / left))), 0, 0, 0, 0, 0.3]
         gate = 0
-        level = lambda n: mixing._VALUES[mixing._VALUES <= n][-1]
         for k, (context, depth) in enumerate(self.contexts(t, at)):
             if bit >= depth:
                 continue
@@ -211,10 +210,14 @@ class PlainMixing:
             if k < 2:
                 x[1 + k] = sign * (math.log(max(m - own, 0) + 0.3) - math.log(n - m + 0.3))
             else:
-                places = lambda v: np.searchsorted(mixing._VALUES, v)
-                seen = int(places(level(n))) - own
+                seen = min(n, mixing.MANY) - own
                 gate += min(2, max(0, seen)) if k == 3 else 3 * (seen > 0)
-                x[1 + k] = sign * (math.log(max(level(m) - own, 0) + 0.15) - math.log(level(n - m) + 0.15))
+                log = lambda v: math.log(max(v, 0) + 0.15)
+                if n <= 8:
+                    x[1 + k] = sign * (log(m - own) - log(n - m))
+                else:
+                    steps = min(12, max(-12, round((log(m) - log(n - m)) / 0.75)))
+                    x[1 + k] = sign * (0.75 * steps + (log(m - own) - log(m) if m <= 8 else 0))
         return np.array(x), bit * mixing.KINDS + gate, value
 
     def bits(self, t, at, code, own):
