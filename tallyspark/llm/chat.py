@@ -46,6 +46,11 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     """(pair_id, side 'chosen' or 'rejected', turn, role, text) rows to one row for each pair."""
     turn = F.struct("turn", "role", "text")
     sides = turns.where(F.col("pair_id").isNotNull()).groupBy("pair_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == side, turn))).alias(side) for side in ("chosen", "rejected")])
+    return format_sides(sides)
+
+
+def format_sides(sides: DataFrame) -> DataFrame:
+    """The same from rows (pair_id, chosen, rejected) that hold both sides' turns in order."""
     shorter = F.least(F.size("chosen"), F.size("rejected"))
     equal = F.zip_with(F.slice("chosen", 1, shorter), F.slice("rejected", 1, shorter), lambda a, b: a["role"].eqNullSafe(b["role"]) & a["text"].eqNullSafe(b["text"]))
     sides = sides.withColumn("n_prompt", F.coalesce(F.nullif(F.array_position(equal, False), F.lit(0)) - 1, shorter.cast("long")).cast("int"))
@@ -71,12 +76,26 @@ def neighbour_pairs(conversations: DataFrame) -> DataFrame:
     )
 
 
+def continuations(conversations: DataFrame) -> DataFrame:
+    """Sides for ``format_sides``, one row for each conversation, whose turns up to its last reply are chosen.
+    Rejected is the same beginning with the reply before it said again, or with no reply where there was none
+    before. A conversation without replies is the same on both sides."""
+    turn = F.struct("turn", "role", "text")
+    rows = conversations.where(F.col("conv_id").isNotNull()).groupBy(F.col("conv_id").cast("long").alias("pair_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    trained = lambda t: F.coalesce(t["role"] == TRAINED, F.lit(False))
+    last = F.coalesce(F.array_max(F.transform(F.col("turns"), lambda t, i: F.when(trained(t), i + 1))), F.lit(0))
+    rows = rows.select("pair_id", "turns", last.alias("last"), F.filter("turns", trained).alias("replies"))
+    begin = F.slice("turns", 1, F.greatest(F.col("last") - 1, F.lit(0)))
+    rejected = F.when(F.col("last") == 0, F.col("turns")).when(F.size("replies") > 1, F.concat(begin, F.slice("replies", F.size("replies") - 1, F.lit(1)))).otherwise(begin)
+    return rows.select("pair_id", F.when(F.col("last") == 0, F.col("turns")).otherwise(F.slice("turns", 1, F.col("last"))).alias("chosen"), rejected.alias("rejected"))
+
+
 SQL = """
-WITH sides AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id,
-    coalesce(list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE conv_id % 2 = 0), []) AS chosen,
-    coalesce(list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE conv_id % 2 <> 0), []) AS rejected
-  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+WITH t AS (SELECT conv_id AS pair_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+l AS (SELECT *, coalesce(list_max(list_filter(range(1, len(turns) + 1), lambda i: coalesce(turns[i].role = 'assistant', false))), 0) AS last,
+    list_filter(turns, lambda x: coalesce(x.role = 'assistant', false)) AS replies FROM t),
+sides AS (SELECT pair_id, CASE WHEN last = 0 THEN turns ELSE list_slice(turns, 1, last) END AS chosen,
+    CASE WHEN last = 0 THEN turns WHEN len(replies) > 1 THEN list_concat(list_slice(turns, 1, last - 1), [replies[len(replies) - 1]]) ELSE list_slice(turns, 1, last - 1) END AS rejected FROM l),
 cut AS (
   SELECT *, least(len(chosen), len(rejected)) AS shorter,
     coalesce(nullif(coalesce(list_position(list_transform(range(1, least(len(chosen), len(rejected)) + 1),

@@ -28,7 +28,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_preferences(chat.neighbour_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return chat.format_sides(chat.continuations(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,26 +2,31 @@
 
 The index is a list of immutable runs in the shared folder. A run holds fingerprints of
 windows of earlier batches, one row for each distinct context of a content-chosen anchor
-(see ``anchors``), hash-partitioned and sorted by fingerprint, with the least document
-that has it. A new batch is fingerprinted, sorted the same way and merged with all runs
-by fingerprint:
+(see ``anchors``) that no older run holds, with the first document that has it; it is bucketed
+and sorted by fingerprint. A new batch is fingerprinted, bucketed and sorted in the same way, and
+merge-joined with each run where both are: the history is not moved again. Then
 
 * an equal context of a smaller document settles all its windows at once;
-* contexts that share only the anchor are *partial*: they are verified at the end, window
-  by window, by two independent 64-bit hashes over the words of each window, taken from
-  the texts again;
+* contexts that share only the anchor, in the batch or with a run, are *partial*: they are
+  verified at the end, window by window, by two independent 64-bit hashes over the words of each
+  window, taken from the texts again (of documents with such contexts only);
 * contexts that no run holds become the batch's own run.
 
-When ``FANOUT`` runs are there, they are compacted into one that keeps the least document
-of each context. ``add`` is incremental: batches must come in the order of their ids.
+When ``FANOUT`` runs are there, they are compacted into one. A manifest in the same folder lists
+the runs, so that a later session can open the index and add a batch. Batches must come in the
+order of their ids.
 
 Results for odd input: null texts have no words; texts shorter than a window lose
-nothing; rows that share an id never remove each other's words; a null id comes last;
-an empty table gives an empty table; extra columns are ignored unless kept.
+nothing; rows that share an id never remove each other's words, rows without one neither; those
+come last; an empty table gives an empty table; extra columns are ignored unless kept.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,74 +38,114 @@ from tallyspark.llm.text import prefix_hash, span_hash, text_slices
 
 WIDTH = 50
 SIZE = 16
-FANOUT = 4
-BATCHES = 3
+FANOUT = 3
+BATCHES = 4
 
-_SCHEMA = "key long, context long, did long, uid long, pos int, windows int, off int, kind string"
 _RUN = ("key", "context", "did", "uid", "pos", "windows", "off")
+_COLUMNS = "key BIGINT, context BIGINT, did BIGINT, uid BIGINT, pos INT, windows INT, off INT"
+_MATCH = "did long, uid long, pos int, windows int, kind string"
 
 
 class FingerprintIndex:
-    def __init__(self, spark: SparkSession, width: int = WIDTH, size: int = SIZE, fanout: int = FANOUT):
-        self.spark, self.width, self.size, self.fanout = spark, width, size, fanout
-        self.home = shared_folder(spark)
-        self.runs: list[str] = []
-        self.matches: list[str] = []
-        self.made = 0
+    """An index in a folder: a new one, or with ``home`` the one that is there."""
 
-    def _path(self, kind: str) -> str:
-        self.made += 1
-        return f"{self.home}/{kind}-{self.made}"
+    def __init__(self, spark: SparkSession, width: int = WIDTH, size: int = SIZE, fanout: int = FANOUT, home: str | None = None):
+        self.spark, self.home = spark, home or shared_folder(spark)
+        self.names: list[str] = []
+        self.state = {"width": width, "size": size, "fanout": fanout, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "made": 0, "runs": [], "matches": []}
+        if home:
+            found = spark.read.text(f"{home}/manifest/*").orderBy(F.get_json_object("value", "$.made").cast("int").desc()).first()
+            self.state = json.loads(found["value"])
+        self.width, self.size = self.state["width"], self.state["size"]
 
-    def _history(self) -> DataFrame | None:
-        out = None
-        for path in self.runs:
-            run = self.spark.read.schema(_SCHEMA).parquet(path).where("kind = 'run'").select(*_RUN)
-            out = run if out is None else out.unionByName(run)
-        return out
+    @property
+    def runs(self) -> list[str]:
+        return self.state["runs"]
+
+    def _path(self, kind: str) -> str:
+        self.state["made"] += 1
+        return f"{self.home}/{kind}-{self.state['made']}"
+
+    def _told(self) -> None:
+        """Writes the manifest of the state after a batch or a compaction."""
+        self.state["made"] += 1
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.home}/manifest/{self.state['made']:09d}")
+
+    def _write(self, rows: DataFrame, path: str, *parts: str) -> None:
+        """A table bucketed and sorted by fingerprint in a folder."""
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        writer = rows.write.partitionBy(*parts) if parts else rows.write
+        writer.bucketBy(self.state["buckets"], "key").sortBy("key", "context").format("parquet").option("path", path).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the name only: the files stay where the manifest says
+
+    def _table(self, path: str, more: str = "") -> DataFrame:
+        """A table of the index under a name of its own, which is forgotten after the batch."""
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({_COLUMNS}{more}) USING parquet OPTIONS (path '{path}') CLUSTERED BY (key) SORTED BY (key, context) INTO {self.state['buckets']} BUCKETS")
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def _forget(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE {name}")
+        self.names = []
 
     def add(self, batch: DataFrame) -> None:
         """Merges a batch of ``identified`` rows, all with larger ids than those before."""
-        rows = anchors_of(batch, "word", self.width, self.size, same_document=False).withColumn("fresh", F.lit(True))
-        history = self._history()
-        if history is not None:
-            rows = rows.unionByName(history.withColumns({"local": F.lit(False), "fresh": F.lit(False)}))
-        merged = rows.repartition("key").sortWithinPartitions("key", "context", "did", "uid", "pos")
-        anchor, context = Window.partitionBy("key"), Window.partitionBy("key", "context").orderBy("did", "uid", "pos")
-        least = F.min("did").over(Window.partitionBy("key", "context"))
-        merged = merged.select(
-            "*",
-            ((F.min("context").over(anchor) != F.max("context").over(anchor)) & F.max("fresh").over(anchor)).alias("partly"),
-            F.row_number().over(context).alias("nth"),
-            least.alias("least"),
-        )
-        whole = F.col("fresh") & (F.col("local") | (F.col("did") > F.col("least")))
-        kinds = F.array_compact(
-            F.array(
-                F.when(whole, F.lit("whole")),
-                F.when(F.col("partly") & ~F.col("local") & (F.col("did") == F.col("least")), F.lit("part")),
-                F.when(F.col("fresh") & ~F.col("local") & (F.col("nth") == 1), F.lit("run")),
-            )
-        )
-        path = self._path("batch")
-        merged.select(*_RUN, F.explode(kinds).alias("kind")).write.partitionBy("kind").parquet(path)
-        self.runs.append(path)
-        self.matches.append(path)
-        if len(self.runs) >= self.fanout:
+        with joined_by_bucket(self.spark):
+            self._add(batch)
+        if len(self.runs) >= self.state["fanout"]:
             self.compact()
+        self._forget()
+        self._told()
+
+    def _add(self, batch: DataFrame) -> None:
+        path = self._path("batch")
+        self._write(anchors_of(batch, "word", self.width, self.size, same_document=False).repartition(self.state["buckets"], "key"), path)
+        own = self._table(path, ", local BOOLEAN")
+        anchors = own.where("not local")
+        place = F.struct("did", "uid", "pos")
+        keys = anchors.groupBy("key").agg(F.min("context").alias("low"), F.max("context").alias("high"))
+        firsts = anchors.groupBy("key", "context").agg(F.min(place).alias("first"))
+        rows = own.join(firsts, ["key", "context"], "left").join(keys, "key", "left")
+        least, low, high, known = [F.col("first.did")], [F.col("low")], [F.col("high")], F.lit(False)
+        part_of_history = None
+        for k, run in enumerate(self.runs):
+            history = self._table(run)
+            rows = rows.join(history.select("key", "context", F.col("did").alias(f"did{k}")), ["key", "context"], "left")
+            rows = rows.join(history.groupBy("key").agg(F.min("context").alias(f"low{k}"), F.max("context").alias(f"high{k}")), "key", "left")
+            least, low, high, known = [*least, F.col(f"did{k}")], [*low, F.col(f"low{k}")], [*high, F.col(f"high{k}")], known | F.col(f"did{k}").isNotNull()
+            part = history.join(keys, "key").where("low <> context or high <> context").select("did", "uid", "pos", "windows", F.lit("part").alias("kind"))
+            part_of_history = part if part_of_history is None else part_of_history.unionByName(part)
+        smallest = lambda f, c: f(*c) if len(c) > 1 else c[0]
+        whole = F.col("local") | (F.col("did") > smallest(F.least, least))
+        partly = ~F.col("local") & ~whole & (smallest(F.least, low) != smallest(F.greatest, high))
+        fresh = ~F.col("local") & ~known & (F.col("first") == place)
+        kinds = F.array_compact(F.array(F.when(whole, F.lit("whole")), F.when(partly, F.lit("part")), F.when(fresh, F.lit("run"))))
+        merged = self._path("merged")
+        self._write(rows.select(*_RUN, F.explode(kinds).alias("kind")), merged, "kind")
+        self.state["matches"].append(merged)
+        if part_of_history is not None:
+            more = self._path("partial")
+            part_of_history.write.partitionBy("kind").parquet(more)
+            self.state["matches"].append(more)
+        self.runs.append(f"{merged}/kind=run")
+        drop_stored(self.spark, path)
 
     def compact(self) -> None:
-        """Merges all runs into one."""
-        first = F.min_by(F.struct(*_RUN[2:]), F.struct("did", "uid", "pos")).alias("r")
+        """Merges all runs into one. A context is in one run only, so rows are brought together by bucket and sorted."""
         path = self._path("run")
-        merged = self._history().groupBy("key", "context").agg(first).select("key", "context", "r.*", F.lit("run").alias("kind"))
-        merged.sortWithinPartitions("key").write.partitionBy("kind").parquet(path)
-        self.runs = [path]
+        rows = None
+        for run in self.runs:
+            one = self._table(run)
+            rows = one if rows is None else rows.unionByName(one)
+        self._write(rows.repartition(self.state["buckets"], "key"), path)
+        self.state["runs"] = [path]
 
     def _matched(self, kind: str) -> DataFrame:
         out = None
-        for path in self.matches:
-            found = self.spark.read.schema(_SCHEMA).parquet(path).where(F.col("kind") == kind).select(*_RUN)
+        for path in self.state["matches"]:
+            found = self.spark.read.schema(_MATCH).parquet(path).where(F.col("kind") == kind).select("did", "uid", "pos", "windows")
             out = found if out is None else out.unionByName(found)
         return out
 
@@ -117,6 +162,18 @@ class FingerprintIndex:
         drop_stored(self.spark, self.home)
 
 
+@contextlib.contextmanager
+def joined_by_bucket(spark: SparkSession):
+    """While the jobs of a batch are planned, joins on (key, context) take tables bucketed by key as they are."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _windows(texts: DataFrame, width: int) -> DataFrame:
     """Both hashes of every window of the partial contexts."""
 

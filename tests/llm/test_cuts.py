@@ -81,17 +81,38 @@ def test_batches_agree(spark, odd, batches):
     assert found(substrings.remove_repeats(table(spark, odd), batches=batches), 3) == wanted(odd, brute_words(odd))
 
 
-def test_compaction(spark, odd):
+def test_compaction_and_later_sessions(spark, odd):
+    """Runs are compacted on the way, and an index that was opened again goes on where it was."""
     rows = substrings.identified(table(spark, odd), "doc_id")
     index = substrings.FingerprintIndex(spark, fanout=2)
+    home = index.home
     for part in substrings._batches(rows, 5):
         index.add(part)
-    assert len(index.runs) < 5
+        assert len(index.runs) < 2 + (index.state["fanout"] > 2)
+        index = substrings.FingerprintIndex(spark, home=home)
     cut = substrings.cut_spans(rows, index.repeated(rows), "word", 50, ("doc_id",))
     assert found(cut, 3) == wanted(odd, brute_words(odd))
     index.close()
 
 
+def test_history_is_not_moved(spark, odd, monkeypatch):
+    """The merge of a batch with the runs has no exchange."""
+    rows = substrings.identified(table(spark, odd), "doc_id")
+    index = substrings.FingerprintIndex(spark, fanout=9)
+    plans = []
+    write = substrings.FingerprintIndex._write
+    monkeypatch.setattr(substrings.FingerprintIndex, "_write", lambda self, frame, path, *parts: (plans.append(frame._jdf.queryExecution().executedPlan().toString()) if parts else None, write(self, frame, path, *parts))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for part in substrings._batches(rows, 3):
+            index.add(part)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 3 and "SortMergeJoin" in plans[-1] and not [p for p in plans if "Exchange" in p]
+    index.close()
+
+
 def test_edited_passages(spark):
     passage = prose(9, 140)
     rows = [(i, prose(100 + i, 40) + (" " if i % 2 else "\n") + " ".join(w if (k + i) % 37 else f"edit{i}" for k, w in enumerate(passage.split())) + " " + prose(200 + i, 30)) for i in range(40)]
