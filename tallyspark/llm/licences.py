@@ -12,7 +12,8 @@ The SQL states the part of this that needs no patterns: sentences that stand on
 of ``SENTENCES`` and ``RULES`` only.
 
 Results for odd input: a null or empty text has no sentences and no licence; repeated
-rows give repeated results; an empty table gives an empty table; extra columns are ignored.
+rows, and rows that share an id, give a result each; of sentences that begin at one place the longest
+counts, of rules with the same licence one; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,19 @@ SENTENCES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liable",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-asis",
+    "see the license for the specific language governing permissions and limitations under the license": "apache2-see",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liable",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense-head",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-grant",
+    "licensed under cc by nc sa 4 0": "ccbyncsa4-ref",
+    "licensed under cc by nc nd 4 0": "ccbyncnd4-ref",
+    "licensed under cc by nd 4 0": "ccbynd4-ref",
     "licensed under cc by nc 4 0": "ccbync4-ref",
     "licensed under cc by 4 0": "ccby4-ref",
     "licensed under cc by sa 4 0": "ccbysa4-ref",
@@ -44,16 +58,25 @@ SENTENCES = {
 }
 # Ordered rules: the licence, and the identifiers that must come in sequence.
 RULES = [
+    ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liable"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", ["mit-grant", "mit-notice"]),
+    ("Apache-2.0", ["apache2-head", "apache2-comply", "apache2-copy", "apache2-asis", "apache2-see"]),
     ("Apache-2.0", ["apache2-head", "apache2-comply", "apache2-copy"]),
     ("Apache-2.0", ["apache2-head", "apache2-comply"]),
     ("GPL-3.0-or-later", ["gpl3-grant", "gpl-warranty"]),
     ("GPL-3.0-or-later", ["gpl3-grant"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("Zlib", ["zlib-warranty", "zlib-liable", "zlib-grant"]),
+    ("Unlicense", ["unlicense-head", "unlicense-grant"]),
+    ("Unlicense", ["unlicense-head"]),
+    ("BSL-1.0", ["bsl-grant"]),
     ("MIT", ["mit-ref"]),
     ("Apache-2.0", ["apache2-ref"]),
     ("GPL-3.0-only", ["gpl3-ref"]),
+    ("CC-BY-NC-SA-4.0", ["ccbyncsa4-ref"]),
+    ("CC-BY-NC-ND-4.0", ["ccbyncnd4-ref"]),
+    ("CC-BY-ND-4.0", ["ccbynd4-ref"]),
     ("CC-BY-NC-4.0", ["ccbync4-ref"]),
     ("CC-BY-SA-4.0", ["ccbysa4-ref"]),
     ("CC-BY-4.0", ["ccby4-ref"]),
@@ -75,6 +98,16 @@ PATTERNS = [
     (_UNDER + "(?:2 clause bsd|bsd 2 clause|simplified bsd)(?: licen[sc]e)?", "bsd2-ref"),
     (_UNDER + "mozilla public licen[sc]e(?: version)? (?:v )?2 0", "mpl2-ref"),
     (_UNDER + "isc licen[sc]e", "isc-ref"),
+    (_UNDER + "(?:gnu affero general public license|gnu agpl|agpl) (?:version 3|v3)(?: 0)?", "agpl3-ref"),
+    (_UNDER + "boost software licen[sc]e(?: version)? 1 0", "bsl-ref"),
+    (_UNDER + "eclipse public licen[sc]e(?: version)? (?:v )?2 0", "epl2-ref"),
+    (_UNDER + "(?:a )?creative commons attribution 4 0(?: international)?(?: licen[sc]e)?", "ccby4-ref"),
+    (_UNDER + "(?:a )?creative commons attribution share(?: )?alike 4 0(?: international)?(?: licen[sc]e)?", "ccbysa4-ref"),
+    (_UNDER + "(?:a )?creative commons attribution non(?: )?commercial 4 0(?: international)?(?: licen[sc]e)?", "ccbync4-ref"),
+    (_UNDER + "(?:a )?creative commons attribution no(?: )?derivatives 4 0(?: international)?(?: licen[sc]e)?", "ccbynd4-ref"),
+    (_UNDER + "(?:a )?creative commons attribution non(?: )?commercial share(?: )?alike 4 0(?: international)?(?: licen[sc]e)?", "ccbyncsa4-ref"),
+    (_UNDER + "(?:a )?creative commons attribution non(?: )?commercial no(?: )?derivatives 4 0(?: international)?(?: licen[sc]e)?", "ccbyncnd4-ref"),
+    (_GRANT.format(_THING, "affero general public license", "3"), "agpl3-grant"),
     (_GRANT.format(_THING, "general public license", "2"), "gpl2-grant"),
     (_GRANT.format(_THING, "general public license", "3"), "gpl3-grant"),
     (_GRANT.format(_THING, "lesser general public license", "2 1"), "lgpl21-grant"),
@@ -86,6 +119,10 @@ PATTERNS = [
 ]
 _BSD3 = "bsd-grant bsd-source bsd-binary bsd-name"
 MORE_RULES = [
+    ("AGPL-3.0-or-later", ["agpl3-grant", "gpl-warranty"]),
+    ("AGPL-3.0-or-later", ["agpl3-grant"]),
+    ("GPL-2.0-or-later", ["gpl2-grant", "gpl-warranty"]),
+    ("LGPL-2.1-or-later", ["lgpl21-grant", "gpl-warranty"]),
     ("GPL-2.0-or-later", ["gpl2-grant"]),
     ("LGPL-2.1-or-later", ["lgpl21-grant"]),
     ("LGPL-3.0-or-later", ["lgpl3-grant"]),
@@ -94,6 +131,9 @@ MORE_RULES = [
     ("GPL-2.0-only", ["gpl2-ref"]),
     ("LGPL-3.0-only", ["lgpl3-ref"]),
     ("LGPL-2.1-only", ["lgpl21-ref"]),
+    ("AGPL-3.0-only", ["agpl3-ref"]),
+    ("BSL-1.0", ["bsl-ref"]),
+    ("EPL-2.0", ["epl2-ref"]),
     ("BSD-3-Clause", ["bsd3-ref"]),
     ("BSD-2-Clause", ["bsd2-ref"]),
     ("MPL-2.0", ["mpl2-ref"]),
@@ -101,7 +141,7 @@ MORE_RULES = [
 ]
 
 #: One of these is in every known sentence and pattern; texts without any aren't searched.
-WORDS = "(?i)licen|permi|reserved|redistribut|warrant|notice|bsd|gpl"
+WORDS = "(?i)licen|permi|reserved|redistribut|warrant|notice|bsd|gpl|creative|liable|unencumbered|anyone"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -42,16 +42,28 @@ MPL = "This Source Code Form is subject to the terms of the Mozilla Public Licen
 ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
 
 
+ZLIB = ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"]
+AGPL = GPL.replace("GNU General", "GNU Affero General").format(3) + "\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+UNLICENSE = ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."]
+
+
+def test_long_text(spark):
+    """A text of more than a megabyte is searched to its end."""
+    text = "some words of no licence. " * 50_000 + "\n\n" + textwrap.fill(AGPL, 72)
+    (row,) = licences.scan(table(spark, [(1, text)])).collect()
+    assert row.licences == "AGPL-3.0-or-later" and row.n_sentences > 50_000
+
+
 def test_wrapped_licences(spark):
     """Licences as they are usually written: wrapped at 72 columns, bare and as comments, and short references."""
-    whole = [("MIT", MIT), ("BSD-3-Clause", BSD), ("BSD-2-Clause", BSD[:3]), ("GPL-3.0-or-later", [GPL.format(3)]), ("GPL-2.0-or-later", [GPL.format(2)]), ("LGPL-2.1-or-later", [LGPL]), ("MPL-2.0", [MPL]), ("ISC", [ISC]), ("Apache-2.0", APACHE.split("\n\n"))]
+    whole = [("MIT", MIT), ("BSD-3-Clause", BSD), ("BSD-2-Clause", BSD[:3]), ("GPL-3.0-or-later", [GPL.format(3)]), ("GPL-2.0-or-later", [GPL.format(2)]), ("LGPL-2.1-or-later", [LGPL]), ("MPL-2.0", [MPL]), ("ISC", [ISC]), ("Apache-2.0", APACHE.split("\n\n")), ("Zlib", ZLIB), ("AGPL-3.0-or-later", AGPL.split("\n\n")), ("Unlicense", UNLICENSE)]
     rows, want = [], {}
     for name, parts in whole:
         text = "\n\n".join(textwrap.fill(p, 72) for p in parts)
         for mark in ("", "# ", " * ", "// "):
             want[len(rows)] = name
             rows.append((len(rows), "Copyright (c) 2020 Some One\n" + "\n".join(mark + line for line in text.split("\n")) + "\n"))
-    for name, text in [("MIT", "This project is licensed under the MIT License"), ("Apache-2.0", "Distributed under the Apache License, Version 2.0"), ("BSD-3-Clause", "Some words. Released under the\n3-clause BSD license."), (None, "They spoke of the MIT License at length."), (None, "Licensed under the\n\nMIT License")]:
+    for name, text in [("MIT", "This project is licensed under the MIT License"), ("Apache-2.0", "Distributed under the Apache License, Version 2.0"), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."), ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"), ("BSD-3-Clause", "Some words. Released under the\n3-clause BSD license."), (None, "They spoke of the MIT License at length."), (None, "Licensed under the\n\nMIT License")]:
         want[len(rows)] = name
         rows.append((len(rows), text))
     got = {r.doc_id: r.licences for r in licences.scan(table(spark, rows)).collect()}
