@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -87,6 +88,12 @@ def stored(frame: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that nothing refers to any more, rather than at the driver's next collection of garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_stored(spark: SparkSession, *paths: str) -> None:
     """Deletes tables that ``stored`` wrote."""
     for path in paths:

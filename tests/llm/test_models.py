@@ -216,8 +216,8 @@ class PlainMixing:
                 if n <= 8:
                     x[1 + k] = sign * (log(m - own) - log(n - m))
                 else:
-                    steps = min(12, max(-12, round((log(m) - log(n - m)) / 0.75)))
-                    x[1 + k] = sign * (0.75 * steps + (log(m - own) - log(m) if m <= 8 else 0))
+                    steps = min(9, max(-9, round(log(m) - log(n - m))))
+                    x[1 + k] = sign * (steps + (log(m - own) - log(m) if m <= 8 else 0))
         return np.array(x), bit * mixing.KINDS + gate, value
 
     def bits(self, t, at, code, own):
