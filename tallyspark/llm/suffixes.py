@@ -4,12 +4,12 @@
    occur more than once. Equal contexts are one dictionary phrase: all occurrences but
    the first are repeats in full.
 2. The phrases that share an anchor but differ go to blocks of about ``BLOCK`` bytes. In
-   each block a Burrows-Wheeler transform of the phrases is built and run-compressed.
-   Matching statistics are sampled at the run heads only (there the length of the match
-   with the suffix before is compared byte by byte) and streamed over the text in order:
-   inside a run each is one less than the one before. Suffixes whose matches reach the
-   wanted length in sequence are equal windows; all but the first in document order are
-   repeats.
+   each block a Burrows-Wheeler transform of the phrases is built and run-compressed: what
+   is kept is a sample for each run end (``RunIndex``): the two suffixes that meet there and
+   the length of their match, compared byte by byte. Matching statistics are streamed from
+   the samples over the text in order. A place whose match reaches the wanted length is
+   linked with the place that it matches; the windows of one chain are equal, and all but
+   the first in document order are repeats.
 3. Spans of repeats are joined to their documents and cut.
 
 A context is divided at its anchor into windows that reach far to the left and those
@@ -26,6 +26,8 @@ the text, those without an id after all others; an empty table gives an empty ta
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -39,6 +41,8 @@ WIDTH = 100
 SIZE = 40
 BLOCK = 1 << 19
 HOT = 2 << 20
+#: Places of a block whose matching statistics are streamed at once.
+STREAM = 1 << 16
 
 
 def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
@@ -49,7 +53,7 @@ def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(step):
         key <<= bits
-        key[: n - k] |= symbols[k:]
+        key[: max(0, n - k)] |= symbols[k:]
     while True:
         order = np.argsort(key)
         ordered = key[order]
@@ -63,30 +67,48 @@ def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def run_length_bwt(symbols: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The suffix array, the heads of the transform's runs, and the symbols of the runs."""
-    suffixes = np.empty(len(rank), np.int64)
-    suffixes[rank] = np.arange(len(rank))
-    before = symbols[suffixes - 1]
-    heads = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
-    return suffixes, heads, before[heads]
-
-
-def match_lengths(symbols: np.ndarray, suffixes: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """For each text position the length of the match with the suffix sorted before it,
-    compared at the heads of runs and streamed from there."""
-    at, other = suffixes[heads[heads > 0]], suffixes[heads[heads > 0] - 1]
-    reach = np.zeros(len(symbols), np.int64)
-    length, live = 0, np.arange(len(at))
-    padded = np.concatenate((symbols, [-1]))
-    found = np.zeros(len(at), np.int64)
-    while len(live):
-        same = padded[np.minimum(at[live] + length, len(symbols))] == padded[np.minimum(other[live] + length, len(symbols))]
-        found[live[~same]] = length
-        live = live[same]
-        length += 1
-    reach[at] = found + at
-    return np.maximum(np.maximum.accumulate(reach) - np.arange(len(symbols)), 0)
+@dataclass
+class RunIndex:
+    """Samples at the run heads of a transform, in text order: where the suffix at a head begins,
+    where the one sorted before it begins, and how long the two match.
+
+    Within a run both suffixes have the same symbol before them, so a step to the left by either
+    leads to neighbours again: from a sample on, the neighbour moves with the text and the match
+    gets one shorter with each place. The samples alone hold all matching statistics; the index
+    has a row for each run, not for each place.
+    """
+
+    head: np.ndarray
+    before: np.ndarray
+    match: np.ndarray
+
+    @classmethod
+    def build(cls, symbols: np.ndarray) -> RunIndex:
+        """The last symbol of every phrase occurs once."""
+        rank = suffix_ranks(symbols)
+        suffixes = np.empty(len(rank), np.int64)
+        suffixes[rank] = np.arange(len(rank))
+        transform = symbols[suffixes - 1]
+        heads = np.flatnonzero(transform[1:] != transform[:-1]) + 1
+        at, other = suffixes[heads], suffixes[heads - 1]
+        match = np.zeros(len(at), np.int64)
+        length, live = 0, np.arange(len(at))
+        while len(live):  # ends: no two suffixes share the end mark of a phrase
+            same = symbols[at[live] + length] == symbols[other[live] + length]
+            match[live[~same]] = length
+            live = live[same]
+            length += 1
+        # the least suffix has none before it
+        at, other, match = (np.append(x, y) for x, y in ((at, suffixes[0]), (other, suffixes[0]), (match, 0)))
+        order = np.argsort(at)
+        return cls(at[order], other[order], match[order])
+
+    def stream(self, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the places from first to end, in order: the place whose suffix is sorted before, and the length of the match."""
+        places = np.arange(first, end)
+        sample = np.searchsorted(self.head, places, "right") - 1
+        past = places - self.head[sample]
+        return self.before[sample] + past, np.maximum(self.match[sample] - past, 0)
 
 
 def repeats(phrases: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
@@ -97,13 +119,23 @@ def repeats(phrases: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
     symbols[ends - 1] = np.arange(m)
     body = ragged(ends - sizes - 1, sizes)
     symbols[body] = phrases.astype(np.int64) + m
-    suffixes, heads, _ = run_length_bwt(symbols, suffix_ranks(symbols))
-    matches = match_lengths(symbols, suffixes, heads)
-    new = matches[suffixes] < width
-    new[0] = True
-    first = np.minimum.reduceat(suffixes, np.flatnonzero(new))
-    marked = np.empty(len(symbols), bool)
-    marked[suffixes] = suffixes != first[np.cumsum(new) - 1]
+    index = RunIndex.build(symbols)
+    chain = np.arange(len(symbols))  # leads to a place with an equal window
+    for first in range(0, len(symbols), STREAM):
+        before, match = index.stream(first, min(first + STREAM, len(symbols)))
+        long = np.flatnonzero(match >= width)
+        chain[first + long] = before[long]
+    linked = np.flatnonzero(chain != np.arange(len(symbols)))
+    steps = linked
+    while len(steps):  # to the end of each chain, twice as far each time
+        further = chain[chain[steps]]
+        moved = further != chain[steps]
+        chain[steps] = further
+        steps = steps[moved]
+    group = np.union1d(linked, chain[linked])
+    _, first, which = np.unique(chain[group], return_index=True, return_inverse=True)
+    marked = np.zeros(len(symbols), bool)
+    marked[group] = first[which] != np.arange(len(group))
     return marked[body]
 
 

@@ -1,7 +1,9 @@
 """Substring and suffix dedup against brute force, and odd input."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 
 from helpers import prose, table
@@ -122,6 +124,38 @@ def test_edited_passages(spark):
     assert found(substrings.remove_repeats(table(spark, short), width=12, size=4), 3) == wanted(short, brute_words(short, 12))
 
 
+def test_run_index_by_definition():
+    """Neighbours and matches that are streamed from samples at run ends, against sorted suffixes; repeats, against sets."""
+    draw = random.Random(7)
+    for _ in range(200):
+        letters, width = draw.randrange(1, 4), draw.randrange(1, 7)
+        phrases = [bytes(draw.randrange(letters) for _ in range(draw.randrange(1, 30))) for _ in range(draw.randrange(1, 6))]
+        flat, sizes = np.frombuffer(b"".join(phrases), np.uint8), np.array([len(x) for x in phrases])
+        seen, want = set(), []
+        for x in phrases:
+            for j in range(len(x)):
+                part = x[j : j + width]
+                want.append(len(part) == width and part in seen)
+                seen.add(part)
+        assert suffixes.repeats(flat, sizes, width).tolist() == want
+        symbols = [y for k, x in enumerate(phrases) for y in [*(c + len(phrases) for c in x), k]]
+        order = sorted(range(len(symbols)), key=lambda i: symbols[i:])
+        before, match = suffixes.RunIndex.build(np.array(symbols)).stream(0, len(symbols))
+        for x, y in zip(order[:-1], order[1:]):
+            assert before[y] == x and match[y] == next(k for k, (a, b) in enumerate(zip(symbols[x:], symbols[y:])) if a != b)
+
+
+def test_run_index_is_short_and_decides(monkeypatch):
+    """Many edited copies: far fewer samples than places, and the index decides the windows that no equal context does."""
+    made, build = [], suffixes.RunIndex.build
+    base = prose(31, 150).encode()
+    copies = [base[: 40 * k] + b"#%d#" % k + base[40 * k + 4 :] for k in range(1, 20)]
+    flat, sizes = np.frombuffer(b"".join(copies), np.uint8), np.array([len(x) for x in copies])
+    monkeypatch.setattr(suffixes.RunIndex, "build", lambda symbols: made.append((len(symbols), len((index := build(symbols)).head))) or index)
+    decided = int(suffixes.repeats(flat, sizes, 100).sum())
+    assert made[0][1] * 5 < made[0][0] and decided > len(flat) / 2
+
+
 def test_oversized_groups(spark, monkeypatch):
     """Blocks so small that groups are cut off, go on, and are settled by window hashes."""
     passage = prose(11, 60)
