@@ -6,11 +6,12 @@ both ends). All languages share, for each order, one sorted array of n-gram hash
 a column of discounted probabilities per language, and one sorted array of context
 hashes with a column of back-off weights. A text's language is the one of least cross-
 entropy per character. Confidence is the softmax of the cross-entropies under a
-temperature fitted to the training sample, lowered where the best cross-entropy is far
-above what that language's training texts have; ``reject`` is a threshold on it.
+temperature fitted to texts held back from the model, lowered where the best cross-entropy
+is far above what that language's held-back texts have; ``REJECT`` is a threshold on it.
 
-Training takes all texts of a language up to ``PER_LANGUAGE`` (then a hashed sample of
-about that many): the documented bound of the fit. Prediction takes every whole text.
+Training takes all texts of a language up to ``PER_LANGUAGE`` texts and
+``BYTES_PER_LANGUAGE`` bytes (then a hashed sample of about that many): the documented
+bounds of the fit. Prediction takes every whole text.
 
 Results for odd input: a null text or one without a letter gives ``und`` with score 0;
 without any labelled text every result is ``und``; ties between languages go to the
@@ -31,8 +32,11 @@ from tallyspark.llm.frames import in_small_batches
 from tallyspark.llm.text import mix, prefix_hash, span_hash, text_slices
 
 ORDER = 5
-#: Training texts for each language.
+#: Training texts for each language, and their bytes.
 PER_LANGUAGE = 500
+BYTES_PER_LANGUAGE = 8 << 20
+#: One of so many training texts is held back to calibrate.
+HELD_BACK = 5
 UNKNOWN = "und"
 #: Below this confidence the pipeline rejects a text.
 REJECT = 0.5
@@ -224,24 +228,32 @@ def _kneser_ney(symbols: np.ndarray, place: np.ndarray, weight: np.ndarray) -> l
     return out
 
 
-def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """Rows with a text and a language: all of a language up to the bound, beyond it a sample by a hash of the id."""
+def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, bytes_per_language: int = BYTES_PER_LANGUAGE) -> DataFrame:
+    """Rows with a text and a language, and whether they are held back from the counts.
+
+    All of a language up to both bounds, beyond them a sample by a hash of the id that has about so many texts or bytes.
+    """
     rows = in_small_batches(docs).select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").count().collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("texts"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    back = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(HELD_BACK)) == 0
     if not sizes:
-        return rows
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
+        return rows.withColumn("back", back)
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["texts"], bytes_per_language / max(r["bytes"], 1)))])
     drawn = (F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30)))
-    return rows.where(drawn < share[F.col("lang")])
+    return rows.where(drawn < share[F.col("lang")]).withColumn("back", back)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Trains and calibrates on labelled rows; only the bounded sample's word counts reach the driver."""
+    """Trains and calibrates on labelled rows; only the bounded sample's word counts reach the driver.
+
+    What the calibration measures comes from texts held back from the model that it asks; the
+    model that is returned knows all of the sample.
+    """
     sample = labelled_sample(docs, per_language)
 
     def count(batches):
         for batch in batches:
-            names = batch.column(1).to_pylist()
+            names = [f"{int(back)}{name}" for name, back in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             for first, end, data, offsets in text_slices(batch.column(0)):
                 found = distinct_words(data, offsets)
                 if not found.count:
@@ -252,32 +264,35 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 text = found.symbols[inner].astype(np.uint32).tobytes().decode("utf-32-le")
                 ends = np.cumsum(np.bincount(found.owner[inner], minlength=found.count))
                 strings = [text[b - s : b] for b, s in zip(ends.tolist(), np.diff(np.concatenate(([0], ends))).tolist())]
-                yield pa.RecordBatch.from_pydict({"lang": [str(kinds[p // found.count]) for p in pairs], "word": [strings[p % found.count] for p in pairs], "times": pa.array(times, pa.int64())})
+                kind = [str(kinds[p // found.count]) for p in pairs]
+                yield pa.RecordBatch.from_pydict({"lang": [k[1:] for k in kind], "word": [strings[p % found.count] for p in pairs], "counted": pa.array(np.where([k[0] == "0" for k in kind], times, 0), pa.int64()), "times": pa.array(times, pa.int64())})
 
-    rows = sample.select("text", "lang").mapInArrow(count, "lang string, word string, times long").groupBy("lang", "word").agg(F.sum("times").alias("times")).collect()
-    model = train(sorted((r["lang"], r["word"], r["times"]) for r in rows))
+    words = sample.select("text", "lang", "back").mapInArrow(count, "lang string, word string, counted long, times long")
+    rows = sorted(tuple(r) for r in words.groupBy("lang", "word").agg(F.sum("counted"), F.sum("times")).collect())
+    model = train([(lang, word, times) for lang, word, _, times in rows])
     if model.languages:
-        _calibrate(model, sample)
+        asked = train([(lang, word, counted) for lang, word, counted, _ in rows if counted])
+        calibrate(model, asked, sample)
     return model
 
 
-def _calibrate(model: Model, sample: DataFrame) -> None:
-    def measure(batches):
-        for batch in batches:
-            for first, end, data, offsets in text_slices(batch.column(0)):
-                entropy, chars = model.entropies(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, end - first), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(chars)], names=["lang", "entropy", "chars"])
+def calibrate(model: Model, asked: Model, sample: DataFrame) -> None:
+    """Sets the model's temperature and each language's usual cross-entropy by what ``asked`` says of texts held back from it.
 
-    rows = [r for r in sample.select("text", "lang").mapInArrow(measure, "lang string, entropy array<double>, chars double").collect() if r["chars"] > 0]
+    A language without such a text has the mean of the others; where there is none at all, the texts it was trained on are measured.
+    """
+    rows = _measured(asked, sample.where("back")) if asked.languages else []
+    if not rows:
+        asked, rows = model, _measured(model, sample)
     if not rows:
         return
-    index = {name: k for k, name in enumerate(model.languages)}
+    index = {name: k for k, name in enumerate(asked.languages)}
     entropy = np.array([r["entropy"] for r in rows])
     truth = np.array([index[r["lang"]] for r in rows])
-    for k in range(len(model.languages)):
-        own = entropy[truth == k, k]
-        if len(own):
-            model.usual[k] = max(0.1, float(own.mean()))
+    own = entropy[np.arange(len(truth)), truth]
+    for k, name in enumerate(model.languages):
+        known = own[truth == index.get(name, -1)]
+        model.usual[k] = max(0.1, float(known.mean() if len(known) else own.mean()))
     losses = []
     for temperature in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
         z = -(entropy - entropy.min(axis=1, keepdims=True)) / temperature
@@ -285,6 +300,19 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
     model.temperature = min(losses)[1]
 
 
+def _measured(model: Model, sample: DataFrame) -> list:
+    """Cross-entropies of the sample's texts of languages that the model knows."""
+
+    def measure(batches):
+        for batch in batches:
+            for first, end, data, offsets in text_slices(batch.column(0)):
+                entropy, chars = model.entropies(data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, end - first), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(chars)], names=["lang", "entropy", "chars"])
+
+    found = sample.where(F.col("lang").isin(model.languages)).select("text", "lang").mapInArrow(measure, "lang string, entropy array<double>, chars double")
+    return found.where("chars > 0").collect()
+
+
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds lang_pred, score and bits_per_char to the kept columns; reads nothing else than the text."""
     at = keep.index("text") if "text" in keep else len(keep)
