@@ -3,8 +3,10 @@
 import random
 import textwrap
 
+import numpy as np
+
 from helpers import prose, table
-from tallyspark.llm import decontaminate, licences
+from tallyspark.llm import decontaminate, language, licences
 
 
 def test_long_items_at_the_limit(spark):
@@ -68,3 +70,44 @@ def test_wrapped_licences(spark):
         rows.append((len(rows), text))
     got = {r.doc_id: r.licences for r in licences.scan(table(spark, rows)).collect()}
     assert got == {i: name or "" for i, name in want.items()}
+
+
+def test_samples_alone_reach_their_recall():
+    """Items of all lengths with all the edits they may have, found by equal samples of walks before any exact check."""
+    draw = random.Random(5)
+    found = asked = 0
+    for n in (20, 60, 100, 200, 400):
+        items = [[f"v{draw.randrange(3000)}" for _ in range(n)] for _ in range(12)]
+        index = decontaminate.Index([(k, " ".join(x)) for k, x in enumerate(items)])
+        for k, item in enumerate(items):
+            text = list(item)
+            for e in range(decontaminate.budget(n)):
+                at = draw.randrange(len(text))
+                text[at : at + draw.randrange(2)] = [f"edit{e}"] * draw.randrange(2)
+            raw = " ".join(["before"] * 9 + text + ["after"] * 9).encode()
+            symbols, cuts = decontaminate.hashed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            found += any(hit == k for _, hit, _ in index.sampled(symbols, cuts, *index.windows(symbols, cuts)))
+            asked += 1
+    assert found >= 0.95 * asked
+
+
+def test_items_without_an_id_or_with_a_shared_one(spark):
+    one, two, three = (prose(seed, 30) for seed in (51, 52, 53))
+    items = spark.createDataFrame([(None, one), (7, two), (7, three), (7, three), (8, None)], "item_id long, text string")
+    found = decontaminate.leaks(table(spark, [(1, one), (2, two + " and " + three), (3, None)]), items).collect()
+    assert sorted((r.doc_id, r.item_id or -1, r.distance) for r in found) == [(1, -1, 0), (2, 7, 0), (2, 7, 0)]
+
+
+def test_calibration_asks_texts_held_back(spark):
+    """Usual cross-entropies are those of texts that the asked model hasn't seen, not of those it was trained on."""
+    rows = [(i, prose(700 + i, 60), "xx" if i % 2 else "yy") for i in range(80)]
+    docs = table(spark, [(i, t if g == "xx" else t.translate(str.maketrans("abdeilnorst", "çžqujkvwxyz")), g) for i, t, g in rows])
+    model = language.fit(docs)
+    sample = language.labelled_sample(docs)
+    assert 0 < sample.where("back").count() < 40
+    seen = {r["lang"]: [] for r in language._measured(model, sample)}
+    for r in language._measured(model, sample):
+        seen[r["lang"]].append(r["entropy"][model.languages.index(r["lang"])])
+    for k, name in enumerate(model.languages):
+        assert model.usual[k] > sum(seen[name]) / len(seen[name])
+    assert language.labelled_sample(docs, bytes_per_language=4000).count() < 40
