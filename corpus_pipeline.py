@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, decontaminate, language, neardup, suffixes
-from tallyspark.llm.frames import LAST, documents, fold, identified, stored
+from tallyspark.llm.frames import LAST, documents, drop_stored, fold, identified, shared_folder, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -69,7 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """Each stage's table is deleted once the next one's is written; the last one stays."""
+    docs, before = documents(spark, sf_dir), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = shared_folder(spark)
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if before is not None:
+            drop_stored(spark, before)
+        before = path
     return docs
