@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, decontaminate, language, licences, mixing, neardup, spots, sql, substrings, suffixes
+from tallyspark.llm import bpe, chat, codes, decontaminate, interactions, language, licences, mixing, neardup, spots, sql, substrings, suffixes, token_counts
 from tallyspark.llm.frames import documents, fold
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -59,6 +59,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=8, entries=16, rounds=6)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=1024)
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conditions = interactions.failures(F.coalesce("text", F.lit("")))
+    return interactions.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), conditions, repeated="E")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -70,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_spot_fingerprints": op8_spot_fingerprints,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_counts": op12_token_counts,
+    "op13_filter_interactions": op13_filter_interactions,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +94,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_preference_format": chat.SQL,
     "op5_licence_scan": licences.SQL,
     "op7_suffix_dedup": sql.SUFFIXES,
+    "op11_vector_codes": codes.SQL,
+    "op13_filter_interactions": interactions.SQL,
 }
