@@ -45,6 +45,8 @@ from tallyspark.llm.frames import drop_stored, in_small_batches, shared_folder,
 STRETCH = 32_000_000
 #: Counted pre-tokens that a task packs into rows at once.
 PACK = 500_000
+#: Bits of a place in a stretch (no text has more words), and of a stretch's number within its task; 22 are left for the task's.
+PLACE_BITS, STRETCH_BITS = 29, 12
 
 _FREQUENCIES = "stretch long, doc_id long, n_bytes long, n_tokens long, places array<int>, times array<int>, words array<string>"
 
@@ -122,7 +124,7 @@ def frequencies(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
         own = counts(path, pattern)
         entries = own.entries.get
         schema = pa.schema([("stretch", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("places", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("words", pa.list_(pa.string()))])
-        stretch, size = TaskContext.get().partitionId() << 32, 0
+        stretch, size = TaskContext.get().partitionId() << STRETCH_BITS, 0
         words: dict[str, int] = {}
 
         def words_of_stretch() -> pa.RecordBatch:
@@ -156,7 +158,8 @@ def frequencies(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
 
 
 def pieces(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(stretch, places, pieces): the tokens of each word of a stretch, from rows (word, stretch, place).
+    """(stretch, places, pieces): the tokens of each word of a stretch, from rows (word, at);
+    ``at`` is the stretch and the place in its list as one number.
 
     Equal words come to one task one after the other, and are counted once."""
 
@@ -167,9 +170,9 @@ def pieces(words: DataFrame, path: str, pattern: str) -> DataFrame:
         size = 0
 
         def packed() -> pa.RecordBatch:
-            stretch, place, n = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(stretch, kind="stable")
-            stretch, place, n = stretch[order], place[order], n[order]
+            at, n = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(at)
+            stretch, place, n = at[order] >> PLACE_BITS, (at[order] & ((1 << PLACE_BITS) - 1)).astype(np.int32), n[order]
             starts = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1])))
             bounds = pa.array(np.append(starts, len(stretch)), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(stretch[starts]), pa.ListArray.from_arrays(bounds, pa.array(place)), pa.ListArray.from_arrays(bounds, pa.array(n))], names=["stretch", "places", "pieces"])
@@ -186,7 +189,7 @@ def pieces(words: DataFrame, path: str, pattern: str) -> DataFrame:
             n = np.array([known[w] for w in some], np.int32)[encoded.indices.to_numpy()]
             last = batch.column(0)[-1].as_py()
             last_count = known[last]
-            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), n))
+            held.append((batch.column(1).to_numpy(), n))
             size += len(n)
             if size >= PACK:
                 yield packed()
@@ -194,7 +197,7 @@ def pieces(words: DataFrame, path: str, pattern: str) -> DataFrame:
         if held:
             yield packed()
 
-    together = words.repartition("word").sortWithinPartitions("word").select("word", "stretch", "place")
+    together = words.repartition("word").sortWithinPartitions("word").select("word", "at")
     return together.mapInArrow(run, "stretch long, places array<int>, pieces array<int>")
 
 
@@ -219,7 +222,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024) ->
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frequencies(docs, path, pattern).write.bucketBy(buckets, "stretch").option("path", folder).format("parquet").saveAsTable(name)
     found = spark.table(name)
-    words = found.where("words is not null").select(F.posexplode("words").alias("place", "word"), "stretch")
+    words = found.where("words is not null").select(F.posexplode("words").alias("place", "word"), "stretch").select("word", (F.shiftleft("stretch", PLACE_BITS) + F.col("place")).alias("at"))
     answers = pieces(words, path, pattern)
     own = found.where("n_bytes is not null").select("stretch", "doc_id", "n_bytes", "n_tokens", "places", "times")
     joined = own.groupBy("stretch").cogroup(answers.groupBy("stretch")).applyInArrow(lambda d, a: _summed(d, a), "doc_id long, n_bytes long, n_tokens long")
