@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import answers as A
 from tallyspark.operators import backlog, ingest, metrics, ranking, retrieval
+from tallyspark.operators.keyed import KeyedTable
 from tallyspark.plans import jobs
 from tallyspark.plans.registry import QUERIES, SQL, query
 from tallyspark.sources.files import parse_corpus_line
 from tallyspark.sources.roles import SQL as ROLES
 from tallyspark.sources.roles import Survey
+from tallyspark.sources.versions import new_folder
 
 __all__ = ["QUERIES", "SQL", "query"]
 
@@ -322,6 +324,19 @@ def keyed_update(s: Survey) -> DataFrame:
     return backlog.updated(s.items().select("item_id", "primary_topic", "item_name"), results, "item_id", "primary_topic")
 
 
+TAGGED_SQL = "SELECT i.item_id, coalesce(r.new_topic, i.primary_topic) AS primary_topic, i.item_name FROM items i LEFT JOIN (SELECT l_partkey AS item_id, arg_max('topic-' || l_linenumber, (l_returnflag, l_shipdate, l_orderkey, l_linenumber)) AS new_topic FROM lineitem WHERE l_returnflag IN ('N', 'R') GROUP BY 1) r USING (item_id)"
+
+
+@query("keyed_update_versions", TAGGED_SQL, "items")
+def keyed_update_versions(s: Survey) -> DataFrame:
+    """Two updates, one after the other, of a stored table; the later one counts."""
+    table = KeyedTable.create(s.items().select("item_id", "primary_topic", "item_name"), new_folder(s.spark), "item_id", buckets=8)
+    for flag in ("N", "R"):
+        found = s.table("lineitem").where(F.col("l_returnflag") == flag)
+        table.update(found.select(F.col("l_partkey").alias("item_id"), F.concat(F.lit("topic-"), F.col("l_linenumber").cast("string")).alias("primary_topic"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("stamp")), "primary_topic")
+    return table.read()
+
+
 @query("tag_summary", "SELECT primary_topic, count(*) AS n, count(*) FILTER (WHERE size / 50.0 < 0.5) AS low_confidence, count(*) FILTER (WHERE canonical_brand LIKE '%1') AS brands FROM items GROUP BY 1", "items")
 def tag_summary(s: Survey) -> DataFrame:
     return backlog.tag_summary(s.items().withColumns({"confidence": F.col("size") / 50.0, "is_brand": F.col("canonical_brand").like("%1")}))
