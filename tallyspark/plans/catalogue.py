@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import answers as A
 from tallyspark.operators import backlog, ingest, metrics, ranking, retrieval
 from tallyspark.operators.keyed import KeyedTable
+from tallyspark.operators.vector_index import VectorIndex
 from tallyspark.plans import jobs
 from tallyspark.plans.registry import QUERIES, SQL, query
 from tallyspark.sources.files import parse_corpus_line
@@ -421,6 +422,15 @@ def semantic_topk(s: Survey) -> DataFrame:
     return retrieval.nearest(rows, rows.where("vec_id % 100 = 0"), "embedding", "vec_id")
 
 
+@query("semantic_topk_index", NEAREST_SQL.format(key="vec_id", vector="embedding", rows="embeddings", k=10))
+def semantic_topk_index(s: Survey) -> DataFrame:
+    """The same through cells and codes: with all cells asked and as many candidates as may be among the nearest, the result is exact."""
+    rows = s.table("embeddings")
+    index = VectorIndex.build(rows, new_folder(s.spark), "vec_id", "embedding", 64, entries=64)
+    found = index.search(rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 10, probes=len(index.quantiser.centres))
+    return found.select("query", F.col("key").alias("vec_id"), "similarity", "nth")
+
+
 @query("semantic_one_query", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {VECTOR}::DOUBLE[]), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {VECTOR}::DOUBLE[]) DESC, vec_id LIMIT 10")
 def semantic_one_query(s: Survey) -> DataFrame:
     return retrieval.semantic_topk(s.table("embeddings"), "embedding", "vec_id", VECTOR).select("vec_id", F.round("similarity", 6).alias("similarity"))
