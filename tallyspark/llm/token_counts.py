@@ -42,13 +42,15 @@ from pyspark.sql import functions as F
 from tallyspark.llm.frames import drop_stored, in_small_batches, shared_folder, stored
 
 #: Characters of text after which a stretch ends.
-STRETCH = 32_000_000
+STRETCH = 16_000_000
+#: Pre-tokens of a stretch in one row at most.
+LIST = 16_384
 #: Counted pre-tokens that a task packs into rows at once.
 PACK = 500_000
 #: Bits of a place in a stretch (no text has more words), and of a stretch's number within its task; 22 are left for the task's.
 PLACE_BITS, STRETCH_BITS = 29, 12
 
-_FREQUENCIES = "stretch long, doc_id long, n_bytes long, n_tokens long, places array<int>, times array<int>, words array<string>"
+_FREQUENCIES = "stretch long, doc_id long, n_bytes long, n_tokens long, places array<int>, times array<int>, first int, words array<string>"
 
 
 class Counts:
@@ -117,18 +119,21 @@ def counts(path: str, pattern: str) -> Counts:
 
 
 def frequencies(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Documents with how often they have each pre-token that is no entry of the vocabulary: places in the list ``words``
-    of a further row of their stretch (doc_id and n_bytes null). n_tokens counts the entries and special tokens."""
+    """Documents with how often they have each pre-token that is no entry of the vocabulary: places in the list
+    of their stretch, which is in further rows: ``words`` from place ``first`` on (doc_id and n_bytes null). n_tokens
+    counts the entries and special tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counts(path, pattern)
         entries = own.entries.get
-        schema = pa.schema([("stretch", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("places", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("words", pa.list_(pa.string()))])
+        schema = pa.schema([("stretch", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("places", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("first", pa.int32()), ("words", pa.list_(pa.string()))])
         stretch, size = TaskContext.get().partitionId() << STRETCH_BITS, 0
         words: dict[str, int] = {}
 
-        def words_of_stretch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"stretch": stretch, "words": list(words)}], schema)
+        def words_of_stretch() -> Iterator[pa.RecordBatch]:
+            every = list(words)
+            for at in range(0, len(every), LIST):
+                yield pa.RecordBatch.from_pylist([{"stretch": stretch, "first": at, "words": every[at : at + LIST]}], schema)
 
         for batch in batches:
             rows: list[dict] = []
@@ -147,12 +152,11 @@ def frequencies(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
                 size += len(whole)
                 if size >= STRETCH:
                     yield pa.RecordBatch.from_pylist(rows, schema)
-                    yield words_of_stretch()
+                    yield from words_of_stretch()
                     stretch, size, words, rows = stretch + 1, 0, {}, []
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
-        if size or words:
-            yield words_of_stretch()
+        yield from words_of_stretch()
 
     return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _FREQUENCIES)
 
@@ -222,7 +226,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024) ->
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frequencies(docs, path, pattern).write.bucketBy(buckets, "stretch").option("path", folder).format("parquet").saveAsTable(name)
     found = spark.table(name)
-    words = found.where("words is not null").select(F.posexplode("words").alias("place", "word"), "stretch").select("word", (F.shiftleft("stretch", PLACE_BITS) + F.col("place")).alias("at"))
+    words = found.where("words is not null").select(F.posexplode("words").alias("place", "word"), "stretch", "first").select("word", (F.shiftleft("stretch", PLACE_BITS) + F.col("first") + F.col("place")).alias("at"))
     answers = pieces(words, path, pattern)
     own = found.where("n_bytes is not null").select("stretch", "doc_id", "n_bytes", "n_tokens", "places", "times")
     joined = own.groupBy("stretch").cogroup(answers.groupBy("stretch")).applyInArrow(lambda d, a: _summed(d, a), "doc_id long, n_bytes long, n_tokens long")

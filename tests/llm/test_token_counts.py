@@ -52,6 +52,7 @@ def test_many_stretches(spark, library, monkeypatch):
     """Any division into stretches and packs gives the same; words of all stretches meet."""
     monkeypatch.setattr(token_counts, "PACK", 100)
     monkeypatch.setattr(token_counts, "STRETCH", 3000)
+    monkeypatch.setattr(token_counts, "LIST", 40)
     rows = [(i, prose(i % 7, 150 + i) + " zzyzxqq same") for i in range(120)]
     assert counted(token_counts.count_tokens(table(spark, rows), PATH, PATTERN)) == expected(library, rows)
 
