@@ -192,10 +192,8 @@ class VectorIndex:
         if not any(n.startswith("cell=") for n in self.versions.store.names(f"data/{segment}")):
             return  # nothing to store
         sizes = self.spark.read.parquet(folder).groupBy("cell").count().collect()  # a row for each cell
-        base, state = self.versions.read()
-        state["segments"][segment] = {str(r.cell): r["count"] for r in sizes}
-        self.versions.commit(base, state)
-        self.state = state
+        own = {segment: {str(r.cell): r["count"] for r in sizes}}
+        self.state = self.versions.change(lambda state: {**state, "segments": {**state["segments"], **own}})
 
     def rows(self, cells: list[int] | None = None) -> DataFrame:
         """key, vector, code, apart, cell of all cells or some; only folders of those are read."""

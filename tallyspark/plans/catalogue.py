@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import answers as A
 from tallyspark.operators import backlog, ingest, metrics, ranking, retrieval
 from tallyspark.operators.keyed import KeyedTable
+from tallyspark.operators.text_index import TextIndex
 from tallyspark.operators.vector_index import VectorIndex
 from tallyspark.plans import jobs
 from tallyspark.plans.registry import QUERIES, SQL, query
@@ -384,6 +385,41 @@ def verbatims_full_text(s: Survey) -> DataFrame:
     return found.select("doc_id", "category", "generation", F.col("matched_terms").cast("long").alias("matched_terms"))
 
 
+@query("items_text_index", f"SELECT item_id, item_name, len(list_intersect(w, ['blue', 'red', 'small'])) AS matched_terms FROM (SELECT *, {TERMS_SQL.format('item_name')} AS w FROM items) WHERE list_has_all(w, ['red', 'small']) OR list_has_all(w, ['blue'])", "items")
+def items_text_index(s: Survey) -> DataFrame:
+    """The same rows as ``items_full_text``, from an index that is filled in two batches."""
+    items = s.items()
+    index = TextIndex.build(items.where("item_id % 2 = 0"), new_folder(s.spark), "item_id", "item_name")
+    index.add(items.where("item_id % 2 = 1"), "item_id", "item_name")
+    return index.full_text(items, "item_id", "red small OR blue").select("item_id", "item_name", F.col("matched_terms").cast("long").alias("matched_terms"))
+
+
+PHRASE_SQL = "regexp_matches(' ' || array_to_string(w, ' ') || ' ', '{0}')"
+
+
+@query("verbatims_phrase", f"SELECT doc_id, category, 1 + CAST(list_has_all(w, ['mit']) AS BIGINT) + 1 AS matched_terms FROM (SELECT *, {TERMS_SQL.format('text')} AS w FROM verbatims) WHERE {PHRASE_SQL.format(' under the ')} OR ({PHRASE_SQL.format(' the ([a-z0-9]+ )?([a-z0-9]+ )?mit ')} AND list_has_all(w, ['under'])) ", "verbatims")
+def verbatims_phrase(s: Survey) -> DataFrame:
+    """Phrases and words near each other, from the index."""
+    rows = s.verbatims()
+    index = TextIndex.build(rows, new_folder(s.spark), "doc_id", "text")
+    found = index.full_text(rows, "doc_id", '"under the" OR "the mit"~2 under')
+    return found.select("doc_id", "category", F.col("matched_terms").cast("long").alias("matched_terms"))
+
+
+BM25_SQL = f"""SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS nth FROM (
+    SELECT doc_id, sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / average))) AS score
+    FROM (SELECT doc_id, word, count(*) AS tf, any_value(len(w)) AS size FROM (SELECT doc_id, w, unnest(w) AS word FROM (SELECT *, {TERMS_SQL.format('text')} AS w FROM verbatims)) WHERE word IN ('license', 'licensed', 'mit') GROUP BY doc_id, word)
+    JOIN (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct({TERMS_SQL.format('text')})) AS word FROM verbatims) GROUP BY word) USING (word),
+    (SELECT count(*) AS docs, sum(len({TERMS_SQL.format('text')}))::DOUBLE / count(*) AS average FROM verbatims) GROUP BY doc_id) ORDER BY round(score, 6) DESC, doc_id LIMIT 50"""
+
+
+@query("verbatims_ranked", BM25_SQL, "verbatims")
+def verbatims_ranked(s: Survey) -> DataFrame:
+    """The best texts by BM25 over the words of a query, ties at six decimals by id."""
+    index = TextIndex.build(s.verbatims(), new_folder(s.spark), "doc_id", "text")
+    return index.top("license OR licensed OR mit", 50, decimals=6).select(F.col("key").alias("doc_id"), "score", F.col("nth").cast("long").alias("nth"))
+
+
 @query("verbatims_by_tags", f"SELECT doc_id, category, source, len(list_intersect(w, ['for', 'the', 'und'])) AS matched_terms FROM (SELECT *, {TERMS_SQL.format('text')} AS w FROM verbatims) WHERE list_has_any([category, source], ['src1', 'src2', 'de']) AND (list_has_all(w, ['for', 'the']) OR list_has_all(w, ['und'])) AND is_quotable ORDER BY 4 DESC, length(text) DESC, doc_id LIMIT 40", "verbatims")
 def verbatims_by_tags(s: Survey) -> DataFrame:
     rows = s.verbatims().withColumn("themes", F.array("category", "source"))

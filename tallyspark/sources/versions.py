@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -104,6 +105,19 @@ class Versions:
             raise Conflict(f"version {base + 1} is there already")
         return base + 1
 
+    def change(self, changed: Callable[[dict[str, Any]], dict[str, Any]], attempts: int = 20) -> dict[str, Any]:
+        """Commits what ``changed`` makes of the last manifest, starting again where another writer was first; the manifest."""
+        for attempt in range(attempts):
+            base, manifest = self.read()
+            manifest = changed(manifest)
+            try:
+                self.commit(base, manifest)
+                return manifest
+            except Conflict:
+                if attempt == attempts - 1:
+                    raise
+        raise ValueError("no attempt")
+
     @staticmethod
     def _name(number: int) -> str:
         return f"_versions/{number:012d}.json"
