@@ -223,19 +223,6 @@ def _better(best: tuple[np.ndarray, np.ndarray] | None, near: np.ndarray, keys:
     return near, keys
 
 
-def nearest_spellings(names: DataFrame, queries: DataFrame, name: str, limit: int = 5) -> DataFrame:
-    """(query, name, distance, nth): for each distinct query name the ``limit`` other distinct names of
-    least edit distance; ties go to the name that sorts first. Query names are dealt to blocks, each of
-    which is one array beside every name, so pairs exist only while their distances are compared."""
-    held = queries.select(F.col(name).alias("query")).where("query is not null").distinct()
-    blocks = held.groupBy(F.pmod(F.xxhash64("query"), F.lit(64)).alias("block")).agg(F.sort_array(F.collect_set("query")).alias("queries"))
-    all_names = names.select(name).where(F.col(name).isNotNull()).distinct()
-    pairs = all_names.crossJoin(blocks).select(name, F.explode("queries").alias("query")).where(F.col("query") != F.col(name))
-    pairs = pairs.withColumn("distance", F.levenshtein("query", name).cast("long"))
-    nth = F.row_number().over(Window.partitionBy("query").orderBy("distance", name))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= limit)
-
-
 def fused(*ranked: DataFrame, key: str = "id", constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of (key, rank) lists: each key's summed 1 / (constant + rank) and how many lists hold it."""
     union = ranked[0].select(key, "rank")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import answers as A
-from tallyspark.operators import backlog, ingest, metrics, ranking, retrieval
+from tallyspark.operators import backlog, ingest, metrics, ranking, retrieval, spelling
 from tallyspark.operators.keyed import KeyedTable
 from tallyspark.operators.text_index import TextIndex
 from tallyspark.operators.vector_index import VectorIndex
@@ -435,7 +435,19 @@ def verbatims_unasked(s: Survey) -> DataFrame:
 
 @query("fuzzy_distance", "SELECT query, item_name, distance, nth FROM (SELECT query, item_name, CAST(levenshtein(query, item_name) AS BIGINT) AS distance, row_number() OVER (PARTITION BY query ORDER BY levenshtein(query, item_name), item_name) AS nth FROM (SELECT DISTINCT item_name AS query FROM items WHERE item_id % 100 = 0) JOIN (SELECT DISTINCT item_name FROM items) ON query <> item_name) WHERE nth <= 5", "items")
 def fuzzy_distance(s: Survey) -> DataFrame:
-    return retrieval.nearest_spellings(s.items(), s.items().where("item_id % 100 = 0"), "item_name").select("query", "item_name", "distance", "nth")
+    return spelling.nearest_spellings(s.items(), s.items().where("item_id % 100 = 0"), "item_name").select("query", "item_name", "distance", "nth")
+
+
+CUSTOMERS_SQL = "SELECT replace(c_name, 'Customer#', '') || ' ' || c_mktsegment AS name FROM customer"
+
+
+@query("fuzzy_within", f"WITH named AS ({CUSTOMERS_SQL}) SELECT query, name, CAST(levenshtein(query, name) AS BIGINT) AS distance FROM (SELECT DISTINCT replace(c_name, 'Customer#', '') || ' ' || c_mktsegment AS query FROM customer WHERE c_custkey % 100 = 0) JOIN (SELECT DISTINCT name FROM named) ON query <> name AND abs(length(query) - length(name)) <= 2 AND levenshtein(query, name) <= 2")
+def fuzzy_within(s: Survey) -> DataFrame:
+    """All respondents' names within two edits of a hundredth of them."""
+    name = F.concat(F.replace("c_name", F.lit("Customer#"), F.lit("")), F.lit(" "), "c_mktsegment")
+    people = s.table("customer").select("c_custkey", name.alias("name"))
+    asked = people.where("c_custkey % 100 = 0").select(F.col("name").alias("query")).distinct()
+    return spelling.within(people.select("name").distinct(), asked, "name", 2).where("query <> name").select("query", "name", "distance")
 
 
 GRAMS_SQL = "list_distinct(list_transform(range(1, length('  ' || lower({0}) || ' ') - 1), lambda i: substring('  ' || lower({0}) || ' ', i, 3)))"
