@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.frames import drop_stored, in_small_batches, shared_folder, stored
 
 #: Characters of text after which a stretch ends.
-STRETCH = 16_000_000
+STRETCH = 24_000_000
 #: Pre-tokens of a stretch in one row at most.
 LIST = 16_384
 #: Counted pre-tokens that a task packs into rows at once.
