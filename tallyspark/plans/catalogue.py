@@ -19,6 +19,7 @@ from tallyspark.sources.files import parse_corpus_line
 from tallyspark.sources.roles import SQL as ROLES
 from tallyspark.sources.roles import Survey
 from tallyspark.sources.versions import new_folder
+from tallyspark.streaming import jobs as job_streams
 
 __all__ = ["QUERIES", "SQL", "query"]
 
@@ -549,20 +550,35 @@ def derived_stage(s: Survey) -> DataFrame:
     return s.jobs().groupBy(jobs.stage(status_of("status"), F.col("value") > 50).alias("stage")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "job_transitions",
-    f"""WITH RECURSIVE jobs AS (SELECT user_id AS job_id, event_type AS status, ts, event_id FROM events),
+TRANSITIONS_SQL = f"""WITH RECURSIVE jobs AS (SELECT user_id AS job_id, event_type AS status, ts, event_id FROM events),
     log AS (SELECT job_id, event_id, s AS status, CASE WHEN s = 'pending' THEN NULL WHEN s = 'running' OR event_id % 3 = 0 THEN 'pending' ELSE 'running' END AS expected, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS nth FROM (SELECT *, {STATUS_SQL} AS s FROM jobs)),
     walk AS (SELECT DISTINCT job_id, 0::BIGINT AS nth, NULL::BIGINT AS event_id, NULL::VARCHAR AS state, false AS took FROM log
       UNION ALL SELECT l.job_id, l.nth, l.event_id, CASE WHEN ok THEN l.status ELSE state END, ok FROM (
         SELECT l.*, w.state, coalesce((w.state IS NULL AND l.status = 'pending' AND l.expected IS NULL) OR (w.state = l.expected AND w.state IN ('pending', 'running') AND l.status <> 'pending' AND NOT (w.state = 'running' AND l.status = 'running')), false) AS ok
         FROM walk w JOIN log l ON l.job_id = w.job_id AND l.nth = w.nth + 1) l)
-    SELECT job_id, event_id, state AS status FROM walk WHERE took""",
-)
+    SELECT job_id, event_id, state AS status FROM walk WHERE took"""
+
+
+@query("job_transitions", TRANSITIONS_SQL)
 def job_transitions(s: Survey) -> DataFrame:
+    return jobs.effective(job_log(s.jobs())).select("job_id", "event_id", "status")
+
+
+def job_log(rows: DataFrame) -> DataFrame:
     status = status_of("status")
     expected = F.when(status == "pending", F.lit(None).cast("string")).when((status == "running") | (F.col("event_id") % 3 == 0), "pending").otherwise("running")
-    return jobs.effective(s.jobs().select("job_id", "ts", "event_id", status.alias("status"), expected.alias("expected"))).select("job_id", "event_id", "status")
+    return rows.select("job_id", "ts", "event_id", status.alias("status"), expected.alias("expected"))
+
+
+@query("job_stream", TRANSITIONS_SQL)
+def job_stream(s: Survey) -> DataFrame:
+    """The same transitions from the log as a stream."""
+    events = s.table("events")
+    rows = s.spark.readStream.schema(events.schema).parquet(f"{s.folder}/events.parquet")
+    rows = rows.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    sink = new_folder(s.spark)
+    job_streams.follow(job_log(rows), sink, new_folder(s.spark), patience_s=None, keep_s=10**9).awaitTermination()
+    return s.spark.read.schema(job_streams.RESULT).parquet(sink).select("job_id", "event_id", "status")
 
 
 @query("conversation_window", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS nth FROM conversations) WHERE nth <= 20")
