@@ -574,7 +574,7 @@ def job_log(rows: DataFrame) -> DataFrame:
 def job_stream(s: Survey) -> DataFrame:
     """The same transitions from the log as a stream."""
     events = s.table("events")
-    rows = s.spark.readStream.schema(events.schema).parquet(f"{s.folder}/events.parquet")
+    rows = s.spark.readStream.schema(events.schema).parquet(f"{s.folder}/events.parque[t]")  # a pattern may stand for a file, which a streamed path may not
     rows = rows.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     sink = new_folder(s.spark)
     job_streams.follow(job_log(rows), sink, new_folder(s.spark), patience_s=None, keep_s=10**9).awaitTermination()
