@@ -56,24 +56,31 @@ def with_ids(rows: DataFrame, last_id: int, chunk: int = 100_000) -> DataFrame:
     return numbered(ranged, "range", "ordinal", after=last_id, column="respondent_id").drop("range")
 
 
+# Terms in the label of a race column and the flag they stand for, and the question's text.
+RACES = {
+    "american indian": "race_american_indian", "native american": "race_american_indian", "asian": "race_asian", "black": "race_black", "african american": "race_black", "hispanic": "race_hispanic",
+    "latino": "race_hispanic", "middle eastern": "race_middle_eastern", "pacific islander": "race_pacific_islander", "native hawaiian": "race_pacific_islander", "white": "race_white",
+}
+RACE_QUESTION = "what is your race and/or ethnicity"
+
+
 def race_columns(header: dict[str, str], first: int = 60, last: int = 89) -> dict[str, str]:
-    """Flag name for each multi-select race column of a header; single-select columns lack the label part."""
-    wanted = {"white": "white", "black": "black", "asian": "asian", "native american": "native_american", "american indian": "native_american", "pacific": "pacific_islander", "middle eastern": "middle_eastern", "other": "other"}
+    """The column of each race flag: the first whose label, before the colon, has one of its terms. Only columns of
+    the race question count, which tells them from that on Hispanic origin."""
     out: dict[str, str] = {}
     for i in range(first, last + 1):
-        label, mark, question = header.get(f"c{i}", "").partition(":")
-        if not mark or "race" not in question.lower():
-            continue
-        for term, flag in wanted.items():
-            if term in label.lower() and flag not in out:
-                out[flag] = f"c{i}"
-                break
+        text = (header.get(f"c{i}") or "").lower()
+        label = text.partition(":")[0]
+        free = [flag for term, flag in RACES.items() if term in label and flag not in out]
+        if RACE_QUESTION in text and free:
+            out[free[0]] = f"c{i}"
     return out
 
 
 def respondents(rows: DataFrame, layout: Layout) -> DataFrame:
     c = F.col
-    flags = {f"is_{flag}": F.coalesce(F.trim(c(column)) != "", F.lit(False)) for flag, column in layout.race.items()}
+    chosen = lambda column: F.coalesce(F.trim(c(column)) != "", F.lit(False)) if column else F.lit(False)
+    flags = {flag: chosen(layout.race.get(flag)) for flag in sorted(set(RACES.values()))}
     return rows.select(
         "respondent_id",
         c(layout.submitted).try_cast("timestamp").alias("date_submitted"),
@@ -97,10 +104,11 @@ def unknown_incomes(rows: DataFrame, layout: Layout) -> DataFrame:
 
 
 def cells(rows: DataFrame, ident: str | list[str], columns: list[str]) -> DataFrame:
-    """(ident, field, cell) of the non-blank cells of the named columns; all others are never read."""
+    """(ident, field, cell) of the non-blank cells of the named columns; all others are never read. Blank cells
+    are left out inside the row, so that only the others become rows."""
     keep = [ident] if isinstance(ident, str) else ident
-    long = rows.select(*keep, *columns).unpivot(keep, columns, "field", "cell")
-    return long.where(F.trim("cell") != "")
+    held = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("cell")) for c in columns])
+    return rows.select(*keep, F.inline(F.filter(held, lambda x: F.trim(x["cell"]) != "")))
 
 
 def answers(rows: DataFrame, column_map: DataFrame, kinds: DataFrame, columns: list[str], month: str) -> DataFrame:

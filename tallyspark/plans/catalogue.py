@@ -13,7 +13,7 @@ from tallyspark.operators import backlog, ingest, metrics, ranking, retrieval, s
 from tallyspark.operators.keyed import KeyedTable
 from tallyspark.operators.text_index import TextIndex
 from tallyspark.operators.vector_index import VectorIndex
-from tallyspark.plans import jobs
+from tallyspark.plans import functions, jobs
 from tallyspark.plans.registry import QUERIES, SQL, query
 from tallyspark.sources.files import parse_corpus_line
 from tallyspark.sources.roles import SQL as ROLES
@@ -500,6 +500,47 @@ def laws_semantic(s: Survey) -> DataFrame:
     return retrieval.nearest(laws, laws.where("law_id % 100 = 0"), "embedding", "law_id", 3)
 
 
+def with_functions(s: Survey) -> SparkSession:
+    """The session with the retrieval functions over this survey's tables."""
+    none = F.lit(None).cast("array<string>")
+    counts = s.answers().groupBy("item_id").agg(F.count("*").alias("n"), F.avg("joy_index").alias("joy_index"))
+    scores = s.items().join(counts, "item_id").select(F.col("item_id").cast("long").alias("id"), "item_name", F.col("canonical_brand").alias("question"), F.col("primary_topic").alias("category"), "joy_index", "n", F.col("subtags").alias("joy_modes"), F.array("canonical_brand").alias("themes"), none.alias("occasions"), none.alias("functional_jobs"), none.alias("tensions"))
+    vectors = s.table("embeddings").select(F.col("vec_id").alias("vector_of"), F.col("embedding").cast("array<double>").alias("embedding"))
+    scores = scores.join(vectors, F.col("id") == F.col("vector_of"), "left").drop("vector_of")
+    people = s.respondents().select("respondent_id", "generation", "gender")
+    texts = s.verbatims().join(people, "respondent_id", "left").join(vectors, F.col("doc_id") == F.col("vector_of"), "left")
+    texts = texts.select(F.col("doc_id").alias("id"), F.col("text").alias("response_text"), "category", "generation", "gender", "is_quotable", F.array("category").alias("joy_modes"), F.array("source").alias("themes"), none.alias("occasions"), none.alias("functional_jobs"), none.alias("tensions"), "embedding")
+    functions.register(s.spark, scores=scores, verbatims=texts)
+    return s.spark
+
+
+@query(
+    "sql_items_by_tags",
+    f"SELECT item_id AS id, item_name, CAST(n AS BIGINT) AS n, CAST(len(list_intersect(subtags, {TAGS_SQL})) + len(list_intersect([canonical_brand], ['Brand#4'])) AS INTEGER) AS overlap_score FROM items JOIN (SELECT item_id, count(*) AS n, avg(joy_index) AS joy FROM answers GROUP BY 1) USING (item_id) WHERE n >= 20 AND len(list_intersect(subtags, {TAGS_SQL})) + len(list_intersect([canonical_brand], ['Brand#4'])) > 0 ORDER BY overlap_score DESC, joy DESC, item_id LIMIT 25",
+    "items", "answers",
+)
+def sql_items_by_tags(s: Survey) -> DataFrame:
+    return with_functions(s).sql("SELECT id, item_name, n, overlap_score FROM retrieve_items_by_tags(p_joy_modes => array('red', 'blue', 'small', 'green'), p_themes => array('Brand#4'), p_min_n => 20, p_limit => 25)")
+
+
+@query("sql_items_semantic", f"SELECT item_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {VECTOR}::DOUBLE[]), 9) AS similarity FROM items JOIN embeddings ON vec_id = item_id WHERE item_id IN (SELECT item_id FROM answers) ORDER BY 2 DESC, 1 LIMIT 15", "items", "answers")
+def sql_items_semantic(s: Survey) -> DataFrame:
+    vector = ", ".join(f"CAST({v} AS DOUBLE)" for v in VECTOR)
+    return with_functions(s).sql(f"SELECT id, similarity FROM retrieve_items_semantic(array({vector}), p_limit => 15)")
+
+
+@query("sql_verbatims", f"SELECT doc_id AS id, category, CAST(len(list_intersect(w, ['for', 'the', 'und'])) AS INTEGER) AS rank FROM (SELECT *, {TERMS_SQL.format('text')} AS w FROM verbatims) WHERE source IN ('src1', 'src2') AND category IN ('de', 'en') AND (list_has_all(w, ['for', 'the']) OR list_has_all(w, ['und'])) AND is_quotable ORDER BY rank DESC, length(text) DESC, doc_id LIMIT 30", "verbatims")
+def sql_verbatims(s: Survey) -> DataFrame:
+    """By position, with nulls for what isn't asked, as the examples call it."""
+    return with_functions(s).sql("SELECT id, category, rank FROM retrieve_verbatims(NULL, array('src1', 'src2'), array('de', 'en'), NULL, NULL, NULL, NULL, NULL, 'for the OR und', true, 30)")
+
+
+@query("sql_verbatims_full_text", f"SELECT doc_id AS id, source, CAST(len(list_intersect(w, ['license', 'licensed', 'mit'])) AS INTEGER) AS rank, generation FROM (SELECT *, {TERMS_SQL.format('text')} AS w FROM verbatims LEFT JOIN respondents USING (respondent_id)) WHERE (list_has_all(w, ['mit', 'license']) OR list_has_all(w, ['licensed'])) AND gender = 'Male'", "respondents", "verbatims")
+def sql_verbatims_full_text(s: Survey) -> DataFrame:
+    """A call as one relation of a larger query."""
+    return with_functions(s).sql("SELECT f.id, source, f.rank, f.generation FROM retrieve_verbatims_full_text(p_entity_query => 'MIT license OR licensed', p_gender => 'Male', p_require_quotable => false, p_limit => 1000000000) f JOIN (SELECT id, element_at(themes, 1) AS source FROM verbatims) v ON v.id = f.id")
+
+
 @query(
     "hybrid_merge",
     f"""SELECT id, round(sum(1.0::DOUBLE / (rank + 60)), 9) AS score, count(*) AS lists FROM (

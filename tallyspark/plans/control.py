@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.plans import jobs
@@ -29,19 +29,25 @@ def triage_briefs(s: Survey) -> DataFrame:
     return briefs.groupBy(*[F.col(path).alias(name) for name, path in fields.items()], F.col("b.early_exit").cast("string").alias("leaves"), F.size("b.followup_seeds").alias("seeds")).agg(F.count("*").alias("n"))
 
 
-ANSWERS = [
-    ("said\nFOLLOW-UPS:\n1. short\n2. a question that is long enough\n3) another question, long enough\n- no number here, but long\n4. the third question of this list\n5. the fourth question", "a question that is long enough|another question, long enough|the third question of this list"),
-    ("1. a numbered line before any marker\n", ""),
-    ("FOLLOW-UPS:\n   7.   only this one is asked here  ", "only this one is asked here"),
-    ("", ""),
-    (None, ""),
-]
+ANSWER_SQL = r"""substr(coalesce(text, ''), 1, 400) || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN E'\nwhere to Go next\n' ELSE E'\n**WHERE TO GO NEXT**\n' END || '1. [' || substr(coalesce(text, ''), 20, 30) || E']\n2. ' || substr(coalesce(text, ''), 60, doc_id % 23) || E'\n 3. '
+    || substr(coalesce(text, ''), 90, 25) || E'\n4) ' || substr(coalesce(text, ''), 120, 30) || E'\nWHERE TO GO NEXT\n55.  ' || substr(coalesce(text, ''), 150, 40) || E'  \n6.[' || substr(coalesce(text, ''), 200, 20) || ']'"""
+FOLLOWUP_SQL = rf"""WITH said AS (SELECT doc_id, replace({ANSWER_SQL}, chr(13), '') AS answer FROM documents),
+    lines AS (SELECT doc_id, list_filter(string_split(regexp_extract(answer, '(?is)where to go next.*'), chr(10)), lambda x: regexp_matches(x, '^\s*[0-9]+\.')) AS found FROM said),
+    bare AS (SELECT doc_id, list_transform(found, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^[0-9]+\.\s*', ''), '^\[', ''), '\]$', '')) AS found FROM lines),
+    plain AS (SELECT doc_id, list_filter(list_transform(found, lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: length(x) > 15) AS found FROM bare)
+    SELECT doc_id, array_to_string(list_slice(found, 1, 3), '|') AS lines FROM plain"""
 
 
-@query("followup_lines", f"SELECT {picked_sql('size', [b for _, b in ANSWERS])} AS lines, count(*) AS n FROM items GROUP BY 1", "items")
+@query("followup_lines", FOLLOWUP_SQL)
 def followup_lines(s: Survey) -> DataFrame:
-    lines = F.array_join(jobs.followups(picked(F.col("size"), [a for a, _ in ANSWERS])), "|")
-    return s.items().groupBy(lines.alias("lines")).agg(F.count("*").alias("n"))
+    """Lines that an answer proposes, of answers that are made of the given texts."""
+    text, key = F.coalesce("text", F.lit("")), F.col("doc_id")
+    cut = lambda at, n: F.substr(text, F.lit(at), n if isinstance(n, Column) else F.lit(n))
+    marker = F.when(key % 4 == 0, "").when(key % 4 == 1, "\nwhere to Go next\n").otherwise("\n**WHERE TO GO NEXT**\n")
+    answer = F.concat(
+        cut(1, 400), marker, F.lit("1. ["), cut(20, 30), F.lit("]\n2. "), cut(60, (key % 23).cast("int")), F.lit("\n 3. "), cut(90, 25), F.lit("\n4) "), cut(120, 30), F.lit("\nWHERE TO GO NEXT\n55.  "), cut(150, 40), F.lit("  \n6.["), cut(200, 20), F.lit("]"),
+    )
+    return s.table("documents").select("doc_id", F.array_join(jobs.followups(F.replace(answer, F.lit("\r"), F.lit(""))), "|").alias("lines"))
 
 
 PREVIEWS = ["<title>Password Protection</title>", "no"]

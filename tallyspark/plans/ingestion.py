@@ -54,17 +54,18 @@ def unknown_incomes(s: Survey) -> DataFrame:
     return ingest.unknown_incomes(rows, ingest.Layout())
 
 
+_RACE = "What is your race and/or ethnicity? Please select all that apply."
 HEADER = {
-    "c59": "White:What is your race and/or ethnicity?", "c65": "Are you of Hispanic origin?", "c66": "White:What is your race and/or ethnicity?", "c67": "Asian or Asian American:What is your race and/or ethnicity?",
-    "c68": "White again:What is your race and/or ethnicity?", "c69": "Other:What is your race and/or ethnicity?", "c70": "Other:What else?", "c90": "Black:What is your race and/or ethnicity?",
+    "c59": f"White:{_RACE}", "c65": "Are you of Hispanic, Latino, or Spanish origin?", "c66": f"American Indian or Alaska Native:{_RACE}", "c67": f"Asian:{_RACE}", "c68": f"Black or African American:{_RACE}",
+    "c69": f"Hispanic or Latino:{_RACE}", "c70": f"Native Hawaiian:{_RACE}", "c71": "White:Which race did you bet on?", "c72": f"White:{_RACE}", "c73": f"White again:{_RACE}", "c90": f"Middle Eastern:{_RACE}",
 }
 
 
 @query(
     "wave_respondents",
     f"""SELECT * EXCLUDE (k) FROM (SELECT c_custkey AS k, 700 + row_number() OVER (ORDER BY c_custkey) AS respondent_id, {picked_sql('c_custkey', [g for _, g in AGES.values()])} AS generation, {picked_sql('c_custkey', list(STATES.values()))} AS region,
-    {picked_sql('c_custkey', list(INCOMES.values()))} AS income, {picked_sql('c_custkey', list(CHILDREN.values()))} AS parental_status, c_custkey % 5 = 0 AS is_hispanic, c_custkey % 2 = 0 AS is_white, c_custkey % 3 = 0 AS is_asian, false AS is_other
-    FROM customer WHERE c_mktsegment LIKE 'B%')""",
+    {picked_sql('c_custkey', list(INCOMES.values()))} AS income, {picked_sql('c_custkey', list(CHILDREN.values()))} AS parental_status, c_custkey % 5 = 0 AS is_hispanic, c_custkey % 2 = 0 AS race_american_indian, c_custkey % 3 = 0 AS race_asian,
+    c_custkey % 4 = 0 AS race_black, c_custkey % 7 = 0 AS race_hispanic, false AS race_middle_eastern, c_custkey % 11 = 0 AS race_pacific_islander, c_custkey % 13 = 0 AS race_white FROM customer WHERE c_mktsegment LIKE 'B%')""",
 )
 def wave_respondents(s: Survey) -> DataFrame:
     """Rows of the wave (here: a segment stands for the month), ids in sheet order, typed demographics, race flags by header."""
@@ -72,12 +73,12 @@ def wave_respondents(s: Survey) -> DataFrame:
     flag = lambda part, text: F.when(key % part == 0, text).otherwise(" ")
     sheet = s.table("customer").select(
         key.alias("ordinal"), F.concat("c_mktsegment", F.lit("-04")).alias("c2"), picked(key, list(STATES)).alias("c20"), picked(key, list(AGES)).alias("c55"), picked(key, list(CHILDREN)).alias("c56"),
-        picked(key, list(INCOMES)).alias("c57"), F.lit("Full-time").alias("c58"), F.lit("Female").alias("c63"), F.when(key % 5 == 0, " Yes").otherwise("No").alias("c65"),
-        flag(2, "White").alias("c66"), flag(3, "Asian").alias("c67"), flag(4, "White").alias("c68"), F.lit(None).cast("string").alias("c69"),
+        picked(key, list(INCOMES)).alias("c57"), F.lit("Full-time").alias("c58"), F.lit("Female").alias("c63"), F.when(key % 5 == 0, " Yes").otherwise("No").alias("c65"), flag(2, "Alaska").alias("c66"), flag(3, "Asian").alias("c67"),
+        flag(4, "Black").alias("c68"), flag(7, "x").alias("c69"), flag(11, "Hawaii").alias("c70"), F.lit("grey").alias("c71"), flag(13, "White").alias("c72"), F.lit("White").alias("c73"), F.lit("x").alias("c90"),
     )
     layout = ingest.Layout(race=ingest.race_columns(HEADER))
     people = ingest.respondents(ingest.with_ids(ingest.wave(sheet, "B", layout), 700), layout)
-    return people.select("respondent_id", "generation", "region", "income", "parental_status", "is_hispanic", "is_white", "is_asian", "is_other")
+    return people.select("respondent_id", "generation", "region", "income", "parental_status", "is_hispanic", *sorted(set(ingest.RACES.values())))
 
 
 FIELDS = [("c84", 1, 11), ("c85", 2, 12), ("c86", 3, 13), ("c87", 4, 14)]

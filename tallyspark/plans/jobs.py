@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,9 +91,15 @@ def brief(text: Column, question: Column | None = None) -> Column:
     return F.struct(*out)
 
 
-def followups(text: Column, marker: str = "FOLLOW-UPS:") -> Column:
-    """The first three numbered lines of more than 15 characters after the marker."""
-    after = F.substring_index(text, marker, -1)
-    lines = F.filter(F.split(after, "\n"), lambda x: x.rlike(r"^\s*\d+[.)]\s+"))
-    plain = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^\s*\d+[.)]\s+", "")))
-    return F.when(F.contains(text, F.lit(marker)), F.slice(F.filter(plain, lambda x: F.length(x) > 15), 1, 3)).otherwise(F.array().cast("array<string>"))
+#: What a trim of the interface takes off: blanks of any kind.
+_BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
+def followups(text: Column, marker: str = "WHERE TO GO NEXT") -> Column:
+    """The first three numbered lines (``1.``, perhaps indented) of more than 15 characters from the first marker on, whatever its
+    case. Their number, if they are not indented, and brackets around them are taken off."""
+    section = F.regexp_extract(text, rf"(?is){re.escape(marker)}.*", 0)
+    numbered = F.filter(F.split(section, "\n"), lambda x: x.rlike(rf"^{_BLANK}*[0-9]+\."))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, rf"^[0-9]+\.{_BLANK}*", ""), r"^\[|\]\z", "")
+    plain = F.transform(numbered, lambda x: F.regexp_replace(bare(x), rf"^{_BLANK}+|{_BLANK}+\z", ""))
+    return F.coalesce(F.slice(F.filter(plain, lambda x: F.length(x) > 15), 1, 3), F.array().cast("array<string>"))

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 QUERY_TYPES = ("brand_lookup", "audience_dive", "outreach_angle", "data_pull", "email_findings")
 DEFAULT_TYPE = "data_pull"
 HINTS = ("intentHint", "intent_hint", "intent")
-CARRIED = ("strategistContext", "waldoContext", "debug", "intentHint", "intent", "mode")
+CARRIED = ("strategistContext", "debug", "intentHint", "intent", "mode")
 
 
 @dataclass
@@ -25,16 +25,17 @@ def known_type(name: object) -> str:
     return name if name in QUERY_TYPES else DEFAULT_TYPE
 
 
-def normalised(body: dict) -> Request:
+def normalised(body: dict, carried: tuple[str, ...] = CARRIED) -> Request:
     """A request from either shape: ``prompt`` with ``query_type``, or ``query`` with an intent under
-    one of three names. Unknown kinds are data pulls; a body of neither shape is refused."""
+    one of three names, of which the fields of the ``carried`` names go along. Unknown kinds are data
+    pulls; a body of neither shape is refused."""
     prior = body.get("prior_conversation_context") or body.get("priorConversationContext")
     text = lambda name: body.get(name) if isinstance(body.get(name), str) and body.get(name) else None
     if (prompt := text("prompt")) is not None:
         return Request(prompt, known_type(body.get("query_type")), {}, prior)
     if (query := text("query")) is not None:
         hint = next((body[h] for h in HINTS if body.get(h)), None)
-        extra = {name: bool(body[name]) if name == "debug" else body[name] for name in CARRIED if body.get(name)}
+        extra = {name: bool(body[name]) if name == "debug" else body[name] for name in carried if body.get(name)}
         return Request(query, known_type(hint), extra, prior)
     raise ValueError("a request needs a prompt or a query")
 

@@ -8,9 +8,11 @@ import uuid
 from dataclasses import asdict, dataclass
 
 from py4j.java_gateway import is_instance_of
-from pyspark.errors import ParseException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import SparkSession
 
+from tallyspark.plans import functions as retrieval
+
 DEFAULT_ROWS, MOST_ROWS, PAYLOAD_CHARS, TIMEOUT_S = 50, 500, 50_000, 5.0
 
 # Plan nodes that only read.
@@ -20,17 +22,18 @@ READING = {
 }
 
 
-# Functions that a statement may call. All others are refused, those that reach
-# outside of the data (reflect, java_method, input_file_name, ...) among them.
+# Functions that a statement may call, besides those for retrieval. All others are refused, those that reach
+# outside of the data (reflect, java_method, input_file_name, ...) among them, and those that make values of any
+# size from a few characters (repeat, lpad, sequence, ...), which the planner would do before a time limit can end it.
 FUNCTIONS = set(
     "abs acos add_months any_value approx_count_distinct array array_agg array_append array_compact array_contains array_distinct array_except array_intersect array_join array_max array_min "
     "array_position array_remove array_size array_sort array_union arrays_overlap arrays_zip asin atan avg bool_and bool_or cardinality case ceil ceiling char_length coalesce collect_list "
     "collect_set concat concat_ws contains corr cos count count_if cume_dist current_date current_timestamp date_add date_diff date_format date_sub date_trunc datediff day dayofweek "
     "dense_rank element_at endswith every exists exp explode explode_outer extract filter first first_value flatten floor format_number from_json get get_json_object greatest hash hour if "
-    "ifnull ilike initcap inline instr isnan isnotnull isnull json_tuple lag last last_value lcase lead least left len length levenshtein like listagg ln locate log log10 log2 lower lpad "
+    "ifnull ilike initcap inline instr isnan isnotnull isnull json_tuple lag last last_value lcase lead least left len length levenshtein like listagg ln locate log log10 log2 lower "
     "ltrim map map_keys map_values max max_by md5 mean median min min_by minute mod mode month months_between named_struct ntile nullif nvl nvl2 percent_rank percentile "
-    "percentile_approx pmod posexplode pow power quarter range rank regexp_count regexp_extract regexp_extract_all regexp_like regexp_replace regexp_substr repeat replace reverse right "
-    "rlike round row_number rpad rtrim second sequence shuffle sign sin size slice some sort_array split split_part sqrt stack startswith std stddev stddev_pop stddev_samp string_agg "
+    "percentile_approx pmod posexplode pow power quarter range rank regexp_count regexp_extract regexp_extract_all regexp_like regexp_replace regexp_substr replace reverse right "
+    "rlike round row_number rtrim second shuffle sign sin size slice some sort_array split split_part sqrt stack startswith std stddev stddev_pop stddev_samp string_agg "
     "strpos struct substr substring substring_index sum tan to_char to_date to_json to_timestamp transform translate trim trunc try_cast try_divide try_element_at ucase unnest upper "
     "var_pop var_samp variance weekofyear when width_bucket xxhash64 year zip_with aggregate reduce".split()
 )
@@ -83,15 +86,22 @@ def check_read_only(spark: SparkSession, sql: str) -> str:
         raise NotReadOnly(str(e).splitlines()[0]) from e
     if other := nodes - READING:
         raise NotReadOnly(f"not allowed: {', '.join(sorted(other))}")
-    if other := functions - FUNCTIONS:
+    if other := functions - FUNCTIONS - retrieval.NAMES:
         raise NotReadOnly(f"functions not allowed: {', '.join(sorted(other))}")
     for name in relations:
         quoted = ".".join("`" + part.replace("`", "``") + "`" for part in name)
-        if not (len(name) == 1 and name[0].lower() in defined) and not spark.catalog.tableExists(quoted):
+        if not (len(name) == 1 and name[0].lower() in defined) and not _is_table(spark, quoted):
             raise NotReadOnly(f"no table {quoted}")
     return plain
 
 
+def _is_table(spark: SparkSession, quoted: str) -> bool:
+    try:
+        return spark.catalog.tableExists(quoted)
+    except AnalysisException:  # a catalogue or namespace that there isn't
+        return False
+
+
 @dataclass
 class Step:
     query: str

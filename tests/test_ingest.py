@@ -10,7 +10,8 @@ from tallyspark import schema
 from tallyspark.operators import ingest
 from tallyspark.sources import files
 
-HEADER = {"c65": "Are you of Hispanic origin?", "c66": "White:What is your race and/or ethnicity?", "c67": "Asian:What is your race and/or ethnicity?", "c68": "Other:What is your race and/or ethnicity?"}
+RACE = "What is your race and/or ethnicity? Please select all that apply."
+HEADER = {"c65": "Are you of Hispanic origin?", "c66": f"White:{RACE}", "c67": f"Asian:{RACE}", "c68": f"Other:{RACE}"}
 
 
 def sheet(spark):
@@ -29,15 +30,45 @@ def layout():
 
 
 def test_race_columns():
-    assert ingest.race_columns(HEADER) == {"white": "c66", "asian": "c67", "other": "c68"}
-
+    assert ingest.race_columns(HEADER) == {"race_white": "c66", "race_asian": "c67"}
+
+
+@pytest.mark.parametrize(
+    "label, flag",
+    [
+        ("American Indian or Alaska Native", "race_american_indian"), ("Native American", "race_american_indian"), ("ASIAN", "race_asian"), ("Black or African American", "race_black"), ("African American", "race_black"),
+        ("Hispanic or Latino", "race_hispanic"), ("Latino", "race_hispanic"), ("Middle Eastern or North African", "race_middle_eastern"), ("Native Hawaiian", "race_pacific_islander"), ("Other Pacific Islander", "race_pacific_islander"), ("White", "race_white"), ("Other", None),
+    ],
+)
+def test_race_labels(label, flag):
+    assert ingest.race_columns({"c60": f"{label}:{RACE}"}) == ({flag: "c60"} if flag else {})
+
+
+def test_race_headers():
+    """Origin is another question, so is any with the word race; a label counts once; columns outside are not looked at; a label of two races takes the one that is free."""
+    header = {
+        "c59": f"White:{RACE}", "c65": "Are you of Hispanic, Latino, or Spanish origin?", "c66": f"American Indian or Alaska Native:{RACE}", "c67": f"Asian:{RACE}", "c68": f"Black or African American:{RACE}", "c69": f"Hispanic or Latino:{RACE}",
+        "c70": f"Middle Eastern or North African:{RACE}", "c71": f"Native Hawaiian or Pacific Islander:{RACE}", "c72": f"White:{RACE.upper()}", "c73": f"Also White:{RACE}", "c74": "Other:Which race did you bet on?", "c75": None, "c90": f"White:{RACE}",
+    }
+    assert ingest.race_columns(header) == {"race_american_indian": "c66", "race_asian": "c67", "race_black": "c68", "race_hispanic": "c69", "race_middle_eastern": "c70", "race_pacific_islander": "c71", "race_white": "c72"}
+    assert ingest.race_columns({"c60": f"Asian:{RACE}", "c61": f"Asian and White:{RACE}"}) == {"race_asian": "c60", "race_white": "c61"}
+
+
+def test_cells_leave_blanks_inside_the_row(spark, capsys):
+    """Rows after the generator are the non-blank cells; nothing is multiplied first."""
+    rows = spark.createDataFrame([(1, "a", None, " "), (2, "", "b", "c"), (3, None, None, None)], "id long, x string, y string, z string")
+    found = ingest.cells(rows, "id", ["x", "y", "z"])
+    assert sorted(map(tuple, found.collect())) == [(1, "x", "a"), (2, "y", "b"), (2, "z", "c")]
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Expand" not in plan and "Generate" in plan
 
 def test_wave(spark, tmp_path):
     rows = ingest.with_ids(ingest.wave(sheet(spark), "2026-04", ingest.Layout(race={})), 100, chunk=2)
     assert [(r.c0, r.respondent_id) for r in rows.orderBy("ordinal").collect()] == [("R-1", 101), ("R-3", 102)]
-    own = ingest.Layout(race={"white": "c66", "asian": "c67"})
+    own = ingest.Layout(race={"race_white": "c66", "race_asian": "c67"})
     people = {r.respondent_id: r for r in ingest.respondents(rows, own).collect()}
-    assert (people[101].generation, people[101].region, people[101].is_white, people[101].is_asian, people[101].income) == ("Millennial", "Midwest", True, False, "$50,000 to $74,999")
+    assert (people[101].generation, people[101].region, people[101].race_white, people[101].race_asian, people[101].income) == ("Millennial", "Midwest", True, False, "$50,000 to $74,999")
     assert (people[102].generation, people[102].region, people[102].parental_status, people[102].is_hispanic, people[102].income) == ("Silent", "West", "Non-parent", True, None)
     assert [tuple(r) for r in ingest.unknown_incomes(rows, own).collect()] == [("lots", 1)]
     column_map = spark.createDataFrame([("c84", 1, 11), ("c85", 2, 12), ("c86", 3, 13), ("c87", 4, 14)], "field string, question_id int, item_id int")

@@ -105,3 +105,10 @@ def test_activity(spark, tmp_path):
     stream = backlog.activity(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     stream.writeStream.format("memory").queryName("activity").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.event_type, r.n, r.total) for r in spark.table("activity").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
+
+
+@pytest.mark.parametrize("sql", ["SELECT * FROM a.b.c", "SELECT * FROM a.b.c.d", "SELECT * FROM nowhere.t", "SELECT repeat('x', 2000000000)", "SELECT lpad('x', 2000000000, 'y')", "SELECT size(sequence(1, 1000000000))", "SELECT rpad('x', 2000000000)", "SELECT * FROM sequence(1, 5)"])
+def test_refused_in_the_step(spark, sql):
+    """Names of catalogues that there aren't, and values that the planner itself would blow up."""
+    step = service.run(spark, sql)
+    assert step.error and step.error.startswith("refused") and step.rowcount == 0
