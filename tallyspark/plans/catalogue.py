@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import answers as A
-from tallyspark.operators import backlog, ingest, metrics, ranking, retrieval, spelling
+from tallyspark.operators import backlog, ingest, metrics, ranking, retrieval, spelling, words
 from tallyspark.operators.keyed import KeyedTable
+from tallyspark.operators.marginals import Marginals
 from tallyspark.operators.text_index import TextIndex
 from tallyspark.operators.vector_index import VectorIndex
 from tallyspark.plans import functions, jobs
@@ -56,6 +57,28 @@ def crosstab_joy(s: Survey) -> DataFrame:
     return metrics.joy_crosstab(rows, "generation", "region", "primary_topic", min_n=30)
 
 
+def loaded_marginals(s: Survey) -> Marginals:
+    """Marginals of all answers, loaded in three portions of months, one of them twice."""
+    people = s.respondents().select("respondent_id", "generation", "region", "gender", "income_band")
+    rows = s.responses().join(people, "respondent_id").join(s.items().select("item_id", "primary_topic"), "item_id")
+    out = Marginals(s.spark, new_folder(s.spark), ["question_id", "primary_topic", "generation", "region", "gender", "income_band"], ["question_id", "generation"])
+    month = F.substring("year_month", 6, 2).cast("int")
+    for part in (0, 1, 1, 2):
+        out.load(rows.where(month % 3 == part), selected=F.col("is_selected"), negative=F.col("joy_index") < 0)
+    return out
+
+
+@query("marginals_crosstab", "SELECT generation, region, primary_topic, avg(joy_index) AS joy_index, count(*) AS n FROM responses JOIN respondents USING (respondent_id) JOIN items USING (item_id) GROUP BY ALL HAVING count(*) >= 30", "respondents", "items", "responses")
+def marginals_crosstab(s: Survey) -> DataFrame:
+    return loaded_marginals(s).crosstab("generation", "region", "primary_topic", min_n=30).drop("n_band")
+
+
+@query("marginals_people", "SELECT question_id, count(DISTINCT respondent_id) AS people FROM responses JOIN respondents USING (respondent_id) WHERE year_month BETWEEN '1994-03' AND '1996-10' GROUP BY 1", "respondents", "responses")
+def marginals_people(s: Survey) -> DataFrame:
+    """Distinct people of each question over months in which many answered more than once."""
+    return loaded_marginals(s).people("question_id", since="1994-03", until="1996-10")
+
+
 @query(
     "joy_vs_public",
     """SELECT generation, avg(joy_index) AS public_joy, count(*) AS public_n, avg(joy_index) FILTER (WHERE usage_level IN ('Heavy', 'Frequent')) AS consumer_joy,
@@ -271,6 +294,18 @@ def word_occurrences(s: Survey) -> DataFrame:
     return s.verbatims().groupBy("category").agg(F.sum(F.regexp_count("text", F.lit(retrieval.word_pattern("the", "and", "of")))).alias("times"))
 
 
+@query(
+    "many_words",
+    r"""SELECT word, count(DISTINCT doc_id) AS texts, count(*) AS times FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{Nd}_]+'), lambda x: x <> '')) AS word FROM documents) d
+    JOIN (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) > 3)) AS word FROM benchmark) USING (word) GROUP BY word""",
+)
+def many_words(s: Survey) -> DataFrame:
+    """Every plain word of the benchmark's texts, counted in all documents in one pass."""
+    wanted = s.table("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) > 3")
+    found = words.occurrences(s.table("documents"), "doc_id", "text", wanted)
+    return found.groupBy("word").agg(F.count("*").alias("texts"), F.sum("times").alias("times"))
+
+
 @query("inflected_match", r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(run|running|ran|runs)\b')) AS run, len(regexp_extract_all(text, '(?i)\b(buy|buying|bought|buys|purchased|purchasing|purchase)\b')) AS buy,
     len(regexp_extract_all(text, '(?i)\b(licens(e|es|ed|ing|er|ers))\b')) AS license FROM
     (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'Ran, running runs; buy BOUGHT buys overrun ' || text WHEN 2 THEN 'purchase licensed brand rum ' || text ELSE coalesce(text, 'run') END AS text FROM verbatims)""", "verbatims")

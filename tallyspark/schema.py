@@ -17,7 +17,7 @@ def _schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
-RACES = ("white", "black", "asian", "native_american", "pacific_islander", "middle_eastern", "other")
+RACES = ("american_indian", "asian", "black", "hispanic", "middle_eastern", "pacific_islander", "white")
 
 RESPONSES = _schema(
     id=T.LongType(), respondent_id=_text, question_id=T.IntegerType(), item_id=T.IntegerType(), item_name=_text, raw_value=_text,
@@ -25,7 +25,7 @@ RESPONSES = _schema(
 )
 RESPONDENTS = _schema(
     respondent_id=_text, date_submitted=T.TimestampType(), age_band=_text, generation=_text, gender=_text, state=_text, region=_text,
-    income=_text, parental_status=_text, employment=_text, marital_status=_text, is_hispanic=T.BooleanType(), **{f"is_{r}": T.BooleanType() for r in RACES},
+    income=_text, parental_status=_text, employment=_text, marital_status=_text, is_hispanic=T.BooleanType(), **{f"race_{r}": T.BooleanType() for r in RACES},
 )
 ITEMS = _schema(item_id=T.IntegerType(), question_id=T.IntegerType(), item_name=_text, primary_topic=_text, subtags=_texts, is_brand=T.BooleanType(), is_location=T.BooleanType(), canonical_brand=_text, canonical_location=_text)
 QUESTIONS = _schema(question_id=T.IntegerType(), question_text=_text, question_type=_text, primary_topic=_text, subtags=_texts, intent_tag=_text, n_items=T.IntegerType(), short_label=_text)
