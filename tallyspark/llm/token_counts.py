@@ -224,7 +224,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024) ->
     spark = docs.sparkSession
     name, folder = f"frequencies_{uuid.uuid4().hex}", shared_folder(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frequencies(docs, path, pattern).write.bucketBy(buckets, "stretch").option("path", folder).format("parquet").saveAsTable(name)
+    frequencies(docs, path, pattern).write.bucketBy(buckets, "stretch").option("path", folder).option("compression", "zstd").format("parquet").saveAsTable(name)
     found = spark.table(name)
     words = found.where("words is not null").select(F.posexplode("words").alias("place", "word"), "stretch", "first").select("word", (F.shiftleft("stretch", PLACE_BITS) + F.col("first") + F.col("place")).alias("at"))
     answers = pieces(words, path, pattern)
