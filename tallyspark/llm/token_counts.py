@@ -162,7 +162,7 @@ def frequencies(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
 
 
 def pieces(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(stretch, places, pieces): the tokens of each word of a stretch, from rows (word, at);
+    """(stretch, pieces, places): the places of a stretch's words that have so many tokens, from rows (word, at);
     ``at`` is the stretch and the place in its list as one number.
 
     Equal words come to one task one after the other, and are counted once."""
@@ -175,11 +175,11 @@ def pieces(words: DataFrame, path: str, pattern: str) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             at, n = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(at)
+            order = np.lexsort((at, n, at >> PLACE_BITS))
             stretch, place, n = at[order] >> PLACE_BITS, (at[order] & ((1 << PLACE_BITS) - 1)).astype(np.int32), n[order]
-            starts = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1])))
+            starts = np.flatnonzero(np.concatenate(([True], (stretch[1:] != stretch[:-1]) | (n[1:] != n[:-1]))))
             bounds = pa.array(np.append(starts, len(stretch)), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(stretch[starts]), pa.ListArray.from_arrays(bounds, pa.array(place)), pa.ListArray.from_arrays(bounds, pa.array(n))], names=["stretch", "places", "pieces"])
+            return pa.RecordBatch.from_arrays([pa.array(stretch[starts]), pa.array(n[starts]), pa.ListArray.from_arrays(bounds, pa.array(place))], names=["stretch", "pieces", "places"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -202,16 +202,16 @@ def pieces(words: DataFrame, path: str, pattern: str) -> DataFrame:
             yield packed()
 
     together = words.repartition("word").sortWithinPartitions("word").select("word", "at")
-    return together.mapInArrow(run, "stretch long, places array<int>, pieces array<int>")
+    return together.mapInArrow(run, "stretch long, pieces int, places array<int>")
 
 
 def _summed(documents: pa.Table, answers: pa.Table) -> pa.Table:
     """Sums the tokens of one stretch's documents."""
     documents = documents.filter(documents.column("n_bytes").is_valid()).combine_chunks()
     answers = answers.combine_chunks()
-    place, n = (answers.column(c).combine_chunks().flatten().to_numpy() if answers.num_rows else np.zeros(0, np.int32) for c in ("places", "pieces"))
-    per_word = np.zeros(len(place), np.int64)
-    per_word[place] = n
+    places = answers.column("places").combine_chunks()
+    per_word = np.zeros(len(places.flatten()), np.int64)
+    per_word[places.flatten().to_numpy()] = np.repeat(answers.column("pieces").to_numpy(), places.value_lengths().to_numpy().astype(np.int64)) if answers.num_rows else []
     ends = np.cumsum(documents.column("places").combine_chunks().value_lengths().to_numpy().astype(np.int64))
     at, times = (documents.column(c).combine_chunks().flatten().to_numpy() for c in ("places", "times"))
     sums = np.concatenate(([0], np.cumsum(per_word[at] * times)))
