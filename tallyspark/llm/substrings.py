@@ -63,13 +63,13 @@ class FingerprintIndex:
         return self.state["runs"]
 
     def _path(self, kind: str) -> str:
-        self.state["made"] += 1
-        return f"{self.home}/{kind}-{self.state['made']}"
+        """A folder that no earlier session has begun: what a killed batch left is in nobody's way, and the manifest doesn't list it."""
+        return f"{self.home}/{kind}-{uuid.uuid4().hex}"
 
     def _told(self) -> None:
         """Writes the manifest of the state after a batch or a compaction."""
         self.state["made"] += 1
-        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.home}/manifest/{self.state['made']:09d}")
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.home}/manifest/{self.state['made']:09d}-{uuid.uuid4().hex}")
 
     def _write(self, rows: DataFrame, path: str, *parts: str) -> None:
         """A table bucketed and sorted by fingerprint in a folder."""

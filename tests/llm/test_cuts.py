@@ -97,6 +97,35 @@ def test_compaction_and_later_sessions(spark, odd):
     index.close()
 
 
+@pytest.mark.parametrize("step", ["_told", "_write"])
+def test_a_killed_batch(spark, odd, monkeypatch, step):
+    """A session that ends in the middle of a batch, or before its manifest: the next one opens the index as it was and adds the batch again."""
+    rows = substrings.identified(table(spark, odd), "doc_id")
+    parts = substrings._batches(rows, 3)
+    index = substrings.FingerprintIndex(spark)
+    index.add(parts[0])
+    whole, calls = getattr(substrings.FingerprintIndex, step), []
+
+    def killed(self, *some):
+        calls.append(1)
+        if step == "_told" or len(calls) == 2:
+            raise KeyboardInterrupt
+        return whole(self, *some)
+
+    monkeypatch.setattr(substrings.FingerprintIndex, step, killed)
+    with pytest.raises(KeyboardInterrupt):
+        index.add(parts[1])
+    monkeypatch.undo()
+    again = substrings.FingerprintIndex(spark, home=index.home)
+    assert len(again.runs) == 1
+    again.add(parts[1])
+    again = substrings.FingerprintIndex(spark, home=index.home)
+    again.add(parts[2])
+    cut = substrings.cut_spans(rows, again.repeated(rows), "word", 50, ("doc_id",))
+    assert found(cut, 3) == wanted(odd, brute_words(odd))
+    again.close()
+
+
 def test_history_is_not_moved(spark, odd, monkeypatch):
     """The merge of a batch with the runs has no exchange."""
     rows = substrings.identified(table(spark, odd), "doc_id")
