@@ -158,6 +158,8 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.replace("ids", F.lit(f" {_BSD3} "), F.lit(" bsd3 ")))
     rules = [("BSD-3-Clause", ["bsd3"]), *RULES, *MORE_RULES]
     met = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains("other", F.lit(f" {' '.join(ids)} ")), F.lit(name)) for name, ids in rules])))
+    # a right that is reserved says something only where no licence is granted
+    met = F.when(F.size(met) > 1, F.array_remove(met, "proprietary")).otherwise(met)
     return rows.select("doc_id", "n_sentences", F.btrim("ids").alias("sentence_ids"), F.array_join(met, " ").alias("licences"), F.try_element_at(met, F.lit(1)).alias("licence"))
 
 
@@ -193,7 +195,7 @@ WITH cut AS (
 named AS (
   SELECT doc_id, len(sentences) AS n, ' ' || coalesce(array_to_string(list_filter(list_transform(sentences, lambda s: MAP {{{known}}}[s]), lambda x: x IS NOT NULL), ' '), '') || ' ' AS ids FROM cut),
 ruled AS (SELECT *, list_filter([{met}], lambda x: x IS NOT NULL) AS found FROM named),
-once AS (SELECT *, list_filter(found, lambda x, i: list_position(found, x) = i) AS met FROM ruled)
+once AS (SELECT *, list_filter(found, lambda x, i: list_position(found, x) = i AND (x <> 'proprietary' OR len(list_distinct(found)) = 1)) AS met FROM ruled)
 SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, trim(ids) AS sentence_ids, coalesce(array_to_string(met, ' '), '') AS licences, met[1] AS licence FROM once
 """
 

@@ -373,8 +373,10 @@ def test_leaks(spark):
             if plain(x) and (k := best_distance(plain(x), plain(t))) <= decontaminate.budget(len(plain(x))):
                 want[d, i] = k
     got = {(r.doc_id, r.item_id): r.distance for r in found}
-    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
-    assert all(got[k] == want[k] for k in got)
+    assert got == want
+    sizes = {i: len(plain(x)) for i, x in items}
+    walked = [r.by_walk for r in found if sizes[r.item_id] >= 5]
+    assert sum(walked) >= 0.95 * len(walked) > 0
     assert decontaminate.leaks(table(spark, []), bench).collect() == [] == decontaminate.leaks(table(spark, rows[:9]), bench.limit(0)).collect()
 
 
@@ -401,7 +403,7 @@ def test_licences(spark):
     rows = [(1, f"Title\n{mit}\n{notice}"), (2, notice), (3, "A b. Released under the MIT License. All rights reserved."), (4, None), (5, ""), (6, "This  work is LICENSED under the GNU General Public License, version 3!"), (7, "no licence here"), (7, "no licence here")]
     got = sorted((r.doc_id, r.sentence_ids, r.licences, r.licence) for r in licences.scan(table(spark, rows)).collect())
     assert got == [
-        (1, "mit-grant mit-notice", "MIT", "MIT"), (2, "mit-notice", "", None), (3, "mit-ref reserved", "MIT proprietary", "MIT"), (4, "", "", None), (5, "", "", None),
+        (1, "mit-grant mit-notice", "MIT", "MIT"), (2, "mit-notice", "", None), (3, "mit-ref reserved", "MIT", "MIT"), (4, "", "", None), (5, "", "", None),
         (6, "gpl3-ref", "GPL-3.0-only", "GPL-3.0-only"), (7, "", "", None), (7, "", "", None),
     ]
     assert licences.scan(table(spark, [])).collect() == []

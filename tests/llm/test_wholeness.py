@@ -56,6 +56,14 @@ def test_long_text(spark):
     assert row.licences == "AGPL-3.0-or-later" and row.n_sentences > 50_000
 
 
+def test_reserved_rights_beside_a_licence(spark):
+    """All rights reserved is no licence of its own where another is granted."""
+    reserved = "Copyright 2020 A. All rights reserved."
+    rows = [(1, reserved), (2, reserved + "\n\n" + " ".join(BSD)), (3, MPL + "\n\n" + reserved), (4, reserved + "\n\nLicensed under CC BY 4.0.")]
+    found = {r.doc_id: (r.licences, r.licence) for r in licences.scan(table(spark, rows)).collect()}
+    assert found == {1: ("proprietary", "proprietary"), 2: ("BSD-3-Clause", "BSD-3-Clause"), 3: ("MPL-2.0", "MPL-2.0"), 4: ("CC-BY-4.0", "CC-BY-4.0")}
+
+
 def test_wrapped_licences(spark):
     """Licences as they are usually written: wrapped at 72 columns, bare and as comments, and short references."""
     whole = [("MIT", MIT), ("BSD-3-Clause", BSD), ("BSD-2-Clause", BSD[:3]), ("GPL-3.0-or-later", [GPL.format(3)]), ("GPL-2.0-or-later", [GPL.format(2)]), ("LGPL-2.1-or-later", [LGPL]), ("MPL-2.0", [MPL]), ("ISC", [ISC]), ("Apache-2.0", APACHE.split("\n\n")), ("Zlib", ZLIB), ("AGPL-3.0-or-later", AGPL.split("\n\n")), ("Unlicense", UNLICENSE)]
