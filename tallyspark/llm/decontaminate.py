@@ -12,7 +12,8 @@ of n words is in a document if some stretch of it is within ``floor(n / 5)`` wor
    ``REPEATS`` walks samples one to three steps by the item's length (``SAMPLED``); windows and
    items with equal samples in any repeat are the first candidates.
 3. Verification. Each candidate's exact edit distance to the best stretch nearby decides.
-   Then it decides for all other windows of step 1 too, so none is lost whose samples differ.
+   Then it decides for all other windows of step 1 too, so none is lost whose samples differ;
+   ``by_walk`` tells for each match whether equal samples led to it or only this exact way.
 
 Items go to the tasks in blocks of at most ``BLOCK_BYTES``: a checked size. Each block is
 one pass over the documents.
@@ -183,11 +184,11 @@ class Index:
         out = np.unique(np.stack([row[keep], item[keep], start[keep]], axis=1), axis=0) if keep.any() else np.zeros((0, 3), np.int64)
         return out[:, 0], out[:, 1], out[:, 2]
 
-    def candidates(self, symbols: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(row, item, first and last window start): windows and items whose samples agree in some
+    def candidates(self, symbols: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
+        """(row, item, first and last window start, whether by walk): windows and items whose samples agree in some
         repeat, then all runs of windows that lie near each other."""
         found = self.windows(symbols, cuts)
-        return [(row, k, start, start) for row, k, start in self.sampled(symbols, cuts, *found)] + self.runs(*found)
+        return [(row, k, start, start, True) for row, k, start in self.sampled(symbols, cuts, *found)] + [(*run, False) for run in self.runs(*found)]
 
     def runs(self, row: np.ndarray, item: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Windows of a row and item, in order, whose neighbourhoods overlap."""
@@ -210,14 +211,15 @@ class Index:
                 out.update((int(row[a + w]), int(k), int(start[a + w])) for k in self.sampled_by[low[w, r] : high[w, r]])
         return sorted(out)
 
-    def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item id, first word, words, distance) of verified items, one for each row and item."""
+    def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, bool]]:
+        """(row, item id, first word, words, distance, whether by walk) of verified items, one for each row and item."""
         symbols, cuts = hashed_words(data, offsets)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        walked: set[tuple[int, int]] = set()
         checked: dict[tuple[int, int], tuple[int, int]] = {}
         if not len(symbols) or not self.ids:
             return []
-        for row, k, start, last in self.candidates(symbols, cuts):
+        for row, k, start, last, by_walk in self.candidates(symbols, cuts):
             n, edits = int(self.sizes[k]), int(self.edits[k])
             low, high = max(int(cuts[row]), start - edits), min(int(cuts[row + 1]), last + n + 2 * edits)
             before = checked.get((row, k))
@@ -228,22 +230,24 @@ class Index:
             distance, end = edit_distance(self.words[k], near)
             if distance > edits:
                 continue
+            if by_walk:
+                walked.add((row, k))
             _, back = edit_distance(self.words[k][::-1], near[:end][::-1])
             first = low + end - back - int(cuts[row])
             known = best.get((row, k))
             if known is None or (distance, first) < (known[0], known[1]):
                 best[row, k] = (distance, first, back)
-        return [(row, self.ids[k], first, length, distance) for (row, k), (distance, first, length) in sorted(best.items())]
+        return [(row, self.ids[k], first, length, distance, (row, k) in walked) for (row, k), (distance, first, length) in sorted(best.items())]
 
 
 def leaks(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row for each document and item found in it: the kept columns, item_id, first_word, n_words, distance."""
+    """One row for each document and item found in it: the kept columns, item_id, first_word, n_words, distance, by_walk."""
     spark = docs.sparkSession
     items = items.select("item_id", "text").distinct()
     total = items.agg(F.sum(F.octet_length(F.col("text")) + 64)).first()[0] or 0
     blocks = max(1, -(-total // (BLOCK_BYTES // 2)))
     frame = in_small_batches(docs).select(*keep, "text")
-    schema = "".join(f"`{c}` {frame.schema[c].dataType.simpleString()}, " for c in keep) + "item_id long, first_word long, n_words long, distance long"
+    schema = "".join(f"`{c}` {frame.schema[c].dataType.simpleString()}, " for c in keep) + "item_id long, first_word long, n_words long, distance long, by_walk boolean"
     out = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -260,10 +264,10 @@ def _scan(index, keep):
             for first, _, data, offsets in text_slices(batch.column(len(keep)), 2 * SLICE):
                 rows = own.matches(data, offsets)
                 if rows:
-                    row, item, begin, size, distance = zip(*rows)
+                    row, item, begin, size, distance, by_walk = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(i).take(pa.array([first + r for r in row])) for i in range(len(keep))), *(pa.array(x, pa.int64()) for x in (item, begin, size, distance))],
-                        names=[*keep, "item_id", "first_word", "n_words", "distance"],
+                        [*(batch.column(i).take(pa.array([first + r for r in row])) for i in range(len(keep))), *(pa.array(x, pa.int64()) for x in (item, begin, size, distance)), pa.array(by_walk, pa.bool_())],
+                        names=[*keep, "item_id", "first_word", "n_words", "distance", "by_walk"],
                     )
 
     return run
