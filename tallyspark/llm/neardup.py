@@ -12,7 +12,9 @@ registers are equal with a probability that grows with the Jaccard similarity (f
    documents that share a band are in one group, without listing the pairs.
 3. Each candidate group gets its documents' full sets once, in blocks of bounded size. Two
    similar sets of a block share one of the rarest shingles of each (as many as the threshold
-   lets them differ in, and one), so only documents under one such shingle are compared: first
+   lets them differ in, and one), so only documents under one such shingle are compared. Two that
+   share a shingle of few documents meet there; under a common one (of a form, say) only those meet
+   whose common shingles alone can reach the threshold. Of those that meet, first
    the Jaccard similarity is estimated jointly with the set sizes by maximum likelihood over
    the counts of larger, equal and smaller registers; what is not far below the threshold is
    verified on the full sets. Documents linked with no leader become leaders; followers whose
@@ -48,6 +50,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: Pairs whose estimated similarity is this far below the threshold are not verified (seven standard errors).
 MARGIN = 0.25
+#: Documents of a block that a shingle is in, beyond which it is common there.
+COMMON = 32
 #: Shingles in one block of a candidate group.
 BLOCK = 4_000_000
 
@@ -125,9 +129,9 @@ def may_be_similar(one: np.ndarray, size: int, others: np.ndarray, sizes: np.nda
     return reachable & (_log_likelihood(np.float64(floor + 1e-4), u, *counts) >= _log_likelihood(np.float64(floor), u, *counts)), counts[1]
 
 
-def _rare_first(found: np.ndarray, cuts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the shingles of a block, and for each document its rarest ones, of which a similar
-    document must share one: as pairs (shingle, document) in the order of shingles."""
+def _rare_first(found: np.ndarray, cuts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the shingles of a block, for each document its rarest ones, of which a similar document
+    must share one, as pairs (shingle, document) in the order of shingles and document sizes; and how many documents each shingle is in."""
     m, sizes = len(cuts) - 1, np.diff(cuts)
     _, dense, times = np.unique(found, return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(m), sizes)
@@ -136,8 +140,8 @@ def _rare_first(found: np.ndarray, cuts: np.ndarray, percent: int) -> tuple[np.n
     must_share = -(-sizes * percent // 100)  # a similar set shares so many at least
     rare = order[place < (sizes - must_share + 1)[owner]]
     rare = rare[times[dense[rare]] > 1]
-    by = np.lexsort((owner[rare], dense[rare]))
-    return dense, dense[rare][by], owner[rare][by]
+    by = np.lexsort((owner[rare], sizes[owner[rare]], dense[rare]))
+    return dense, dense[rare][by], owner[rare][by], times
 
 
 def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -148,12 +152,19 @@ def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketche
     """
     m = len(ids)
     sizes = np.diff(cuts)
+    none = np.zeros(0, np.int64)
     if not len(found):
         return []
-    dense, shingle, holder = _rare_first(found, cuts, percent)
+    dense, shingle, holder, times = _rare_first(found, cuts, percent)
     edges = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1], [True]))) if len(shingle) else np.zeros(1, np.int64)
     begin, end = edges[:-1], edges[1:]
     number = np.repeat(np.arange(len(begin)), end - begin)
+    widths = sizes[holder]
+    common = times[shingle[begin]] > COMMON if len(shingle) else np.zeros(0, bool)
+    # of documents that share common shingles only, a similar one has at most so many: 100 shared >= percent * united
+    alone = np.add.reduceat((times[dense] > COMMON).astype(np.int64), cuts[:-1][sizes > 0]) if sizes.any() else none
+    widest = np.zeros(m, np.int64)
+    widest[sizes > 0] = alone * (100 + percent) // percent - sizes[sizes > 0]
     by_holder = np.argsort(holder, kind="stable")
     lists, bounds = number[by_holder], np.concatenate(([0], np.cumsum(np.bincount(holder, minlength=m))))
     flag = np.zeros(int(dense.max()) + 1, bool)
@@ -172,12 +183,21 @@ def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketche
 
     def near(i):
         """Documents that share a rare shingle with i and may be as large, i left out, and their registers equal to its."""
-        own = lists[bounds[i] : bounds[i + 1]]
-        if not len(own):
-            return none, none
-        among = np.unique(np.concatenate([holder[begin[k] : end[k]] for k in own]))
-        among = among[among != i]
-        return likely(i, among[np.minimum(sizes[among], sizes[i]) * 100 >= percent * np.maximum(sizes[among], sizes[i])])
+        among = met(i, lists[bounds[i] : bounds[i + 1]])
+        return likely(i, among[among != i])
+
+    def met(i, own):
+        """Documents under these rare shingles of i that are large and small enough to be similar."""
+        least, most = -(-sizes[i] * percent // 100), sizes[i] * 100 // percent
+        out = []
+        for k in own:
+            top = min(most, widest[i]) if common[k] else most
+            if top < least:
+                continue
+            size = widths[begin[k] : end[k]]
+            some = holder[begin[k] + np.searchsorted(size, least) : begin[k] + np.searchsorted(size, top, "right")]
+            out.append(some[widest[some] >= sizes[i]] if common[k] else some)
+        return np.unique(np.concatenate(out)) if out else none
 
     def likely(i, among):
         close, equal = may_be_similar(sketches[i], int(sizes[i]), sketches[among], sizes[among], floor)
@@ -204,7 +224,6 @@ def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketche
                 join(i, linked)
             among = among[part[among] != part[i]]
 
-    none = np.zeros(0, np.int64)
     floor = percent / 100 - MARGIN
     leader_of = np.full(m, -1)
     for i in range(m):
@@ -231,9 +250,8 @@ def verified_links(ids: np.ndarray, found: np.ndarray, cuts: np.ndarray, sketche
             if leader_of[i] == i:
                 continue
             own = [k for k in lists[bounds[i] : bounds[i + 1]] if mixed[k]]
-            among = np.unique(np.concatenate([holder[begin[k] : end[k]] for k in own]))
+            among = met(i, own)
             among = among[(part[among] != part[i]) & (leader_of[among] != among)]
-            among = among[np.minimum(sizes[among], sizes[i]) * 100 >= percent * np.maximum(sizes[among], sizes[i])]
             if len(among):
                 tie(i, *likely(i, among))
     out = []

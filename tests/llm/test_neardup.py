@@ -90,6 +90,65 @@ def test_groups_without_links_are_cheap():
     assert time.perf_counter() - began < 2
 
 
+def forms(n, own, seed=0, apart=False):
+    """Texts of one form of 120 words with so many words of their own, in one stretch or each alone."""
+    draw = random.Random(seed)
+    base = [f"t{i}" for i in range(120)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        if apart:
+            for k in draw.sample(range(120), own):
+                text[k] = f"o{i}x{k}"
+        else:
+            at = draw.randrange(3, 117 - own)
+            text[at : at + own] = [f"o{i}x{k}" for k in range(own)]
+        out.append(" ".join(text))
+    return out
+
+
+def sets_of(texts):
+    ((_, _, data, offsets),) = text_slices(pa.array(texts), 1 << 30)
+    found, cuts = neardup.shingles(data, offsets, 3)
+    return found, cuts, neardup.registers(found, cuts)
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_time_of_forms_just_below_the_threshold(apart):
+    """Four times the texts take in proportion, also if all are a little less similar than is asked."""
+    took = []
+    for n in (1000, 4000, 16000):
+        found, cuts, sketch = sets_of(forms(n, 5 if apart else 9, apart=apart))
+        began = time.perf_counter()
+        assert neardup.verified_links(np.arange(n), found, cuts, sketch, 85) == []
+        took.append(time.perf_counter() - began)
+    assert took[2] < 30 * took[0] + 0.5 and took[2] < 10
+
+
+@pytest.mark.parametrize("own, apart, percent", [(7, False, 85), (8, False, 85), (9, False, 80), (2, True, 85), (3, True, 85), (4, True, 80), (12, False, 80)])
+def test_forms_near_the_threshold(own, apart, percent):
+    """Forms on both sides of the threshold, with words of their own or shared by a few or by many: the parts are those of all pairs."""
+    texts = forms(60, own, own, apart) + [t.replace("o", "p") for t in forms(20, own + 1, 5, apart)] + [" ".join(t.split()[:110]) for t in forms(20, 2, 6)] + [t.replace("x1 ", "y ").replace("t50", "z") for t in forms(30, own, 7)]
+    draw = random.Random(own)
+    texts += [" ".join(f"s{draw.randrange(4)}" if draw.random() < 0.05 else w for w in forms(1, 0)[0].split()) for _ in range(60)]
+    found, cuts, sketch = sets_of(texts)
+    sets = [set(found[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:])]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    got = dict(neardup.verified_links(np.arange(len(texts)), found, cuts, sketch, percent))
+    assert {i: got.get(i, i) for i in range(len(texts))} == {i: top(i) for i in range(len(texts))}
+
+
 def test_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 1500)
     draw = random.Random(8)
