@@ -840,4 +840,4 @@ def context_kind(s: Survey) -> DataFrame:
     return s.items().select("item_id", context.alias("c")).select("item_id", "c.shape", F.array_join("c.pain_keywords", ",").alias("pain_keywords"), F.array_join("c.audience_hints", ",").alias("audience_hints"))
 
 
-from tallyspark.plans import control, ingestion  # noqa: E402, F401  (they register theirs)
+from tallyspark.plans import control, ingestion, roundtrips  # noqa: E402, F401  (they register theirs)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,14 @@ def land_sheet(spark: SparkSession, path: str, target: str) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def workbooks(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """The files of a path as they are (path, content), or as a stream those that come to a folder."""
+    if not stream:
+        return spark.read.format("binaryFile").load(path).select("path", "content")
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).load(path).select("path", "content")
+
+
 def workbook(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the first sheet of each Excel workbook of a path: (path, ordinal, cells), cells as
     strings with null where blank. Rows of blanks only are left out. A workbook is read as a whole by one task."""
@@ -36,36 +45,75 @@ def workbook(spark: SparkSession, path: str) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for where, content in zip(part["path"], part["content"]):
-                rows = [(n, cells) for n, cells in enumerate(_first_sheet(content)) if any(c and c.strip() for c in cells)]
+                rows = [(n, [cells.get(i) for i in range(max(cells) + 1)]) for n, cells in _first_sheet(content) if any(c and c.strip() for c in cells.values())]
                 yield pd.DataFrame({"path": where, "ordinal": [n for n, _ in rows], "cells": [cells for _, cells in rows]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, ordinal long, cells array<string>")
+    return workbooks(spark, path).mapInPandas(run, "path string, ordinal long, cells array<string>")
+
+
+def workbook_sheet(files: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of the first sheet of workbooks (as ``workbooks`` gives them, also as a stream) as ``sheet`` has them: path, the ordinal of the row, and
+    the named columns (c0, c1, ...). Of a sheet with thousands of columns only the cells of these are
+    taken out, and rows are passed on as they are read; rows in which all of them are blank are left out."""
+    wanted = {int(c.removeprefix("c")): c for c in columns}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(where, rows):
+            values = [pa.array([cells.get(i) for _, cells in rows], pa.string()) for i in wanted]
+            return pa.RecordBatch.from_arrays([pa.array([where] * len(rows), pa.string()), pa.array([n for n, _ in rows], pa.int64()), *values], names=["path", "ordinal", *wanted.values()])
+
+        for batch in batches:
+            for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held = []
+                for n, cells in _first_sheet(content, wanted):
+                    if any(c and c.strip() for c in cells.values()):
+                        held.append((n, cells))
+                    if len(held) == 1000:
+                        yield batch_of(where, held)
+                        held = []
+                if held:
+                    yield batch_of(where, held)
+
+    return files.mapInArrow(run, "path string, ordinal long, " + ", ".join(f"{c} string" for c in wanted.values()))
+
+
+def _column_number(reference: str) -> int | None:
+    """A cell's column from its reference, B7 being in column 1."""
+    at = -1
+    for letter in re.match("[A-Z]*", reference)[0]:
+        at = (at + 1) * 26 + ord(letter) - 65
+    return at if at >= 0 else None
 
 
-def _first_sheet(content: bytes) -> list[list[str | None]]:
-    """Cells of a workbook's first sheet, row by row."""
+def _first_sheet(content: bytes, wanted: Container[int] | None = None) -> Iterator[tuple[int, dict[int, str | None]]]:
+    """(ordinal, cells by column) of a workbook's first sheet, row by row; with ``wanted`` only cells of these columns."""
     local = lambda e: e.tag.rpartition("}")[2]
     texts_of = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = book.namelist()
         shared = [texts_of(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
         first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        rows = [e for e in ElementTree.fromstring(book.read(first)).iter() if local(e) == "row"]
-    out = []
-    for row in rows:
-        cells: list[str | None] = []
-        for cell in row:
-            letters = re.match("[A-Z]*", cell.get("r", ""))[0]
-            at = -1
-            for letter in letters:
-                at = (at + 1) * 26 + ord(letter) - 65
-            at = at if letters else len(cells)
-            cells += [None] * (at + 1 - len(cells))
-            value = next((v.text for v in cell if local(v) == "v"), None)
-            kind = cell.get("t")
-            cells[at] = shared[int(value)] if kind == "s" and value is not None else texts_of(cell) if kind == "inlineStr" else value
-        out.append(cells)
-    return out
+        with book.open(first) as raw:
+            ordinal, cells, place = -1, {}, -1
+            for event, e in ElementTree.iterparse(raw, ("start", "end")):
+                kind = local(e)
+                if event == "start":
+                    if kind == "row":
+                        cells, place = {}, -1
+                        ordinal = int(e.get("r")) - 1 if e.get("r") else ordinal + 1
+                    continue
+                if kind == "c":
+                    at = _column_number(e.get("r", ""))
+                    place = place + 1 if at is None else at
+                    if wanted is None or place in wanted:
+                        value = next((v.text for v in e if local(v) == "v"), None)
+                        form = e.get("t")
+                        cells[place] = shared[int(value)] if form == "s" and value is not None else texts_of(e) if form == "inlineStr" else value
+                    e.clear()
+                elif kind == "row":
+                    if cells:
+                        yield ordinal, cells
+                    e.clear()
 
 
 def workbook_contacts(spark: SparkSession, path: str) -> DataFrame:

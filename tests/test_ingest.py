@@ -139,3 +139,46 @@ def test_json_map_and_corpus_line(spark, tmp_path):
     lines = spark.createDataFrame([("Tea: JI=61.2(20.1%max, 3.5%neg n=1,234)",), ("Rum JI=-4(1%max n=40)",)], "l string")
     got = [tuple(r.p) for r in lines.select(files.parse_corpus_line(F.col("l")).alias("p")).collect()]
     assert got == [("Tea", 61.2, 20.1, 3.5, 1234), ("Rum", -4.0, 1.0, None, 40)]
+
+
+def book_of(path, header, rows):
+    """A workbook with cells given by column number."""
+
+    def letters(i):
+        out = ""
+        while i >= 0:
+            out, i = chr(65 + i % 26) + out, i // 26 - 1
+        return out
+
+    def row(r, cells):
+        return f'<row r="{r}">' + "".join(f'<c r="{letters(i)}{r}" t="inlineStr"><is><t>{v}</t></is></c>' for i, v in sorted(cells.items())) + "</row>"
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="m"><sheetData>' + "".join(row(r, cells) for r, cells in enumerate([header, *rows], 1)) + "</sheetData></worksheet>")
+
+
+def test_a_wide_workbook_becomes_a_wave(spark, tmp_path):
+    """3,680 columns, of which the mapped ones only are taken out; ordinals are the sheet's rows, also as a stream."""
+    header = {i: f"Question {i}" for i in range(3680)} | {66: f"White:{RACE}", 67: f"Asian:{RACE}"}
+    people = [{0: f"R-{n}", 2: f"2026-0{4 - n % 2}-02", 20: "Ohio", 55: "27 to 42", 56: "2", 66: "White" if n % 3 else "", 84: str(n % 6), 3679: "single"} | {i: "other" for i in range(100, 3600, 7)} for n in range(40)]
+    people[5] = {100: "not mapped"}
+    book_of(tmp_path / "wave.xlsx", header, people)
+    columns = ["c0", "c2", "c20", "c55", "c56", "c57", "c58", "c63", "c65", *(f"c{i}" for i in range(60, 90) if i not in (63, 65)), "c3679"]
+    sheet = files.workbook_sheet(files.workbooks(spark, str(tmp_path / "wave.xlsx")), columns)
+    assert sheet.columns == ["path", "ordinal", *columns]
+    first = sheet.where("ordinal = 0").first()
+    own = ingest.Layout(race=ingest.race_columns({c: first[c] for c in columns}))
+    assert own.race == {"race_white": "c66", "race_asian": "c67"}
+    wave = ingest.with_ids(ingest.wave(sheet, "2026-04", own), 100)
+    found = {r.c0: r for r in wave.join(ingest.respondents(wave, own).select("respondent_id", "generation", "race_white"), "respondent_id").collect()}
+    assert sorted(found) == sorted(f"R-{n}" for n in range(0, 40, 2))
+    assert all((r.ordinal, r.race_white, r.generation, r.c3679) == (int(k[2:]) + 1, int(k[2:]) % 3 > 0, "Millennial", "single") for k, r in found.items())
+    assert [r.respondent_id for r in sorted(found.values(), key=lambda r: r.ordinal)] == list(range(101, 121))
+    assert sheet.where("ordinal = 6").count() == 0  # only cells that aren't mapped
+    (tmp_path / "in").mkdir()
+    os.rename(tmp_path / "wave.xlsx", tmp_path / "in" / "wave.xlsx")
+    stream = files.workbook_sheet(files.workbooks(spark, str(tmp_path / "in"), stream=True), ["c0", "c84"]).writeStream.format("parquet")
+    for n in (1, 2):
+        stream.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 40 * n  # 41 rows, one without mapped cells
+        book_of(tmp_path / "in" / "next.xlsx", header, people)
