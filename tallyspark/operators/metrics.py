@@ -32,12 +32,16 @@ def consumers(answers: DataFrame, usage: DataFrame, category: str, levels: tuple
     return answers.join(users, "respondent_id", "left_semi")
 
 
-def label_distribution(answers: DataFrame, labels: DataFrame, family: str) -> DataFrame:
-    """Answers by label with percent of all, in scale order; labels outside the scale come last."""
-    counted = answers.groupBy("raw_value").agg(F.count("*").alias("n"))
-    scale = labels.where(F.col("scale_family") == family).select("label", "display_order")
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return counted.join(scale, F.col("raw_value") == F.col("label"), "left").select("raw_value", "display_order", "n", share(F.col("n"), total).alias("pct"))
+def label_distribution(answers: DataFrame, labels: DataFrame, family: str, *dims: str) -> DataFrame:
+    """Answers by label with percent of all, or of all within the dimensions (a question, say), in scale order;
+    labels outside the scale come last. Totals are added up like any other aggregate and joined, so that no task
+    holds all labels, which open answers have without bound."""
+    counted = answers.groupBy(*dims, "raw_value").agg(F.count("*").alias("n"))
+    scale = labels.where(F.col("scale_family") == family).select("label", "display_order", "semantic_position")
+    totals = counted.groupBy(*[F.col(d).alias(f"_{d}") for d in dims]).agg(F.sum("n").alias("total"))
+    same = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in dims]
+    counted = counted.join(totals, same) if dims else counted.join(F.broadcast(totals))  # one row
+    return counted.join(scale, F.col("raw_value") == F.col("label"), "left").select(*dims, "raw_value", "display_order", "semantic_position", "n", share(F.col("n"), F.col("total")).alias("pct"))
 
 
 def select_all_share(answers: DataFrame) -> DataFrame:

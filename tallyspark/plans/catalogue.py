@@ -125,7 +125,13 @@ def topic_scan(s: Survey) -> DataFrame:
 
 @query("label_distribution", f"SELECT raw_value, display_order, count(*) AS n, CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER () AS pct FROM answers LEFT JOIN {SCALE_SQL} ON raw_value = label AND label <> 'R' GROUP BY 1, 2", "answers")
 def label_distribution(s: Survey) -> DataFrame:
-    return metrics.label_distribution(s.answers(), scale(s.spark).where("label <> 'R'"), "returns")
+    return metrics.label_distribution(s.answers(), scale(s.spark).where("label <> 'R'"), "returns").drop("semantic_position")
+
+
+@query("labels_of_questions", "SELECT question_id, raw_value, display_order, position AS semantic_position, count(*) AS n, CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (PARTITION BY question_id) AS pct FROM answers LEFT JOIN (VALUES ('A', 1, 'high'), ('N', 2, 'middle')) AS s(label, display_order, position) ON raw_value = label GROUP BY 1, 2, 3, 4", "answers")
+def labels_of_questions(s: Survey) -> DataFrame:
+    """Labels with their place and meaning on the scale, in percent of their question."""
+    return metrics.label_distribution(s.answers(), scale(s.spark).where("label <> 'R'"), "returns", "question_id")
 
 
 @query("select_all_pct", "SELECT question_id, item_id, count(DISTINCT respondent_id) FILTER (WHERE is_selected) AS selected_n, base_n, CAST(100 AS DOUBLE) * count(DISTINCT respondent_id) FILTER (WHERE is_selected) / base_n AS pct FROM responses JOIN (SELECT question_id, count(DISTINCT respondent_id) AS base_n FROM responses GROUP BY 1) USING (question_id) GROUP BY question_id, item_id, base_n HAVING count(*) FILTER (WHERE is_selected) > 0", "responses")
@@ -306,6 +312,21 @@ def many_words(s: Survey) -> DataFrame:
     return found.groupBy("word").agg(F.count("*").alias("texts"), F.sum("times").alias("times"))
 
 
+@query(
+    "texture_by_month",
+    """SELECT doc_id, category, generation, strftime(o_orderdate, '%Y-%m') AS year_month FROM verbatims v JOIN respondents p USING (respondent_id) JOIN orders ON o_orderkey = doc_id
+    WHERE v.respondent_id IN (SELECT respondent_id FROM usage WHERE category = 'orders' AND usage_level IN ('Heavy', 'Frequent', 'Moderate')) AND is_quotable AND text ILIKE '%the%' AND o_orderdate >= TIMESTAMP '1995-03-01'
+    ORDER BY 4 DESC, doc_id LIMIT 25""",
+    "respondents", "usage", "verbatims",
+)
+def texture_by_month(s: Survey) -> DataFrame:
+    """Texts of a category's users since a month, latest first; the month bound is one on the date that the scan meets."""
+    people = s.respondents().select("respondent_id", "generation")
+    rows = s.dated_verbatims(since="1995-03-01").where(F.col("is_quotable") & F.col("text").ilike("%the%")).join(people, "respondent_id")
+    rows = metrics.consumers(rows, s.usage(), "orders", (*LEVELS, "Moderate"))
+    return rows.select("doc_id", "category", "generation", "year_month").orderBy(F.desc("year_month"), "doc_id").limit(25)
+
+
 @query("inflected_match", r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(run|running|ran|runs)\b')) AS run, len(regexp_extract_all(text, '(?i)\b(buy|buying|bought|buys|purchased|purchasing|purchase)\b')) AS buy,
     len(regexp_extract_all(text, '(?i)\b(licens(e|es|ed|ing|er|ers))\b')) AS license FROM
     (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'Ran, running runs; buy BOUGHT buys overrun ' || text WHEN 2 THEN 'purchase licensed brand rum ' || text ELSE coalesce(text, 'run') END AS text FROM verbatims)""", "verbatims")

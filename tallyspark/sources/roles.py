@@ -66,6 +66,12 @@ class Survey:
         texts = self.table("documents").join(labels, F.col("doc_id") == F.col("label_id"), "left")
         return texts.select("doc_id", F.col("doc_id").alias("respondent_id"), "text", F.col("lang").alias("category"), "source", (F.col("quality") == 1).alias("is_quotable"), (F.col("toxic") == 1).alias("is_toxic"))
 
+    def dated_verbatims(self, since: str | None = None) -> DataFrame:
+        """Texts with the month in which they were given (that of the order of the same number), of days from ``since`` on."""
+        asked = self.table("orders").select("o_orderkey", "o_orderdate")
+        asked = asked if since is None else asked.where(F.col("o_orderdate") >= F.lit(since).cast("timestamp"))
+        return self.verbatims().join(asked, F.col("doc_id") == F.col("o_orderkey")).withColumn("year_month", F.date_format("o_orderdate", "yyyy-MM")).drop("o_orderkey", "o_orderdate")
+
     def jobs(self) -> DataFrame:
         return self.table("events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts", "event_id", "props", "value")
 
