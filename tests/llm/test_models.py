@@ -58,6 +58,60 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(table(spark, rows[:3]), nothing).collect()} == {"und"}
 
 
+def kneser_ney(words, floor):
+    """Interpolated Kneser-Ney by dictionaries: the probability of a character after those before it in its word."""
+    raw, before = [Counter() for _ in range(language.ORDER + 1)], [{} for _ in range(language.ORDER + 1)]
+    for word, n in words.items():
+        text = "^" + word + "$"
+        for end in range(1, len(text)):
+            for size in range(1, min(language.ORDER, end + 1) + 1):
+                gram = text[end + 1 - size : end + 1]
+                raw[size][gram] += n
+                if size < language.ORDER and end >= size:
+                    before[size].setdefault(gram, set()).add(text[end - size])
+    counts = [None] + [Counter({g: len(before[k][g]) if g in before[k] else n for g, n in raw[k].items()}) for k in range(1, language.ORDER + 1)]
+    discounts = [None]
+    for found in counts[1:]:
+        once, twice = (sum(n == k for n in found.values()) for k in (1, 2))
+        discounts.append(once / (once + 2 * twice) if once and twice else 0.5)
+    totals, kinds = Counter(), Counter()
+    for k in range(1, language.ORDER + 1):
+        for gram, n in counts[k].items():
+            totals[k, gram[:-1]] += n
+            kinds[k, gram[:-1]] += 1
+
+    def probability(context, c):
+        p = floor
+        for k in range(1, min(language.ORDER, len(context) + 1) + 1):
+            history = context[len(context) + 1 - k :]
+            if (k, history) in totals:
+                d = discounts[k]
+                p = max(counts[k][history + c] - (d if history + c in counts[k] else 0), 0) / totals[k, history] + d * kinds[k, history] / totals[k, history] * p
+        return p
+
+    return probability
+
+
+def test_kneser_ney_by_definition():
+    """Costs of words, seen and not, are those of the definition, for each language."""
+    draw = random.Random(8)
+    made = {name: Counter("".join(draw.choice(letters) for _ in range(draw.randrange(1, 9))) for _ in range(200)) for name, letters in (("a", "abcde"), ("b", "cdeé"))}
+    for words in made.values():
+        for word in list(words)[::3]:
+            words[word] += draw.randrange(5)
+    model = language.train([(name, w, n) for name, words in made.items() for w, n in words.items()])
+    asked = [*list(made["a"])[:60], *list(made["b"])[:60], "x", "abcdeabcdeabcde", "éé", *("".join(draw.choice("abcdeéz") for _ in range(draw.randrange(1, 12))) for _ in range(150))]
+    raw = [w.encode() for w in asked]
+    entropy, chars = model.entropies(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    for k, name in enumerate(model.languages):
+        p = kneser_ney(made[name], model.floor)
+        want = [sum(-np.log2(p("^" + w[:i], c)) for i, c in enumerate(w + "$")) for w in asked]
+        assert np.allclose(entropy[:, k] * chars, want, rtol=1e-9)
+        for context in ("^", "^ab", "^cde", "^éc"):
+            total = sum(p(context, c) for c in "abcdeé$")
+            assert total <= 1 + 1e-9  # the rest is that of characters which no language has
+
+
 def test_kneser_ney_sums_to_one():
     words = [("a", w, n) for w, n in Counter("".join(random.Random(i).choice("abc") for _ in range(4)) for i in range(60)).items()]
     model = language.train(words)
