@@ -48,6 +48,11 @@ def op8_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spots.compare_with_next(documents(spark, sf_dir))
 
 
+def spot_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity join of op8's fingerprints: each document's class and how many other classes are alike."""
+    return spots.classes(documents(spark, sf_dir), percent=80)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit(docs.where(fold("doc_id", 3) != 1))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_context_mixing": op6_context_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_spot_fingerprints": op8_spot_fingerprints,
+    "spot_classes": spot_classes,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,

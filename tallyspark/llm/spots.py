@@ -7,8 +7,8 @@ hash of its bytes, so that only an empty text has an empty set. Its fingerprint
 is the set's size and a 128-bit digest of the set.
 
 Sets of very unequal size can't be alike: |A| / |B| bounds the Jaccard similarity, so
-``similar_pairs`` partitions sets by length, joins neighbouring partitions only, prunes by
-prefix, and verifies what is left on the full sets.
+``alike`` partitions sets by length, joins neighbouring partitions only, prunes by a prefix
+of the rarest signatures, and verifies what is left on the full sets.
 
 Results for odd input: a null text is empty; two empty sets have likeness 1, an empty and
 another 0; repeated rows have equal fingerprints; rows that share an id, or have none, follow
@@ -39,6 +39,8 @@ ANCHORS = (
 CHAIN = 3
 #: A content word is its own anchor where no common word is among so many words before it.
 ALONE = 8
+#: Documents of the sample by which signatures are ordered, and the most signatures that are ranked.
+SAMPLE, FREQUENT = 20_000, 1 << 16
 #: Documents in one bucket of neighbours, on average, and the most buckets (then they grow); documents in one task.
 BUCKET, MOST_BUCKETS, TASK = 2048, 1 << 14, 1 << 15
 
@@ -125,25 +127,75 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, signatures array<long>, fingerprint string")
 
 
-def similar_pairs(prints: DataFrame, percent: int = 80) -> DataFrame:
-    """(a, b, likeness) of representatives of unequal fingerprints that are alike at ``percent`` / 100 or more.
+def frequent_signatures(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of several documents of a sample of about SAMPLE, FREQUENT at most, sorted, and how many have each.
+    They only set the order in which signatures are looked at, never what is found."""
+    count = prints.count()
+    drawn = F.pmod(F.xxhash64("fingerprint", F.lit(5)), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(count, 1)) * (1 << 20))
+    often = prints.where(drawn).dropDuplicates(["fingerprint"]).select(F.explode("signatures").alias("s")).groupBy("s").count().where("count > 2")
+    rows = often.orderBy(F.desc("count"), "s").limit(FREQUENT).toArrow().sort_by("s")
+    return rows.column("s").to_numpy(), rows.column("count").to_numpy()
+
 
-    Equal fingerprints are one representative, the least id. A pair's sets differ in length
-    by the factor of the threshold at most, so only equal or neighbouring length partitions
-    are joined; within them a pair must share one of each set's first n - ceil(t n) + 1
-    signatures in hash order.
+def _prefixes(prints: DataFrame, percent: int) -> DataFrame:
+    """(fingerprint, n, part, s): the first n - ceil(t n) + 1 signatures of each set, rarest first, and its length partition."""
+    common, times = frequent_signatures(prints)
+    step = -math.log(percent / 100)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().to_numpy().astype(np.int64)
+            flat = lists.flatten().to_numpy()
+            place = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
+            rank = np.where(common[place] == flat, times[place], 0) if len(common) else np.zeros(len(flat), np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, rank, row))
+            first = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = order[first < np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes)]
+            owner, found = row[keep], flat[keep]
+            n = sizes[owner]
+            part = np.floor(np.log(np.maximum(n, 1)) / step + 1e-9).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(n.astype(np.int32)), pa.array(part), pa.array(found)], names=["fingerprint", "n", "part", "s"])
+
+    return prints.select("fingerprint", "signatures").mapInArrow(run, "fingerprint string, n int, part long, s long")
+
+
+def alike(prints: DataFrame, percent: int = 80) -> DataFrame:
+    """(x, y, likeness) of unequal fingerprints, x before y, whose sets are alike at ``percent`` / 100 or more.
+
+    A pair's sets differ in length by the factor of the threshold at most, so only equal or neighbouring
+    length partitions are joined; within them a pair must share one of each set's first n - ceil(t n) + 1
+    signatures, rarest first. What shares one is verified on the full sets. Equal fingerprints
+    are one before they are joined, however many documents have them.
     """
-    t = percent / 100
-    reps = prints.where(F.size("signatures") > 0).groupBy("fingerprint").agg(F.min_by(F.struct("doc_id", "signatures"), "doc_id").alias("r")).select("r.*")
-    n = F.size("signatures")
-    sets = reps.select("doc_id", "signatures", n.alias("n"), F.floor(F.log(n.cast("double")) / -math.log(t) + 1e-9).cast("long").alias("part"))
-    prefix = sets.select("doc_id", "n", "part", F.explode(F.slice("signatures", 1, F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + 1)).alias("s"))
-    left = prefix.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), "s", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("p"), F.col("part").alias("px"))
-    right = prefix.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), "s", F.col("part").alias("p"))
-    pairs = left.join(right, ["s", "p"]).where("x <> y and (px < p or x < y)").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sides = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("signatures").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("signatures").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return sides.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb") - shared).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b", (F.col("i") / F.col("u")).alias("likeness"))
+    own = _prefixes(prints, percent).groupBy("s", "part", "fingerprint").agg(F.first("n").alias("n"))
+    left = own.select(F.col("fingerprint").alias("x"), F.col("n").alias("nx"), "s", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("p"), F.col("part").alias("px"))
+    right = own.select(F.col("fingerprint").alias("y"), F.col("n").alias("ny"), "s", F.col("part").alias("p"))
+    pairs = left.join(right, ["s", "p"]).where("x <> y and (px < p or x < y)").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+    pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    met = pairs.select(F.col("x").alias("fingerprint")).union(pairs.select("y")).distinct()
+    sets = stored(prints.join(met, "fingerprint", "left_semi").select("fingerprint", "signatures").dropDuplicates(["fingerprint"]))
+    sides = pairs.join(sets.select(F.col("fingerprint").alias("x"), F.col("signatures").alias("sx")), "x").join(sets.select(F.col("fingerprint").alias("y"), F.col("signatures").alias("sy")), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    return sides.select("x", "y", shared.alias("i"), (F.size("sx") + F.size("sy") - shared).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("x", "y", (F.col("i") / F.col("u")).alias("likeness"))
+
+
+def similar_pairs(prints: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b, likeness): the pairs of ``alike`` by the least id that has each fingerprint."""
+    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    found = alike(prints, percent).join(least.withColumnsRenamed({"fingerprint": "x", "least": "ix"}), "x").join(least.withColumnsRenamed({"fingerprint": "y", "least": "iy"}), "y")
+    return found.select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"), "likeness")
+
+
+def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, fingerprint, class_id, n_links) of each document: the least id of those with an equal fingerprint, and how many
+    other fingerprints are alike at ``percent`` / 100 or more. A document without a text is of a class and linked with nothing."""
+    prints = stored(fingerprints(docs))
+    found = stored(alike(prints.where(F.size("signatures") > 0), percent).select("x", "y"))
+    links = found.select(F.col("x").alias("fingerprint")).union(found.select("y")).groupBy("fingerprint").agg(F.count("*").alias("n_links"))
+    kinds = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).join(links, "fingerprint", "left")
+    return prints.select("doc_id", "fingerprint").join(stored(kinds), "fingerprint").select("doc_id", "fingerprint", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _bucketed(rows: DataFrame, edges: np.ndarray, heavy: np.ndarray, bits: int) -> DataFrame:

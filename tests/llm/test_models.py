@@ -395,6 +395,30 @@ def test_similar_pairs(spark):
     assert {(r.a, r.b) for r in spots.similar_pairs(spots.fingerprints(table(spark, rows)), 80).collect()} == want and want
 
 
+@pytest.mark.parametrize("sample", [20_000, 5])
+def test_classes(spark, odd, monkeypatch, sample):
+    """Each document's class and links are those of all pairs, however signatures are ordered; copies, empty and odd texts."""
+    monkeypatch.setattr(spots, "SAMPLE", sample)
+    draw = random.Random(4)
+    base = [prose(300 + k, 80).split() for k in range(4)]
+    rows = [r for r in odd if r[0] is not None]
+    for i in range(100, 180):
+        words = list(base[i % 4])
+        for _ in range(draw.randrange(0, 6)):
+            words[draw.randrange(len(words))] = f"v{draw.randrange(50)}"
+        rows.append((i, " ".join(words[: draw.choice([80, 78, 60])])))
+    rows += [(200 + i, rows[-1 - i][1]) for i in range(30)] + [(300, "the"), (301, "of the"), (302, "x y z")]
+    sets = spots._sets([(t or "").encode() for _, t in rows])
+    names = [spots.fingerprint(s) for s in sets]
+    kinds = dict(zip(names, sets))
+    links = {n: sum(100 * len(np.intersect1d(s, o)) >= 80 * len(np.union1d(s, o)) for m, o in kinds.items() if m != n and len(o)) if len(s) else 0 for n, s in kinds.items()}
+    least = {n: min(i for (i, _), m in zip(rows, names) if m == n) for n in kinds}
+    got = sorted(map(tuple, spots.classes(table(spark, rows), 80).collect()))
+    assert got == sorted((i, n, least[n], links[n]) for (i, _), n in zip(rows, names)) and sum(links.values()) > 50
+    assert spots.classes(table(spark, []), 80).collect() == []
+    assert sorted(map(tuple, spots.classes(table(spark, [(None, None), (None, "a b c d"), (1, None)]), 80).collect()), key=str) == sorted([(None, "", 1, 0), (1, "", 1, 0), (None, spots.fingerprint(spots._sets([b"a b c d"])[0]), None, 0)], key=str)
+
+
 def best_distance(item, text):
     """Least word edit distance of the item to any stretch of the text."""
     row = [0] * (len(text) + 1)

@@ -123,7 +123,7 @@ def test_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
 def test_queries_run(spark):
     names = set(queries.QUERIES)
-    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op")}
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     for name in ("op1_minhash_dedup", "op3_substring_dedup", "op6_context_mixing", "op7_suffix_dedup", "op8_spot_fingerprints", "op9_language_id"):
         assert queries.QUERIES[name](spark, FOLDER).count() == docs
