@@ -396,6 +396,14 @@ def keyed_update_versions(s: Survey) -> DataFrame:
     return table.read()
 
 
+@query("point_lookup", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 20)")
+def point_lookup(s: Survey) -> DataFrame:
+    """Rows of twenty ids from a keyed table: their buckets are opened only."""
+    orders = s.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    table = KeyedTable.create(orders, new_folder(s.spark), "o_orderkey", buckets=32)
+    return table.lookup(*[r.o_orderkey for r in orders.orderBy(F.desc("o_orderkey")).limit(20).collect()])
+
+
 @query("tag_summary", "SELECT primary_topic, count(*) AS n, count(*) FILTER (WHERE size / 50.0 < 0.5) AS low_confidence, count(*) FILTER (WHERE canonical_brand LIKE '%1') AS brands FROM items GROUP BY 1", "items")
 def tag_summary(s: Survey) -> DataFrame:
     return backlog.tag_summary(s.items().withColumns({"confidence": F.col("size") / 50.0, "is_brand": F.col("canonical_brand").like("%1")}))

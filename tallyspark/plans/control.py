@@ -6,27 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.plans import jobs
-from tallyspark.plans.ingestion import picked, picked_sql
+from tallyspark.plans.ingestion import picked
 from tallyspark.plans.registry import query
 from tallyspark.sources.roles import Survey
 from tallyspark.streaming import backlog
 
-# Texts, and the depth, length and flags that each has to become.
-BRIEFS = [
-    ('{"the_question": "q", "investigation_depth": "thorough", "response_length": "long", "response_posture": "literal"}', "thorough", "long", "literal", "false", "q"),
-    ('```json\n{"the_question": "f", "investigation_depth": "none", "early_exit": true, "followup_seeds": ["a", "b"]}\n```', "none", "medium", "interpretive", "true", "f"),
-    ("not json", "focused", "medium", "interpretive", "false", "asked"),
-    ('{"the_question": "cut", "investigation_de', "focused", "medium", "interpretive", "false", "asked"),
-    ('{"investigation_depth": "minimal", "needs_clarification": true}', "minimal", "medium", "interpretive", "false", "asked"),
-    (None, "focused", "medium", "interpretive", "false", "asked"),
-]
+DEPTHS = ["none", "minimal", "focused", "thorough"]
 
 
-@query("triage_briefs", "SELECT " + ", ".join(f"{picked_sql('size', [b[i] for b in BRIEFS])} AS {name}" for i, name in enumerate(("depth", "length", "posture", "leaves", "question"), 1)) + ", CASE WHEN size % 6 = 1 THEN 2 ELSE 0 END AS seeds, count(*) AS n FROM items GROUP BY ALL", "items")
+@query(
+    "triage_briefs",
+    """SELECT item_id, CASE WHEN read THEN question ELSE 'asked ' || item_name END AS question, CASE WHEN read AND item_id % 3 > 0 THEN (['none', 'minimal', 'focused', 'thorough'])[1 + size % 4] ELSE 'focused' END AS depth, CASE WHEN read AND size % 3 = 0 THEN 'long' ELSE 'medium' END AS length,
+    CASE WHEN read THEN CASE WHEN size % 5 = 0 THEN primary_topic END ELSE 'Triage JSON parse failed. Apply default focused investigation.' END AS brief, CAST(CASE WHEN read THEN len(subtags) ELSE 0 END AS INTEGER) AS seeds, read AND size % 7 = 0 AS leaves
+    FROM (SELECT *, item_id % 4 < 3 AS read, 'what of "' || item_name || '"?' AS question FROM items)""",
+    "items",
+)
 def triage_briefs(s: Survey) -> DataFrame:
-    briefs = s.items().select(jobs.brief(picked(F.col("size"), [b[0] for b in BRIEFS]), F.lit("asked")).alias("b"))
-    fields = {"depth": "b.investigation_depth", "length": "b.response_length", "posture": "b.response_posture", "question": "b.the_question"}
-    return briefs.groupBy(*[F.col(path).alias(name) for name, path in fields.items()], F.col("b.early_exit").cast("string").alias("leaves"), F.size("b.followup_seeds").alias("seeds")).agg(F.count("*").alias("n"))
+    """Briefs as JSON of each row's own values, plain, fenced, with fields left out, and cut off in the middle."""
+    size, key = F.col("size"), F.col("item_id")
+    fields = F.struct(
+        F.concat(F.lit('what of "'), "item_name", F.lit('"?')).alias("the_question"), F.when(key % 3 > 0, F.get(F.array(*map(F.lit, DEPTHS)), (size % 4).cast("int"))).alias("investigation_depth"), F.when(size % 3 == 0, "long").alias("response_length"),
+        F.when(size % 5 == 0, F.col("primary_topic")).alias("investigator_brief"), F.col("subtags").alias("followup_seeds"), F.when(size % 7 == 0, True).alias("early_exit"),
+    )
+    text = F.to_json(fields)
+    text = F.when(key % 4 == 1, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(key % 4 == 3, F.substr(text, F.lit(1), F.length(text) - 5)).otherwise(text)
+    briefs = s.items().select("item_id", jobs.brief(text, F.concat(F.lit("asked "), "item_name")).alias("b"))
+    return briefs.select("item_id", F.col("b.the_question").alias("question"), F.col("b.investigation_depth").alias("depth"), F.col("b.response_length").alias("length"), F.col("b.investigator_brief").alias("brief"), F.size("b.followup_seeds").alias("seeds"), F.col("b.early_exit").alias("leaves"))
 
 
 ANSWER_SQL = r"""substr(coalesce(text, ''), 1, 400) || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN E'\nwhere to Go next\n' ELSE E'\n**WHERE TO GO NEXT**\n' END || '1. [' || substr(coalesce(text, ''), 20, 30) || E']\n2. ' || substr(coalesce(text, ''), 60, doc_id % 23) || E'\n 3. '

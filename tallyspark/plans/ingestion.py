@@ -1,7 +1,7 @@
 """Queries over the steps that turn a wide sheet into typed answers. Sheets are made of the given tables.
 
-Where a step reads texts, a row's text is picked from a list of texts, and the SQL picks from
-the list of what each has to become.
+Texts to be read are made of each row's own values, and the SQL states the rule once more; where a whole
+wave is taken in, its demographics are picked from lists of texts and of what each has to become.
 """
 
 from __future__ import annotations
@@ -31,27 +31,62 @@ CHILDREN = {"2": "Parent", "1 child": "Parent", "None": "Non-parent", "0": "Non-
 INCOMES = {"$50,000 to $74,999": "$50,000 to $74,999", "Less than $25,000": "Less than $25,000", "$50K-75K": None, "lots": None, "": None, " $200,000 or more ": "$200,000 or more", "prefer not to say": None}
 
 
-@query("age_bands", f"SELECT {picked_sql('size', [b for b, _ in AGES.values()])} AS age_band, {picked_sql('size', [g for _, g in AGES.values()])} AS generation, count(*) AS n FROM items GROUP BY 1, 2", "items")
+AGE_SQL = r"""CASE c_custkey % 6 WHEN 0 THEN (16 + c_custkey % 80) || '-' || (20 + c_custkey % 80) WHEN 1 THEN ' ' || (16 + c_custkey % 80) || '   to  ' || (90 - c_custkey % 7) WHEN 2 THEN 'over ' || c_custkey WHEN 3 THEN repeat(' ', CAST(c_custkey % 3 AS INT)) WHEN 4 THEN lower(c_mktsegment) ELSE 'age - ' || (c_custkey % 100) || ' - more' END"""
+
+
+@query(
+    "age_bands",
+    rf"""SELECT c_custkey, CASE WHEN trim(t) <> '' THEN trim(regexp_replace(regexp_replace(t, '\s*-\s*', ' to ', 'g'), '\s+', ' ', 'g')) END AS age_band,
+    CASE WHEN n <= 26 THEN 'Gen Z' WHEN n <= 42 THEN 'Millennial' WHEN n <= 58 THEN 'Gen X' WHEN n <= 77 THEN 'Boomer' WHEN n IS NOT NULL THEN 'Silent' END AS generation
+    FROM (SELECT *, TRY_CAST(nullif(regexp_extract(t, '[0-9]+'), '') AS INT) AS n FROM (SELECT c_custkey, {AGE_SQL} AS t FROM customer))""",
+)
 def age_bands(s: Survey) -> DataFrame:
-    age = picked(F.col("size"), list(AGES))
-    return s.items().groupBy(A.age_band(age).alias("age_band"), A.generation(age).alias("generation")).agg(F.count("*").alias("n"))
+    """Age texts of all forms, made of each row's own number and words."""
+    key, text = F.col("c_custkey"), lambda c: c.cast("string")
+    kind = key % 6
+    age = F.when(kind == 0, F.concat(text(16 + key % 80), F.lit("-"), text(20 + key % 80))).when(kind == 1, F.concat(F.lit(" "), text(16 + key % 80), F.lit("   to  "), text(90 - key % 7))).when(kind == 2, F.concat(F.lit("over "), text(key)))
+    age = age.when(kind == 3, F.repeat(F.lit(" "), (key % 3).cast("int"))).when(kind == 4, F.lower("c_mktsegment")).otherwise(F.concat(F.lit("age - "), text(key % 100), F.lit(" - more")))
+    return s.table("customer").select("c_custkey", A.age_band(age).alias("age_band"), A.generation(age).alias("generation"))
+
+
+STATE_SQL = "CASE WHEN c_custkey % 4 = 0 THEN ' ' || lower(c_mktsegment) || ' ' WHEN c_custkey % 4 = 1 THEN list_extract({names}, CAST(1 + c_custkey % {n} AS INT)) ELSE chr(CAST(65 + c_custkey % 26 AS INT)) || chr(CAST(97 + (c_custkey // 26) % 26 AS INT)) END".format(names="[" + ", ".join(f"'{n.title()}'" for n in sorted(A.STATES.values())) + "]", n=len(A.STATES))
+_CODES_SQL = " ".join(f"WHEN {{0}} IN ({', '.join(repr(c) for c in codes.split())}) THEN '{name}'" for name, codes in A.REGIONS.items())
+_NAMES_SQL = " ".join(f"WHEN {{0}} IN ({', '.join(repr(A.STATES[c]) for c in codes.split())}) THEN '{name}'" for name, codes in A.REGIONS.items())
+_REGION_SQL = f"CASE {_CODES_SQL} {_NAMES_SQL} END".format("upper(trim(t))")
 
 
-@query("region_map", f"SELECT {picked_sql('size', list(STATES.values()))} AS region, coalesce({picked_sql('size', list(STATES.values()))}, CASE size % 11 WHEN 4 THEN 'South' END) AS by_prefix, count(*) AS n FROM items GROUP BY 1, 2", "items")
+@query("region_map", f"SELECT c_custkey, {_REGION_SQL} AS region, coalesce({_REGION_SQL}, CASE {_CODES_SQL.format('substr(upper(trim(t)), 1, 2)')} END) AS by_prefix FROM (SELECT c_custkey, {STATE_SQL} AS t FROM customer)")
 def region_map(s: Survey) -> DataFrame:
-    state = picked(F.col("size"), list(STATES))
-    return s.items().groupBy(A.region(state).alias("region"), A.region(state, prefix=True).alias("by_prefix")).agg(F.count("*").alias("n"))
+    """Names, any two letters, and words that are no state."""
+    key = F.col("c_custkey")
+    names = strings(*[n.title() for n in sorted(A.STATES.values())])
+    code = F.concat(F.char((65 + key % 26)), F.char(97 + F.floor(key / 26) % 26))
+    state = F.when(key % 4 == 0, F.concat(F.lit(" "), F.lower("c_mktsegment"), F.lit(" "))).when(key % 4 == 1, F.get(names, (key % len(A.STATES)).cast("int"))).otherwise(code)
+    return s.table("customer").select("c_custkey", A.region(state).alias("region"), A.region(state, prefix=True).alias("by_prefix"))
+
+
+CHILDREN_SQL = "CASE c_custkey % 7 WHEN 0 THEN CAST(c_custkey % 40 AS VARCHAR) WHEN 1 THEN (c_custkey % 13) || ' children' WHEN 2 THEN 'No child at ' || c_name WHEN 3 THEN 'NONE' WHEN 4 THEN 'I do not have ' || c_custkey WHEN 5 THEN '  ' ELSE lower(c_mktsegment) END"
 
 
-@query("parental_map", f"SELECT {picked_sql('size', list(CHILDREN.values()))} AS parental_status, count(*) AS n FROM items GROUP BY 1", "items")
+@query("parental_map", f"SELECT c_custkey, CASE WHEN trim(t) = '' THEN 'Unknown' WHEN t ILIKE '%none%' OR t ILIKE '%no child%' OR t LIKE '%0%' OR t ILIKE '%do not have%' THEN 'Non-parent' WHEN regexp_matches(t, '[1-9]') THEN 'Parent' ELSE 'Unknown' END AS parental_status FROM (SELECT c_custkey, {CHILDREN_SQL} AS t FROM customer)")
 def parental_map(s: Survey) -> DataFrame:
-    return s.items().groupBy(A.parental_status(picked(F.col("size"), list(CHILDREN))).alias("parental_status")).agg(F.count("*").alias("n"))
+    key, text = F.col("c_custkey"), lambda c: c.cast("string")
+    kind = key % 7
+    children = F.when(kind == 0, text(key % 40)).when(kind == 1, F.concat(text(key % 13), F.lit(" children"))).when(kind == 2, F.concat(F.lit("No child at "), "c_name")).when(kind == 3, "NONE").when(kind == 4, F.concat(F.lit("I do not have "), text(key)))
+    return s.table("customer").select("c_custkey", A.parental_status(children.when(kind == 5, "  ").otherwise(F.lower("c_mktsegment"))).alias("parental_status"))
 
 
-@query("unknown_incomes", f"SELECT income, count(*) AS count FROM (SELECT {picked_sql('c_custkey', list(INCOMES))} AS income, {picked_sql('c_custkey', list(INCOMES.values()))} AS known FROM customer) WHERE known IS NULL AND trim(income) <> '' GROUP BY 1")
+INCOME_TEXT_SQL = "CASE WHEN c_custkey % 11 = 0 THEN ' ' WHEN c_custkey % 11 = 1 THEN lower(c_mktsegment) WHEN c_custkey % 11 = 2 THEN ' $200,000 or more ' ELSE '$' || (25 * (1 + c_custkey % 8)) || ',000 to $' || (25 * (1 + c_custkey % 8) + 24) || ',999' END"
+
+
+@query("unknown_incomes", f"SELECT income, count(*) AS count FROM (SELECT {INCOME_TEXT_SQL} AS income FROM customer) WHERE trim(income) <> '' AND trim(income) NOT IN ({', '.join(repr(b) for b, _ in A.INCOMES)}) GROUP BY 1")
 def unknown_incomes(s: Survey) -> DataFrame:
-    rows = s.table("customer").select(picked(F.col("c_custkey"), list(INCOMES)).alias("c57"))
-    return ingest.unknown_incomes(rows, ingest.Layout())
+    """Brackets of which some are known and the others are counted."""
+    key = F.col("c_custkey")
+    low = 25 * (1 + key % 8)
+    bracket = F.concat(F.lit("$"), low.cast("string"), F.lit(",000 to $"), (low + 24).cast("string"), F.lit(",999"))
+    income = F.when(key % 11 == 0, " ").when(key % 11 == 1, F.lower("c_mktsegment")).when(key % 11 == 2, " $200,000 or more ").otherwise(bracket)
+    return ingest.unknown_incomes(s.table("customer").select(income.alias("c57")), ingest.Layout())
 
 
 _RACE = "What is your race and/or ethnicity? Please select all that apply."

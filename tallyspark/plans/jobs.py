@@ -21,6 +21,7 @@ BRIEF = (
     "needs_clarification boolean, clarifying_question string, early_exit boolean, early_exit_response string"
 )
 BRIEF_DEFAULTS = {"investigation_depth": "focused", "response_posture": "interpretive", "response_length": "medium"}
+UNREAD = "Triage JSON parse failed. Apply default focused investigation."
 
 
 def latest(log: DataFrame, key: str = "job_id", *order: str) -> DataFrame:
@@ -87,7 +88,8 @@ def brief(text: Column, question: Column | None = None) -> Column:
     out = []
     for name in names:
         default = kinds.get(name, F.lit(BRIEF_DEFAULTS.get(name)).cast("string"))
-        out.append(F.when(known, F.coalesce(parsed[name], default)).otherwise(default).alias(name))
+        unread = F.lit(UNREAD) if name == "investigator_brief" else default
+        out.append(F.when(known, F.coalesce(parsed[name], default)).otherwise(unread).alias(name))
     return F.struct(*out)
 
 
