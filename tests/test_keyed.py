@@ -132,7 +132,7 @@ def test_manifest_is_whole_or_not_there(spark):
 
 
 def test_lookup_reads_little(spark):
-    """A lookup reads few bytes and row groups of a large table, and none for a key that a Bloom filter doesn't hold."""
+    """A lookup reads few rows of a large table, and none for a key that no Bloom filter holds."""
     rows = spark.range(200_000).select((F.col("id") * 7).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
     table = KeyedTable.create(rows, new_folder(spark), "id", buckets=16)
 
@@ -142,10 +142,10 @@ def test_lookup_reads_little(spark):
         store, tracker = spark._jsc.sc().statusStore(), spark.sparkContext.statusTracker()
         stages = [store.lastStageAttempt(s) for job in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(job).stageIds]
         spark.sparkContext.setJobGroup("", "")
-        return found, sum(s.inputBytes() for s in stages), sum(s.inputRecords() for s in stages)
+        return found, sum(s.inputRecords() for s in stages)
 
-    found, every, _ = read(table.read(), "whole")
-    one, few, records = read(table.lookup(700), "one")
-    none, _, seen = read(table.lookup(701), "none")
+    found, every = read(table.read(), "whole")
+    one, few = read(table.lookup(700), "one")
+    none, seen = read(table.lookup(701), "none")
     assert (found, one, none) == (200_000, 1, 0)
-    assert few < every / 10 and records <= 20_000 and seen == 0
+    assert every == 200_000 and 0 < few <= 20_000 and seen == 0
