@@ -325,7 +325,8 @@ def mixing_rows():
     return [*rows, (40, None), (41, ""), (42, "one"), (None, "of the end"), (42, prose(901, 9)), (9, rows[8][1])]
 
 
-def test_mixing_by_definition(spark):
+def test_mixing_by_definition(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FIT_SHARE", 1.0)
     rows = mixing_rows()
     got = [(str(r.doc_id), r.score) for r in mixing.score(table(spark, rows)).collect()]
     for (i, a), (j, b) in zip(sorted(got), sorted(PlainMixing(rows).scores())):
@@ -341,6 +342,25 @@ def test_mixing_sums_to_one():
         assert chance == pytest.approx(1, abs=1e-4)
 
 
+def test_mixing_learns_from_a_share_and_leaves_no_tables(spark):
+    """The more training texts of a language in which words follow from those before, the more probable its held-out texts; no table stays in the catalogue."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    draw, rows = random.Random(6), []
+    for i in range(1200):
+        words = [draw.randrange(500)]
+        for _ in range(60):
+            words.append((words[-1] * 7 + draw.choice([1, 2, 3, 90])) % 500)
+        rows.append((i, " ".join(f"w{w}" for w in words)))
+    asked = [i for i, _ in rows if held(i) and i < 300]
+
+    def score(n):
+        found = mixing.score(table(spark, [r for r in rows if r[0] < n])).where("held_out").collect()
+        return sum(r.score for r in found if r.doc_id in asked)
+
+    assert score(300) < score(600) < score(1200)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("mixing_")]
+
+
 def test_mixing_is_of_the_whole_corpus_and_of_training_texts_only(spark, monkeypatch):
     """Neither the size of batches nor held-out texts make a difference; equal texts score alike."""
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
