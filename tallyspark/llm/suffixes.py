@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.anchors import anchors_of, cut_spans, listed, ragged
-from tallyspark.llm.frames import identified, stored
+from tallyspark.llm.frames import drop_stored, identified, release, shared_folder, stored
 from tallyspark.llm.text import BYTE_VALUES, OTHER_BYTE_VALUES, mix, prefix_hash, runs_of, span_hash, text_slices
 
 WIDTH = 100
@@ -270,11 +270,18 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, size: int = SIZE) -> Dat
     group = Window.partitionBy("key")
     same = Window.partitionBy("key", "context").orderBy("did", "uid", "pos")
     level = found.select("*", (F.min("context").over(group) != F.max("context").over(group)).alias("partly"), F.rank().over(same).alias("nth"))
-    level = stored(level.where("local or nth > 1 or partly").select("key", "did", "uid", "pos", "windows", "off", (F.col("local") | (F.col("nth") > 1)).alias("whole")))
+    path = shared_folder(docs.sparkSession)
+    level = stored(level.where("local or nth > 1 or partly").select("key", "did", "uid", "pos", "windows", "off", (F.col("local") | (F.col("nth") > 1)).alias("whole")), path)
+    del found
+    release(docs.sparkSession)
     whole = level.where("whole").select("did", "uid", "pos", "windows")
     candidates = level.where("not whole").groupBy("did", "uid").agg(F.collect_set(F.struct("key", "pos", "windows", "off")).alias("found"))
     texts = docs.select("did", "uid", "text").join(candidates.hint("shuffle_hash"), ["did", "uid"]).select("did", "uid", "text", "found")
-    return whole.unionByName(_settle(_phrases(texts, width, size), width))
+    spans = stored(whole.unionByName(_settle(_phrases(texts, width, size), width)))
+    del level, whole, candidates, texts
+    drop_stored(docs.sparkSession, path)
+    release(docs.sparkSession)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), width: int = WIDTH, size: int = SIZE, whole_chars: bool = False) -> DataFrame:
