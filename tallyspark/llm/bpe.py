@@ -9,7 +9,9 @@ are updated together as rows of one array.
 
 Results for odd input: a null text is empty and gives no ids; an empty table gives an
 empty result; repeated rows give repeated results; extra columns are dropped by
-``encode`` and ``decode`` except those named in ``keep``.
+``encode`` and ``decode`` except those named in ``keep``. A text of any length is read whole by one task; a single
+unbroken piece takes its time in proportion to its length times the steps of its tree, each step for itself (80,000
+letters took 30 s).
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Results for odd input: turns are ordered by (turn, role, text), nulls first; rep
 rows are repeated turns; a null text is rendered empty and a null role as ``unknown``; a
 missing side has no turns, so that the prompt and that completion are empty; equal sides
 give two empty completions; rows without a pair id are left out; an empty table gives an
-empty table; extra columns are ignored.
+empty table; extra columns are ignored. Texts of any length are rendered whole; all turns of a pair
+are in one row, which holds each of them up to three times.
 """
 
 from __future__ import annotations
@@ -65,17 +66,6 @@ def format_sides(sides: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs each even conversation (chosen) with the odd one after it (rejected)."""
-    return conversations.select(
-        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"),
-        F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"),
-        "turn",
-        "role",
-        "text",
-    )
-
-
 def continuations(conversations: DataFrame) -> DataFrame:
     """Sides for ``format_sides``, one row for each conversation, whose turns up to its last reply are chosen.
     Rejected is the same beginning with the reply before it said again, or with no reply where there was none

@@ -13,7 +13,8 @@ of the rarest signatures, and verifies what is left on the full sets.
 Results for odd input: a null text is empty; two empty sets have likeness 1, an empty and
 another 0; repeated rows have equal fingerprints; rows that share an id, or have none, follow
 each other in the order of a hash of their texts, those without an id after all others; with one
-document its next is itself; an empty table gives an empty table; extra columns are ignored.
+document its next is itself; an empty table gives an empty table; extra columns are ignored. Texts of
+any length are read whole by one task; in ``classes`` a null id is the least of its class only if no other is there.
 """
 
 from __future__ import annotations

@@ -495,6 +495,26 @@ def test_chat(spark):
     assert chat.format_preferences(frame.limit(0)).collect() == []
 
 
+def test_continuations(spark):
+    """Conversations with null roles, texts and turns, repeated turns, one reply, none, and an empty table, by the definition."""
+    turns = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "b"), (1, 4, "user", "bye"), (2, 0, "user", "only"), (3, 0, "user", "q"), (3, 1, "assistant", None),
+        (4, None, None, "lost"), (4, 0, "assistant", "x"), (4, 0, "assistant", "x"), (5, 0, "assistant", "same"), (5, 1, "assistant", "same"), (None, 0, "user", "nobody"), (6, 0, None, None), (7, 0, "user", "y" * 100_000), (7, 1, "assistant", "z" * 100_000),
+    ]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"pair_id": F.lit(1), "turns": F.lit("x"), "chosen": F.lit("x")})
+    key = lambda x: tuple((v is not None, v) for v in x)
+    got = {r.pair_id: ([(t.role, t.text) for t in r.chosen], [(t.role, t.text) for t in r.rejected]) for r in chat.continuations(frame).collect()}
+    want = {}
+    for c in range(1, 8):
+        rows = [(r, t) for _, r, t in sorted((x[1:] for x in turns if x[0] == c), key=key)]
+        replies = [i for i, (r, _) in enumerate(rows) if r == "assistant"]
+        want[c] = (rows, rows) if not replies else (rows[: replies[-1] + 1], rows[: replies[-1]] + ([rows[replies[-2]]] if len(replies) > 1 else []))
+    assert got == want
+    whole = {r.pair_id: r for r in chat.format_sides(chat.continuations(frame)).collect()}
+    assert whole[5].chosen == whole[5].rejected == "" and len(whole[7].chosen) > 100_000 and whole[2].n_prompt == 1
+    assert chat.continuations(frame.limit(0)).collect() == [] == chat.format_sides(chat.continuations(frame.limit(0))).collect()
+
+
 def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
     notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
