@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.plans import jobs
+from tallyspark.plans import jobs, service
 from tallyspark.plans.ingestion import picked
 from tallyspark.plans.registry import query
 from tallyspark.sources.roles import Survey
@@ -55,6 +55,48 @@ def followup_lines(s: Survey) -> DataFrame:
     return s.table("documents").select("doc_id", F.array_join(jobs.followups(F.replace(answer, F.lit("\r"), F.lit(""))), "|").alias("lines"))
 
 
+def asked_of_service(s: Survey, *statements: str, rows: int = service.DEFAULT_ROWS) -> list[service.Step]:
+    """Steps of the read-only service over views of the tables."""
+    for name in ("orders", "customer"):
+        s.table(name).createOrReplaceTempView(f"service_{name}")
+    return [service.run(s.spark, sql, "why", rows, timeout_s=60) for sql in statements]
+
+
+@query("service_rows", "SELECT o_orderkey, o_orderpriority, count(*) OVER () AS n FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 500)")
+def service_rows(s: Survey) -> DataFrame:
+    """What a statement gives through the service, which was asked for more rows than it ever gives."""
+    (step,) = asked_of_service(s, "SELECT o_orderkey, o_orderpriority FROM service_orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey;", rows=10_000)
+    found = s.spark.createDataFrame([(r,) for r in step.result], "row string").select(F.from_json("row", "o_orderkey long, o_orderpriority string").alias("r"))
+    return found.select("r.o_orderkey", "r.o_orderpriority", F.lit(step.rowcount).cast("long").alias("n"))
+
+
+@query(
+    "service_scratch",
+    """SELECT 0 AS step, (SELECT least(count(*), 50) FROM customer) AS rows, false AS refused, NULL AS least UNION ALL SELECT 1, 1, false, (SELECT CAST(min(c_custkey) AS VARCHAR) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))
+    UNION ALL SELECT step, 0, true, NULL FROM (VALUES (2), (3), (4), (5)) AS v(step)""",
+)
+def service_scratch(s: Survey) -> DataFrame:
+    """The record of an investigation: what each statement gave, or that it was refused; a word that only a text holds is no reason to."""
+    steps = asked_of_service(
+        s, "SELECT c_name, 'please update or drop' AS said FROM service_customer", "WITH o AS (SELECT DISTINCT o_custkey FROM service_orders) SELECT min(c_custkey) AS least FROM service_customer JOIN o ON o_custkey = c_custkey",
+        "DELETE FROM service_orders", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/tmp`", "WITH x AS (SELECT 1) INSERT INTO service_orders SELECT * FROM x",
+    )
+    rows = [(i, step.rowcount, bool(step.error and step.error.startswith("refused")), step.result[0] if i == 1 and step.result else None) for i, step in enumerate(steps)]
+    record = s.spark.createDataFrame(rows, "step int, rows long, refused boolean, first string")
+    return record.select("step", "rows", "refused", F.get_json_object("first", "$.least").alias("least"))
+
+
+@query("service_payload", "SELECT 50000 AS most, true AS fits, (SELECT count(*) FROM (SELECT 1 FROM documents LIMIT 500)) AS given, true AS whole")
+def service_payload(s: Survey) -> DataFrame:
+    """A step's record as JSON: never more than its limit, whole rows from the first on, and how many are left out."""
+    s.table("documents").createOrReplaceTempView("service_documents")
+    step = service.run(s.spark, "SELECT doc_id, text FROM service_documents ORDER BY doc_id", rows=500, timeout_s=60)
+    payload = s.spark.createDataFrame([(step.payload(),)], "payload string")
+    parsed = payload.select(F.length("payload").alias("size"), F.from_json("payload", "result array<string>, left_out int, rowcount long").alias("p"))
+    given = F.size("p.result") + F.col("p.left_out")
+    return parsed.select(F.lit(service.PAYLOAD_CHARS).alias("most"), (F.col("size") <= service.PAYLOAD_CHARS).alias("fits"), given.cast("long").alias("given"), (given == F.col("p.rowcount")).alias("whole"))
+
+
 PREVIEWS = ["<title>Password Protection</title>", "no"]
 
 
