@@ -61,18 +61,18 @@ class KeyedTable:
         buckets = [r[0] for r in asked.select(self._bucket(state)).distinct().collect()]
         return self._rows(state, buckets).where(F.col(state["key"]).isin(list(keys)))
 
-    def update(self, results: DataFrame, *columns: str, clock: Column | None = None, attempts: int = 5) -> int:
+    def update(self, results: DataFrame, *columns: str, clock: Column | None = None, attempts: int = 5, insert: bool = False) -> int:
         """Gives rows the values that results (key, columns, stamp) have for them; of several the last by stamp.
-        Returns the version that was made. Keys that no row has change nothing."""
+        Returns the version that was made. Keys that no row has change nothing, or with ``insert`` become rows, null in all other columns."""
         for attempt in range(attempts):
             try:
-                return self._update(results, columns, clock)
+                return self._update(results, columns, clock, insert)
             except Conflict:
                 if attempt == attempts - 1:
                     raise
         raise ValueError("no attempt")
 
-    def _update(self, results: DataFrame, columns: tuple[str, ...], clock: Column | None) -> int:
+    def _update(self, results: DataFrame, columns: tuple[str, ...], clock: Column | None, insert: bool) -> int:
         base, state = self.versions.read()
         results = results.where(F.col(state["key"]).isNotNull())
         touched = [r[0] for r in results.select(self._bucket(state)).distinct().collect()]  # a row for each bucket
@@ -81,6 +81,10 @@ class KeyedTable:
         new = updated(old.withColumn("_was", F.col("updated_at")) if stamped else old, results, state["key"], *columns, clock=clock)
         if stamped:  # rows without a result keep their stamp
             new = new.withColumn("updated_at", F.coalesce("updated_at", "_was") if clock is not None else F.col("_was"))
+        if insert:
+            latest = results.groupBy(state["key"]).agg(F.max_by(F.struct(*columns), F.struct("stamp", *columns)).alias("_new")).select(state["key"], "_new.*")
+            latest = latest.withColumn("updated_at", clock) if stamped and clock is not None else latest
+            new = new.unionByName(latest.join(old.select(state["key"]), state["key"], "left_anti"), allowMissingColumns=True)
         new = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromJson(state["schema"])])
         return self.versions.commit(base, self._written(new, state))
 

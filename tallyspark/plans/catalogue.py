@@ -686,6 +686,17 @@ def job_stream(s: Survey) -> DataFrame:
     return s.spark.read.schema(job_streams.RESULT).parquet(sink).select("job_id", "event_id", "status")
 
 
+@query("job_table", f"SELECT job_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(status, (ts, event_id)) AS status FROM ({TRANSITIONS_SQL}) JOIN (SELECT event_id, ts FROM events) USING (event_id) GROUP BY 1")
+def job_table(s: Survey) -> DataFrame:
+    """Each job's last transition, kept in a table by job by the stream of its log."""
+    events = s.table("events")
+    rows = s.spark.readStream.schema(events.schema).parquet(f"{s.folder}/events.parque[t]")
+    rows = rows.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    table = KeyedTable.create(s.spark.createDataFrame([], job_streams.RESULT), new_folder(s.spark), "job_id", buckets=8)
+    job_streams.keep(job_log(rows), table, new_folder(s.spark), patience_s=None, keep_s=10**9).awaitTermination()
+    return table.read().select("job_id", "event_id", "status")
+
+
 @query("conversation_window", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS nth FROM conversations) WHERE nth <= 20")
 def conversation_window(s: Survey) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))

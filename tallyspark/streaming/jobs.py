@@ -12,15 +12,17 @@ Rows without a job, time or event are ignored. A row of a job that was forgotten
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tallyspark.operators.keyed import KeyedTable
 from tallyspark.plans.jobs import ENDED, PATIENCE_S
 
 RESULT = "job_id long, ts timestamp, event_id long, status string, expected string"
@@ -116,13 +118,33 @@ def transitions(log: DataFrame, late: str = "0 seconds", patience_s: int | None
     return rows.groupBy("job_id").transformWithState(states, RESULT, "Append", "EventTime")
 
 
+@contextlib.contextmanager
+def _rocks(spark: SparkSession):
+    """While a stream is started, its state store is RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def keep(log: DataFrame, table: KeyedTable, checkpoint: str, late: str = "0 seconds", patience_s: int | None = PATIENCE_S, keep_s: int = 86_400) -> StreamingQuery:
+    """Takes in all files that have come since the last run and keeps each job's last transition in a table by job_id (with ts,
+    event_id, status, expected), where it can be looked up. A batch that is repeated after a failure gives the same rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        if batch.head(1):
+            table.update(batch.select("job_id", "ts", "event_id", "status", "expected", F.struct(F.col("ts"), F.col("event_id")).alias("stamp")), "ts", "event_id", "status", "expected", insert=True)
+
+    with _rocks(log.sparkSession):
+        writer = transitions(log, late, patience_s, keep_s).writeStream.outputMode("append").foreachBatch(write)
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def follow(log: DataFrame, sink: str, checkpoint: str, late: str = "0 seconds", patience_s: int | None = PATIENCE_S, keep_s: int = 86_400) -> StreamingQuery:
     """Takes in all files that have come since the last run, writes the transitions that are certain, each once, and stops."""
-    conf, name = log.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name)
-    conf.set(name, ROCKS)
-    try:
+    with _rocks(log.sparkSession):
         writer = transitions(log, late, patience_s, keep_s).writeStream.format("parquet").outputMode("append")
         return writer.option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        conf.set(name, before)

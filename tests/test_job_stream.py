@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.operators.keyed import KeyedTable
 from tallyspark.plans import jobs
 from tallyspark.sources.versions import new_folder
 from tallyspark.streaming import jobs as stream
@@ -73,6 +74,21 @@ def test_restart(spark):
     assert found == whole
 
 
+def test_job_table(spark):
+    """The table by job holds each job's last transition after every run, and gives it by its number."""
+    rows = log(seed=6)
+    path, checkpoint = new_folder(spark), new_folder(spark)
+    table = KeyedTable.create(spark.createDataFrame([], stream.RESULT), new_folder(spark), "job_id", buckets=4)
+    for end in (250, 600):
+        spark.createDataFrame(rows[end - 250 : end] if end == 250 else rows[250:], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        stream.keep(spark.readStream.schema(SCHEMA).parquet(path), table, checkpoint, patience_s=None).awaitTermination()
+        whole = rows_of(jobs.effective(spark.createDataFrame([r for r in rows if r[1] <= rows[end - 1][1]][:end], SCHEMA)))
+        last = {r[0]: r for r in whole}
+        assert rows_of(table.read()) == sorted(last.values())
+    some = next(iter(last))
+    assert rows_of(table.lookup(some)) == [last[some]]
+
+
 def test_rows_out_of_order(spark):
     """Rows that come after later ones, but not too late, are applied in their place."""
     rows = log(n=300, seed=5)

@@ -33,6 +33,20 @@ def test_update(spark, table):
     assert topics(table.read(1)) == before  # the old version is as it was
 
 
+def test_insert(spark, table):
+    """With insert, keys that are not there become rows; a second time they are updated."""
+    at = datetime.datetime(2026, 4, 1, 12)
+    before = topics(table.read())
+    for round_ in range(2):
+        table.update(results(spark, (3, "new", 1), (5000, "first", 1), (5000, f"last {round_}", 2), (None, "null", 1)), "topic", clock=F.lit(at), insert=True)
+        found = {r.id: r for r in table.read().collect() if r.id is not None}
+        assert table.read().count() == len(before) + 1
+        assert (found[5000].topic, found[5000].n, found[5000].updated_at, found[3].topic) == (f"last {round_}", None, at, "new")
+    empty = KeyedTable.create(table.read().limit(0), new_folder(spark), "id", buckets=4)
+    empty.update(results(spark, (1, "x", 1), (2, "y", 1)), "topic", insert=True)
+    assert topics(empty.read()) == [(1, "x"), (2, "y")] and topics(empty.lookup(2)) == [(2, "y")]
+
+
 def test_only_touched_buckets_are_written(spark, table):
     first = table.versions.read()[1]["folders"]
     table.update(results(spark, (3, "new", 1)), "topic")
