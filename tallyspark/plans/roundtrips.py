@@ -14,7 +14,7 @@ from tallyspark.plans.registry import query
 from tallyspark.sources import files
 from tallyspark.sources.roles import Survey
 from tallyspark.sources.versions import new_folder
-from tallyspark.streaming.backlog import tagged
+from tallyspark.streaming.backlog import tagged, word_tagger
 
 
 @query(
@@ -125,3 +125,18 @@ def tagged_items(s: Survey) -> DataFrame:
     """Tags of all items, one in a batch; items whose batch failed have their parent topic and the kind of error."""
     rows = s.items().select("item_id", "item_name", F.col("primary_topic").alias("parent"))
     return tagged(rows, "item_id", "item_name", length_tagger, size=1, parent="parent").select("item_id", "primary_topic", "error_kind")
+
+
+TOPICS = {"colour": ["Red", "blue", "green"], "size": ["small", "large"], "part": ["bolt", "ring", "gear", "small ring"], "none": ["nothing at all"]}
+
+
+@query(
+    "tagged_by_words",
+    """SELECT item_id, CASE WHEN total = 0 THEN 'general' WHEN c >= s AND c >= p THEN 'colour' WHEN s >= p THEN 'size' ELSE 'part' END AS primary_topic, CASE WHEN total = 0 THEN 0 ELSE greatest(c, s, p)::DOUBLE / total END AS confidence
+    FROM (SELECT *, c + s + p AS total FROM (SELECT item_id, len(list_filter(w, lambda x: x IN ('red', 'blue', 'green'))) AS c, len(list_filter(w, lambda x: x IN ('small', 'large'))) AS s,
+    len(list_filter(w, lambda x: x IN ('bolt', 'ring', 'gear'))) + CASE WHEN item_name = 'small ring' THEN 1 ELSE 0 END AS p FROM (SELECT *, string_split(item_name, ' ') AS w FROM items)))""",
+    "items",
+)
+def tagged_by_words(s: Survey) -> DataFrame:
+    """Items tagged by a vocabulary of topics."""
+    return tagged(s.items(), "item_id", "item_name", word_tagger(TOPICS)).select("item_id", "primary_topic", "confidence")

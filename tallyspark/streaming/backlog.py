@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyspark.operators.words import occurrences_in
+
 Tagger = Callable[[pd.Series], pd.DataFrame]
 
 
@@ -19,6 +21,28 @@ def keyword_tagger(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"primary_topic": low.str.contains("joy|love").map({True: "joy", False: "general"}), "confidence": low.str.len().clip(upper=100) / 100.0})
 
 
+def word_tagger(words_of: dict[str, list[str]], otherwise: str = "general") -> Tagger:
+    """A tagger by a vocabulary: the topic whose words a text has most often, whatever their case and at word bounds, the one that is
+    listed first where several have as many. The confidence is its share of all words found; a text with none has that of zero."""
+    names = tuple(sorted({w.lower() for some in words_of.values() for w in some if w}))
+    topics_of = {w: [topic for topic, some in words_of.items() if w in {x.lower() for x in some}] for w in names}
+
+    def tag(text: pd.Series) -> pd.DataFrame:
+        topics, shares = [], []
+        for content in text.fillna(""):
+            times = dict.fromkeys(words_of, 0)
+            for word, n in occurrences_in(content, names).items() if names else ():
+                for topic in topics_of[word]:
+                    times[topic] += n
+            total = sum(times.values())
+            best = max(times, key=times.__getitem__) if total else otherwise
+            topics.append(best)
+            shares.append(times[best] / total if total else 0.0)
+        return pd.DataFrame({"primary_topic": topics, "confidence": shares})
+
+    return tag
+
+
 def failure(error: Exception) -> str:
     """Why a batch failed: ``rate_limit`` for an answer 429, which is worth another run, else ``failed``."""
     return "rate_limit" if getattr(error, "status", getattr(error, "status_code", None)) == 429 or re.search(r"\b429\b", str(error)) else "failed"

@@ -91,6 +91,13 @@ def test_tagging(spark):
     assert backlog.tagged(rows, "id", "t", limited, parent="topic").where("error_kind = 'rate_limit' and primary_topic = 'home'").count() == 90
 
 
+def test_word_tagger():
+    tag = backlog.word_tagger({"drink": ["Wine", "root beer"], "food": ["beer", "ham"], "empty": []})
+    got = tag(pd.Series(["WINE and wine, ham", "root beer", "ham-wine", "swine hamper", "", None]))
+    assert list(zip(got.primary_topic, got.confidence)) == [("drink", 2 / 3), ("drink", 0.5), ("drink", 0.5), ("general", 0.0), ("general", 0.0), ("general", 0.0)]
+    assert list(backlog.word_tagger({})(pd.Series(["wine"])).primary_topic) == ["general"]
+
+
 def test_drain(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"text {i}") for i in range(10)], "id long, t string")
     for turn in range(2):
