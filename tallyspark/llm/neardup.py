@@ -19,8 +19,9 @@ registers are equal with a probability that grows with the Jaccard similarity (f
    the counts of larger, equal and smaller registers; what is not far below the threshold is
    verified on the full sets. Documents linked with no leader become leaders; followers whose
    rare shingles lead to other parts are compared with those.
-4. Groups that need more than one block go on block by block against block, but only
-   while their parts are not yet connected.
+4. Groups that need more than one block and whose parts are not connected yet go on over the
+   whole group: documents that share a rare shingle of it meet, and only those whose common
+   shingles alone could reach the threshold go block against block.
 5. Components of the verified links are the result.
 
 Results for odd input: a document without words (null text too) has an empty set and is
@@ -371,12 +372,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return rows.select("did", "uid").join(stored(found), ["did", "uid"]).select("doc_id", "n_shingles", "component_id", "kept", "n_equal", "first", "uid")
 
 
+def _exploded(texts: DataFrame, size: int) -> DataFrame:
+    """(component, did, n, s) for each shingle of each document of (component, did, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for first, end, data, offsets in text_slices(batch.column(2)):
+                found, cuts = shingles(data, offsets, size)
+                n = np.diff(cuts)
+                row = pa.array(np.repeat(np.arange(first, end), n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(n, n)), pa.array(found.view(np.int64))], names=["component", "did", "n", "s"])
+
+    return texts.select("component", "did", "text").mapInArrow(run, "component long, did long, n long, s long")
+
+
 def _across(texts: DataFrame, large: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between different blocks of groups whose parts are not connected yet: each pair of blocks is a part of its own."""
+    """Links between different blocks of groups whose parts are not connected yet.
+
+    As within a block: documents of such a group that share one of their rarest shingles, one of few documents
+    of the group, are a part of its own. Only documents whose common shingles alone could reach the threshold go block against block.
+    """
     have = connected_components(links).withColumnRenamed("component", "own")
     open_groups = large.join(have, "node", "left").withColumn("own", F.coalesce("own", "node"))
     several = open_groups.groupBy("component").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("component")
-    members = open_groups.join(several, "component")
+    members = stored(open_groups.join(several, "component").select(F.col("node").alias("did"), "component", "block", "blocks"))
+    rows = stored(_exploded(texts.join(members, "did"), shingle))
+    few = rows.groupBy("component", "s").agg(F.count("*").alias("times")).where(F.col("times") <= COMMON)
+    counted = rows.join(few, ["component", "s"], "left")
+    rare = F.sort_array(F.collect_list(F.when(F.col("times").isNotNull(), F.struct("times", "s"))))
+    each = counted.groupBy("component", "did").agg(F.max("n").alias("n"), F.count_if(F.col("times").isNull()).alias("alone"), rare.alias("rare"))
+    least = F.ceil(F.col("n") * percent / 100)
+    each = stored(each.select("component", "did", "n", "alone", "rare", least.alias("least"), (F.col("n") - least + 1).cast("int").alias("first")))
+    shared = F.explode(F.filter(F.slice("rare", F.lit(1), F.col("first")), lambda x: x["times"] > 1)).alias("x")
+    parts = each.select("did", "component", shared).select("did", F.concat_ws("/", "component", F.lit("s"), "x.s").alias("part"))
+    common = each.where((F.size("rare") < F.col("first")) & (F.floor(F.col("alone") * (100 + percent) / percent) - F.col("n") >= F.col("least"))).select("did")
     pair = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: other != F.col("block"))).alias("other")
-    pairs = members.select(F.col("node").alias("did"), "component", "block", pair).select("did", F.concat_ws("/", "component", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
-    return _connect(_full_sets(texts.join(pairs, "did"), shingle), percent)
+    pairs = members.join(common, "did", "left_semi").select("did", "component", "block", pair).select("did", F.concat_ws("/", "component", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
+    return _connect(_full_sets(texts.join(parts.unionByName(pairs), "did"), shingle), percent)

@@ -158,6 +158,19 @@ def test_several_blocks(spark, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("own, percent", [(4, 85), (9, 85), (9, 80)])
+def test_several_blocks_of_a_form(spark, monkeypatch, own, percent):
+    """A group of a form that takes many blocks: near copies in different blocks are found, whether they share rare words or common ones only."""
+    monkeypatch.setattr(neardup, "BLOCK", 3000)
+    monkeypatch.setattr(neardup, "COMMON", 8)
+    texts = forms(120, own)
+    draw = random.Random(own)
+    texts += [edited(texts[draw.randrange(120)].split(), draw, 2) for _ in range(40)] + forms(20, 2, 4, apart=True)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(table(spark, rows), 3, percent).collect()}
+    assert got == brute(rows, 3, percent)
+
+
 def test_odd_rows(spark, odd):
     rows = {r.doc_id: r for r in neardup.near_duplicates(table(spark, odd), 5, 80).collect()}
     assert [rows[i].n_shingles for i in (4, 5, 6, 7)] == [0, 0, 0, 1]
