@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.frames import LAST, UNNAMED, identified, in_small_batches, stored
+from tallyspark.llm.frames import LAST, UNNAMED, drop_stored, identified, in_small_batches, shared_folder, stored
 from tallyspark.llm.text import LOWER, SPACE, mix, prefix_hash, span_hash, text_slices, word_hash, words
 
 # Common words of English, German, French and Spanish.
@@ -139,13 +139,15 @@ def frequent_signatures(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(prints: DataFrame, percent: int) -> DataFrame:
-    """(fingerprint, n, part, s): the first n - ceil(t n) + 1 signatures of each set, rarest first, and its length partition."""
+    """(s, h1, h2, n, part): the first n - ceil(t n) + 1 signatures of each set, rarest first, with the fingerprint's digest as two numbers and its length partition."""
     common, times = frequent_signatures(prints)
     step = -math.log(percent / 100)
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
+            names = batch.column(0).to_pylist()
+            own = list({name: i for i, name in enumerate(names)}.values())  # copies of a batch are one here
+            lists = batch.column(1).take(pa.array(own, pa.int32()))
             sizes = lists.value_lengths().to_numpy().astype(np.int64)
             flat = lists.flatten().to_numpy()
             place = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
@@ -154,32 +156,36 @@ def _prefixes(prints: DataFrame, percent: int) -> DataFrame:
             order = np.lexsort((flat, rank, row))
             first = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = order[first < np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes)]
-            owner, found = row[keep], flat[keep]
+            owner = row[keep]
             n = sizes[owner]
-            part = np.floor(np.log(np.maximum(n, 1)) / step + 1e-9).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(n.astype(np.int32)), pa.array(part), pa.array(found)], names=["fingerprint", "n", "part", "s"])
+            part = np.floor(np.log(np.maximum(n, 1)) / step + 1e-9).astype(np.int32)
+            digests = b"".join(bytes.fromhex(names[i].partition(":")[2]) for i in own)
+            digest = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(n.astype(np.int32)), pa.array(part)], names=["s", "h1", "h2", "n", "part"])
 
-    return prints.select("fingerprint", "signatures").mapInArrow(run, "fingerprint string, n int, part long, s long")
+    return prints.select("fingerprint", "signatures").mapInArrow(run, "s long, h1 long, h2 long, n int, part int")
 
 
 def alike(prints: DataFrame, percent: int = 80) -> DataFrame:
-    """(x, y, likeness) of unequal fingerprints, x before y, whose sets are alike at ``percent`` / 100 or more.
+    """(x, y, likeness) of unequal fingerprints of sets that aren't empty, x before y, whose sets are alike at ``percent`` / 100 or more.
 
     A pair's sets differ in length by the factor of the threshold at most, so only equal or neighbouring
-    length partitions are joined; within them a pair must share one of each set's first n - ceil(t n) + 1
+    length partitions are compared; a pair must share one of each set's first n - ceil(t n) + 1
     signatures, rarest first. What shares one is verified on the full sets. Equal fingerprints
-    are one before they are joined, however many documents have them.
+    are one before they are joined, however many documents have them; one shuffle by signature serves both sides of the join.
     """
-    own = _prefixes(prints, percent).groupBy("s", "part", "fingerprint").agg(F.first("n").alias("n"))
-    left = own.select(F.col("fingerprint").alias("x"), F.col("n").alias("nx"), "s", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("p"), F.col("part").alias("px"))
-    right = own.select(F.col("fingerprint").alias("y"), F.col("n").alias("ny"), "s", F.col("part").alias("p"))
-    pairs = left.join(right, ["s", "p"]).where("x <> y and (px < p or x < y)").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-    pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    met = pairs.select(F.col("x").alias("fingerprint")).union(pairs.select("y")).distinct()
-    sets = stored(prints.join(met, "fingerprint", "left_semi").select("fingerprint", "signatures").dropDuplicates(["fingerprint"]))
-    sides = pairs.join(sets.select(F.col("fingerprint").alias("x"), F.col("signatures").alias("sx")), "x").join(sets.select(F.col("fingerprint").alias("y"), F.col("signatures").alias("sy")), "y")
+    prints = prints.where(F.size("signatures") > 0)
+    own = _prefixes(prints, percent).repartition("s").groupBy("s", "h1", "h2").agg(F.first("n").alias("n"), F.first("part").alias("part"))
+    sides = [own.select("s", F.struct("h1", "h2", "n").alias(name), F.col("part").alias(f"part_{name}")) for name in ("x", "y")]
+    met = sides[0].join(sides[1], "s").where("x < y and abs(part_x - part_y) <= 1").where(F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+    half = lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))
+    name = lambda c: F.concat(F.col(f"{c}.n").cast("string"), F.lit(":"), half(F.col(f"{c}.h1")), half(F.col(f"{c}.h2")))
+    pairs = stored(met.select("x", "y").distinct().select(name("x").alias("u"), name("y").alias("v")).select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")))
+    either = stored(pairs.select(F.col("x").alias("fingerprint")).union(pairs.select("y")).distinct())
+    sets = stored(prints.join(either, "fingerprint", "left_semi").select("fingerprint", "signatures").dropDuplicates(["fingerprint"]))
+    both = pairs.join(sets.select(F.col("fingerprint").alias("x"), F.col("signatures").alias("sx")), "x").join(sets.select(F.col("fingerprint").alias("y"), F.col("signatures").alias("sy")), "y")
     shared = F.size(F.array_intersect("sx", "sy"))
-    return sides.select("x", "y", shared.alias("i"), (F.size("sx") + F.size("sy") - shared).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("x", "y", (F.col("i") / F.col("u")).alias("likeness"))
+    return both.select("x", "y", shared.alias("i"), (F.size("sx") + F.size("sy") - shared).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("x", "y", (F.col("i") / F.col("u")).alias("likeness"))
 
 
 def similar_pairs(prints: DataFrame, percent: int = 80) -> DataFrame:
@@ -192,11 +198,14 @@ def similar_pairs(prints: DataFrame, percent: int = 80) -> DataFrame:
 def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, fingerprint, class_id, n_links) of each document: the least id of those with an equal fingerprint, and how many
     other fingerprints are alike at ``percent`` / 100 or more. A document without a text is of a class and linked with nothing."""
-    prints = stored(fingerprints(docs))
-    found = stored(alike(prints.where(F.size("signatures") > 0), percent).select("x", "y"))
+    path = shared_folder(docs.sparkSession)
+    prints = stored(fingerprints(docs), path)
+    found = stored(alike(prints, percent).select("x", "y"))
     links = found.select(F.col("x").alias("fingerprint")).union(found.select("y")).groupBy("fingerprint").agg(F.count("*").alias("n_links"))
-    kinds = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).join(links, "fingerprint", "left")
-    return prints.select("doc_id", "fingerprint").join(stored(kinds), "fingerprint").select("doc_id", "fingerprint", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    kinds = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).join(links, "fingerprint", "left"))
+    out = stored(prints.select("doc_id", "fingerprint").join(kinds, "fingerprint").select("doc_id", "fingerprint", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    drop_stored(docs.sparkSession, path)
+    return out
 
 
 def _bucketed(rows: DataFrame, edges: np.ndarray, heavy: np.ndarray, bits: int) -> DataFrame:
