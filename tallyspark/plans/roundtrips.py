@@ -114,10 +114,10 @@ def stamped_update(s: Survey) -> DataFrame:
 
 def length_tagger(text: pd.Series) -> pd.DataFrame:
     """A tagger that fails for batches with a very long text, as one behind a service may."""
-    size = text.fillna("").str.len()
-    if (size > 11).any():
+    sizes = [len(t or "") for t in text]
+    if max(sizes, default=0) > 11:
         raise TimeoutError("answer 429")
-    return pd.DataFrame({"primary_topic": size.map(lambda n: "short" if n < 9 else "long"), "confidence": size / 100.0})
+    return pd.DataFrame({"primary_topic": pd.Series(["short" if n < 9 else "long" for n in sizes], dtype=object), "confidence": [n / 100.0 for n in sizes]})
 
 
 @query("tagged_items", "SELECT item_id, CASE WHEN length(item_name) > 11 THEN primary_topic WHEN length(item_name) < 9 THEN 'short' ELSE 'long' END AS primary_topic, CASE WHEN length(item_name) > 11 THEN 'rate_limit' END AS error_kind FROM items", "items")

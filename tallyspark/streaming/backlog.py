@@ -50,22 +50,36 @@ def failure(error: Exception) -> str:
 
 def tagged(rows: DataFrame, key: str, text: str, tagger: Tagger = keyword_tagger, size: int = 40, parent: str | None = None) -> DataFrame:
     """(key, primary_topic, confidence, error, error_kind): batches of a tagger by key. A batch that
-    fails becomes rows with its error and the topic of their parent column, if one is given."""
+    fails becomes rows with its error and the topic of their parent column, if one is given. Rows are dealt
+    evenly to all cores, as a small file of many rows would keep one task busy for long; what the batches give is passed on a thousand rows and more at once."""
     columns = [key, text, *([parent] if parent and parent not in (key, text) else [])]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            texts, parents = part[text], part[parent].to_numpy() if parent else None
+            topics, confidences, errors, kinds = [], [], [], []
             for at in range(0, len(part), size):
-                some = part.iloc[at : at + size]
+                some = texts.iloc[at : at + size]
                 try:
-                    out = tagger(some[text])
-                    yield pd.DataFrame({key: some[key].to_numpy(), "primary_topic": out["primary_topic"].to_numpy(), "confidence": out["confidence"].to_numpy(), "error": None, "error_kind": None})
+                    out = tagger(some)
+                    topic, confidence = list(out["primary_topic"]), list(out["confidence"])
+                    if not len(topic) == len(confidence) == len(some):
+                        raise ValueError(f"{len(topic)} tags for {len(some)} texts")
+                    error, kind = None, None
                 except Exception as e:  # a tagger is foreign code: its failure is a result
-                    topic = some[parent].to_numpy() if parent else "general"
-                    yield pd.DataFrame({key: some[key].to_numpy(), "primary_topic": topic, "confidence": 0.0, "error": str(e), "error_kind": failure(e)})
+                    topic = list(parents[at : at + size]) if parent else ["general"] * len(some)
+                    confidence, error, kind = [0.0] * len(some), str(e), failure(e)
+                topics += topic
+                confidences += confidence
+                errors += [error] * len(some)
+                kinds += [kind] * len(some)
+            yield pd.DataFrame({key: part[key].to_numpy(), "primary_topic": topics, "confidence": confidences, "error": errors, "error_kind": kinds})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(*columns).mapInPandas(run, f"{key} {kind}, primary_topic string, confidence double, error string, error_kind string")
+    dealt = rows.select(*columns)
+    if not rows.isStreaming:
+        dealt = dealt.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.mapInPandas(run, f"{key} {kind}, primary_topic string, confidence double, error string, error_kind string")
 
 
 def drain(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, key: str, text: str, tagger: Tagger = keyword_tagger) -> StreamingQuery:

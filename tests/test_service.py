@@ -119,3 +119,19 @@ def test_refused_in_the_step(spark, sql):
     """Names of catalogues that there aren't, and values that the planner itself would blow up."""
     step = service.run(spark, sql)
     assert step.error and step.error.startswith("refused") and step.rowcount == 0
+
+
+def test_tags_are_dealt_to_all_cores(spark):
+    """Rows of one small file are tagged by many tasks, each batch of one still on its own."""
+    rows = spark.range(300).selectExpr("id", "if(id % 3 = 0, 'a joy', 'none') AS t").coalesce(1)
+
+    def fussy(text):
+        assert len(text) == 1
+        if "joy" in text.iloc[0]:
+            raise TimeoutError("answer 429")
+        return backlog.keyword_tagger(text)
+
+    found = backlog.tagged(rows, "id", "t", fussy, size=1)
+    assert found.rdd.getNumPartitions() > 1
+    assert found.groupBy("error_kind").count().orderBy("error_kind").collect() == [(None, 200), ("rate_limit", 100)]
+    assert found.where("error_kind is null and primary_topic <> 'general'").count() == 0
