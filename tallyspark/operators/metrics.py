@@ -73,10 +73,14 @@ def modal_response(answers: DataFrame, *dims: str) -> DataFrame:
 
 
 def top2_box(answers: DataFrame, labels: DataFrame, family: str, *dims: str) -> DataFrame:
-    """Share of labelled answers in the first two places of the scale."""
+    """Share of labelled answers in the first two places of the scale. Answers are counted by label before they
+    meet the scale, so that what is joined is a row for each label and not one for each answer."""
     scale = labels.where(F.col("scale_family") == family).select("label", "display_order")
-    known = answers.join(scale, F.col("raw_value") == F.col("label"))
-    return known.groupBy(*dims).agg(F.count("*").alias("n"), share(F.count_if(F.col("display_order") <= 2), F.count("*")).alias("top2_pct"))
+    counted = answers.groupBy(*dims, "raw_value").agg(F.count("*").alias("k"))
+    known = counted.join(scale, F.col("raw_value") == F.col("label"))
+    added = lambda k: F.coalesce(F.sum(k), F.lit(0))
+    n, top = added(F.col("k")), added(F.when(F.col("display_order") <= 2, F.col("k")))
+    return known.groupBy(*dims).agg(n.alias("n"), share(top, n).alias("top2_pct"))
 
 
 def split_gap(answers: DataFrame, by: str, first: str, second: str, *dims: str) -> DataFrame:

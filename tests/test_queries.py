@@ -42,3 +42,15 @@ def test_same_rows(spark, duck, name):
 
 def test_all_have_sql():
     assert set(catalogue.QUERIES) == set(catalogue.SQL)
+
+
+def test_answers_are_counted_before_they_meet_the_scale(spark):
+    """What is joined with the scale, whose few labels would be as many tasks, is a row for each label."""
+    from tallyspark.operators import metrics
+
+    rows = spark.createDataFrame([(1, "A"), (1, "A"), (1, "R"), (1, "?"), (2, "N"), (None, "R")], "question_id int, raw_value string")
+    found = metrics.top2_box(rows, catalogue.scale(spark), "returns", "question_id")
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 3, 200 / 3), (2, 1, 100.0), (None, 1, 0.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join") :]
+    assert metrics.top2_box(rows.limit(0), catalogue.scale(spark), "returns").collect() == [(0, None)]
