@@ -32,21 +32,28 @@ class Marginals:
         self.dims, self.base, self.measure, self.person = dims, base, measure, person
 
     def load(self, answers: DataFrame, **counts: Column) -> None:
-        """Replaces the months that the answers hold (year_month; null is no month). ``counts`` are conditions whose answers are counted too."""
+        """Replaces the months that the answers hold (year_month; null is no month). ``counts`` are conditions whose answers are counted too.
+        The answers are read twice, for sums and for people: what is costly to join should be written before."""
         rows = answers.where("year_month is not null")
         load = uuid.uuid4().hex
         value = F.col(self.measure)
         sums = [F.count("*").alias("n"), F.count(value).alias("known"), F.sum(value).alias("total"), *[F.count_if(c).alias(name) for name, c in counts.items()]]
         cells = rows.groupBy("year_month", *self.dims).agg(*sums)
         cells.write.partitionBy("year_month").parquet(f"{self.path}/data/cells/load={load}")
-        person = F.col(self.person).cast("long")
-        people = rows.where(person.isNotNull()).groupBy("year_month", *self.base, F.bitmap_bucket_number(person).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(person)).alias("bits"), F.hll_sketch_agg(person).alias("sketch"))
+        people = self._people(rows)
         people.write.partitionBy("year_month").parquet(f"{self.path}/data/people/load={load}")
         months = [n.removeprefix("year_month=") for n in self.versions.store.names(f"data/cells/load={load}") if n.startswith("year_month=")]
         counted = {n.removeprefix("year_month=") for n in self.versions.store.names(f"data/people/load={load}")}
         schemas = {"cells": cells.schema.json(), "people": people.schema.json()}
         self.versions.change(lambda state: {**state, **schemas, "months": {**state.get("months", {}), **{m: [load, m in counted] for m in months}}})
 
+    def _people(self, rows: DataFrame) -> DataFrame:
+        """Bitmaps and sketches of ids by month and base. Ids are shuffled, not bitmaps: a part of one has 4 kB whatever its few
+        ids, and each task would send one for each group."""
+        person, group = F.col(self.person).cast("long"), ["year_month", *self.base, "bucket"]
+        known = rows.where(person.isNotNull()).select("year_month", *self.base, F.bitmap_bucket_number(person).alias("bucket"), person.alias("person"))
+        return known.repartition(*group).groupBy(*group).agg(F.bitmap_construct_agg(F.bitmap_bit_position("person")).alias("bits"), F.hll_sketch_agg("person").alias("sketch"))
+
     def _read(self, what: str, since: str | None, until: str | None) -> DataFrame:
         _, state = self.versions.read()
         if not state:

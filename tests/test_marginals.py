@@ -64,3 +64,13 @@ def test_nulls_and_nothing(spark, marginals):
     marginals.load(rows.limit(5).withColumns({"respondent_id": F.lit(None).cast("long"), "joy_index": F.lit(None).cast("int")}))
     assert [tuple(r) for r in marginals.crosstab(min_n=1).collect()] == [(None, 5, "suppress")] and marginals.people("question_id").collect() == []
     assert marginals.crosstab("topic", since="2027-01").collect() == []
+
+
+def test_ids_are_shuffled_and_not_bitmaps(spark, marginals):
+    """Bitmaps are made after the one exchange, where all ids of a group are; ids of several buckets are counted as they are."""
+    rows = spark.range(4000).selectExpr("id * 97 % 70000 AS respondent_id", "concat('2024-0', id % 3 + 1) AS year_month", "cast(id % 2 AS int) AS question_id", "'x' AS topic", "'f' AS gender", "1 AS joy_index")
+    marginals.load(rows)
+    same(marginals.people("question_id"), rows.groupBy("question_id").agg(F.count_distinct("respondent_id").alias("people")))
+    plan = marginals._people(rows)._jdf.queryExecution().sparkPlan().toString()
+    made = marginals._people(rows)._jdf.queryExecution().executedPlan().toString()
+    assert made.count("Exchange") == 1 and "bitmap_construct_agg" not in made[made.index("Exchange") :].split("\n\n")[0], plan
