@@ -525,3 +525,11 @@ def test_licences(spark):
         (6, "gpl3-ref", "GPL-3.0-only", "GPL-3.0-only"), (7, "", "", None), (7, "", "", None),
     ]
     assert licences.scan(table(spark, [])).collect() == []
+
+
+def test_mixing_learns_from_all_training_texts(spark):
+    """As it comes, without a share set by a test: weights and the refining table are those of all training texts."""
+    rows = mixing_rows()
+    got = [(str(r.doc_id), r.score) for r in mixing.score(table(spark, rows)).collect()]
+    for (i, a), (j, b) in zip(sorted(got), sorted(PlainMixing(rows).scores())):
+        assert i == j and a == pytest.approx(b, abs=0.02)
