@@ -71,15 +71,24 @@ class JobStates(StatefulProcessor):
         self.handle = handle
         self.place = handle.getValueState("place", "status string, since long")
         self.waiting = handle.getListState("waiting", "ts long, event_id long, status string, expected string")
+        self.next = handle.getValueState("next", "ms long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        new = [Entry(r.at, r.event_id, r.status, r.expected) for r in rows]
-        for entry in new:
-            self.waiting.appendValue(tuple(entry))
-        for ms in {-(-e.ts // 1000) for e in new}:
-            self.handle.registerTimer(ms)
+        new = [(r.at, r.event_id, r.status, r.expected) for r in rows]
+        self.waiting.appendList(new)
+        self._wake(min(e[0] for e in new))
         return iter(())
 
+    def _wake(self, ts: int) -> None:
+        """Sets the job's one timer of waiting rows to that time, unless there is an earlier one."""
+        ms = -(-ts // 1000)
+        set_to = self.next.get()[0] if self.next.exists() else None
+        if set_to is None or ms < set_to:
+            if set_to is not None:
+                self.handle.deleteTimer(set_to)
+            self.handle.registerTimer(ms)
+            self.next.update((ms,))
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         held = [Entry(*r) for r in self.waiting.get()] if self.waiting.exists() else []
@@ -94,8 +103,10 @@ class JobStates(StatefulProcessor):
         if ready:
             left = [tuple(e) for e in held if e.ts > now]
             self.waiting.clear()
+            self.next.clear()
             if left:
                 self.waiting.put(left)
+                self._wake(min(e[0] for e in left))
         if took:
             self.place.update((status, since))
             if status == "pending" and self.patience is not None:
@@ -135,8 +146,12 @@ def keep(log: DataFrame, table: KeyedTable, checkpoint: str, late: str = "0 seco
     event_id, status, expected), where it can be looked up. A batch that is repeated after a failure gives the same rows."""
 
     def write(batch: DataFrame, number: int) -> None:
-        if batch.head(1):
-            table.update(batch.select("job_id", "ts", "event_id", "status", "expected", F.struct(F.col("ts"), F.col("event_id")).alias("stamp")), "ts", "event_id", "status", "expected", insert=True)
+        batch = batch.persist()  # the update reads it several times, and each would apply the log again
+        try:
+            if batch.head(1):
+                table.update(batch.select("job_id", "ts", "event_id", "status", "expected", F.struct(F.col("ts"), F.col("event_id")).alias("stamp")), "ts", "event_id", "status", "expected", insert=True)
+        finally:
+            batch.unpersist()
 
     with _rocks(log.sparkSession):
         writer = transitions(log, late, patience_s, keep_s).writeStream.outputMode("append").foreachBatch(write)
