@@ -5,14 +5,15 @@ of the sample once each vector's cell is taken off, a small codebook for each pa
 is stored in the folder of its nearest cell with its code and its vector; a query asks its
 nearest cells only (``probes``), compares codes there, and compares exactly the best of those.
 
-A cell's rows and the queries that ask it meet in groups of at most about ``ROWS`` rows and ``PROBES``
-queries: large cells are cut by a hash of the row, often asked ones by a hash of the
-query, so that no group grows with the data. No query vector comes to the driver; what
+Cells stand on shelves of at most about ``ROWS`` rows; a query is sent once to each shelf that has cells it asks. Both
+meet in groups of at most about ``ROWS`` rows and ``PROBES`` queries: large cells are cut by a hash of the row, often asked
+shelves by a hash of the query, so that no group grows with the data. No query vector comes to the driver; what
 does are the centres of cells (``cells`` vectors), codebooks, and how many rows and queries each cell has.
 
 Each row also keeps how far its code is from its vector. With that the similarity has a lower and an
 upper bound, and where no number of candidates is given, all rows whose upper bound reaches the
-``limit``-th best lower bound are compared exactly: the result is then exact over the
+``limit``-th best lower bound of their group are compared there by their vectors in single precision, and what may
+then be among the ``limit`` best of all groups is compared exactly: the result is exact over the
 cells asked, and over all rows if all cells are.
 
 Batches are added as segments of a versioned table (see ``sources.versions``), with the
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 
 from tallyspark.sources.versions import Versions, new_folder
 
-#: Rows of a cell, and queries that ask it, which meet in one group at most (about: they are cut by hash).
+#: Rows of a shelf, and queries that ask it, which meet in one group at most (about: they are cut by hash).
 ROWS, PROBES = 65_536, 4_096
+#: Shelves are smaller where there would be fewer than so many, down to so many rows.
+SHELVES, LEAST = 64, 1_024
 #: Rows of the sample for k-means; cells at most; rounds of each k-means.
 SAMPLE, MOST_CELLS, ROUNDS = 100_000, 4_096, 8
 #: Sums of coordinates are added as whole numbers, so that centres don't depend on the order of rows.
@@ -150,7 +153,7 @@ class VectorIndex:
         count = known.count()
         rate = min(1.0, SAMPLE / max(count, 1))
         order = F.xxhash64("key", F.lit(1))
-        chosen = known.where(F.pmod(order, F.lit(1 << 20)) < int(rate * (1 << 20))).select("key", order.alias("order"), _unit_column(size))
+        chosen = known.where(F.pmod(order, F.lit(1 << 20)) < int(rate * (1 << 20))).select("key", order.alias("order"), _unit_column())
         chosen.write.parquet(f"{path}/sample")
         sample = spark.read.parquet(f"{path}/sample")
         k = max(1, min(cells or round(count**0.5), MOST_CELLS, count))
@@ -213,6 +216,22 @@ class VectorIndex:
                 out = part if out is None else out.unionByName(part)
         return out
 
+    def _layout(self) -> list[tuple[int, int, int]]:
+        """Cell, its shelf and how many shelves it has: small cells share one, rows of a large one are dealt to several of its own."""
+        held: dict[int, int] = {}
+        for sizes in self.state["segments"].values():
+            for cell, n in sizes.items():
+                held[int(cell)] = held.get(int(cell), 0) + n
+        room = min(ROWS, max(LEAST, -(-sum(held.values()) // SHELVES)))
+        out, shelf, used = [], 0, 0
+        for cell in sorted(held):
+            shards = -(-held[cell] // room)
+            if used and used + held[cell] > room:
+                shelf, used = shelf + 1, 0
+            out.append((cell, shelf, shards))
+            shelf, used = (shelf, used + held[cell]) if shards == 1 else (shelf + shards, 0)
+        return out
+
     def search(self, queries: DataFrame, key: str, vector: str, limit: int = 10, probes: int = 8, candidates: int | None = None) -> DataFrame:
         """(query, key, similarity, nth): the ``limit`` rows nearest to each query, by cosine to nine decimals, among
         those of its ``probes`` nearest cells: the ``candidates`` best by code compared exactly, or as many as may be among the nearest."""
@@ -220,76 +239,110 @@ class VectorIndex:
         probes = min(probes, len(quantiser.centres))
         asked = self._known(queries, key, vector, size)
 
+        layout = self._layout()
+        first, shards = (np.zeros(len(quantiser.centres), np.int64) for _ in range(2))
+        for cell, shelf, n in layout:
+            first[cell], shards[cell] = shelf, n
+
         def ask(batches):
-            for batch in _batches_of(batches, 512):
+            for batch in _batches_of(batches, 64):
                 near = quantiser.probes(_units(_matrix(batch.column(1), size)), probes)
-                rows = pa.array(np.repeat(np.arange(batch.num_rows), probes))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(near.ravel(), pa.int32())], names=["query", "asked", "cell"])
+                times = shards[near.ravel()]
+                row, cell = np.repeat(np.repeat(np.arange(len(near)), near.shape[1]), times), np.repeat(near.ravel(), times)
+                shelf = first[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+                order = np.lexsort((cell, shelf, row))
+                row, cell, shelf = row[order], cell[order], shelf[order]
+                starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(shelf, prepend=-1) != 0))
+                cells = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(cell, pa.int32()))
+                rows = pa.array(row[starts])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(shelf[starts], pa.int32()), cells], names=["query", "asked", "shelf", "cells"])
 
         folder = new_folder(self.spark)
-        asked.mapInArrow(ask, "query long, asked array<double>, cell int").write.parquet(folder)
+        asked.select(F.col("key").alias("query"), F.col("vector").alias("asked")).write.parquet(folder)
         asks = self.spark.read.parquet(folder)
-        held: dict[int, int] = {}
-        for sizes in self.state["segments"].values():
-            for cell, n in sizes.items():
-                held[int(cell)] = held.get(int(cell), 0) + n
-        told = asks.groupBy("cell").count().collect()  # a row for each cell
-        layout = [(r.cell, -(-held[r.cell] // ROWS), -(-r["count"] // PROBES)) for r in told if r.cell in held]
-        cells = [c for c, _, _ in layout]
-        cut = F.broadcast(self.spark.createDataFrame(layout, "cell int, shards int, blocks int"))  # a row for each cell
-        copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = asks.join(cut, "cell").select("cell", copies("shards").alias("shard"), F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"), "query", "asked")
-        stored = self.rows(cells)
-        right = stored.join(cut, "cell").select("cell", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int").alias("shard"), copies("blocks").alias("block"), "key", "code", "apart")
+        sent = asks.mapInArrow(ask, "query long, asked array<double>, shelf int, cells array<int>")
+        told = sent.select("shelf", F.explode(F.array_append("cells", F.lit(-1))).alias("cell")).groupBy("shelf", "cell").count().collect()  # a row for each cell and shelf
+        wanted = {r.cell for r in told}
+        cut = F.broadcast(self.spark.createDataFrame([x for x in layout if x[0] in wanted], "cell int, first int, shards int"))  # a row for each cell
+        often = F.broadcast(self.spark.createDataFrame([(r.shelf, -(-r["count"] // PROBES)) for r in told if r.cell < 0], "shelf int, blocks int"))  # a row for each shelf
+        left = sent.join(often, "shelf").select("shelf", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"), "query", "asked", "cells")
+        stored = self.rows(sorted(wanted - {-1}))
+        shelf = (F.col("first") + F.pmod(F.xxhash64("key"), F.col("shards"))).cast("int").alias("shelf")
+        unit = _unit_column() if candidates is None else F.lit(None).alias("unit")
+        right = stored.join(cut, "cell").select(shelf, "cell", "key", "code", "apart", unit.cast("array<float>").alias("unit")).join(often, "shelf")
+        right = right.select("shelf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cell", "key", "code", "apart", "unit")
 
         def compare(asks: pa.Table, rows: pa.Table) -> pa.Table:
             return _best(quantiser, size, asks.combine_chunks(), rows.combine_chunks(), limit, candidates)
 
-        groups = ["cell", "shard", "block"]
+        groups = ["shelf", "block"]
         near = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(compare, "cell int, query long, key long, low double, high double")
         order = Window.partitionBy("query").orderBy(F.desc("low"), "key")
         if candidates is None:
-            floor = near.withColumn("place", F.row_number().over(order)).where(F.col("place") == limit).select("query", F.col("low").alias("least"))
-            near = near.join(floor, "query", "left").where(F.col("high") >= F.coalesce("least", F.lit(-2.0))).select("cell", "query", "key")
+            every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            near = near.withColumn("least", F.nth_value("low", limit).over(every)).where(F.col("high") >= F.coalesce("least", F.lit(-2.0))).select("cell", "query", "key")
         else:
             near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= candidates).select("cell", "query", "key")
-        vectors = asks.groupBy("query").agg(F.first("asked").alias("asked")) if candidates is None else asks.dropDuplicates(["query"]).select("query", "asked")
+        vectors = asks.dropDuplicates(["query"]).select("query", "asked")
         exact = near.join(stored.select("cell", "key", "vector"), ["cell", "key"]).join(vectors, "query").select("query", "key", "asked", "vector").mapInArrow(_cosines(size), "query long, key long, similarity double")
         nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "key"))
         return exact.withColumn("nth", nth).where(F.col("nth") <= limit)
 
 
-def _unit_column(size: int) -> Column:
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform("vector", lambda x: x / norm).alias("unit")
+def _unit_column() -> Column:
+    # the norm is a variable of the last step, so it is summed once for a row and not once for each component
+    return F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x, lambda n: F.transform("vector", lambda x: x / F.sqrt(n))).alias("unit")
 
 
 def _best(quantiser: Quantiser, size: int, asks: pa.Table, rows: pa.Table, limit: int, candidates: int | None) -> pa.Table:
-    """Bounds of the similarity of the queries and rows of one group, for those that may be among the nearest."""
+    """Bounds of the similarity of the queries and rows of one group, for those that may be among the nearest. Without a number
+    of candidates, what the codes leave is compared by its vectors in single precision, so that little more than ``limit`` rows are left."""
     found: list[tuple[np.ndarray, ...]] = []
     if asks.num_rows and rows.num_rows:
-        cell = asks.column("cell")[0].as_py()
-        query, key = asks.column("query").to_numpy(), rows.column("key").to_numpy()
+        rows = rows.sort_by("cell").combine_chunks()
+        query, key, cell = asks.column("query").to_numpy(), rows.column("key").to_numpy(), rows.column("cell").to_numpy()
         codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(key), -1)
         apart = rows.column("apart").to_numpy().astype(np.float32) + np.float32(SLACK)
-        step = max(1, (1 << 23) // len(key))
+        units = rows.column("unit").combine_chunks().flatten().to_numpy().reshape(-1, size) if candidates is None else None
+        cells, starts = np.unique(cell, return_index=True)
+        ends = np.append(starts[1:], len(key))
+        step = max(1, (1 << 22) // len(key))
         for at in range(0, len(query), step):
-            units = _units(_matrix(asks.column("asked").slice(at, step).combine_chunks(), size))
-            near = quantiser.similarities(cell, units, codes)
+            some = asks.slice(at, step)
+            own = _units(_matrix(some.column("asked").combine_chunks(), size))
+            near = np.full((len(own), len(key)), -np.inf, np.float32)
+            lists = some.column("cells").combine_chunks()
+            who, what = lists.value_parent_indices().to_numpy(), lists.flatten().to_numpy()
+            for c, a, b in zip(cells, starts, ends):
+                asking = who[what == c]
+                if len(asking):
+                    near[asking, a:b] = quantiser.similarities(c, own[asking], codes[a:b])
+            kth = len(key) - min(candidates or limit, len(key))
             if candidates is None:
-                low, high = near - apart, near + apart
-                kth = min(limit, len(key))
-                least = np.partition(low, len(key) - kth, axis=1)[:, len(key) - kth] if len(key) >= limit else np.full(len(units), -np.inf)
-                q, k = np.nonzero(high >= least[:, None])
+                q, k = np.nonzero((near + apart >= np.partition(near - apart, kth, axis=1)[:, kth, None]) & (near > -np.inf))
+                exact = _products(own.astype(np.float32), units, q, k)
+                if len(key) > limit:
+                    near[:] = -np.inf
+                    near[q, k] = exact
+                    keep = exact >= np.partition(near, kth, axis=1)[q, kth] - np.float32(2 * SLACK)
+                    q, k, exact = q[keep], k[keep], exact[keep]
+                low, high = exact - np.float32(SLACK), exact + np.float32(SLACK)
             else:
-                low = high = near
-                kth = min(candidates, len(key))
-                k = np.argpartition(near, len(key) - kth, axis=1)[:, len(key) - kth :]
-                q, k = np.repeat(np.arange(len(units)), kth), k.ravel()
-            found.append((query[at + q], key[k], low[q, k].astype(np.float64), high[q, k].astype(np.float64)))
-    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
-    number = asks.column("cell")[0].as_py() if found else 0
-    return pa.table([pa.array(np.full(len(columns[0]), number, np.int32)), *map(pa.array, columns)], names=["cell", "query", "key", "low", "high"])
+                k = np.argpartition(near, kth, axis=1)[:, kth:]
+                q, k = np.repeat(np.arange(len(own)), k.shape[1]), k.ravel()
+                q, k = (x[near[q, k] > -np.inf] for x in (q, k))
+                low = high = near[q, k]
+            found.append((cell[k], query[at + q], key[k], low.astype(np.float64), high.astype(np.float64)))
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 2, *[np.zeros(0)] * 2]
+    return pa.table([*map(pa.array, columns)], names=["cell", "query", "key", "low", "high"])
+
+
+def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the rows i of a and j of b: of all rows, where a good part of them is wanted."""
+    if len(i) * 20 > len(a) * len(b):
+        return (a @ b.T)[i, j]
+    steps = range(0, len(i), 1 << 16)
+    return np.concatenate([np.einsum("nw,nw->n", a[i[at : at + (1 << 16)]], b[j[at : at + (1 << 16)]]) for at in steps]) if len(i) else np.zeros(0, np.float32)
 
 
 def _cosines(size: int):

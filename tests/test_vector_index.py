@@ -116,3 +116,22 @@ def test_recall_on_embeddings(spark):
     for probes, least in ((cells * 5 // 6, 0.95), (cells // 3, 0.7)):
         got = {(r.query, r.key) for r in index.search(some, "vec_id", "embedding", 10, probes=probes, candidates=200).collect()}
         assert len(got & exact) / len(exact) >= least
+
+
+def test_search_leaves_little_to_the_joins(spark, monkeypatch):
+    """Of vectors without groups a group passes on little more than the places asked for, and a query is sent once to each shelf, not to each cell."""
+    draw = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw.normal(size=(4000, SIZE)))], "id long, v array<double>").cache()
+    some = rows.where("id % 20 = 0")
+    index = VectorIndex.build(rows, new_folder(spark), "id", "v", SIZE, cells=60, entries=16)
+    assert len({shelf for _, shelf, _ in index._layout()}) <= 2 * 4000 // 1024 + 1
+    sizes, best = spark.sparkContext.accumulator(0), vector_index._best
+
+    def counted(*args):
+        out = best(*args)
+        sizes.add(out.num_rows)
+        return out
+
+    monkeypatch.setattr(vector_index, "_best", counted)
+    assert found(index.search(some, "id", "v", 10, probes=60)) == found(retrieval.nearest(rows, some, "v", "id", 10))
+    assert 200 * 10 <= sizes.value <= 200 * 10 * 10
