@@ -72,3 +72,23 @@ def test_no_nested_loop(spark, capsys):
     spelling.within(frame(spark, some_names(50, 1)), frame(spark, ["abc"]).select(F.col("name").alias("query")), "name", 2).explain()
     plan = capsys.readouterr().out
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "HashJoin" in plan + "HashJoin" * ("SortMergeJoin" in plan)
+
+
+def test_names_that_share_pieces(spark):
+    """Numbers of one width with the same word: a query meets names that are near it, not all that have its word or leading zeros."""
+    names = [f"{331 * i:09d} BUILDING" for i in range(3000)]
+    asked = names[::300]
+    short = spelling.variants(frame(spark, names), "name", 2).withColumnRenamed("name", "near")
+    met = spelling.variants(frame(spark, asked), "name", 2).join(short, "form").select("name", "near").distinct().count()
+    assert met < len(asked) * len(names) / 20
+    got = {tuple(r) for r in spelling.within(frame(spark, names), frame(spark, asked).withColumnRenamed("name", "query"), "name", 2).collect()}
+    assert got == {(q, n, d) for q in asked for n in names if (d := distance(q, n)) <= 2}
+
+
+def test_short_and_long_names(spark, monkeypatch):
+    """Names on both sides of the length up to which forms are used; no pair is lost or twice."""
+    monkeypatch.setattr(spelling, "VARIANTS", 40)
+    assert spelling.longest_varied(2) == 8
+    names, asked = set(some_names(150, 21)), set(some_names(40, 22) + [""])
+    got = sorted(tuple(r) for r in spelling.within(frame(spark, names), frame(spark, asked).withColumnRenamed("name", "query"), "name", 2).collect())
+    assert got == sorted((q, n, distance(q, n)) for q in asked for n in names if distance(q, n) <= 2)
