@@ -17,16 +17,20 @@ from tallyspark.sources.versions import new_folder
 from tallyspark.streaming.backlog import tagged, word_tagger
 
 
+#: Rows of a file of a sheet at most.
+SHEET_ROWS = 250_000
+
+
 @query(
     "landed_sheet",
     f"""WITH sheet AS ({SHEET_SQL}) SELECT respondent_id, 1 AS question_id, a AS raw_value FROM sheet
     UNION ALL SELECT respondent_id, 2, b FROM sheet WHERE trim(b) <> '' UNION ALL SELECT respondent_id, 3, c FROM sheet WHERE c IS NOT NULL""",
 )
 def landed_sheet(s: Survey) -> DataFrame:
-    """A sheet of strings as CSV, landed with ordinals, its columns mapped by a JSON file, as long answers."""
+    """A sheet of strings as CSV in files of a bounded number of rows, landed with ordinals, its columns mapped by a JSON file, as long answers."""
     key, path = F.col("o_orderkey"), new_folder(s.spark)
     texts = [F.lit("id"), F.lit("x").alias("c1"), F.date_format("o_orderdate", "yyyy-MM-dd"), (key % 6).cast("string"), F.when(key % 3 == 0, F.col("o_orderstatus")).otherwise(" "), F.when(key % 7 == 0, F.col("o_orderpriority")), F.lit('a "quoted", cell\nof two lines')]
-    s.table("orders").orderBy(key).select(*[t.alias(f"x{i}") for i, t in enumerate(texts)]).coalesce(1).write.option("quoteAll", True).option("escape", '"').csv(f"{path}/sheet")
+    s.table("orders").orderBy(key).select(*[t.alias(f"x{i}") for i, t in enumerate(texts)]).write.option("quoteAll", True).option("escape", '"').option("maxRecordsPerFile", SHEET_ROWS).csv(f"{path}/sheet")
     landed = files.land_sheet(s.spark, f"{path}/sheet", f"{path}/landed")
     fields = [(f"c{3 + i}", question, item) for i, (_, question, item) in enumerate(FIELDS)]
     entries = ", ".join(f'"{f}": {{"question_id": {q}, "item_id": {i}}}' for f, q, i in fields)

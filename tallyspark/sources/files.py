@@ -21,15 +21,24 @@ def sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land_sheet(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """Lands a CSV sheet without header as strings c0, c1, ... with an ordinal in the order of its rows.
-    The ordinal is given once, when the sheet is written; all phases read the landed rows, so they agree.
-    A quoted cell may span lines, so a file is read by one task from its start."""
+    """Lands a CSV sheet without header, a file or a folder of files, as strings c0, c1, ... with an ordinal in the order of its files' names and of
+    their rows. The ordinal is given once, when the sheet is written; all phases read the landed rows, so they agree.
+    A quoted cell may span lines, so a file is read by one task from its start; files are read side by side."""
     raw = spark.read.csv(path, header=False, inferSchema=False, quote='"', escape='"', multiLine=True)
-    named = raw.select(F.monotonically_increasing_id().alias("ordinal"), *[F.col(f"_c{i}").alias(f"c{i}") for i in range(len(raw.columns))])
-    named.write.mode("overwrite").parquet(target)
+    named = raw.select(F.regexp_replace(F.input_file_name(), "^file:/+", "file:/").alias("file"), F.monotonically_increasing_id().alias("id"), *[F.col(f"_c{i}").alias(f"c{i}") for i in range(len(raw.columns))])
+    ranks = [(re.sub("^file:/+", "file:/", where), i) for i, where in enumerate(sorted(raw.inputFiles(), key=_by_number))]
+    ranked = named.join(F.broadcast(spark.createDataFrame(ranks, "file string, rank long")), "file", "left")  # a row for each file
+    # rows of a file follow each other in one task, whose last 33 bits of the id count them
+    ordinal = F.shiftleft(F.coalesce("rank", F.raise_error(F.lit("a file that was not listed"))), 33).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 33) - 1)))
+    ranked.select(ordinal.alias("ordinal"), *named.columns[2:]).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
+def _by_number(path: str) -> list[str | int]:
+    """A key that puts part-10 after part-9."""
+    return [int(x) if x.isdigit() else x for x in re.split(r"([0-9]+)", path)]
+
+
 def workbooks(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """The files of a path as they are (path, content), or as a stream those that come to a folder."""
     if not stream:

@@ -106,6 +106,19 @@ def test_versions_and_landing(spark, tmp_path):
     assert [(r.c0, r.c1) for r in landed.orderBy("ordinal").collect()] == [("id", 'a "q"'), ("1", "two\nlines"), ("2", None)]
 
 
+def test_landing_many_files(spark, tmp_path):
+    """Ordinals follow the files' names and their rows, whatever the files' sizes; files don't wait for each other."""
+    folder = tmp_path / "a sheet ü"
+    folder.mkdir()
+    for i in range(12):
+        rows = range(i * 1000, i * 1000 + 1 + 70 * (i % 5))
+        (folder / f"part-{i}.csv").write_text("".join(f'"{k}","two\nlines, {k}"\n' for k in rows))
+    landed = files.land_sheet(spark, str(folder), str(tmp_path / "landed"))
+    got = [(int(r.c0), r.c1) for r in landed.orderBy("ordinal").collect()]
+    assert got == [(k, f"two\nlines, {k}") for i in range(12) for k in range(i * 1000, i * 1000 + 1 + 70 * (i % 5))]
+    assert landed.select("ordinal").distinct().count() == len(got)
+
+
 def test_workbook(spark, tmp_path):
     cell = lambda at, text: f'<c r="{at}" t="inlineStr"><is><t>{text}</t></is></c>'
     rows = [f'<row r="1">{cell("A1", "Full Name")}{cell("C1", "Company")}</row>', '<row r="2"><c r="A2"/></row>', f'<row r="3"><c r="A3" t="s"><v>0</v></c>{cell("C3", "Acme")}</row>', '<row r="4"><c r="C4"><v>7</v></c></row>']
