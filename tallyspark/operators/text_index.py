@@ -21,9 +21,12 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ from tallyspark.sources.versions import Versions
 
 #: Rows of a block, about; folders of postings; blocks that a ranked search looks at first.
 BLOCK, SHELVES, FIRST = 1024, 64, 64
+#: Words that are inverted at once, about.
+TOKENS = 1 << 21
 #: The usual weights of BM25.
 K1, B = 1.2, 0.75
 
@@ -75,6 +80,29 @@ def together(positions: list[Column], slack: int) -> Column:
     return F.exists(positions[0], lambda start: F.coalesce(end(start) - start <= len(positions) - 1 + slack, F.lit(False)))
 
 
+def _postings(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row for each word of (key, words, block) of one block: entries by key, with positions in order."""
+    table = pa.Table.from_batches(held)
+    keys, block = table.column("key").to_numpy(), table.column("block")[0].as_py()
+    words = table.column("words").combine_chunks()
+    sizes = words.value_lengths().to_numpy().astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    code, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(keys)), sizes)
+    position = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.argsort(code, kind="stable")  # rows come by key
+    code, row, position = code[order], row[order], position[order]
+    entry = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+    of, times = row[entry], np.diff(np.append(entry, len(row)))
+    term = np.flatnonzero(np.diff(code[entry], prepend=-1) != 0)
+    n = np.diff(np.append(term, len(entry)))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(entry, len(row)), pa.int32()), pa.array(position, pa.int32()))
+    entries = pa.StructArray.from_arrays([pa.array(keys[of]), pa.array(sizes[of], pa.int32()), positions], ["key", "size", "positions"])
+    most = np.maximum.reduceat(times, term) if len(term) else times
+    least = np.minimum.reduceat(sizes[of], term) if len(term) else times
+    columns = [coded.dictionary.take(pa.array(code[entry][term])), pa.array(np.full(len(term), block, np.int64)), pa.array(n, pa.int32()), pa.array(most, pa.int64()), pa.array(least, pa.int32())]
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.append(term, len(entry)), pa.int32()), entries)], names=["term", "block", "n", "most", "least", "entries"])
+
+
 class TextIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.versions = spark, path.rstrip("/"), Versions(spark, path)
@@ -92,20 +120,57 @@ class TextIndex:
         """Stores a batch as one more segment."""
         known = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"))
         docs, total = known.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-        tokens = known.select("key", F.size("words").alias("size"), F.posexplode("words").alias("position", "term"))
-        self._put(tokens.withColumn("block", self._block(docs)), docs, total, [])
+        self._store(self._inverted(known.withColumn("block", self._block(docs))), docs, total, [])
+
+    def _inverted(self, rows: DataFrame) -> DataFrame:
+        """Postings of (key, words, block). Rows of a block follow each other in one task, which inverts them by parts of at most
+        ``TOKENS`` words or of one longer text; a block of very long texts has several rows for a word."""
+        spark = self.spark
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        dealt = rows.repartition(tasks, "block").sortWithinPartitions("block", "key")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            block, tokens = None, 0
+            for batch in batches:
+                number = batch.column(2).to_numpy()
+                sizes = batch.column(1).value_lengths().to_numpy()
+                at = 0
+                for end in [*(np.flatnonzero(np.diff(number)) + 1), len(number)]:
+                    if number[at] != block:
+                        if held:
+                            yield _postings(held)
+                        held, block, tokens = [], number[at], 0
+                    while at < end:
+                        fits = int(np.searchsorted(np.cumsum(sizes[at:end]), TOKENS - tokens, "right")) or int(not held)
+                        if fits:
+                            held.append(batch.slice(at, fits))
+                            tokens += int(sizes[at : at + fits].sum())
+                            at += fits
+                        if at < end:
+                            yield _postings(held)
+                            held, tokens = [], 0
+            if held:
+                yield _postings(held)
+
+        found = dealt.select("key", "words", "block").mapInArrow(run, _POSTINGS.removesuffix(", shelf int"))
+        return found.withColumn("shelf", F.pmod(F.crc32("term"), F.lit(self.state["shelves"])).cast("int"))
 
     def _block(self, docs: int) -> Column:
         return F.pmod(F.xxhash64("key"), F.lit(max(1, -(-docs // self.state["block"]))))
 
     def _put(self, tokens: DataFrame, docs: int, total: int, replaced: list[str]) -> None:
-        """Writes (term, block, key, size, position) as a segment and takes it over in place of others."""
+        """Stores (term, block, key, size, position) as a segment in place of others."""
         per_row = tokens.repartition("term", "block").groupBy("term", "block", "key").agg(F.max("size").alias("size"), F.sort_array(F.collect_list("position")).alias("positions"))
         entries = F.sort_array(F.collect_list(F.struct("key", "size", "positions"))).alias("entries")  # a block has a bound
         found = per_row.groupBy("term", "block").agg(F.count("*").cast("int").alias("n"), F.max(F.size("positions").cast("long")).alias("most"), F.min("size").alias("least"), entries)
         shelf = F.pmod(F.crc32("term"), F.lit(self.state["shelves"])).cast("int")
+        self._store(found.withColumn("shelf", shelf), docs, total, replaced)
+
+    def _store(self, found: DataFrame, docs: int, total: int, replaced: list[str]) -> None:
+        """Writes postings as a segment and takes it over in place of others."""
         segment = uuid.uuid4().hex
-        sorted_rows = found.withColumn("shelf", shelf).hint("rebalance", "shelf").sortWithinPartitions("shelf", "term", "block")
+        sorted_rows = found.hint("rebalance", "shelf").sortWithinPartitions("shelf", "term", "block")
         sorted_rows.write.partitionBy("shelf").option("parquet.page.size", 1 << 16).option("parquet.page.row.count.limit", 512).parquet(f"{self.path}/data/{segment}")
         own = {segment: {"docs": docs, "words": total}} if docs else {}
 

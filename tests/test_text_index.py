@@ -163,3 +163,24 @@ def test_rare_words_read_less(spark):
 
     files = sum(index.versions.store._store.getFileStatus(index.versions.store._fs.Path(f)).getLen() for f in index._read(None).inputFiles())
     assert 0 < read("single") < read("common") < files / 2
+
+
+def test_block_is_one_row_for_a_word(spark, rows, index, monkeypatch):
+    """Texts are inverted within their block: no row for each word of each text is shuffled. Parts of a block, where texts are long, give the same rows."""
+    stored = index.postings("red", "the").collect()
+    assert len(stored) == len({(r.term, r.block) for r in stored})
+    plan = index._inverted(rows.where("id is not null").selectExpr("id AS key", "split(text, ' ') AS words", "id % 4 AS block"))._jdf.queryExecution().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 0
+    inverted = text_index._postings
+
+    def small(held):
+        assert sum(len(w) for b in held for w in b.column(1).to_pylist()) <= 40 or sum(b.num_rows for b in held) == 1
+        return inverted(held)
+
+    monkeypatch.setattr(text_index, "TOKENS", 40)
+    monkeypatch.setattr(text_index, "_postings", small)
+    cut = TextIndex.build(rows, new_folder(spark), "id", "text", shelves=2, block=200)
+    entries = lambda i: sorted((r.term, e.key, e.size, tuple(e.positions)) for r in i.postings(*WORDS).collect() for e in r.entries)
+    assert entries(cut) == entries(index)
+    for query in ("red blue OR hat", "the"):
+        assert [(-round(r.score, 9), r.key) for r in cut.top(query, 25).orderBy("nth").collect()] == bm25(texts(), query, 25)
