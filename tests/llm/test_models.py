@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -361,6 +362,35 @@ def test_mixing_learns_from_a_share_and_leaves_no_tables(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("mixing_")]
 
 
+def test_mixing_learns_side_by_side(monkeypatch):
+    """Evidence is looked up once for each bit of some pieces, not for each token of a text, and what is learned doesn't depend on the pieces that lie side by side."""
+    draw, calls = random.Random(8), []
+    texts = [" ".join(f"w{min(draw.randrange(60), draw.randrange(60))}" for _ in range(draw.randrange(1, 200))).encode() for _ in range(30)]
+    hashes, row, about = mixing.tokens(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    known, first, which, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(-times, kind="stable")] = np.arange(len(known))
+    sizes = np.bincount(row)
+    batch = mixing.Batch({"ids": [*range(30)], "held": [i % 7 == 0 for i in range(30)], "sizes": sizes, "bytes": sizes, "hashes": mixing.ascending(known), "about": mixing.packed(about[first]), "times": mixing.packed(times), "stream": mixing.packed(rank[which])})
+    batch.code(batch.counted())
+    leaves = {c: (int(batch.counts[batch.codes == c].sum()), int((batch.codes == c).sum())) for c in set(batch.codes.tolist())}
+    told = []
+    for kind in mixing.DEPTHS:
+        keys, at = batch.pairs(kind, 24)
+        own, runs = np.unique(keys >> np.uint64(mixing.BITS), return_counts=True)
+        codes, found = keys & np.uint64((1 << mixing.BITS) - 1), np.bincount(at, batch.trains, len(keys))
+        told.append({"part": 0, "batch": 0, "kind": kind, "slots": mixing.ascending(own), "runs": mixing.packed(runs), "codes": mixing.packed(codes), "times": mixing.packed(found)})
+    answers = [r for r in mixing._tell_contexts(pa.Table.from_pylist(told)).to_pylist() if r["batch"] == 0]
+    evidence = mixing.Evidence(batch, answers, mixing.Model(leaves), 24)
+    look = mixing.Some.inputs
+    monkeypatch.setattr(mixing.Some, "inputs", lambda *a: calls.append(1) or look(*a))
+    sums = mixing.learned_sums(evidence)
+    assert sums.any() and len(calls) <= mixing.BITS
+    monkeypatch.setattr(mixing, "LANES", 300)
+    apart = mixing.learned_sums(evidence)
+    assert len(calls) > 2 * mixing.BITS and np.abs(apart - sums).max() <= 1e-5 * np.abs(sums).max()
+
+
 def test_mixing_is_of_the_whole_corpus_and_of_training_texts_only(spark, monkeypatch):
     """Neither the size of batches nor held-out texts make a difference; equal texts score alike."""
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
