@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.frames import LAST, UNNAMED, drop_stored, identified, in_small_batches, shared_folder, stored
+from tallyspark.llm.frames import LAST, UNNAMED, drop_stored, identified, in_small_batches, ranked, shared_folder, stored
 from tallyspark.llm.text import LOWER, SPACE, mix, prefix_hash, span_hash, text_slices, word_hash, words
 
 # Common words of English, German, French and Spanish.
@@ -44,6 +44,8 @@ ALONE = 8
 SAMPLE, FREQUENT = 20_000, 1 << 16
 #: Documents in one bucket of neighbours, on average, and the most buckets (then they grow); documents in one task.
 BUCKET, MOST_BUCKETS, TASK = 2048, 1 << 14, 1 << 15
+#: Sets in one block of those that are verified.
+BLOCK = 512
 
 _GAPS = SPACE.copy()
 _GAPS[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
@@ -139,9 +141,8 @@ def frequent_signatures(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(prints: DataFrame, percent: int) -> DataFrame:
-    """(s, h1, h2, n, part): the first n - ceil(t n) + 1 signatures of each set, rarest first, with the fingerprint's digest as two numbers and its length partition."""
+    """(s, h1, h2, n, at): the first n - ceil(t n) + 1 signatures of each set, rarest first, with the fingerprint's digest as two numbers, the set's size and the signature's place."""
     common, times = frequent_signatures(prints)
-    step = -math.log(percent / 100)
 
     def run(batches):
         for batch in batches:
@@ -155,15 +156,57 @@ def _prefixes(prints: DataFrame, percent: int) -> DataFrame:
             row = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((flat, rank, row))
             first = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = order[first < np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes)]
+            among = first < np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes)
+            keep = order[among]
             owner = row[keep]
             n = sizes[owner]
-            part = np.floor(np.log(np.maximum(n, 1)) / step + 1e-9).astype(np.int32)
             digests = b"".join(bytes.fromhex(names[i].partition(":")[2]) for i in own)
             digest = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(n.astype(np.int32)), pa.array(part)], names=["s", "h1", "h2", "n", "part"])
-
-    return prints.select("fingerprint", "signatures").mapInArrow(run, "s long, h1 long, h2 long, n int, part int")
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(n.astype(np.int32)), pa.array(first[among].astype(np.int32))], names=["s", "h1", "h2", "n", "at"])
+
+    return prints.select("fingerprint", "signatures").mapInArrow(run, "s long, h1 long, h2 long, n int, at int")
+
+
+def _candidates(prints: DataFrame, percent: int) -> DataFrame:
+    """(x, y), structs (h1, h2, n) with x < y: sets that share a rare signature and whose places of shared ones leave room for the threshold.
+
+    All sets are in one order. The first signature that is in both of two alike sets has as many from its place on, in either, as
+    the two must share. Those found to be shared so early, with what is left after the last of them, bound what is shared at all."""
+    own = _prefixes(prints, percent).repartition("s").groupBy("s", "h1", "h2").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    own = own.withColumn("part", F.floor(F.ln("n") / max(1e-9, -math.log(percent / 100)) + 1e-9))
+    sides = [own.select("s", F.struct("h1", "h2", "n").alias(name), F.col("part").alias(f"part_{name}"), F.col("at").alias(f"at_{name}")) for name in ("x", "y")]
+    left = F.least(F.col("x.n") - F.col("at_x"), F.col("y.n") - F.col("at_y"))
+    enough = lambda shared: shared * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    met = sides[0].join(sides[1], "s").where("x < y and abs(part_x - part_y) <= 1").where(F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent).where(enough(left))
+    found = met.groupBy("x", "y").agg(F.count("*").alias("shared"), F.max("at_x").alias("at_x"), F.max("at_y").alias("at_y"))
+    return found.where(enough(F.col("shared") - 1 + left)).select("x", "y")
+
+
+def _verify(percent: int):
+    """Pairs of a cell and the cell's sets to (x, y, i, u) of the pairs that are alike: names, sizes of intersection and union."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        lists, names = sets.column("signatures").combine_chunks(), sets.column("fingerprint").combine_chunks()
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        values, which = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        begin, place = np.cumsum(size) - size, sets.column("place").to_numpy()
+        order = np.argsort(place)
+        x, y = (order[np.searchsorted(place, pairs.column(c).to_numpy(), sorter=order)] for c in ("px", "py"))
+        by_x = np.argsort(x, kind="stable")
+        x, y = x[by_x], y[by_x]
+        shared, marked = np.zeros(len(x), np.int64), np.zeros(len(values), bool)
+        cuts = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)] if len(x) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = which[begin[x[a]] : begin[x[a]] + size[x[a]]]
+            marked[own] = True
+            for k in range(a, b):
+                shared[k] = np.count_nonzero(marked[which[begin[y[k]] : begin[y[k]] + size[y[k]]]])
+            marked[own] = False
+        union = size[x] + size[y] - shared
+        good = shared * 100 >= union * percent
+        return pa.table({"x": names.take(pa.array(x[good])), "y": names.take(pa.array(y[good])), "i": shared[good], "u": union[good]})
+
+    return run
 
 
 def alike(prints: DataFrame, percent: int = 80) -> DataFrame:
@@ -173,19 +216,26 @@ def alike(prints: DataFrame, percent: int = 80) -> DataFrame:
     length partitions are compared; a pair must share one of each set's first n - ceil(t n) + 1
     signatures, rarest first. What shares one is verified on the full sets. Equal fingerprints
     are one before they are joined, however many documents have them; one shuffle by signature serves both sides of the join.
+
+    Sets aren't sent once for each pair: they are numbered so that those of a group of candidates follow each other, cut
+    into blocks of ``BLOCK``, and sent once for each pair of blocks that has a candidate with them.
     """
     prints = prints.where(F.size("signatures") > 0)
-    own = _prefixes(prints, percent).repartition("s").groupBy("s", "h1", "h2").agg(F.first("n").alias("n"), F.first("part").alias("part"))
-    sides = [own.select("s", F.struct("h1", "h2", "n").alias(name), F.col("part").alias(f"part_{name}")) for name in ("x", "y")]
-    met = sides[0].join(sides[1], "s").where("x < y and abs(part_x - part_y) <= 1").where(F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+    pairs = stored(_candidates(prints, percent))
+    ends = pairs.select(F.col("x").alias("node"), F.col("y").alias("other")).union(pairs.select("y", "x"))
+    nodes = ends.groupBy("node").agg(F.least("node", F.min("other")).alias("group"))
+    nodes = stored(ranked(nodes, "group", "node").select("node", "place"))
     half = lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))
-    name = lambda c: F.concat(F.col(f"{c}.n").cast("string"), F.lit(":"), half(F.col(f"{c}.h1")), half(F.col(f"{c}.h2")))
-    pairs = stored(met.select("x", "y").distinct().select(name("x").alias("u"), name("y").alias("v")).select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")))
-    either = stored(pairs.select(F.col("x").alias("fingerprint")).union(pairs.select("y")).distinct())
-    sets = stored(prints.join(either, "fingerprint", "left_semi").select("fingerprint", "signatures").dropDuplicates(["fingerprint"]))
-    both = pairs.join(sets.select(F.col("fingerprint").alias("x"), F.col("signatures").alias("sx")), "x").join(sets.select(F.col("fingerprint").alias("y"), F.col("signatures").alias("sy")), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    return both.select("x", "y", shared.alias("i"), (F.size("sx") + F.size("sy") - shared).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("x", "y", (F.col("i") / F.col("u")).alias("likeness"))
+    pairs = pairs.join(nodes.select(F.col("node").alias("x"), F.col("place").alias("px")), "x").select("y", "px")
+    pairs = pairs.join(nodes.select(F.col("node").alias("y"), F.col("place").alias("py")), "y")
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    cells = stored(pairs.select(F.least("px", "py").alias("px"), F.greatest("px", "py").alias("py")).select("px", "py", block("px").alias("bx"), block("py").alias("by")))
+    asked = cells.select(F.col("px").alias("place"), "bx", "by").union(cells.select("py", "bx", "by")).groupBy("place").agg(F.collect_set(F.struct("bx", "by")).alias("cells"))
+    asked = asked.join(nodes, "place").select("place", "cells", F.concat(F.col("node.n").cast("string"), F.lit(":"), half(F.col("node.h1")), half(F.col("node.h2"))).alias("fingerprint"))
+    sets = prints.select("fingerprint", "signatures").join(asked, "fingerprint").dropDuplicates(["fingerprint"])
+    sets = sets.select("place", "fingerprint", "signatures", F.inline("cells"))
+    found = cells.groupBy("bx", "by").cogroup(sets.groupBy("bx", "by")).applyInArrow(_verify(percent), "x string, y string, i long, u long")
+    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("i") / F.col("u")).alias("likeness"))
 
 
 def similar_pairs(prints: DataFrame, percent: int = 80) -> DataFrame:

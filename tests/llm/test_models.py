@@ -445,6 +445,38 @@ def test_similar_pairs(spark):
     assert {(r.a, r.b) for r in spots.similar_pairs(spots.fingerprints(table(spark, rows)), 80).collect()} == want and want
 
 
+def test_alike_sends_no_set_for_each_pair(spark, monkeypatch):
+    """What is shuffled for a group of near copies grows with its documents, not with its pairs; all pairs are found, also over many blocks."""
+    draw, base = random.Random(9), prose(77, 1500, 5000).split()
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    def near(n):
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for _ in range(draw.randrange(1, 60)):
+                words[draw.randrange(len(words))] = f"own{draw.randrange(10**6)}"
+            rows.append((i, " ".join(words)))
+        prints = spots.stored(spots.fingerprints(table(spark, rows)))
+        before = shuffled()
+        got = {(r.x, r.y): r.likeness for r in spots.alike(prints, 80).collect()}
+        sets = {spots.fingerprint(s): s for s in spots._sets([t.encode() for _, t in rows])}
+        want = {(a, b): spots.likeness(sets[a], sets[b]) for a in sets for b in sets if a < b}
+        want = {pair: like for pair, like in want.items() if like >= 0.8}
+        assert got == pytest.approx(want) and 0 < len(want) < len(sets) * (len(sets) - 1) // 2
+        return shuffled() - before
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        few, many = near(30), near(120)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert many < 8 * few, (few, many)
+    monkeypatch.setattr(spots, "BLOCK", 7)
+    near(40)
+
+
 @pytest.mark.parametrize("sample", [20_000, 5])
 def test_classes(spark, odd, monkeypatch, sample):
     """Each document's class and links are those of all pairs, however signatures are ordered; copies, empty and odd texts."""
